@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from spindrift.llm import chat, kdshard, langid, mixing, simhash
+from spindrift.llm import audio, chat, decontam, kdshard, langid, mixing, secrets, simhash, urlrep
 from spindrift.session import table
 
 QUERIES: dict = {}
@@ -52,3 +52,30 @@ def op5_kdshard(spark: SparkSession, sf_dir: str) -> DataFrame:
 def op7_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Words that the mixture takes from each document."""
     return mixing.taken(table(spark, sf_dir, "documents")).select("doc_id", "size", "source_size", "target", "taken")
+
+
+@query
+def op4_decontam(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Documents that overlap benchmark items, tolerant of substituted words."""
+    return decontam.overlaps(table(spark, sf_dir, "documents"), table(spark, sf_dir, "benchmark"))
+
+
+@query
+def op6_audio(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """All texts as mu-law recordings, read back, expanded and resampled."""
+    return audio.digests(audio.store(table(spark, sf_dir, "documents")))
+
+
+@query
+def op8_urlrep(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Verdicts on all pages; the outcome of a page is the quality label of its number."""
+    outcomes = table(spark, sf_dir, "labels").select(F.col("doc_id").alias("page_id"), F.col("quality").alias("good"))
+    return urlrep.verdicts(table(spark, sf_dir, "pages"), outcomes)
+
+
+@query
+def op10_secrets(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Secrets in all documents: base spans, and live ones by ownership."""
+    found = secrets.secrets(table(spark, sf_dir, "documents"))
+    count = lambda k: F.size(F.filter("base", lambda s: s["kind"] == k)).cast("long")
+    return found.select("doc_id", *(count(i).alias(f"n_{k[0]}") for i, k in enumerate(secrets.KINDS)), F.sha2(secrets.spell(F.col("base")).cast("binary"), 256).alias("base_sha256"), secrets.spell(F.concat("base", "live")).alias("spans"))
