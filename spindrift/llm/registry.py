@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from spindrift.llm import audio, chat, decontam, kdshard, langid, mixing, secrets, simhash, urlrep
+from spindrift.llm import audio, chat, decontam, htmltext, kdshard, langid, mixing, secrets, simhash, urlrep
 from spindrift.session import table
 
 QUERIES: dict = {}
@@ -79,3 +79,10 @@ def op10_secrets(spark: SparkSession, sf_dir: str) -> DataFrame:
     found = secrets.secrets(table(spark, sf_dir, "documents"))
     count = lambda k: F.size(F.filter("base", lambda s: s["kind"] == k)).cast("long")
     return found.select("doc_id", *(count(i).alias(f"n_{k[0]}") for i, k in enumerate(secrets.KINDS)), F.sha2(secrets.spell(F.col("base")).cast("binary"), 256).alias("base_sha256"), secrets.spell(F.concat("base", "live")).alias("spans"))
+
+
+@query
+def op9_htmltext(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Main text of all pages."""
+    found = htmltext.extract(table(spark, sf_dir, "pages"))
+    return found.select("page_id", "url", "text", F.length("text").cast("long").alias("n_chars"))
