@@ -27,7 +27,7 @@ WORD = r"[^\x20\x09-\x0D]+"
 
 
 def sizes(docs: DataFrame) -> DataFrame:
-    """doc_id, source, its key k (never null) and size of each row; texts go no further."""
+    """doc_id, source, its key k (never null), and size of each row; texts go no further."""
     return docs.select(
         F.col("doc_id").cast("long").alias("doc_id"),
         F.col("source").cast("string").alias("source"),
@@ -68,25 +68,35 @@ def layout(rows: DataFrame, parts: int = PARTS) -> DataFrame:
     return laid.join(before, ["k", "part"]).withColumn("at", F.col("before") + F.col("inside")).drop("before", "inside")
 
 
-def permuted(index, size, k, turn, seed: int = SEED, rounds: int = ROUNDS):
-    """Image of `index` under a pseudorandom permutation of 0..size-1, for any size: swap-or-not, `rounds` times."""
+def round_keys(size, k, turn, seed: int = SEED, rounds: int = ROUNDS):
+    """Array of the keys of `permuted`, one for each round, for a source's pass."""
+    return F.transform(F.sequence(F.lit(1), F.lit(rounds)), lambda r: F.pmod(F.xxhash64(F.lit(seed), k, turn, r), size))
 
-    def step(x, r):
-        other = F.pmod(F.pmod(F.xxhash64(F.lit(seed), k, turn, r), size) - x, size)
-        swap = F.pmod(F.xxhash64(F.lit(~seed), k, turn, r, F.greatest(x, other)), F.lit(2)) == 1
-        return F.when(swap, other).otherwise(x)
 
-    return F.aggregate(F.sequence(F.lit(1), F.lit(rounds)), index, step)
+def permuted(index, size, keys):
+    """Image of `index` under a pseudorandom permutation of 0..size-1, for any size: swap-or-not, a round for each key."""
+
+    def step(x, key):
+        other = F.pmod(key - x, size)
+        return F.when(F.xxhash64(key, F.greatest(x, other)).bitwiseAND(F.lit(1)) == 1, other).otherwise(x)
+
+    return F.aggregate(keys, index, step)
 
 
 def slots(per: DataFrame, shards: int = SHARDS, seed: int = SEED) -> DataFrame:
-    """A row for each slot: k, slot number in its source, output shard and the block it takes."""
-    step = 4096
-    chunks = per.where("quota > 0").withColumn("first", F.explode(F.sequence(F.lit(0).cast("long"), F.col("quota") - 1, F.lit(step).cast("long"))))
-    chunks = chunks.repartition("k", "first")  # a source's slots are made in many tasks
-    made = chunks.withColumn("slot", F.explode(F.sequence(F.col("first"), F.least(F.col("first") + step, F.col("quota")) - 1)))
-    turn = F.floor(F.col("slot") / F.col("blocks")).cast("long")
-    return made.select("k", "slot", F.pmod(F.xxhash64(F.lit(seed), "k", "slot"), F.lit(shards)).cast("int").alias("shard"), permuted(F.col("slot") % F.col("blocks"), F.col("blocks"), F.col("k"), turn, seed).alias("block"))
+    """A row for each slot: k, slot number in its source, output shard and the block it takes.
+
+    A source's slots are made in chunks of `step`, each inside one pass over the source's blocks, in many tasks.
+    """
+    step = 1024
+    long = lambda x: F.lit(x).cast("long")
+    turns = per.where("quota > 0").withColumn("turn", F.explode(F.sequence(long(0), F.floor((F.col("quota") - 1) / F.col("blocks")).cast("long"))))
+    turns = turns.withColumn("count", F.least(F.col("blocks"), F.col("quota") - F.col("turn") * F.col("blocks"))).withColumn("keys", round_keys(F.col("blocks"), F.col("k"), F.col("turn"), seed))
+    chunks = turns.withColumn("first", F.explode(F.sequence(long(0), F.col("count") - 1, long(step))))
+    chunks = chunks.repartition(int(per.sparkSession.conf.get("spark.sql.shuffle.partitions")), "k", "turn", "first")
+    made = chunks.withColumn("index", F.explode(F.sequence(F.col("first"), F.least(F.col("first") + step, F.col("count")) - 1)))
+    slot = F.col("turn") * F.col("blocks") + F.col("index")
+    return made.select("k", slot.alias("slot"), F.pmod(F.xxhash64(F.lit(seed), "k", slot), F.lit(shards)).cast("int").alias("shard"), permuted(F.col("index"), F.col("blocks"), F.col("keys")).alias("block"))
 
 
 def pieces(laid: DataFrame, block: int = BLOCK) -> DataFrame:
@@ -102,18 +112,19 @@ def mix(docs: DataFrame, block: int = BLOCK, shards: int = SHARDS, seed: int = S
     rows = Scratch(docs.sparkSession, "mixing").save(sizes(docs))
     chosen = slots(targets(rows, block=block, **law), shards, seed)
     cut = pieces(layout(rows), block).where("block is not null")
-    return chosen.join(cut.withColumn("from", F.greatest(F.col("at"), F.col("block") * block) - F.col("at")), ["k", "block"]).select("shard", "slot", "k", "block", "doc_id", "from", "words")
+    return chosen.hint("merge").join(cut.withColumn("from", F.greatest(F.col("at"), F.col("block") * block) - F.col("at")), ["k", "block"]).select("shard", "slot", "k", "block", "doc_id", "from", "words")
 
 
 def taken(docs: DataFrame, block: int = BLOCK, shards: int = SHARDS, seed: int = SEED, **law) -> DataFrame:
     """Per row: doc_id, source, size, source_size, target and the words that the mixture takes, repeats counted.
 
-    Slots are counted by block before they meet the documents, so no block's repeats multiply rows.
+    Slots are counted by block before they meet the documents, so no block's repeats multiply rows. Both sides of that
+    join grow with the corpus, though a plan made from the small table of sources expects otherwise: hence the hint.
     """
     scratch = Scratch(docs.sparkSession, "mixing")
     rows = scratch.save(sizes(docs))
     per = scratch.save(targets(rows, block=block, **law).coalesce(1))
     uses = slots(per, shards, seed).groupBy("k", "block").agg(F.count(F.lit(1)).alias("uses"))
     cut = pieces(layout(rows), block)
-    found = cut.join(uses, ["k", "block"], "left").groupBy("k", "part", "n", "doc_id", "source", "size").agg(F.coalesce(F.sum(F.col("words") * F.col("uses")), F.lit(0)).cast("long").alias("taken"))
+    found = cut.join(uses.hint("merge"), ["k", "block"], "left").groupBy("k", "part", "n", "doc_id", "source", "size").agg(F.coalesce(F.sum(F.col("words") * F.col("uses")), F.lit(0)).cast("long").alias("taken"))
     return found.join(per.select("k", "source_size", "target"), "k").select("doc_id", "source", "size", "source_size", "target", "taken")

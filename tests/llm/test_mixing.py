@@ -56,5 +56,5 @@ def test_edges(spark):
 
 def test_permutation_is_one(spark):
     for n in (1, 2, 7, 64, 1000):
-        got = spark.range(n).select(mixing.permuted(F.col("id"), F.lit(n).cast("long"), F.lit("=s"), F.lit(1)).alias("x")).collect()
+        got = spark.range(n).select(mixing.permuted(F.col("id"), F.lit(n).cast("long"), mixing.round_keys(F.lit(n).cast("long"), F.lit("=s"), F.lit(1))).alias("x")).collect()
         assert sorted(r.x for r in got) == list(range(n))
