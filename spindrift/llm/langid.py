@@ -18,6 +18,7 @@ from dataclasses import dataclass
 from functools import cache
 
 import numpy as np
+import pandas as pd
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
@@ -160,6 +161,16 @@ def predict(docs: DataFrame, known: Prototypes, carry: list[str] = ["doc_id"]) -
     return rows.mapInArrow(run, schema)
 
 
+def column(text: Column, known: Prototypes) -> Column:
+    """struct<lang_pred, score> of a text column; only the texts go to Python."""
+    def run(texts: pd.Series) -> pd.DataFrame:
+        cells = [t if isinstance(t, str) else None for t in texts]
+        parts = [classify(cells[k : k + 256], known) for k in range(0, len(cells), 256)]
+        return pd.DataFrame({"lang_pred": [x for p in parts for x in p[0]], "score": [float(x) for p in parts for x in p[1]]})
+
+    return F.pandas_udf(run, "lang_pred string, score double")(text)
+
+
 def held_out(doc_id: Column) -> Column:
     """True for the documents that are not learned from: crc32 of the id as text leaves 1 when divided by 3. Null: false."""
     return F.coalesce(F.crc32(doc_id.cast("string").cast("binary")) % 3 == 1, F.lit(False))

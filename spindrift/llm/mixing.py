@@ -26,9 +26,10 @@ PARTS = 128
 WORD = r"[^\x20\x09-\x0D]+"
 
 
-def sizes(docs: DataFrame) -> DataFrame:
-    """doc_id, source, its key k (never null), and size of each row; texts go no further."""
+def sizes(docs: DataFrame, carry: tuple = ()) -> DataFrame:
+    """doc_id, source, its key k (never null), size and carried columns of each row; texts go no further."""
     return docs.select(
+        *carry,
         F.col("doc_id").cast("long").alias("doc_id"),
         F.col("source").cast("string").alias("source"),
         F.coalesce(F.concat(F.lit("="), F.col("source").cast("string")), F.lit("")).alias("k"),
@@ -115,16 +116,16 @@ def mix(docs: DataFrame, block: int = BLOCK, shards: int = SHARDS, seed: int = S
     return chosen.hint("merge").join(cut.withColumn("from", F.greatest(F.col("at"), F.col("block") * block) - F.col("at")), ["k", "block"]).select("shard", "slot", "k", "block", "doc_id", "from", "words")
 
 
-def taken(docs: DataFrame, block: int = BLOCK, shards: int = SHARDS, seed: int = SEED, **law) -> DataFrame:
-    """Per row: doc_id, source, size, source_size, target and the words that the mixture takes, repeats counted.
+def taken(docs: DataFrame, block: int = BLOCK, shards: int = SHARDS, seed: int = SEED, carry: tuple = (), **law) -> DataFrame:
+    """Per row: doc_id, source, size, source_size, target, carried columns and the words that the mixture takes, repeats counted.
 
     Slots are counted by block before they meet the documents, so no block's repeats multiply rows. Both sides of that
     join grow with the corpus, though a plan made from the small table of sources expects otherwise: hence the hint.
     """
     scratch = Scratch(docs.sparkSession, "mixing")
-    rows = scratch.save(sizes(docs))
+    rows = scratch.save(sizes(docs, carry))
     per = scratch.save(targets(rows, block=block, **law).coalesce(1))
     uses = slots(per, shards, seed).groupBy("k", "block").agg(F.count(F.lit(1)).alias("uses"))
     cut = pieces(layout(rows), block)
-    found = cut.join(uses.hint("merge"), ["k", "block"], "left").groupBy("k", "part", "n", "doc_id", "source", "size").agg(F.coalesce(F.sum(F.col("words") * F.col("uses")), F.lit(0)).cast("long").alias("taken"))
-    return found.join(per.select("k", "source_size", "target"), "k").select("doc_id", "source", "size", "source_size", "target", "taken")
+    found = cut.join(uses.hint("merge"), ["k", "block"], "left").groupBy("k", "part", "n", "doc_id", "source", "size", *carry).agg(F.coalesce(F.sum(F.col("words") * F.col("uses")), F.lit(0)).cast("long").alias("taken"))
+    return found.join(per.select("k", "source_size", "target"), "k").select("doc_id", "source", "size", "source_size", "target", "taken", *carry)

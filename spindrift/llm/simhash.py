@@ -15,6 +15,7 @@ keep their rows. An empty table gives an empty result. Other columns of the inpu
 from __future__ import annotations
 
 import itertools
+import math
 import random
 from collections.abc import Iterator
 
@@ -146,3 +147,176 @@ def near_duplicates(docs: DataFrame, width: int = 3, radius: int = 2) -> DataFra
     named = rooted.groupBy("root").agg(F.min("least").alias("component_id"))
     named = rooted.select("f0", "root").join(named, "root").select("f0", "component_id")
     return prints.join(named, "f0").select("doc_id", "f0", "component_id")
+
+
+#: Near-duplicate groups by similarity: words of a shingle, lanes of 64 bits, subsets of a document's shingles that give join keys, least mean size of a subset.
+SIMILAR_WIDTH, LANES, SUBSETS, MEMBERS = 5, 4, 16, 3
+#: Sets under this size have fewer bits in common, as their votes tie: they may differ in this share of the bits.
+FEW, FEW_APART = 64, 0.29
+
+
+def bits_apart(similarity: float, bits: int, deviations: float = 2.5) -> int:
+    """Bits in which fingerprints of two sets of that Jaccard similarity and equal size differ at most, but for chance: mean and deviations.
+
+    A bit differs with the probability of their angle over pi.
+    """
+    p = math.acos(2 * similarity / (1 + similarity)) / math.pi
+    return round(bits * p + deviations * math.sqrt(bits * p * (1 - p)))
+
+
+def _mixed(h: np.ndarray) -> np.ndarray:
+    return _lanes(h, 2)[:, 1]
+
+
+def sketch(text: str | None, width: int = SIMILAR_WIDTH, similarity: float = 0.8) -> tuple[list[int], int, int, list[tuple[int, list[int]]]]:
+    """Of the set of a text's shingles: fingerprint words, size, hash of the whole set, and for each level its subsets' hashes (0: none).
+
+    At level k a shingle belongs to subset `hash modulo 2^k`; the first SUBSETS are hashed. The level gives subsets of about MEMBERS
+    to twice as many shingles, fewer in short texts, so a similar text has some of them unchanged. Where a text of the
+    least size that is still similar has the level below, that one is given too.
+    """
+    parts = [np.fromiter((xxhash.xxh64_intdigest(x, 42) for x in part), np.uint64) for part in shingles(text, width)]
+    h = np.unique(np.concatenate(parts)) if parts else np.zeros(0, np.uint64)
+    n = len(h)
+    votes = np.zeros(BITS * LANES, np.int64)
+    for at in range(0, n, 1 << 14):
+        votes += np.unpackbits(_lanes(h[at : at + (1 << 14)], LANES).view(np.uint8), axis=1, bitorder="little").sum(0, dtype=np.int64)
+    words = np.packbits(2 * votes > n, bitorder="little").view(np.uint64).view(np.int64).tolist()
+    mixed = _mixed(h)
+    with np.errstate(over="ignore"):
+        whole = int(mixed.sum(dtype=np.uint64).view(np.int64))
+        levels = []
+        level = lambda size: max(int(math.log2(SUBSETS)), int(math.log2(max(1, size) / MEMBERS)))
+        for k in sorted({level(n), level(n * similarity)}) if n else []:
+            subset = h & np.uint64((1 << k) - 1)
+            sums = np.zeros(SUBSETS, np.uint64)
+            own = subset < SUBSETS
+            np.add.at(sums, subset[own].astype(np.int64), mixed[own])
+            levels.append((k, sums.view(np.int64).tolist()))
+    return words, n, whole, levels
+
+
+def text_key(text: Column) -> Column:
+    """Tells rows of one doc_id apart; null as a value of its own."""
+    return F.xxhash64(text.isNull(), text)
+
+
+def sketches(docs: DataFrame, width: int = SIMILAR_WIDTH, similarity: float = 0.8) -> DataFrame:
+    """doc_id, text_key, f0.., n, whole and levels of every row."""
+    lanes = [f"f{i}" for i in range(LANES)]
+    kind = pa.list_(pa.struct([("level", pa.int32()), ("subsets", pa.list_(pa.int64()))]))
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for b in batches:
+            found = [sketch(t.as_py(), width, similarity) for t in b.column(2)]
+            words = np.array([x[0] for x in found], np.int64).reshape(len(found), LANES)
+            levels = [[{"level": k, "subsets": v} for k, v in x[3]] for x in found]
+            columns = [*b.columns[:2], *(pa.array(words[:, i]) for i in range(LANES)), pa.array([x[1] for x in found], pa.int64()), pa.array([x[2] for x in found], pa.int64()), pa.array(levels, kind)]
+            yield pa.RecordBatch.from_arrays(columns, names=["doc_id", "text_key", *lanes, "n", "whole", "levels"])
+
+    rows = docs.select(F.col("doc_id").cast("long").alias("doc_id"), text_key(F.col("text").cast("string")).alias("text_key"), F.col("text").cast("string").alias("text"))
+    schema = f"doc_id long, text_key long, {', '.join(f'{f} long' for f in lanes)}, n long, whole long, levels array<struct<level:int,subsets:array<bigint>>>"
+    return rows.mapInArrow(run, schema)
+
+
+def _keyed(classes: DataFrame) -> DataFrame:
+    """A row for each join key of a class: key, id, comp, f0.., n."""
+    lanes = [f"f{i}" for i in range(LANES)]
+    each = classes.select("id", "comp", *lanes, "n", F.explode("levels").alias("l")).select("id", "comp", *lanes, "n", "l.level", F.posexplode("l.subsets").alias("subset", "hash"))
+    return each.where("hash <> 0").select(F.xxhash64("level", "subset", "hash").alias("key"), "id", "comp", *lanes, "n")
+
+
+def _near(similarity: float) -> Column:
+    """Whether a and b have sizes and fingerprints that such a similarity allows."""
+    apart = F.bit_count(F.col("a.f0").bitwiseXOR(F.col("b.f0")))
+    for i in range(1, LANES):
+        apart = apart + F.bit_count(F.col(f"a.f{i}").bitwiseXOR(F.col(f"b.f{i}")))
+    sizes = (F.col("a.n") >= F.col("b.n") * similarity) & (F.col("b.n") >= F.col("a.n") * similarity)
+    most = F.when(F.least("a.n", "b.n") < FEW, round(BITS * LANES * FEW_APART)).otherwise(bits_apart(similarity, BITS * LANES))
+    return sizes & (apart <= most)
+
+
+def star_pairs(classes: DataFrame, similarity: float) -> DataFrame:
+    """Candidate pairs (a, b) of each class and the smallest one that shares a key with it: a row for each key at most."""
+    keyed = _keyed(classes)
+    least = keyed.groupBy("key").agg(F.min(F.struct("id", "n", *(f"f{i}" for i in range(LANES)))).alias("m"), F.count(F.lit(1)).alias("members")).where("members > 1").select("key", "m.*")
+    a, b = least.alias("a"), keyed.alias("b")
+    return a.join(b, (F.col("a.key") == F.col("b.key")) & (F.col("a.id") != F.col("b.id")) & _near(similarity)).select(F.col("a.id").alias("a"), F.col("b.id").alias("b")).distinct()
+
+
+def rest_pairs(classes: DataFrame, similarity: float) -> DataFrame:
+    """All further candidate pairs of different components: of those that share a key, members of its largest component need no test with each other.
+
+    So a key that thousands of linked texts share costs a row for each that isn't linked yet, not for each pair.
+    """
+    sizes = classes.groupBy("comp").agg(F.count(F.lit(1)).alias("size"))
+    keyed = _keyed(classes)
+    large = keyed.join(sizes, "comp").groupBy("key").agg(F.max(F.struct("size", "comp"))["comp"].alias("large"), F.min("comp").alias("low"), F.max("comp").alias("high")).where("low <> high")
+    marked = keyed.join(large.select("key", "large"), "key")
+    a, b = marked.where("comp <> large").alias("a"), marked.alias("b")
+    once = (F.col("b.comp") == F.col("b.large")) | (F.col("a.id") < F.col("b.id"))
+    return a.join(b, (F.col("a.key") == F.col("b.key")) & (F.col("a.comp") != F.col("b.comp")) & once & _near(similarity)).select(F.col("a.id").alias("a"), F.col("b.id").alias("b")).distinct()
+
+
+def shingle_sets(docs: DataFrame, width: int) -> DataFrame:
+    """(doc_id, text_key, members) of rows: the sorted shingle hashes, 32 bits of each."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for b in batches:
+            found = []
+            for t in b.column(2):
+                parts = [np.fromiter((xxhash.xxh64_intdigest(x, 42) & 0xFFFFFFFF for x in part), np.uint32) for part in shingles(t.as_py(), width)]
+                found.append(np.unique(np.concatenate(parts)).view(np.int32) if parts else np.zeros(0, np.int32))
+            yield pa.RecordBatch.from_arrays([*b.columns[:2], pa.array(found, pa.list_(pa.int32()))], names=["doc_id", "text_key", "members"])
+
+    return docs.mapInArrow(run, "doc_id long, text_key long, members array<int>")
+
+
+#: Rows of 16 bytes that are broadcast at most, after being counted; more are joined by a shuffle.
+BROADCAST_ROWS = 500_000
+
+
+def listed(rows: DataFrame) -> DataFrame:
+    """`rows`, to be broadcast if they are counted to be few."""
+    return F.broadcast(rows) if rows.count() <= BROADCAST_ROWS else rows
+
+
+def verified(pairs: DataFrame, classes: DataFrame, docs: DataFrame, similarity: float, width: int, scratch: Scratch) -> DataFrame:
+    """The pairs whose shingle sets have that Jaccard similarity. Texts of classes in a pair only are read again."""
+    ids = pairs.select(F.col("a").alias("id")).unionByName(pairs.select(F.col("b").alias("id"))).distinct()
+    wanted = scratch.save(ids.join(classes, "id").select("id", F.col("least.doc_id").alias("want_id"), F.col("least.text_key").alias("want_key")))
+    rows = docs.select(F.col("doc_id").cast("long").alias("doc_id"), text_key(F.col("text").cast("string")).alias("text_key"), F.col("text").cast("string").alias("text"))
+    named = listed(wanted)
+    same = F.col("doc_id").eqNullSafe(F.col("want_id")) & (F.col("text_key") == F.col("want_key"))
+    sets = shingle_sets(rows.join(named, same, "left_semi"), width)
+    sets = scratch.save(sets.join(named, same).select("id", "members").dropDuplicates(["id"]))
+    a, b = sets.select(F.col("id").alias("a"), F.col("members").alias("ma")), sets.select(F.col("id").alias("b"), F.col("members").alias("mb"))
+    both = F.size(F.array_intersect("ma", "mb"))
+    enough = both >= similarity * (F.size("ma") + F.size("mb") - both) - 1e-9
+    return scratch.save(pairs.join(a, "a").join(b, "b").where(enough).select("a", "b"))
+
+
+def superseded(docs: DataFrame, width: int = SIMILAR_WIDTH, similarity: float = 0.8) -> tuple[DataFrame, bool]:
+    """(doc_id, text_key) of the rows that a near-duplicate with a smaller (doc_id, text_key) replaces, and whether rows repeat entirely.
+
+    Texts of equal shingle sets are one class. Candidate classes share a subset's hash and have near fingerprints; a link is a candidate
+    pair of at least that Jaccard similarity, and groups are the components of links. 64 bits at radius 2 would
+    miss most pairs of similarity 0.8, which differ in about ten of 64 bits; hence the wider fingerprint.
+    Null doc_ids come last.
+    """
+    scratch = Scratch(docs.sparkSession, "similar")
+    rows = scratch.save(sketches(docs, width, similarity))
+    who = F.struct(F.col("doc_id").isNull().alias("unnamed"), "doc_id", "text_key")
+    id_ = F.xxhash64("n", "whole")
+    classes = scratch.save(rows.groupBy("n", "whole").agg(F.min(who).alias("least"), *(F.min(f"f{i}").alias(f"f{i}") for i in range(LANES)), F.first("levels").alias("levels")).withColumn("id", id_).drop("whole"))
+    star = scratch.save(star_pairs(classes.withColumn("comp", F.col("id")), similarity))
+    links_ = verified(star, classes, docs, similarity, width, scratch)
+    grouped = lambda found: classes.join(components(found).select(F.col("node").alias("id"), F.col("root").alias("comp")), "id", "left").withColumn("comp", F.coalesce("comp", "id"))
+    rest = scratch.save(rest_pairs(scratch.save(grouped(links_)), similarity))
+    more = verified(rest, classes, docs, similarity, width, scratch)
+    final = scratch.save(grouped(links_.unionByName(more)).select("id", "comp", "least"))
+    first = final.groupBy("comp").agg(F.min("least").alias("kept"))
+    kept = final.join(first, "comp").select("id", "kept")
+    gone = rows.withColumn("id", id_).join(kept, "id").where(~who.eqNullSafe(F.col("kept"))).select("doc_id", "text_key").distinct()
+    repeats = rows.groupBy("doc_id", "text_key").count().where("count > 1").limit(1).count() > 0
+    return scratch.save(gone), repeats
