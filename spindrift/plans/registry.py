@@ -21,3 +21,6 @@ def query(name: str, sql: str | None = None):
 def flagship(spark, sf_dir):
     """BM25 hits for one fixed query."""
     return QUERIES["bm25_topk"](spark, sf_dir)
+
+
+from spindrift.plans import store, text  # noqa: E402, F401  they register their queries
