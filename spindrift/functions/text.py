@@ -60,10 +60,13 @@ def clean(text: Column) -> Column:
     return strip(F.regexp_replace(out, r"\s+", " "))
 
 
-@F.pandas_udf("string")
-def nfc(text: pd.Series) -> pd.Series:
-    """Unicode NFC, for which Spark has no function."""
-    return text.map(lambda t: unicodedata.normalize("NFC", t) if isinstance(t, str) else None)
+def nfc(text: Column) -> Column:
+    """Unicode NFC, for which Spark has no function: Arrow batches."""
+
+    def run(texts: pd.Series) -> pd.Series:
+        return texts.map(lambda t: unicodedata.normalize("NFC", t) if isinstance(t, str) else None)
+
+    return F.pandas_udf(run, "string")(text)
 
 
 def language(text: Column) -> Column:
