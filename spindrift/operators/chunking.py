@@ -30,17 +30,21 @@ def token_spans(costs: Column, most: int = 480, overlap: int = 1) -> Column:
     """Spans [a, b) of sentences: filled until the next sentence's tokens would exceed `most`; each begins with the last `overlap` sentences of the one before, if that has as many."""
 
     def step(acc, cost):
-        i, a, used = acc["i"], acc["a"], acc["used"]
+        i, a, used, tail = acc["i"], acc["a"], acc["used"], acc["tail"]
         cut = (i > a) & (used + cost > most)
-        start = F.when(i - a >= overlap, i - overlap).otherwise(i) if overlap else i
+        back = F.when(i - a >= overlap, overlap).otherwise(0)
+        kept = F.when(i - a >= overlap, F.aggregate(tail, F.lit(0).cast("bigint"), lambda s, x: s + x)).otherwise(F.lit(0).cast("bigint"))
+        longer = F.array_append(tail, cost)
         return F.struct(
             (i + 1).alias("i"),
-            F.when(cut, start).otherwise(a).alias("a"),
-            F.when(cut, _sum(costs, start, i) + cost).otherwise(used + cost).alias("used"),
+            F.when(cut, i - back).otherwise(a).alias("a"),
+            (F.when(cut, kept).otherwise(used) + cost).alias("used"),
+            (F.slice(longer, F.greatest(F.lit(1), F.size(longer) - overlap + 1), F.lit(overlap)) if overlap else tail).alias("tail"),
             F.when(cut, F.array_append(acc["out"], F.struct(a.alias("a"), i.alias("b")))).otherwise(acc["out"]).alias("out"),
         )
 
-    zero = F.struct(F.lit(0).alias("i"), F.lit(0).alias("a"), F.lit(0).cast("bigint").alias("used"), F.array().cast(_SPAN).alias("out"))
+    none = F.array().cast("array<bigint>")
+    zero = F.struct(F.lit(0).alias("i"), F.lit(0).alias("a"), F.lit(0).cast("bigint").alias("used"), none.alias("tail"), F.array().cast(_SPAN).alias("out"))
     last = lambda acc: F.when(acc["i"] > acc["a"], F.array_append(acc["out"], F.struct(acc["a"].alias("a"), acc["i"].alias("b")))).otherwise(acc["out"])
     return F.aggregate(costs, zero, step, last)
 
@@ -48,23 +52,24 @@ def token_spans(costs: Column, most: int = 480, overlap: int = 1) -> Column:
 def char_spans(lengths: Column, most: int, overlap: int) -> Column:
     """Spans of sentences: closed when one more and a blank would exceed `most` characters; each begins with the last sentences before it whose total stays under `overlap`."""
 
-    def start_of(a, i):
-        tail = F.reverse(F.slice(lengths, a + 1, F.greatest(F.lit(0), i - a)))
+    def kept_of(current):
         fold = lambda s, x: F.when(s["open"] & (s["total"] + x < overlap), F.struct((s["total"] + x).alias("total"), (s["n"] + 1).alias("n"), F.lit(True).alias("open"))).otherwise(F.struct(s["total"].alias("total"), s["n"].alias("n"), F.lit(False).alias("open")))
-        return F.aggregate(tail, F.struct(F.lit(0).cast("bigint").alias("total"), F.lit(0).alias("n"), F.lit(True).alias("open")), fold)
+        return F.aggregate(F.reverse(current), F.struct(F.lit(0).cast("bigint").alias("total"), F.lit(0).alias("n"), F.lit(True).alias("open")), fold)
 
     def step(acc, size):
-        i, a, used = acc["i"], acc["a"], acc["used"]
+        i, a, used, current = acc["i"], acc["a"], acc["used"], acc["current"]
         cut = (used + size + 1 > most) & (i > a)
-        kept = start_of(a, i)
+        kept = kept_of(current)
         return F.struct(
             (i + 1).alias("i"),
             F.when(cut, i - kept["n"]).otherwise(a).alias("a"),
             (F.when(cut, kept["total"]).otherwise(used) + size + 1).alias("used"),
+            F.array_append(F.when(cut, F.slice(current, F.size(current) - kept["n"] + 1, kept["n"])).otherwise(current), size).alias("current"),
             F.when(cut, F.array_append(acc["out"], F.struct(a.alias("a"), i.alias("b")))).otherwise(acc["out"]).alias("out"),
         )
 
-    zero = F.struct(F.lit(0).alias("i"), F.lit(0).alias("a"), F.lit(0).cast("bigint").alias("used"), F.array().cast(_SPAN).alias("out"))
+    none = F.array().cast("array<bigint>")
+    zero = F.struct(F.lit(0).alias("i"), F.lit(0).alias("a"), F.lit(0).cast("bigint").alias("used"), none.alias("current"), F.array().cast(_SPAN).alias("out"))
     last = lambda acc: F.when(acc["i"] > acc["a"], F.array_append(acc["out"], F.struct(acc["a"].alias("a"), acc["i"].alias("b")))).otherwise(acc["out"])
     return F.aggregate(lengths, zero, step, last)
 

@@ -23,4 +23,4 @@ def flagship(spark, sf_dir):
     return QUERIES["bm25_topk"](spark, sf_dir)
 
 
-from spindrift.plans import chunking, retrieval, store, text  # noqa: E402, F401  they register their queries
+from spindrift.plans import chunking, dedup, retrieval, store, text  # noqa: E402, F401  they register their queries
