@@ -149,3 +149,12 @@ def kmeans_tfidf(spark, sf_dir):
     steps = [StopWordsRemover(inputCol="words", outputCol="kept"), CountVectorizer(inputCol="kept", outputCol="tf", vocabSize=1000), IDF(inputCol="tf", outputCol="features"), KMeans(k=10, seed=42, maxIter=10)]
     found = Pipeline(stages=steps).fit(d).transform(d)
     return found.select("doc_id", F.col("prediction").cast("bigint").alias("cluster"))
+
+
+@query("ingest")
+def ingest(spark, sf_dir):
+    """Documents to chunks with vectors in one plan; the vectors' sums stand for them."""
+    from spindrift.operators.ingest import ingest as run
+
+    found = run(table(spark, sf_dir, "documents"), C.hashing_embedder(16))
+    return found.select("doc_id", "chunk_id", "tokens", "language", F.aggregate("vec", F.lit(0.0), lambda s, x: s + x).alias("weight"))
