@@ -237,25 +237,30 @@ def _near(similarity: float) -> Column:
 
 
 def star_pairs(classes: DataFrame, similarity: float) -> DataFrame:
-    """Candidate pairs (a, b) of each class and the smallest one that shares a key with it: a row for each key at most."""
+    """Candidate pairs (a, b) of each class and the first and last one that share a key with it: two rows for each key at most."""
     keyed = _keyed(classes)
-    least = keyed.groupBy("key").agg(F.min(F.struct("id", "n", *(f"f{i}" for i in range(LANES)))).alias("m"), F.count(F.lit(1)).alias("members")).where("members > 1").select("key", "m.*")
-    a, b = least.alias("a"), keyed.alias("b")
-    return a.join(b, (F.col("a.key") == F.col("b.key")) & (F.col("a.id") != F.col("b.id")) & _near(similarity)).select(F.col("a.id").alias("a"), F.col("b.id").alias("b")).distinct()
+    me = F.struct("id", "n", *(f"f{i}" for i in range(LANES)))
+    ends = keyed.groupBy("key").agg(F.min(me).alias("m"), F.max(me).alias("x"), F.count(F.lit(1)).alias("members")).where("members > 1").select("key", F.explode(F.array("m", "x")).alias("m")).select("key", "m.*")
+    a, b = ends.alias("a"), keyed.alias("b")
+    return a.join(b, (F.col("a.key") == F.col("b.key")) & (F.col("a.id") != F.col("b.id")) & _near(similarity)).select(F.least("a.id", "b.id").alias("a"), F.greatest("a.id", "b.id").alias("b")).distinct()
 
 
-def rest_pairs(classes: DataFrame, similarity: float) -> DataFrame:
-    """All further candidate pairs of different components: of those that share a key, members of its largest component need no test with each other.
+def rest_links(classes: DataFrame, docs: DataFrame, similarity: float, width: int, scratch: Scratch) -> DataFrame:
+    """All further links (a, b) between different components: of classes that share a key, members of its largest component need no test with each other.
 
-    So a key that thousands of linked texts share costs a row for each that isn't linked yet, not for each pair.
+    Only keys whose classes are in several components count, and the similarity is part of the join's condition. So a key that thousands of
+    linked texts share costs a row for each link of those that aren't linked yet, not for each pair.
     """
     sizes = classes.groupBy("comp").agg(F.count(F.lit(1)).alias("size"))
     keyed = _keyed(classes)
     large = keyed.join(sizes, "comp").groupBy("key").agg(F.max(F.struct("size", "comp"))["comp"].alias("large"), F.min("comp").alias("low"), F.max("comp").alias("high")).where("low <> high")
-    marked = keyed.join(large.select("key", "large"), "key")
-    a, b = marked.where("comp <> large").alias("a"), marked.alias("b")
+    marked = scratch.save(keyed.join(large.select("key", "large"), "key"))
+    sets = sets_of(marked.select("id").distinct(), classes, docs, width, scratch)
+    full = marked.join(sets, "id")
+    a, b = full.where("comp <> large").alias("a"), full.alias("b")
     once = (F.col("b.comp") == F.col("b.large")) | (F.col("a.id") < F.col("b.id"))
-    return a.join(b, (F.col("a.key") == F.col("b.key")) & (F.col("a.comp") != F.col("b.comp")) & once & _near(similarity)).select(F.col("a.id").alias("a"), F.col("b.id").alias("b")).distinct()
+    on = (F.col("a.key") == F.col("b.key")) & (F.col("a.comp") != F.col("b.comp")) & once & _near(similarity) & alike(F.col("a.members"), F.col("b.members"), similarity)
+    return scratch.save(a.join(b, on).select(F.col("a.id").alias("a"), F.col("b.id").alias("b")).distinct())
 
 
 def shingle_sets(docs: DataFrame, width: int) -> DataFrame:
@@ -281,19 +286,28 @@ def listed(rows: DataFrame) -> DataFrame:
     return F.broadcast(rows) if rows.count() <= BROADCAST_ROWS else rows
 
 
-def verified(pairs: DataFrame, classes: DataFrame, docs: DataFrame, similarity: float, width: int, scratch: Scratch) -> DataFrame:
-    """The pairs whose shingle sets have that Jaccard similarity. Texts of classes in a pair only are read again."""
-    ids = pairs.select(F.col("a").alias("id")).unionByName(pairs.select(F.col("b").alias("id"))).distinct()
+def alike(a: Column, b: Column, similarity: float) -> Column:
+    """Whether two sets have that Jaccard similarity."""
+    both = F.size(F.array_intersect(a, b))
+    return both >= similarity * (F.size(a) + F.size(b) - both) - 1e-9
+
+
+def sets_of(ids: DataFrame, classes: DataFrame, docs: DataFrame, width: int, scratch: Scratch) -> DataFrame:
+    """(id, members) of the classes in `ids`. Texts of these only are read again."""
     wanted = scratch.save(ids.join(classes, "id").select("id", F.col("least.doc_id").alias("want_id"), F.col("least.text_key").alias("want_key")))
     rows = docs.select(F.col("doc_id").cast("long").alias("doc_id"), text_key(F.col("text").cast("string")).alias("text_key"), F.col("text").cast("string").alias("text"))
     named = listed(wanted)
     same = F.col("doc_id").eqNullSafe(F.col("want_id")) & (F.col("text_key") == F.col("want_key"))
     sets = shingle_sets(rows.join(named, same, "left_semi"), width)
-    sets = scratch.save(sets.join(named, same).select("id", "members").dropDuplicates(["id"]))
+    return scratch.save(sets.join(named, same).select("id", "members").dropDuplicates(["id"]))
+
+
+def verified(pairs: DataFrame, classes: DataFrame, docs: DataFrame, similarity: float, width: int, scratch: Scratch) -> DataFrame:
+    """The pairs whose shingle sets have that Jaccard similarity."""
+    ids = pairs.select(F.col("a").alias("id")).unionByName(pairs.select(F.col("b").alias("id"))).distinct()
+    sets = sets_of(ids, classes, docs, width, scratch)
     a, b = sets.select(F.col("id").alias("a"), F.col("members").alias("ma")), sets.select(F.col("id").alias("b"), F.col("members").alias("mb"))
-    both = F.size(F.array_intersect("ma", "mb"))
-    enough = both >= similarity * (F.size("ma") + F.size("mb") - both) - 1e-9
-    return scratch.save(pairs.join(a, "a").join(b, "b").where(enough).select("a", "b"))
+    return scratch.save(pairs.join(a, "a").join(b, "b").where(alike(F.col("ma"), F.col("mb"), similarity)).select("a", "b"))
 
 
 def superseded(docs: DataFrame, width: int = SIMILAR_WIDTH, similarity: float = 0.8) -> tuple[DataFrame, bool]:
@@ -312,8 +326,7 @@ def superseded(docs: DataFrame, width: int = SIMILAR_WIDTH, similarity: float =
     star = scratch.save(star_pairs(classes.withColumn("comp", F.col("id")), similarity))
     links_ = verified(star, classes, docs, similarity, width, scratch)
     grouped = lambda found: classes.join(components(found).select(F.col("node").alias("id"), F.col("root").alias("comp")), "id", "left").withColumn("comp", F.coalesce("comp", "id"))
-    rest = scratch.save(rest_pairs(scratch.save(grouped(links_)), similarity))
-    more = verified(rest, classes, docs, similarity, width, scratch)
+    more = rest_links(scratch.save(grouped(links_)), docs, similarity, width, scratch)
     final = scratch.save(grouped(links_.unionByName(more)).select("id", "comp", "least"))
     first = final.groupBy("comp").agg(F.min("least").alias("kept"))
     kept = final.join(first, "comp").select("id", "kept")
