@@ -37,13 +37,18 @@ def _starts(lengths: Column) -> Column:
     return F.flatten(F.zip_with(each, before, lambda p, b: F.transform(p["out"], lambda x: x + b)))
 
 
-def matches(text: Column, pattern: str) -> Column:
-    """array<struct<start, text>> of the leftmost non-overlapping matches, by the lengths of what lies between them."""
+def found(text: Column, pattern: str) -> Column:
+    """struct<hit, gaps, lengths>: the leftmost non-overlapping matches, the lengths of what lies before each, and those of both."""
     hit = F.regexp_extract_all(text, F.lit(pattern), F.lit(0))
     gaps = F.transform(F.slice(F.split(text, pattern, -1), 1, F.greatest(F.size(hit), F.lit(1))), lambda g: F.length(g).cast("bigint"))
-    lengths = F.zip_with(gaps, F.transform(hit, lambda m: F.length(m).cast("bigint")), lambda g, m: g + m)
+    lengths = F.zip_with(gaps, hit, lambda g, m: g + F.length(m))
+    return F.when(F.rlike(text, F.lit(pattern)), F.struct(hit.alias("hit"), gaps.alias("gaps"), lengths.alias("lengths")))
+
+
+def matches(hit: Column, gaps: Column, lengths: Column) -> Column:
+    """array<struct<start, text>> of what was found. Takes columns, as lambdas would compute anything else for each element anew."""
     placed = F.zip_with(F.zip_with(_starts(lengths), gaps, lambda s, g: s + g), hit, lambda s, m: F.struct(s.alias("start"), m.alias("text")))
-    return F.when(F.rlike(text, F.lit(pattern)), placed).otherwise(F.array().cast("array<struct<start:bigint,text:string>>"))
+    return F.coalesce(placed, F.array().cast("array<struct<start:bigint,text:string>>"))
 
 
 def _span(kind: int, start: Column, end: Column) -> Column:
@@ -78,8 +83,11 @@ def scan(docs: DataFrame) -> DataFrame:
     text = F.coalesce(F.col("text").cast("string"), F.lit(""))
     columns = {c.lower() for c in docs.columns}
     owner = F.col("source").cast("string") if "source" in columns else F.lit(None).cast("string")
-    found = {name: matches(F.col("t"), pattern).alias(name) for name, pattern, _, _ in KINDS} | {"bare": matches(F.col("t"), TOKEN).alias("bare")}
-    rows = docs.select(F.col("doc_id").cast("long").alias("doc_id"), owner.alias("owner"), text.alias("t")).select("doc_id", "owner", *found.values())
+    patterns = {name: pattern for name, pattern, _, _ in KINDS} | {"bare": TOKEN}
+    rows = docs.select(F.col("doc_id").cast("long").alias("doc_id"), owner.alias("owner"), text.alias("t"))
+    # exploded, so that what was found is a column and not an expression to be repeated
+    rows = rows.select("doc_id", "owner", F.explode(F.array(F.struct(*(found(F.col("t"), p).alias(n) for n, p in patterns.items())))).alias("x"))
+    rows = rows.select("doc_id", "owner", *(matches(F.col(f"x.{n}.hit"), F.col(f"x.{n}.gaps"), F.col(f"x.{n}.lengths")).alias(n) for n in patterns))
     kept = [_kept(name, pattern, least, group) for name, pattern, least, group in KINDS]
     base = [_spans(k, i) for i, k in enumerate(kept)]
     values = [_values(k, pattern, group) for k, (_, pattern, _, group) in zip(kept, KINDS, strict=True)] + [_values(F.col("bare"), TOKEN, 0)]
