@@ -8,6 +8,7 @@ from __future__ import annotations
 
 import hashlib
 from collections.abc import Callable, Iterator
+from functools import lru_cache
 
 import numpy as np
 import pandas as pd
@@ -117,11 +118,9 @@ def hashing_embedder(dim: int = 64) -> Callable[[list[str]], np.ndarray]:
     """Term counts in hashed dimensions: near texts have near vectors, without a model."""
 
     def encode(texts: list[str]) -> np.ndarray:
-        out = np.zeros((len(texts), dim))
-        for i, t in enumerate(texts):
-            for w in t.lower().split():
-                out[i, int.from_bytes(hashlib.md5(w.encode()).digest()[:4], "big") % dim] += 1
-        return out
+        place = lru_cache(1 << 16)(lambda w: int.from_bytes(hashlib.md5(w.encode()).digest()[:4], "big") % dim)
+        counts = [np.bincount([place(w) for w in t.lower().split()] or [0], minlength=dim) * bool(t.split()) for t in texts]
+        return np.array(counts, np.float64).reshape(len(texts), dim)
 
     return encode
 
@@ -143,13 +142,32 @@ def seeded_embedder(dim: int = 64, boosts: tuple = ("insurance", "finance", "hea
 
 
 def embed(texts: DataFrame, key: str, encode: Callable[[list[str]], np.ndarray]) -> DataFrame:
-    """(text, vec): each distinct text embedded once, in batches."""
+    """(text, vec): each distinct text embedded once, in batches.
+
+    The number of partitions is the session's and not the one that fits the texts' bytes, as vectors cost more than reading.
+    """
 
     def run(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for f in frames:
             yield pd.DataFrame({key: f[key], "vec": list(encode(f[key].tolist()).astype(float))})
 
-    return texts.select(key).where(F.col(key).isNotNull()).distinct().mapInPandas(run, f"{key} string, vec array<double>")
+    parts = int(texts.sparkSession.conf.get("spark.sql.shuffle.partitions"))
+    rows = texts.select(key).where(F.col(key).isNotNull()).repartition(parts, key).dropDuplicates([key])
+    return rows.mapInPandas(run, f"{key} string, vec array<double>")
+
+
+def with_vectors(rows: DataFrame, key: str, encode: Callable[[list[str]], np.ndarray]) -> DataFrame:
+    """`rows` with vec, of the text in `key`: in place, without a join; a text that a batch repeats is embedded once there."""
+    names = rows.columns
+
+    def run(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        for f in frames:
+            distinct, at = np.unique(f[key].fillna("").to_numpy(str), return_inverse=True) if len(f) else ([], [])
+            vectors = encode(list(distinct)).astype(float) if len(f) else np.zeros((0, 0))
+            yield f.assign(vec=[vectors[i] for i in at])[[*names, "vec"]]
+
+    schema = ", ".join([*(f"`{x.name}` {x.dataType.simpleString()}" for x in rows.schema.fields), "vec array<double>"])
+    return rows.mapInPandas(run, schema)
 
 
 def cohesive(sentences: list[str], breaks: list, encode, most: int, threshold: float, overlap: int) -> list[tuple[int, int, float]]:

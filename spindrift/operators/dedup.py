@@ -63,16 +63,30 @@ def hash64(term: Column) -> tuple[Column, Column]:
     return F.conv(F.substring(h, 1, 8), 16, 10).cast("bigint"), F.conv(F.substring(h, 9, 8), 16, 10).cast("bigint")
 
 
+#: Counts of this many bits that one sum holds, in so many bits each: exact up to two million terms of a document.
+PACKED, PACK_BITS = 3, 21
+
+
 def simhash(terms: DataFrame, key: str, weight: Column | None = None, strict: bool = False) -> DataFrame:
-    """(key, simhash) of terms (key, term): each bit by the sign of its weighted votes, 0 counting as set unless strict. Votes are summed map-side."""
+    """(key, simhash) of terms (key, term): each bit by the sign of its votes, 0 counting as set unless strict. Votes are summed map-side.
+
+    Without weights the set bits are counted, three counts to a long; 64 separate sums would outgrow one compiled method.
+    """
     high, low = hash64(F.col("term"))
     once = F.array(F.struct(high.alias("high"), low.alias("low"), (weight if weight is not None else F.lit(1)).alias("w")))
     rows = terms.select(key, F.explode(once).alias("x")).select(key, "x.*")  # exploded, so that the hash is made once and not for each vote
-    vote = lambda half, i: F.sum(F.when(F.shiftright(half, i).bitwiseAND(F.lit(1)) == 1, F.col("w")).otherwise(-F.col("w"))).alias(f"v{half}{i}")
-    votes = rows.groupBy(key).agg(*(F.round(vote(h, i), 9).alias(f"{h}{i}") for h in ("high", "low") for i in range(32)))
-    bit = lambda c: F.when((F.col(c) > 0) if strict else (F.col(c) >= 0), 1).otherwise(0).cast("bigint")
-    half = lambda h: sum((F.shiftleft(bit(f"{h}{i}"), i) for i in range(1, 32)), bit(f"{h}0"))
-    return votes.select(key, F.shiftleft(half("high"), 32).bitwiseOR(half("low")).alias("simhash"))
+    bit_of = lambda i: F.shiftright("low" if i < 32 else "high", i % 32).bitwiseAND(F.lit(1))
+    if weight is None:
+        pack = lambda g: sum((F.shiftleft(bit_of(i), PACK_BITS * k) for k, i in enumerate(range(g, min(g + PACKED, BITS))) if k), bit_of(g))
+        counts = rows.groupBy(key).agg(F.count(F.lit(1)).alias("n"), *(F.sum(pack(g)).alias(f"s{g}") for g in range(0, BITS, PACKED)))
+        ones = lambda i: F.shiftright(f"s{i - i % PACKED}", PACK_BITS * (i % PACKED)).bitwiseAND(F.lit((1 << PACK_BITS) - 1))
+        set_ = lambda i: (2 * ones(i) > F.col("n")) if strict else (2 * ones(i) >= F.col("n"))
+    else:
+        vote = lambda i: F.sum(F.when(bit_of(i) == 1, F.col("w")).otherwise(-F.col("w")))
+        counts = rows.groupBy(key).agg(*(F.round(vote(i), 9).alias(f"v{i}") for i in range(BITS)))
+        set_ = lambda i: (F.col(f"v{i}") > 0) if strict else (F.col(f"v{i}") >= 0)
+    half = lambda at: sum((F.shiftleft(F.when(set_(at + i), 1).otherwise(0).cast("bigint"), i) for i in range(1, 32)), F.when(set_(at), 1).otherwise(0).cast("bigint"))
+    return counts.select(key, F.shiftleft(half(32), 32).bitwiseOR(half(0)).alias("simhash"))
 
 
 def near_pairs(hashes: DataFrame, key: str, radius: int = 8) -> DataFrame:

@@ -30,7 +30,8 @@ STRATEGIES = {"fast": Strategy(most=240, dedup=False, vectors=False), "balanced"
 def ingest(docs: DataFrame, encode: Callable[[list[str]], np.ndarray], strategy: str = "balanced") -> DataFrame:
     """(doc_id, chunk_id, text, tokens, language, vec): meaningful documents, cleaned, cut and, by strategy, deduplicated and embedded."""
     s = STRATEGIES[strategy]
-    clean = docs.select("doc_id", T.clean(F.col("text")).alias("text")).where(T.meaningful(F.col("text")) & T.extracted_ok(F.col("text")))
+    # exploded, so that the checks read the cleaned text and don't clean it again each
+    clean = docs.select("doc_id", F.explode(F.array(T.clean(F.col("text")))).alias("text")).where(T.meaningful(F.col("text")) & T.extracted_ok(F.col("text")))
     if s.dedup:
         first = clean.groupBy(F.sha2(F.lower("text"), 256).alias("h")).agg(F.min("doc_id").alias("doc_id"))
         clean = clean.join(first.select("doc_id"), "doc_id", "left_semi")
@@ -38,4 +39,4 @@ def ingest(docs: DataFrame, encode: Callable[[list[str]], np.ndarray], strategy:
     out = cut.select("doc_id", F.concat_ws("_chunk_", F.col("doc_id").cast("string"), F.col("n").cast("string")).alias("chunk_id"), "text", "tokens", T.language(F.col("text")).alias("language"))
     if not s.vectors:
         return out.withColumn("vec", F.lit(None).cast("array<double>"))
-    return out.join(C.embed(out, "text", encode), "text").select("doc_id", "chunk_id", "text", "tokens", "language", "vec")
+    return C.with_vectors(out, "text", encode)

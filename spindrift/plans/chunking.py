@@ -9,7 +9,7 @@ from spindrift.functions import text as T
 from spindrift.operators import chunking as C
 from spindrift.plans.registry import query
 from spindrift.plans.text import APPROX, SENTS
-from spindrift.session import table
+from spindrift.session import documents, table
 
 _SENT_ROWS = f"s AS (SELECT doc_id, i, ss[i] AS s, {APPROX.format('ss[i]')} AS cost FROM (SELECT doc_id, {SENTS} AS ss FROM documents), unnest(range(1, len(ss) + 1)) AS u(i))"
 _TOKEN_FOLD = """f AS (SELECT doc_id, 1::BIGINT AS i, 1::BIGINT AS a, cost AS used, 0::BIGINT AS n, cost AS prev FROM s WHERE i = 1
@@ -19,7 +19,7 @@ UNION ALL SELECT f.doc_id, s.i, CASE WHEN used + s.cost > {most} THEN s.i - 1 EL
 @query("chunks_tokens", f"WITH RECURSIVE {_SENT_ROWS}, {_TOKEN_FOLD.format(most=120)} SELECT doc_id, n, (max(i) - min(a) + 1)::BIGINT AS n_sentences, max(used)::BIGINT AS tokens FROM f GROUP BY doc_id, n")
 def chunks_tokens(spark, sf_dir):
     """Token-budget chunks with one sentence of overlap."""
-    c = C.token_chunks(table(spark, sf_dir, "documents"), "doc_id", 120, 1)
+    c = C.token_chunks(documents(spark, sf_dir), "doc_id", 120, 1)
     return c.select("doc_id", F.col("n").cast("bigint").alias("n"), (F.col("b") - F.col("a")).cast("bigint").alias("n_sentences"), "tokens")
 
 
@@ -30,7 +30,7 @@ SELECT f.doc_id, s.i, used, n, cur, s.len, used + s.len + 1 > 400 AS cut, list_f
 SELECT doc_id, n, max(len(cur))::BIGINT AS n_sentences, max(list_sum(cur) + len(cur) - 1)::BIGINT AS n_chars FROM f GROUP BY doc_id, n""")
 def chunks_chars(spark, sf_dir):
     """Character-budget chunks of sentences, with trailing sentences of under 60 characters as overlap."""
-    d = table(spark, sf_dir, "documents").where("doc_id < 300").select("doc_id", F.split("text", r"(?<=[.!?])\s+").alias("s"))
+    d = documents(spark, sf_dir).where("doc_id < 300").select("doc_id", F.split("text", r"(?<=[.!?])\s+").alias("s"))
     lengths = F.transform("s", lambda x: F.length(x).cast("bigint"))
     spans = d.select("doc_id", "s", F.posexplode(C.char_spans(lengths, 400, 60)).alias("n", "x"))
     return spans.select("doc_id", F.col("n").cast("bigint").alias("n"), (F.col("x.b") - F.col("x.a")).cast("bigint").alias("n_sentences"), F.length(C.joined(F.col("s"), F.col("x"))).cast("bigint").alias("n_chars"))
@@ -48,7 +48,7 @@ def chunks_pages(spark, sf_dir):
 @query("chunk_stats", f"WITH RECURSIVE {_SENT_ROWS}, {_TOKEN_FOLD.format(most=480)}, c AS (SELECT doc_id, n, max(i) - min(a) + 1 AS k, max(used) AS tokens FROM f GROUP BY doc_id, n) SELECT count(*) AS chunks, round(avg(tokens), 6) AS mean_tokens, min(tokens)::BIGINT AS least, max(tokens)::BIGINT AS most, round(avg(k), 6) AS mean_sentences, count(DISTINCT doc_id) AS documents FROM c")
 def chunk_stats(spark, sf_dir):
     """Statistics of all chunks in one aggregate."""
-    c = C.token_chunks(table(spark, sf_dir, "documents"), "doc_id", 480, 1)
+    c = C.token_chunks(documents(spark, sf_dir), "doc_id", 480, 1)
     return c.agg(F.count(F.lit(1)).alias("chunks"), F.round(F.avg("tokens"), 6).alias("mean_tokens"), F.min("tokens").alias("least"), F.max("tokens").alias("most"), F.round(F.avg(F.col("b") - F.col("a")), 6).alias("mean_sentences"), F.count_distinct("doc_id").alias("documents"))
 
 
@@ -66,7 +66,7 @@ def chunk_importance(spark, sf_dir):
 @query("chunk_strategy", f"WITH RECURSIVE {_SENT_ROWS}, {_TOKEN_FOLD.format(most=480)}, c AS (SELECT f.doc_id, f.n, min(a) AS a, max(i) AS b FROM f WHERE f.doc_id % 3 > 0 GROUP BY f.doc_id, f.n), x AS (SELECT c.doc_id, c.n, string_agg(s.s, ' ' ORDER BY s.i) AS text FROM c JOIN s ON s.doc_id = c.doc_id AND s.i BETWEEN c.a AND c.b GROUP BY c.doc_id, c.n) SELECT doc_id, 0::BIGINT AS n, 'none' AS strategy, length(text)::BIGINT AS n_chars, 1.0::DOUBLE AS importance FROM documents WHERE doc_id % 3 = 0 UNION ALL SELECT doc_id, n, CASE doc_id % 3 WHEN 1 THEN 'simple' ELSE 'hybrid' END, length(text)::BIGINT, CASE WHEN doc_id % 3 = 2 AND length(text) > 500 THEN 1.2 ELSE 1.0 END FROM x")
 def chunk_strategy(spark, sf_dir):
     """Strategy by document: whole, simple, or hybrid with long chunks more important; one union of branches."""
-    d = table(spark, sf_dir, "documents")
+    d = documents(spark, sf_dir)
     whole = d.where("doc_id % 3 = 0").select("doc_id", F.lit(0).cast("bigint").alias("n"), F.lit("none").alias("strategy"), F.length("text").cast("bigint").alias("n_chars"), F.lit(1.0).alias("importance"))
     c = C.token_chunks(d.where("doc_id % 3 > 0"), "doc_id", 480, 1)
     hybrid = F.col("doc_id") % 3 == 2
@@ -92,7 +92,7 @@ def seeded_embeddings(spark, sf_dir):
 @query("embedding_cache", "SELECT count(*) AS rows, count(DISTINCT text) AS embedded, count(*) - count(DISTINCT text) AS saved FROM documents")
 def embedding_cache(spark, sf_dir):
     """What embedding each distinct text once saves; texts are counted by hash."""
-    d = table(spark, sf_dir, "documents").groupBy(F.sha2("text", 256).alias("h")).agg(F.count(F.lit(1)).alias("n"))
+    d = documents(spark, sf_dir).groupBy(F.sha2("text", 256).alias("h")).agg(F.count(F.lit(1)).alias("n"))
     return d.agg(F.sum("n").alias("rows"), F.count(F.lit(1)).alias("embedded"), (F.sum("n") - F.count(F.lit(1))).alias("saved"))
 
 
@@ -116,7 +116,7 @@ def vector_norms(spark, sf_dir):
 @query("length_clusters", "WITH r AS (SELECT doc_id, row_number() OVER (ORDER BY length(text), doc_id) - 1 AS i, count(*) OVER () AS n FROM documents), k AS (SELECT *, greatest(2, least(10, n // 5)) AS k FROM r) SELECT doc_id, least(floor(i / (n / k::DOUBLE))::BIGINT, k - 1) AS cluster FROM k")
 def length_clusters(spark, sf_dir):
     """Clusters of equal size by length. Ranks come from counts by length, so no window gathers all documents in one task."""
-    d = table(spark, sf_dir, "documents").select("doc_id", F.length("text").alias("size"))
+    d = documents(spark, sf_dir).select("doc_id", F.length("text").alias("size"))
     counts = d.groupBy("size").agg(F.count(F.lit(1)).alias("c"))  # one row for each length
     before = counts.withColumn("before", F.sum("c").over(W.orderBy("size")) - F.col("c")).withColumn("n", F.sum("c").over(W.partitionBy()))
     i = F.col("before") + F.row_number().over(W.partitionBy("size").orderBy("doc_id")) - 1
@@ -145,7 +145,7 @@ def kmeans_tfidf(spark, sf_dir):
     from pyspark.ml.clustering import KMeans
     from pyspark.ml.feature import IDF, CountVectorizer, StopWordsRemover
 
-    d = table(spark, sf_dir, "documents").select("doc_id", T.tokens(F.col("text")).alias("words"))
+    d = documents(spark, sf_dir).select("doc_id", T.tokens(F.col("text")).alias("words"))
     steps = [StopWordsRemover(inputCol="words", outputCol="kept"), CountVectorizer(inputCol="kept", outputCol="tf", vocabSize=1000), IDF(inputCol="tf", outputCol="features"), KMeans(k=10, seed=42, maxIter=10)]
     found = Pipeline(stages=steps).fit(d).transform(d)
     return found.select("doc_id", F.col("prediction").cast("bigint").alias("cluster"))
@@ -156,5 +156,5 @@ def ingest(spark, sf_dir):
     """Documents to chunks with vectors in one plan; the vectors' sums stand for them."""
     from spindrift.operators.ingest import ingest as run
 
-    found = run(table(spark, sf_dir, "documents"), C.hashing_embedder(16))
+    found = run(documents(spark, sf_dir), C.hashing_embedder(16))
     return found.select("doc_id", "chunk_id", "tokens", "language", F.aggregate("vec", F.lit(0.0), lambda s, x: s + x).alias("weight"))

@@ -6,7 +6,7 @@ from pyspark.sql import functions as F
 
 from spindrift.operators import dedup as D
 from spindrift.plans.registry import query
-from spindrift.session import table
+from spindrift.session import documents
 
 _W = r"list_filter(regexp_split_to_array(lower(text), '\s+'), lambda w: w <> '')"
 _HALF = "sum(CASE WHEN (({h} >> {i}) & 1) = 1 THEN 1 ELSE -1 END) >= 0"
@@ -16,7 +16,7 @@ b AS (SELECT doc_id, ('0x' || left(h, 8))::BIGINT AS hi, ('0x' || substr(h, 9, 8
 
 
 def hashes(spark, sf_dir):
-    d = table(spark, sf_dir, "documents").select("doc_id", F.explode(D.ngrams(F.col("text"))).alias("term"))
+    d = documents(spark, sf_dir).select("doc_id", F.explode(D.ngrams(F.col("text"))).alias("term"))
     return D.simhash(d, "doc_id")
 
 
@@ -39,7 +39,7 @@ _D = lambda p: f"len(regexp_extract_all(text, '{p}')) / n"
 def semantic_features(spark, sf_dir):
     """Features of each document."""
     f = D.features(F.col("text"))
-    return table(spark, sf_dir, "documents").select("doc_id", f["word_count"].cast("bigint").alias("word_count"), F.round(f["lexical_diversity"], 6).alias("diversity"), f["sentence_count"].cast("bigint").alias("sentence_count"), F.round(f["numbers_density"], 6).alias("numbers_density"), F.round(f["semantic_complexity"], 6).alias("complexity"))
+    return documents(spark, sf_dir).select("doc_id", f["word_count"].cast("bigint").alias("word_count"), F.round(f["lexical_diversity"], 6).alias("diversity"), f["sentence_count"].cast("bigint").alias("sentence_count"), F.round(f["numbers_density"], 6).alias("numbers_density"), F.round(f["semantic_complexity"], 6).alias("complexity"))
 
 
 @query("ngram_terms", r"""WITH t AS (SELECT doc_id, regexp_replace(regexp_replace(lower(regexp_replace(text, '^\s+|\s+$', '', 'g')), '[^\p{L}\p{N}_\s.,!?%-]', ' ', 'g'), '\s+', ' ', 'g') AS bare FROM documents WHERE doc_id < 200),
@@ -49,13 +49,13 @@ SELECT doc_id, len(list_distinct(g))::BIGINT AS terms, md5(array_to_string(list_
 def ngram_terms(spark, sf_dir):
     """Weighted-hash terms of documents, as a digest of the set."""
     g = D.weighted_terms(F.col("text"))
-    return table(spark, sf_dir, "documents").where("doc_id < 200").select("doc_id", F.size(g).cast("bigint").alias("terms"), F.md5(F.array_join(F.sort_array(F.transform(g, lambda x: F.md5(x))), ",")).alias("digest"))
+    return documents(spark, sf_dir).where("doc_id < 200").select("doc_id", F.size(g).cast("bigint").alias("terms"), F.md5(F.array_join(F.sort_array(F.transform(g, lambda x: F.md5(x))), ",")).alias("digest"))
 
 
 @query("weighted_simhash")
 def weighted_simhash(spark, sf_dir):
     """SimHash with idf and pattern weights; a bit needs more votes for than against."""
-    d = table(spark, sf_dir, "documents")
+    d = documents(spark, sf_dir)
     terms = d.select("doc_id", F.explode(D.weighted_terms(F.col("text"))).alias("term"))
     df = terms.groupBy("term").agg(F.count(F.lit(1)).alias("df")).join(F.broadcast(d.agg(F.count(F.lit(1)).alias("n"))), F.lit(True))  # one row
     weighted = terms.join(df.select("term", F.log(F.col("n") / (F.col("df") + 1.0)).alias("idf")), "term")
@@ -66,7 +66,7 @@ def weighted_simhash(spark, sf_dir):
 @query("dedup_clusters")
 def dedup_clusters(spark, sf_dir):
     """Clusters of near-duplicates by combined similarity, each with its representative."""
-    d = table(spark, sf_dir, "documents")
+    d = documents(spark, sf_dir)
     h = hashes(spark, sf_dir)
     roots = D.clusters(D.near_pairs(h, "doc_id", 8), h, d, "doc_id")
     kinds = F.get(F.array(*map(F.lit, ["legal_text", "table", "narrative"])), (F.col("doc_id") % 3).cast("int"))
@@ -78,6 +78,6 @@ def dedup_clusters(spark, sf_dir):
 @query("dedup_rate", f"WITH {SIM}, p AS (SELECT DISTINCT b.doc_id FROM sim a JOIN sim b ON a.doc_id < b.doc_id AND bit_count(xor(a.hi, b.hi)) + bit_count(xor(a.lo, b.lo)) <= 8) SELECT (SELECT count(*) FROM documents) AS original, (SELECT count(*) FROM p) AS removed, round((SELECT count(*) FROM p) / (SELECT count(*) FROM documents)::DOUBLE, 6) AS rate")
 def dedup_rate(spark, sf_dir):
     """How many documents have an earlier near-duplicate."""
-    d = table(spark, sf_dir, "documents").select("doc_id")
+    d = documents(spark, sf_dir).select("doc_id")
     gone = D.near_pairs(hashes(spark, sf_dir), "doc_id", 8).select(F.col("b").alias("doc_id"), F.lit(1).alias("gone")).distinct()
     return d.join(gone, "doc_id", "left").agg(F.count(F.lit(1)).alias("original"), F.count("gone").alias("removed"), F.round(F.count("gone") / F.count(F.lit(1)), 6).alias("rate"))

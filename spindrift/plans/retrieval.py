@@ -7,7 +7,7 @@ from pyspark.sql import functions as F
 from spindrift.functions import text as T
 from spindrift.operators import retrieval as R
 from spindrift.plans.registry import query
-from spindrift.session import table
+from spindrift.session import documents, table
 
 FIXED = "The thanea of eriner and tionth the anly"
 _TOK = r"regexp_extract_all(lower({0}), '[\p{{L}}\p{{N}}_]+')"
@@ -26,7 +26,7 @@ TOPS = f"b12 AS (SELECT qid, id, score, {RANKED} AS rank FROM bm QUALIFY rank <=
 
 
 def chunks(spark, sf_dir):
-    return table(spark, sf_dir, "documents").select(F.col("doc_id").alias("id"), "text")
+    return documents(spark, sf_dir).select(F.col("doc_id").alias("id"), "text")
 
 
 def asked(spark, sf_dir):
@@ -136,7 +136,7 @@ def keyword_overlap(spark, sf_dir):
     q = F.array(*map(F.lit, ["the", "of", "en", "thanea.", "src3"]))
     shared = lambda w: F.size(F.array_intersect(q, w))
     text, title, section = T.words(F.lower("text")), F.array(F.lower("source"), F.lit("the")), F.array("lang")
-    d = table(spark, sf_dir, "documents").select("doc_id", ((shared(text) + 2 * shared(title) + 1.5 * shared(section)) / 5).alias("score"))
+    d = documents(spark, sf_dir).select("doc_id", ((shared(text) + 2 * shared(title) + 1.5 * shared(section)) / 5).alias("score"))
     return d.where("score > 0.1").orderBy(F.col("score").desc(), "doc_id").limit(4).select("doc_id", F.round("score", 6).alias("score"))
 
 
@@ -153,6 +153,6 @@ def retrieve_union(spark, sf_dir):
 @query("idf", rf"WITH t AS (SELECT DISTINCT doc_id, unnest({_TOK.format('text')}) AS term FROM documents), n AS (SELECT count(*) AS n FROM documents) SELECT term, count(*) AS df, round(ln(max(n) / (count(*) + 1.0)), 6) AS idf FROM t, n GROUP BY term")
 def idf(spark, sf_dir):
     """Document frequency and idf of every term."""
-    d = table(spark, sf_dir, "documents")
+    d = documents(spark, sf_dir)
     df = d.select(F.explode(F.array_distinct(T.tokens(F.col("text")))).alias("term")).groupBy("term").agg(F.count(F.lit(1)).alias("df"))
     return df.join(F.broadcast(d.agg(F.count(F.lit(1)).alias("n"))), F.lit(True)).select("term", "df", F.round(F.log(F.col("n") / (F.col("df") + 1.0)), 6).alias("idf"))  # one row

@@ -6,7 +6,7 @@ from pyspark.sql import functions as F
 
 from spindrift.functions import text as T
 from spindrift.plans.registry import query
-from spindrift.session import table
+from spindrift.session import documents, table
 
 _WORDS = r"list_filter(regexp_split_to_array(text, '\s+'), lambda w: w <> '')"
 STRIP = r"regexp_replace({0}, '^\s+|\s+$', '', 'g')"
@@ -16,7 +16,7 @@ APPROX = r"greatest(1, round(len(list_filter(regexp_split_to_array({0}, '\s+'),
 
 
 def docs(spark, sf_dir):
-    return table(spark, sf_dir, "documents")
+    return documents(spark, sf_dir)
 
 
 @query("token_counts", f"SELECT doc_id, {APPROX.format('text')} AS approx_tokens, floor(len({_WORDS}) * 1.3)::BIGINT AS chat_tokens, len(regexp_extract_all(lower(text), '[\\p{{L}}\\p{{N}}_]+'))::BIGINT AS n_tokens FROM documents")

@@ -42,3 +42,19 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     """One driver table by name."""
     ship(spark)
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
+
+
+def spread(df: DataFrame) -> DataFrame:
+    """`df` over all cores, for texts whose work costs more than a shuffle of their bytes.
+
+    Only a table too small to be cut into a partition for each core by the reader is dealt anew (one row group is one task); a large one stays as it is read.
+    """
+    spark = df.sparkSession
+    cores = spark.sparkContext.defaultParallelism
+    size = int(df._jdf.queryExecution().optimizedPlan().stats().sizeInBytes())
+    return df.repartition(cores) if size < cores * (16 << 20) else df
+
+
+def documents(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The documents table, over all cores."""
+    return spread(table(spark, sf_dir, "documents"))
