@@ -5,11 +5,11 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from spindrift.llm import audio, chat, decontam, htmltext, kdshard, langid, mixing, secrets, simhash, urlrep
+from spindrift.llm import audio, chat, decontam, htmltext, kdshard, langid, mixing, oracles, secrets, simhash, urlrep
 from spindrift.session import table
 
 QUERIES: dict = {}
-ORACLES: dict = {}
+ORACLES: dict = dict(oracles.ORACLES)
 
 
 def query(f):
