@@ -249,13 +249,15 @@ def _added(found: DataFrame, *by: str) -> DataFrame:
 def templates(found: DataFrame) -> DataFrame:
     """(host, main, repeated, pages) of each host: its main container and its repeated blocks. A host's rows are aggregated, never gathered."""
     per = found.where("depth = -2").select("host", F.col("pages").alias("n"))
-    with_n = found.where("depth >= -1").join(per, "host")
+    # blocks are as many as the texts of a host: they are counted, and only those of many pages go on
+    often = F.col("pages") >= int(BLOCK_PAGES * BLOCK_SUPPORT)
+    with_n = found.where((F.col("depth") >= 0) | ((F.col("depth") == -1) & often)).join(per, "host")
     valid = with_n.where((F.col("pages") == F.col("total")) & (F.col("pages") >= F.col("n") * SUPPORT))
     classes = valid.groupBy("host", "pages", "total", "sig").agg(F.count(F.lit(1)).alias("members"))
     held = valid.where("depth > 0").join(classes.where("members >= 2"), ["host", "pages", "total", "sig"])
     most = held.groupBy("host").agg(F.max("chars").alias("most"))
     main = held.join(most, "host").where(F.col("chars") >= F.col("most") * MAIN).groupBy("host").agg(F.max_by("token", F.struct("depth", "chars", "token")).alias("main"))
-    differing = with_n.where("depth = -1").groupBy("host").agg(F.count(F.lit(1)).alias("different"))
+    differing = found.where("depth = -1").groupBy("host").agg(F.count(F.lit(1)).alias("different"))
     repeated = with_n.where((F.col("depth") == -1) & (F.col("n") >= BLOCK_PAGES) & (F.col("pages") >= F.col("n") * BLOCK_SUPPORT)).join(differing, "host").where("different >= n")
     repeated = repeated.groupBy("host").agg(F.collect_set("token").alias("repeated"))  # at most 1 / BLOCK_SUPPORT times a page's blocks
     return per.join(main, "host", "left").join(repeated, "host", "left").select("host", "main", "repeated", F.col("n").alias("pages"))
