@@ -28,3 +28,22 @@ def components(edges: DataFrame) -> DataFrame:
         labels = after.select("id", "root")
         if not moved:
             return labels
+
+
+def leaders(edges: DataFrame) -> DataFrame:
+    """(id, leader) of nodes in edges (a, b): in the order of ids, a node that no earlier leader is near leads, and others join the first leader near them.
+
+    That order is the definition, but a node is decided as soon as all its smaller neighbours are, so rounds go over all nodes at once.
+    """
+    _folder(edges.sparkSession)
+    down = edges.select(F.greatest("a", "b").alias("id"), F.least("a", "b").alias("near")).where("id <> near").distinct().checkpoint()
+    nodes = down.select("id").unionByName(down.select(F.col("near").alias("id"))).distinct()
+    known = nodes.withColumn("leader", F.lit(None).cast(down.schema["id"].dataType)).checkpoint()
+    while known.where("leader is null").limit(1).count():
+        near = down.join(known.select(F.col("id").alias("near"), "leader"), "near")
+        seen = near.groupBy("id").agg(F.count_if(F.col("leader").isNull()).alias("open"), F.min(F.when(F.col("leader") == F.col("near"), F.col("near"))).alias("first"), F.min(F.when(F.col("leader").isNull(), F.col("near"))).alias("undecided"))
+        fresh = known.join(seen, "id", "left")
+        ready = F.col("first").isNotNull() & (F.col("undecided").isNull() | (F.col("first") < F.col("undecided")))
+        leader = F.when(F.col("leader").isNotNull(), F.col("leader")).when(ready, F.col("first")).when(F.coalesce("open", F.lit(0)) == 0, F.coalesce("first", "id"))
+        known = fresh.select("id", leader.alias("leader")).checkpoint()
+    return known
