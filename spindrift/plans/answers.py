@@ -262,14 +262,14 @@ def label_encoding(spark, sf_dir):
     return d.join(F.broadcast(labels), "lang").select("doc_id", "label_idx")
 
 
-@query("comparison", "WITH p AS (SELECT l.quality AS truth, d.doc_id % 2 AS ml, (d.doc_id * 7 % 100) / 100.0 AS conf, (d.doc_id // 3) % 2 AS rule FROM documents d JOIN labels l ON l.doc_id = d.doc_id), t AS (SELECT t::DOUBLE AS t, round(avg((CASE WHEN conf >= t THEN ml ELSE rule END = truth)::INT), 9) AS acc FROM p, (SELECT unnest([0.5, 0.6, 0.7, 0.8, 0.9]) AS t) GROUP BY t) SELECT max_by(t, (acc, -t)) AS best_threshold, round(max(acc), 6) AS best_accuracy, round(round(max(acc), 6) - (SELECT avg((rule = truth)::INT) FROM p), 6) AS gain FROM t")
+@query("comparison", "WITH p AS (SELECT l.quality AS truth, d.doc_id % 2 AS ml, (d.doc_id * 7 % 100) / 100.0 AS conf, (d.doc_id // 3) % 2 AS rule FROM documents d JOIN labels l ON l.doc_id = d.doc_id), t AS (SELECT t::DOUBLE AS t, round(avg((CASE WHEN conf >= t THEN ml ELSE rule END = truth)::INT), 9) AS acc FROM p, (SELECT unnest([0.5, 0.6, 0.7, 0.8, 0.9]) AS t) GROUP BY t) SELECT max_by(t, (acc, -t)) AS best_threshold, round(max(acc), 6) AS best_accuracy, round(round(max(acc), 6) - (SELECT avg((rule = truth)::INT) FROM p), 6) + 0.0 AS gain FROM t")
 def comparison(spark, sf_dir):
     """Best threshold and what it gains over the rule alone."""
     t = hybrid_threshold(spark, sf_dir)
     p = table(spark, sf_dir, "documents").select("doc_id").join(table(spark, sf_dir, "labels").select("doc_id", "quality"), "doc_id")
     alone = p.agg(F.avg((F.floor(F.col("doc_id") / 3) % 2 == F.col("quality")).cast("int")).alias("alone")).withColumn("one", F.lit(1))
     best = t.agg(F.max_by("threshold", F.struct("accuracy", -F.col("threshold"))).alias("best_threshold"), F.max("accuracy").alias("best_accuracy")).withColumn("one", F.lit(1))
-    return best.join(F.broadcast(alone), "one").select("best_threshold", "best_accuracy", F.round(F.col("best_accuracy") - F.col("alone"), 6).alias("gain"))  # one row each
+    return best.join(F.broadcast(alone), "one").select("best_threshold", "best_accuracy", (F.round(F.col("best_accuracy") - F.col("alone"), 6) + 0.0).alias("gain"))  # one row each
 
 
 @query("context_truncation", r"WITH h AS (SELECT qid, id, score, text, sum(floor(len(list_filter(regexp_split_to_array(text, '\s+'), lambda w: w <> '')) * 1.3)) OVER (PARTITION BY qid ORDER BY score DESC, id) AS upto FROM (SELECT item_id % 4 AS qid, item_id AS id, (item_id * 37 % 100) / 100.0 AS score, text FROM benchmark)) SELECT qid, count(*) FILTER (WHERE upto <= 150) AS kept, count(*) AS hits, count(*) FILTER (WHERE upto <= 150) < count(*) AS cut FROM h GROUP BY qid")
