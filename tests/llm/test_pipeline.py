@@ -130,6 +130,16 @@ def test_run(spark):
         assert sorted(x.slot) == list(range(len(x)))
 
 
+def test_clashing_columns(spark):
+    docs = spark.read.parquet(f"{SF}/documents.parquet").limit(40)
+    more = docs.selectExpr("*", "1 as found", "2 as gone_id", "3 as took_id", "4 as took_key", "5 as row", "6 as size", "7 as part", "8 as k", "9 as f0", "10 as id", "11 as text_key", "12 as shard", "13 as times")
+    for name, stage in cp.STAGES[:4]:
+        got = stage(spark, more, SF)
+        assert got.columns == more.columns, name
+        assert all((r.found, r.gone_id, r.took_id, r.size, r.id, r.text_key) == (1, 2, 3, 6, 10, 11) for r in got.collect())
+    assert cp.shard(spark, more, SF).count() == 40
+
+
 def test_empty_table(spark):
     docs = spark.read.parquet(f"{SF}/documents.parquet").limit(0)
     for _, stage in cp.STAGES:
