@@ -219,9 +219,9 @@ def sketches(docs: DataFrame, width: int = SIMILAR_WIDTH, similarity: float = 0.
     return rows.mapInArrow(run, schema)
 
 
-def _keyed(classes: DataFrame) -> DataFrame:
-    """A row for each join key of a class: key, id, comp, f0.., n."""
-    lanes = [f"f{i}" for i in range(LANES)]
+def _keyed(classes: DataFrame, *more: str) -> DataFrame:
+    """A row for each join key of a class: key, id, comp, f0.., n and more columns."""
+    lanes = [*(f"f{i}" for i in range(LANES)), *more]
     each = classes.select("id", "comp", *lanes, "n", F.explode("levels").alias("l")).select("id", "comp", *lanes, "n", "l.level", F.posexplode("l.subsets").alias("subset", "hash"))
     return each.where("hash <> 0").select(F.xxhash64("level", "subset", "hash").alias("key"), "id", "comp", *lanes, "n")
 
@@ -251,9 +251,8 @@ def rest_links(classes: DataFrame, docs: DataFrame, similarity: float, width: in
     Only keys whose classes are in several components count, and the similarity is part of the join's condition. So a key that thousands of
     linked texts share costs a row for each link of those that aren't linked yet, not for each pair.
     """
-    sizes = classes.groupBy("comp").agg(F.count(F.lit(1)).alias("size"))
-    keyed = _keyed(classes)
-    large = keyed.join(sizes, "comp").groupBy("key").agg(F.max(F.struct("size", "comp"))["comp"].alias("large"), F.min("comp").alias("low"), F.max("comp").alias("high")).where("low <> high")
+    keyed = _keyed(classes, "size")
+    large = keyed.groupBy("key").agg(F.max(F.struct("size", "comp"))["comp"].alias("large"), F.min("comp").alias("low"), F.max("comp").alias("high")).where("low <> high")
     marked = scratch.save(keyed.join(large.select("key", "large"), "key"))
     sets = sets_of(marked.select("id").distinct(), classes, docs, width, scratch)
     full = marked.join(sets, "id")
@@ -325,7 +324,14 @@ def superseded(docs: DataFrame, width: int = SIMILAR_WIDTH, similarity: float =
     classes = scratch.save(rows.groupBy("n", "whole").agg(F.min(who).alias("least"), *(F.min(f"f{i}").alias(f"f{i}") for i in range(LANES)), F.first("levels").alias("levels")).withColumn("id", id_).drop("whole"))
     star = scratch.save(star_pairs(classes.withColumn("comp", F.col("id")), similarity))
     links_ = verified(star, classes, docs, similarity, width, scratch)
-    grouped = lambda found: classes.join(components(found).select(F.col("node").alias("id"), F.col("root").alias("comp")), "id", "left").withColumn("comp", F.coalesce("comp", "id"))
+
+    def grouped(found: DataFrame) -> DataFrame:
+        """Classes with component and its size; a class without a link is its own."""
+        nodes = components(found)
+        sizes = nodes.groupBy("root").agg(F.count(F.lit(1)).alias("size"))
+        known = nodes.join(sizes, "root").select(F.col("node").alias("id"), F.col("root").alias("comp"), "size")
+        return classes.join(known, "id", "left").withColumn("comp", F.coalesce("comp", "id")).withColumn("size", F.coalesce("size", F.lit(1)))
+
     more = rest_links(scratch.save(grouped(links_)), docs, similarity, width, scratch)
     final = scratch.save(grouped(links_.unionByName(more)).select("id", "comp", "least"))
     first = final.groupBy("comp").agg(F.min("least").alias("kept"))
