@@ -48,9 +48,10 @@ def bm25(chunks: DataFrame, queries: DataFrame, k: int) -> DataFrame:
     part = F.col("w") * F.col("times") * F.col("tf") * (K1 + 1) / (F.col("tf") + K1 * (1 - B + B * F.col("dl") / F.col("avgdl")))
     scored = postings.join(F.broadcast(weight), "term").join(F.broadcast(asked), "term").groupBy("qid", "id").agg(F.sum(part).alias("score"))
     best = top(scored, k)
-    # chunks without any term score 0: where a query has fewer hits than k, the first ids fill up; negative scores come after them
+    # chunks without any term score 0: where a query has fewer hits than k, the first ids fill up; negative scores come after them.
+    # the scores are named there, too, so that both uses share one exchange
     first = lengths.select("id").orderBy("id").limit(k)
-    filled = queries.select("qid").join(F.broadcast(first), F.lit(True)).join(scored.select("qid", "id", F.lit(True).alias("hit")), ["qid", "id"], "left").where("hit is null").select("qid", "id", F.lit(0.0).alias("score"))
+    filled = queries.select("qid").join(F.broadcast(first), F.lit(True)).join(scored.select("qid", "id", F.col("score").isNotNull().alias("hit")), ["qid", "id"], "left").where("hit is null").select("qid", "id", F.lit(0.0).alias("score"))
     return top(best.drop("rank").unionByName(filled), k)
 
 
