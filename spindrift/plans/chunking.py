@@ -30,7 +30,7 @@ SELECT f.doc_id, s.i, used, n, cur, s.len, used + s.len + 1 > 400 AS cut, list_f
 SELECT doc_id, n, max(len(cur))::BIGINT AS n_sentences, max(list_sum(cur) + len(cur) - 1)::BIGINT AS n_chars FROM f GROUP BY doc_id, n""")
 def chunks_chars(spark, sf_dir):
     """Character-budget chunks of sentences, with trailing sentences of under 60 characters as overlap."""
-    d = documents(spark, sf_dir).where("doc_id < 300").select("doc_id", F.split("text", r"(?<=[.!?])\s+").alias("s"))
+    d = documents(spark, sf_dir).select("doc_id", F.split("text", r"(?<=[.!?])\s+").alias("s"))
     lengths = F.transform("s", lambda x: F.length(x).cast("bigint"))
     spans = d.select("doc_id", "s", F.posexplode(C.char_spans(lengths, 400, 60)).alias("n", "x"))
     return spans.select("doc_id", F.col("n").cast("bigint").alias("n"), (F.col("x.b") - F.col("x.a")).cast("bigint").alias("n_sentences"), F.length(C.joined(F.col("s"), F.col("x"))).cast("bigint").alias("n_chars"))
