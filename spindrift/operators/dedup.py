@@ -40,11 +40,16 @@ def ngrams(text: Column, n: int = 3) -> Column:
 
 def weighted_terms(text: Column, n: int = 3) -> Column:
     """Set of n-grams without stop and short words, and of important single words; short texts: the words, or the first 20 characters."""
-    bare = T.normalise(text)
-    w = F.filter(T.words(bare), lambda x: ~x.isin(*STOP) & (F.length(x) >= 3))
-    important = F.filter(w, lambda x: (F.length(x) >= 6) | F.rlike(x, F.lit("|".join(p for p, _ in PATTERNS.values()))))
-    short = F.when(F.size(w) > 0, w).otherwise(F.array(F.left(bare, F.lit(20))))
-    return F.array_distinct(F.when(F.size(w) < n, short).otherwise(F.concat(runs(w, n), important)))
+    # lambdas of one element bind `bare` and `w`, which would be computed anew for each of their uses
+    bind = lambda value, f: F.get(F.transform(F.array(value), f), F.lit(0))
+
+    def of_words(bare, w):
+        important = F.filter(w, lambda x: (F.length(x) >= 6) | F.rlike(x, F.lit("|".join(p for p, _ in PATTERNS.values()))))
+        short = F.when(F.size(w) > 0, w).otherwise(F.array(F.left(bare, F.lit(20))))
+        return F.array_distinct(F.when(F.size(w) < n, short).otherwise(F.concat(runs(w, n), important)))
+
+    kept = lambda bare: F.filter(T.words(bare), lambda x: ~x.isin(*STOP) & (F.length(x) >= 3))
+    return bind(T.normalise(text), lambda bare: bind(kept(bare), lambda w: of_words(bare, w)))
 
 
 def term_weight(term: Column) -> Column:

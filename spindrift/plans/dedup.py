@@ -48,8 +48,8 @@ g AS (SELECT doc_id, CASE WHEN len(w) = 0 THEN [left(bare, 20)] WHEN len(w) < 3
 SELECT doc_id, len(list_distinct(g))::BIGINT AS terms, md5(array_to_string(list_sort(list_transform(list_distinct(g), lambda x: md5(x))), ',')) AS digest FROM g""")
 def ngram_terms(spark, sf_dir):
     """Weighted-hash terms of documents, as a digest of the set."""
-    g = D.weighted_terms(F.col("text"))
-    return documents(spark, sf_dir).where("doc_id < 200").select("doc_id", F.size(g).cast("bigint").alias("terms"), F.md5(F.array_join(F.sort_array(F.transform(g, lambda x: F.md5(x))), ",")).alias("digest"))
+    g = documents(spark, sf_dir).select("doc_id", D.weighted_terms(F.col("text")).alias("g"))
+    return g.select("doc_id", F.size("g").cast("bigint").alias("terms"), F.md5(F.array_join(F.sort_array(F.transform("g", lambda x: F.md5(x))), ",")).alias("digest"))
 
 
 @query("weighted_simhash")

@@ -2,6 +2,8 @@
 
 import re
 
+import duckdb
+
 
 from spindrift.plans import registry
 
@@ -33,3 +35,11 @@ def test_chunks_chars_of_all_documents(spark, tmp_path):
     want = [(d.doc_id, n, len(c), sum(c) + len(c) - 1) for d in docs for n, c in enumerate(brute_chars([len(s) for s in re.split(r"(?<=[.!?])\s+", d.text)], 400, 60))]
     got = registry.QUERIES["chunks_chars"](spark, at).select("doc_id", "n", "n_sentences", "n_chars")
     assert max(w[0] for w in want) == 999 and sorted(map(tuple, got.collect())) == sorted(want)
+
+
+def test_ngram_terms_of_all_documents(spark, tmp_path):
+    at, _ = some_documents(spark, tmp_path, "doc_id between 190 and 240 or doc_id >= 990")
+    got = registry.QUERIES["ngram_terms"](spark, at).select("doc_id", "terms", "digest")
+    sql = registry.ORACLES["ngram_terms"].replace(" WHERE doc_id < 200", "").replace("FROM documents", f"FROM '{at}/documents.parquet/*.parquet'")
+    want = duckdb.sql(sql).select("doc_id", "terms", "digest").fetchall()
+    assert len(want) == 61 and sorted(map(tuple, got.collect())) == sorted(want)
