@@ -3,9 +3,10 @@
 import re
 
 import duckdb
+import pytest
 
 
-from spindrift.plans import registry
+from spindrift.plans import answers, registry, retrieval
 
 SF = "/root/testdata/sf0.01"
 
@@ -43,3 +44,19 @@ def test_ngram_terms_of_all_documents(spark, tmp_path):
     sql = registry.ORACLES["ngram_terms"].replace(" WHERE doc_id < 200", "").replace("FROM documents", f"FROM '{at}/documents.parquet/*.parquet'")
     want = duckdb.sql(sql).select("doc_id", "terms", "digest").fetchall()
     assert len(want) == 61 and sorted(map(tuple, got.collect())) == sorted(want)
+
+
+@pytest.mark.parametrize("most", [20_000, 0])
+def test_eval_retrieval_of_all_items(spark, tmp_path, monkeypatch, most):
+    sf, rows = some_documents(spark, tmp_path, "doc_id < 60")
+    items = [(i, " ".join(r.text.split(" ")[:20])) for i, r in enumerate(sorted(rows)[:30])]
+    spark.createDataFrame(items, "item_id long, text string").coalesce(1).write.parquet(f"{tmp_path}/benchmark.parquet")
+    monkeypatch.setattr(answers, "BROADCAST_ITEMS", most)
+    con = duckdb.connect()
+    for t in ("documents", "benchmark"):
+        con.execute(f"CREATE VIEW {t} AS SELECT * FROM '{sf}/{t}.parquet/*.parquet'")
+    want = con.execute(f"""WITH q AS (SELECT item_id AS qid, text FROM benchmark), {retrieval.BM25}, {answers._EVAL}, r AS (SELECT qid, id, {retrieval.RANKED} AS rank FROM bm QUALIFY rank <= 5),
+        f AS (SELECT item_id, min(rank) AS rank FROM gold LEFT JOIN r ON qid = item_id AND id = doc_id GROUP BY item_id)
+        SELECT count(*), round(avg(coalesce(rank <= 1, false)::INT), 6), round(avg(coalesce(rank <= 3, false)::INT), 6), round(avg(coalesce(rank <= 5, false)::INT), 6), round(avg(coalesce(1 / rank, 0)), 6) FROM f""").fetchone()
+    got = registry.QUERIES["eval_retrieval"](spark, sf).select("queries", "hit_1", "hit_3", "hit_5", "mrr").first()
+    assert want[0] > 10 and tuple(got) == want
