@@ -29,16 +29,16 @@ def chunks(spark, sf_dir):
     return documents(spark, sf_dir).select(F.col("doc_id").alias("id"), "text")
 
 
-def asked(spark, sf_dir):
-    return table(spark, sf_dir, "benchmark").where("item_id < 3").select(F.col("item_id").alias("qid"), "text")
+def asked(spark, sf_dir, which="item_id < 3"):
+    return table(spark, sf_dir, "benchmark").where(which).select(F.col("item_id").alias("qid"), "text")
 
 
 def vectors(spark, sf_dir):
     return table(spark, sf_dir, "embeddings").select(F.col("vec_id").alias("id"), F.col("embedding").alias("vec"), "label")
 
 
-def asked_vectors(spark, sf_dir):
-    return vectors(spark, sf_dir).where("id < 3").select(F.col("id").alias("qid"), "vec")
+def asked_vectors(spark, sf_dir, which="id < 3"):
+    return vectors(spark, sf_dir).where(which).select(F.col("id").alias("qid"), "vec")
 
 
 @query("bm25_topk", f"WITH q AS (SELECT 1::BIGINT AS qid, '{FIXED}' AS text), {BM25} SELECT id AS doc_id, round(score, 6) AS score, {RANKED} AS rank FROM bm QUALIFY rank <= 10")
@@ -69,8 +69,8 @@ def dense_retrieve(spark, sf_dir):
     return hits.join(table(spark, sf_dir, "documents").where("lang = 'en'").select(F.col("doc_id").alias("id"), "source"), "id").select("qid", "id", F.round("score", 6).alias("score"), "source")
 
 
-def lists(spark, sf_dir):
-    return R.dense(vectors(spark, sf_dir), asked_vectors(spark, sf_dir), 8), R.bm25(chunks(spark, sf_dir), asked(spark, sf_dir), 12)
+def lists(spark, sf_dir, vecs="id < 3", items="item_id < 3"):
+    return R.dense(vectors(spark, sf_dir), asked_vectors(spark, sf_dir, vecs), 8), R.bm25(chunks(spark, sf_dir), asked(spark, sf_dir, items), 12)
 
 
 RRF = "rf AS (SELECT qid, id, sum(1.0 / (60 + rank)) AS score, min((list, rank)) AS first FROM (SELECT qid, id, rank, 0 AS list FROM d8 UNION ALL SELECT qid, id, rank, 1 FROM b12) GROUP BY qid, id)"
@@ -94,11 +94,11 @@ def weighted_hybrid(spark, sf_dir):
 
 @query("mmr")
 def mmr(spark, sf_dir):
-    """Hybrid hits, diversified: first max(4k, k + 5) by reciprocal ranks, then a greedy choice of k."""
+    """Hybrid hits of every 20th vector and item, diversified: first max(4k, k + 5) by reciprocal ranks, then a greedy choice of k."""
     k = 5
     v = vectors(spark, sf_dir)
-    hits = R.rrf(list(lists(spark, sf_dir))).where(F.col("rank") <= max(4 * k, k + 5))
-    found = hits.join(v.select("id", "vec"), "id").join(asked_vectors(spark, sf_dir).withColumnRenamed("vec", "qvec"), "qid")
+    hits = R.rrf(list(lists(spark, sf_dir, "id % 20 = 0", "item_id % 20 = 0"))).where(F.col("rank") <= max(4 * k, k + 5))
+    found = hits.join(v.select("id", "vec"), "id").join(asked_vectors(spark, sf_dir, "id % 20 = 0").withColumnRenamed("vec", "qvec"), "qid")
     return R.mmr(found, k)
 
 

@@ -60,3 +60,10 @@ def test_eval_retrieval_of_all_items(spark, tmp_path, monkeypatch, most):
         SELECT count(*), round(avg(coalesce(rank <= 1, false)::INT), 6), round(avg(coalesce(rank <= 3, false)::INT), 6), round(avg(coalesce(rank <= 5, false)::INT), 6), round(avg(coalesce(1 / rank, 0)), 6) FROM f""").fetchone()
     got = registry.QUERIES["eval_retrieval"](spark, sf).select("queries", "hit_1", "hit_3", "hit_5", "mrr").first()
     assert want[0] > 10 and tuple(got) == want
+
+
+def test_mmr_answers_every_20th_vector(spark):
+    sf = "/root/testdata/sf0.001"
+    got = registry.QUERIES["mmr"](spark, sf).groupBy("qid").count().collect()
+    want = duckdb.sql(f"SELECT vec_id FROM '{sf}/embeddings.parquet' WHERE vec_id % 20 = 0").fetchall()
+    assert len(want) == 25 and sorted(r.qid for r in got) == sorted(w[0] for w in want) and all(r["count"] == 5 for r in got)
