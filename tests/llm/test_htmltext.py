@@ -1,5 +1,6 @@
 import html as h
 import re
+import time
 
 import pytest
 
@@ -57,10 +58,40 @@ def test_repeated_blocks_are_template(spark):
     assert all(r.text.startswith("H1\n\nShare this story\n\nw1") for r in htmltext.extract(same).collect())
 
 
-def test_driver_pages(spark):
+def test_article_keeps_all_its_parts(spark):
+    """What stands beside the largest container of an article is kept; what surrounds the article goes without its names."""
+    make = lambda i: f"<body><div class=q><a href=/>Start</a></div><article><h1>Title {i}</h1><p>Lead {i}</p><div class=body><p>{'long%d text ' % i * 90}</p></div><p>Closing {i}</p></article><div class=z>Imprint</div></body>"
+    plain = lambda i: make(i).replace("article>", "section>")
+    for of in (make, plain):
+        df = spark.createDataFrame([(i, f"http://a.b/{i}", of(i)) for i in range(6)], "page_id long, url string, html string")
+        for r in htmltext.extract(df, names=False).collect():
+            i = r.page_id
+            assert r.text == f"Title {i}\n\nLead {i}\n\n{('long%d text ' % i * 90).strip()}\n\nClosing {i}"
+
+
+def test_equal_pages_keep_classes_apart(spark):
+    """Containers that stand in different pages are in different classes, though each page occurs twice."""
+    df = spark.createDataFrame([("h", f"<body><div class=c{i // 2}>x</div></body>") for i in range(4)], "host string, html string")
+    rows = [r for r in htmltext.tokens(df).collect() if r.kind == htmltext.CONTAINER]
+    assert len(rows) == 2 and len({(r.s1, r.s2) for r in rows}) == 2 and all(r.s1 and r.s2 and r.pages == 2 for r in rows)
+
+
+@pytest.mark.parametrize("unit", ['"<a " ', "<a ", "<div>", "<p>", "<b><p>x", "<li>", "</p>", "<td>", "<a '", "class=' "])
+def test_long_broken_pages_take_linear_time(unit):
+    began = time.process_time()
+    for source in (unit * (600_000 // len(unit)), "<div>" * 50_000 + unit * 20_000, "<b>" * 50_000 + unit * 20_000, "<li><ul>" + "<div>" * 20_000 + unit * 20_000):
+        parsed = htmltext.parse(source)
+        htmltext.slots(parsed)
+        htmltext.main_text(parsed)
+    assert time.process_time() - began < 20
+
+
+@pytest.mark.parametrize("names", [True, False])
+def test_driver_pages(spark, names):
+    """The template alone finds the articles, and so it does with the names."""
     pages = spark.read.parquet("/root/testdata/sf0.001/pages.parquet")
     source = {r.page_id: r.html for r in pages.collect()}
-    for r in htmltext.extract(pages).collect():
+    for r in htmltext.extract(pages, names=names).collect():
         article = re.search(r"<article>(.*?)</article>", source[r.page_id], re.DOTALL)[1]
         parts = [" ".join(h.unescape(re.sub("</?b>", "", x.replace("<br>", " "))).split()) for x in re.split("</?(?:p|h1)>", article)]
         assert r.text == "\n\n".join(x for x in parts if x)
