@@ -5,24 +5,55 @@ position and ignore the others, so a substituted token spoils only the masks tha
 joined between items and texts; a hit fixes an alignment of text and item. There the item's tokens are compared
 with the text's, one by one, and the best run (a match counts 1, a substitution -2) is what overlaps.
 
-An item of fewer tokens than a mask's span is found by a mask of its whole length. An item without tokens and a null item are never found;
-a null or empty text overlaps nothing. Repeated items count each; repeated rows of a document give one result. An empty table on either side gives an
-empty result; other columns are ignored.
+The masks are checked to hit every run of a score that `sure_from` computes, 7 for the default ones, so what reaches the threshold (13, or 0.8 of a shorter item) is
+found. An item so short that its threshold is lower is found by a mask of that many tokens in a row, as a run of under 15 tokens reaches 0.8 of the
+item only without a substitution inside.
+
+An item without tokens and a null item are never found; a null or empty text overlaps nothing. Repeated items count each; repeated rows of a document
+give one result. Of equally good alignments the first in the text counts. Long texts and items cost in proportion to their length and hits. An empty table on either side
+gives an empty result; other columns are ignored.
 """
 
 from __future__ import annotations
 
+from functools import cache
+
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from spindrift.llm.scratch import Scratch
 
-#: Token positions that each mask picks, of a window of ten.
-MASKS = ("1101100111", "1110010111", "1011110011")
+#: Token positions that each mask picks; each begins and ends with one.
+MASKS = ("110110101", "11101011", "1110111", "11111001")
 #: A run of this many matches above substitutions, or this part of a shorter item, overlaps.
 LEAST, PART, SUBSTITUTION = 13, 0.8, -2
-#: Seeds of the benchmark that are broadcast at most, 8 bytes each; more are joined by a shuffle.
-BROADCAST_SEEDS = 1_000_000
+#: Seeds of the benchmark that are broadcast at most, 24 bytes each; more are joined by a shuffle, after a bitmap of this many bits (8 MB, whatever the number of seeds).
+BROADCAST_SEEDS, BITMAP = 1_000_000, 1 << 26
+#: Shortest item in which a run with a substitution inside can reach PART of it.
+_INSIDE = 15
+
+
+@cache
+def sure_from(masks: tuple) -> int:
+    """Least score from which every run holds a hit of some mask: one above the best score that a sequence of matches and substitutions reaches without any."""
+    span = max(map(len, masks))
+    picked = [int(m, 2) for m in masks]  # the newest position is the lowest bit
+    seen, todo, best = {0: 0}, [(0, 0)], 0
+    while todo:
+        past, score = todo.pop()
+        if seen[past] > score:
+            continue
+        for same in (0, 1):
+            now = (past << 1 | same) & (1 << span) - 1
+            if same and any(now & p == p for p in picked):
+                continue
+            reached = score + 1 if same else max(0, score + SUBSTITUTION)
+            if reached > 2 * LEAST:
+                return reached + 1  # without end
+            if reached > seen.get(now, -1):
+                seen[now], best = reached, max(best, reached)
+                todo.append((now, reached))
+    return best + 1
 
 
 def tokens(text: Column) -> Column:
@@ -36,15 +67,38 @@ def _picked(mask: str, toks: Column, at: Column) -> Column:
     return F.when(at + len(mask) <= F.size(toks), F.xxhash64(F.lit(mask), *chosen))
 
 
-def seeds(items: DataFrame, masks: tuple) -> tuple[DataFrame, list[str]]:
-    """(h, item_id, at, toks) for every position of every item (item_id, toks), and the masks in use."""
-    span = max(map(len, masks))
-    short = sorted(r[0] for r in items.select(F.size("toks").alias("n")).where(f"n > 0 and n < {span}").distinct().collect())
-    used = [*masks, *("1" * n for n in short)]  # at most span - 1 more
+def threshold(n: Column, least: int = LEAST) -> Column:
+    """Score that a run must reach in an item of n tokens."""
+    return F.least(F.lit(least), F.ceil(n * PART).cast("int"))
+
+
+def seeds(items: DataFrame, masks: tuple, least: int = LEAST) -> tuple[DataFrame, list[str]]:
+    """(h, item, at) for every position of every item (item, toks), and the masks in use."""
+    sure = sure_from(masks)
+    if sure > min(least, -(-_INSIDE * 4 // 5)):
+        raise ValueError("masks that miss runs which overlap")
     n = F.size("toks")
+    needed = threshold(n, least)
+    short = sorted(r[0] for r in items.where(n > 0).select(needed.alias("t")).where(F.col("t") < sure).distinct().collect())  # fewer than `sure`
+    used = [*masks, *("1" * t for t in short)]
     rows = items.where(n > 0).withColumn("at", F.explode(F.sequence(F.lit(0), n - 1)))
-    hashes = [F.when(F.lit(len(m) >= span) | (n == len(m)), _picked(m, F.col("toks"), F.col("at"))) for m in used]
-    return rows.withColumn("h", F.explode(F.array(*hashes))).where("h is not null").select("h", "item_id", "at", "toks"), used
+    hashes = [F.when(needed >= sure if i < len(masks) else needed == len(m), _picked(m, F.col("toks"), F.col("at"))) for i, m in enumerate(used)]
+    return rows.withColumn("h", F.explode(F.array(*hashes))).where("h is not null").select("h", "item", "at"), used
+
+
+def _bit(h: Column) -> Column:
+    return F.pmod(h, F.lit(BITMAP))
+
+
+def bitmap(known: DataFrame) -> DataFrame:
+    """(bucket, bits): which seeds there are, by BITMAP bits of their hash, in at most BITMAP / 32768 rows of 4 kB."""
+    return known.groupBy(F.bitmap_bucket_number(_bit(F.col("h"))).alias("bucket")).agg(F.bitmap_construct_agg(F.bitmap_bit_position(_bit(F.col("h")))).alias("bits"))
+
+
+def _set(bits: Column, place: Column) -> Column:
+    """Whether the bit at `place` is set."""
+    byte = F.conv(F.hex(F.substring(bits, F.floor(place / 8).cast("int") + 1, F.lit(1))), 16, 10).cast("int")
+    return F.bit_get(byte, F.pmod(place, F.lit(8)).cast("int")) == 1
 
 
 def _best(doc: Column, item: Column) -> Column:
@@ -65,29 +119,40 @@ def overlaps(docs: DataFrame, benchmark: DataFrame, key: str = "doc_id", masks:
     """(key, item_id, matched, item_tokens, start) for each document and item that overlap, with the best alignment's start token.
 
     One pass over the texts; what leaves it is a row for each hit, not for each position. The hash table of the seeds is broadcast only if they are
-    counted to be at most `broadcast_seeds`.
+    counted to be at most `broadcast_seeds`. More seeds are met by a shuffle of (row, position, hash) of those positions that a bitmap of fixed size lets pass; texts
+    come back for rows with hits only.
     """
     scratch = Scratch(docs.sparkSession, "decontam")
-    items = scratch.save(benchmark.select("item_id", tokens(F.col("text")).alias("toks")))
-    found, used = seeds(items, masks)
+    items = scratch.save(benchmark.select("item_id", tokens(F.col("text")).alias("toks")).withColumn("item", F.monotonically_increasing_id()))
+    found, used = seeds(items, masks, least)
     known = scratch.save(found)
     small = known.count() <= broadcast_seeds
     rows = docs.select(F.col(key).alias("key"), tokens(F.col("text")).alias("doc"))
+    if not small:
+        rows = scratch.save(rows.withColumn("row", F.monotonically_increasing_id()))
     spots = rows.withColumn("pos", F.explode(F.when(F.size("doc") > 0, F.sequence(F.lit(0), F.size("doc") - 1))))
-    hashed = spots.select("key", "doc", "pos", *(_picked(m, F.col("doc"), F.col("pos")).alias(f"h{i}") for i, m in enumerate(used)))
+    names = [f"h{i}" for i in range(len(used))]
+    shift = F.col("pos") - F.col("at")  # the document token under the item's first
+    part = F.slice("doc", F.greatest(F.col("start"), F.lit(0)) + 1, F.greatest(F.col("n") + F.least(F.col("start"), F.lit(0)), F.lit(0))).alias("part")
+    sized = items.select("item", F.size("toks").alias("n"))
     if small:
+        hashed = spots.select("key", "doc", "pos", *(_picked(m, F.col("doc"), F.col("pos")).alias(h) for m, h in zip(used, names, strict=True)))
         distinct = known.select("h").distinct()
-        for i in range(len(used)):
-            side = F.broadcast(distinct.select(F.col("h").alias(f"h{i}"), F.lit(True).alias(f"y{i}")))  # at most broadcast_seeds rows
-            hashed = hashed.join(side, f"h{i}", "left")
-        hashed = hashed.where(" or ".join(f"y{i}" for i in range(len(used))))
-    each = hashed.select("key", "doc", "pos", F.explode(F.array(*(f"h{i}" for i in range(len(used))))).alias("h")).where("h is not null")
-    positions = known.select("h", "item_id", "at", "toks")
-    joined = each.join(F.broadcast(positions) if small else positions.hint("merge"), "h")
-    shift = F.col("pos") - F.col("at")  # the document token under the item's first
-    aligned = joined.select("key", "item_id", shift.alias("start"), "toks", F.slice("doc", F.greatest(shift, F.lit(0)) + 1, F.size("toks") + F.least(shift, F.lit(0))).alias("part"))
-    once = aligned.groupBy("key", "item_id", "start").agg(F.first("toks").alias("toks"), F.first("part").alias("part"))
+        for i, h in enumerate(names):
+            side = F.broadcast(distinct.select(F.col("h").alias(h), F.lit(True).alias(f"y{i}")))  # at most broadcast_seeds rows
+            hashed = hashed.join(side, h, "left")
+        hashed = hashed.where(" or ".join(f"y{i}" for i in range(len(used)))) if used else hashed
+        each = hashed.select("key", "doc", "pos", F.explode(F.array(*names)).alias("h")).where("h is not null")
+        hits = each.join(F.broadcast(known.join(sized, "item")), "h").withColumn("start", shift)  # as many
+        once = hits.select("key", "item", "start", part).groupBy("key", "item", "start").agg(F.first("part").alias("part"))
+        aligned = once.join(F.broadcast(items), "item")  # its tokens are no more than its seeds
+    else:
+        hashed = spots.select("row", "pos", F.explode(F.array(*(_picked(m, F.col("doc"), F.col("pos")) for m in used))).alias("h")).where("h is not null")
+        likely = hashed.join(F.broadcast(bitmap(known)), F.bitmap_bucket_number(_bit(F.col("h"))) == F.col("bucket")).where(_set(F.col("bits"), F.bitmap_bit_position(_bit(F.col("h")))))
+        hits = scratch.save(likely.select("row", "pos", "h").join(known.hint("merge"), "h").select("row", "item", shift.alias("start")).distinct())
+        wide = rows.join(hits.hint("merge"), "row").join(sized, "item").select("key", "item", "start", part)
+        aligned = wide.join(items, "item")
     padded = F.concat(F.array_repeat(F.lit("").cast("string"), F.greatest(-F.col("start"), F.lit(0))), F.col("part"))
-    best = once.withColumn("best", _best(padded, F.col("toks"))).withColumn("n", F.size("toks"))
-    kept = best.where(F.col("best.score") >= F.least(F.lit(least), F.ceil(F.col("n") * PART)))
+    best = aligned.withColumn("best", _best(padded, F.col("toks"))).withColumn("n", F.size("toks"))
+    kept = best.where(F.col("best.score") >= threshold(F.col("n"), least))
     return kept.groupBy("key", "item_id").agg(F.max_by(F.struct(F.col("best.matched").cast("long").alias("matched"), F.col("n").cast("long").alias("item_tokens"), F.greatest(F.col("start"), F.lit(0)).cast("long").alias("start")), F.struct("best.score", -F.col("start"))).alias("x")).select(F.col("key").alias(key), "item_id", "x.*")
