@@ -21,7 +21,7 @@ from functools import cache
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from spindrift.llm.scratch import Scratch
+from spindrift.llm.scratch import Scratch, listed
 
 #: Token positions that each mask picks; each begins and ends with one.
 MASKS = ("110110101", "11101011", "1110111", "11111001")
@@ -127,32 +127,32 @@ def overlaps(docs: DataFrame, benchmark: DataFrame, key: str = "doc_id", masks:
     found, used = seeds(items, masks, least)
     known = scratch.save(found)
     small = known.count() <= broadcast_seeds
-    rows = docs.select(F.col(key).alias("key"), tokens(F.col("text")).alias("doc"))
-    if not small:
-        rows = scratch.save(rows.withColumn("row", F.monotonically_increasing_id()))
+    # a row is told by its key and the hash of its text; rows equal in both have the same overlaps
+    named = docs.select(F.col(key).alias("key"), F.xxhash64("text").alias("th"), F.col("text"))
+    rows = named.select("key", "th", tokens(F.col("text")).alias("doc"))
     spots = rows.withColumn("pos", F.explode(F.when(F.size("doc") > 0, F.sequence(F.lit(0), F.size("doc") - 1))))
     names = [f"h{i}" for i in range(len(used))]
-    shift = F.col("pos") - F.col("at")  # the document token under the item's first
-    part = F.slice("doc", F.greatest(F.col("start"), F.lit(0)) + 1, F.greatest(F.col("n") + F.least(F.col("start"), F.lit(0)), F.lit(0))).alias("part")
-    sized = items.select("item", F.size("toks").alias("n"))
     if small:
-        hashed = spots.select("key", "doc", "pos", *(_picked(m, F.col("doc"), F.col("pos")).alias(h) for m, h in zip(used, names, strict=True)))
+        hashed = spots.select("key", "th", "pos", *(_picked(m, F.col("doc"), F.col("pos")).alias(h) for m, h in zip(used, names, strict=True)))
         distinct = known.select("h").distinct()
         for i, h in enumerate(names):
             side = F.broadcast(distinct.select(F.col("h").alias(h), F.lit(True).alias(f"y{i}")))  # at most broadcast_seeds rows
             hashed = hashed.join(side, h, "left")
-        hashed = hashed.where(" or ".join(f"y{i}" for i in range(len(used)))) if used else hashed
-        each = hashed.select("key", "doc", "pos", F.explode(F.array(*names)).alias("h")).where("h is not null")
-        hits = each.join(F.broadcast(known.join(sized, "item")), "h").withColumn("start", shift)  # as many
-        once = hits.select("key", "item", "start", part).groupBy("key", "item", "start").agg(F.first("part").alias("part"))
-        aligned = once.join(F.broadcast(items), "item")  # its tokens are no more than its seeds
+        hashed = hashed.where(" or ".join(f"y{i}" for i in range(len(used))))
+        likely = hashed.select("key", "th", "pos", F.explode(F.array(*names)).alias("h")).where("h is not null")
+        met = likely.join(F.broadcast(known), "h")  # as many
     else:
-        hashed = spots.select("row", "pos", F.explode(F.array(*(_picked(m, F.col("doc"), F.col("pos")) for m in used))).alias("h")).where("h is not null")
+        hashed = spots.select("key", "th", "pos", F.explode(F.array(*(_picked(m, F.col("doc"), F.col("pos")) for m in used))).alias("h")).where("h is not null")
         likely = hashed.join(F.broadcast(bitmap(known)), F.bitmap_bucket_number(_bit(F.col("h"))) == F.col("bucket")).where(_set(F.col("bits"), F.bitmap_bit_position(_bit(F.col("h")))))
-        hits = scratch.save(likely.select("row", "pos", "h").join(known.hint("merge"), "h").select("row", "item", shift.alias("start")).distinct())
-        wide = rows.join(hits.hint("merge"), "row").join(sized, "item").select("key", "item", "start", part)
-        aligned = wide.join(items, "item")
+        met = likely.select("key", "th", "pos", "h").join(known.hint("merge"), "h")
+    # the document token under the item's first; an alignment that many seeds hit is one row
+    hits = scratch.save(met.select(F.col("key").alias("hit"), F.col("th").alias("hit_th"), "item", (F.col("pos") - F.col("at")).alias("start")).distinct())
+    hits, same = listed(hits), F.col("key").eqNullSafe(F.col("hit")) & (F.col("th") == F.col("hit_th"))
+    texts = named.join(hits, same, "left_semi").select("key", "th", tokens(F.col("text")).alias("doc")).join(hits, same).select("key", "doc", "item", "start")
+    sized = items.select("item", "item_id", "toks", F.size("toks").alias("n"))
+    part = F.slice("doc", F.greatest(F.col("start"), F.lit(0)) + 1, F.greatest(F.col("n") + F.least(F.col("start"), F.lit(0)), F.lit(0))).alias("part")
+    aligned = texts.join(F.broadcast(sized) if small else sized, "item").select("key", "item_id", "toks", "n", "start", part)  # its tokens are fewer than its seeds
     padded = F.concat(F.array_repeat(F.lit("").cast("string"), F.greatest(-F.col("start"), F.lit(0))), F.col("part"))
-    best = aligned.withColumn("best", _best(padded, F.col("toks"))).withColumn("n", F.size("toks"))
+    best = aligned.withColumn("best", _best(padded, F.col("toks")))
     kept = best.where(F.col("best.score") >= threshold(F.col("n"), least))
     return kept.groupBy("key", "item_id").agg(F.max_by(F.struct(F.col("best.matched").cast("long").alias("matched"), F.col("n").cast("long").alias("item_tokens"), F.greatest(F.col("start"), F.lit(0)).cast("long").alias("start")), F.struct("best.score", -F.col("start"))).alias("x")).select(F.col("key").alias(key), "item_id", "x.*")

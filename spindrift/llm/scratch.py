@@ -6,6 +6,7 @@ import tempfile
 import uuid
 
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
 
 
 def shared_dir(spark: SparkSession) -> str:
@@ -37,3 +38,12 @@ class Scratch:
         """Deletes the table of that number, once nothing reads it."""
         path = self.spark._jvm.org.apache.hadoop.fs.Path(f"{self.root}/{index}")
         path.getFileSystem(self.spark._jsc.hadoopConfiguration()).delete(path, True)
+
+
+#: Rows of a few numbers that are broadcast at most, after being counted; more are joined by a shuffle.
+BROADCAST_ROWS = 500_000
+
+
+def listed(rows: DataFrame) -> DataFrame:
+    """`rows`, to be broadcast if they are counted to be few."""
+    return F.broadcast(rows) if rows.count() <= BROADCAST_ROWS else rows

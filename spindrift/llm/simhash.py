@@ -26,7 +26,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from spindrift.llm.components import components
-from spindrift.llm.scratch import Scratch
+from spindrift.llm.scratch import Scratch, listed
 from spindrift.llm.words import shingles
 
 BITS = 64
@@ -276,15 +276,6 @@ def shingle_sets(docs: DataFrame, width: int) -> DataFrame:
     return docs.mapInArrow(run, "doc_id long, text_key long, members array<int>")
 
 
-#: Rows of 16 bytes that are broadcast at most, after being counted; more are joined by a shuffle.
-BROADCAST_ROWS = 500_000
-
-
-def listed(rows: DataFrame) -> DataFrame:
-    """`rows`, to be broadcast if they are counted to be few."""
-    return F.broadcast(rows) if rows.count() <= BROADCAST_ROWS else rows
-
-
 def alike(a: Column, b: Column, similarity: float) -> Column:
     """Whether two sets have that Jaccard similarity."""
     both = F.size(F.array_intersect(a, b))
