@@ -8,8 +8,9 @@ Template of a turn: <|turn|>role<|says|>text<|end|>. Inside roles and texts a ba
 string gets a backslash after its first character; `unescape` reverses it.
 
 Null roles and texts are empty. Rows of equal turn go by role, then text; repeated rows are repeated turns. A null conv_id
-is a conversation of its own. Rows of one conversation are streamed in order, so memory holds one segment: a conversation over
-`max_chars` is cut into segments between turns. An empty table gives an empty result; other columns are ignored.
+is a conversation of its own. A conversation is one row, whatever its length, so memory holds the longest one with its tokens, and a value's limit of
+2 GB is a conversation's. The tokenizer takes it in pieces that end between turns, where a control mark parts tokens anyway. An empty table gives an
+empty result; other columns are ignored.
 """
 
 from __future__ import annotations
@@ -17,7 +18,7 @@ from __future__ import annotations
 import hashlib
 import re
 from collections.abc import Iterator
-from dataclasses import dataclass, field
+from itertools import chain
 
 import numpy as np
 import pyarrow as pa
@@ -30,7 +31,8 @@ CONTROL = (TURN, SAYS, END, "<|endoftext|>", "<s>", "</s>", "[INST]", "[/INST]")
 _MARKED = re.compile(r"\\|" + "|".join(map(re.escape, CONTROL)))
 _TURNS = re.compile(f"{re.escape(TURN)}(.*?){re.escape(SAYS)}(.*?){re.escape(END)}", re.DOTALL)
 VOCABULARY = "/opt/tokenizers/byte_bpe_50k.json"
-MAX_CHARS = 1 << 22
+#: Characters that the tokenizer takes at once, and those of the conversations in one Arrow batch, but for the last turn or conversation.
+PIECE, BATCH = 1 << 20, 1 << 20
 
 
 def escape(text: str) -> str:
@@ -79,12 +81,31 @@ def tokenizer(vocabulary: str):
     return t
 
 
-SCHEMA = "conv_id long, segment int, n_turns int, formatted string, token_ids array<int>, token_starts array<int>, token_ends array<int>, loss_mask array<boolean>"
-_ARROW = pa.schema([("conv_id", pa.int64()), ("segment", pa.int32()), ("n_turns", pa.int32()), ("formatted", pa.string()), *((c, pa.list_(pa.int32())) for c in ("token_ids", "token_starts", "token_ends")), ("loss_mask", pa.list_(pa.bool_()))])
+def encode(t, formatted: str, piece: int = PIECE) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """Token ids, starts and ends of a formatted string, as `t` gives them for the whole."""
+    found, at = [], 0
+    while at < len(formatted):
+        cut = formatted.find(END + TURN, at + piece) + len(END)
+        to = cut if cut >= len(END) else len(formatted)
+        coded = t.encode(formatted[at:to], add_special_tokens=False)
+        spans = np.fromiter(chain.from_iterable(coded.offsets), np.int64, 2 * len(coded.ids)).reshape(-1, 2) + at
+        found.append((np.array(coded.ids, np.int32), spans[:, 0], spans[:, 1]))
+        at = to
+    if not found:
+        return np.zeros(0, np.int32), np.zeros(0, np.int64), np.zeros(0, np.int64)
+    return tuple(np.concatenate(x) for x in zip(*found, strict=True))
 
 
-def format_chats(turns: DataFrame, vocabulary_path: str = VOCABULARY, max_chars: int = MAX_CHARS) -> DataFrame:
-    """A row (SCHEMA) for each conversation, or each segment of a very long one, sorted by them within partitions.
+SCHEMA = "conv_id long, n_turns int, formatted string, token_ids array<int>, token_starts array<int>, token_ends array<int>, loss_mask array<boolean>"
+
+
+def _lists(values: list[np.ndarray], kind: pa.DataType) -> pa.ListArray:
+    ends = np.cumsum([0, *map(len, values)])
+    return pa.ListArray.from_arrays(pa.array(ends, pa.int32()), pa.array(np.concatenate(values), kind))
+
+
+def format_chats(turns: DataFrame, vocabulary_path: str = VOCABULARY) -> DataFrame:
+    """A row (SCHEMA) for each conversation, sorted by it within partitions.
 
     One shuffle by conversation; the vocabulary file is read on the driver and broadcast (a few MB).
     """
@@ -97,24 +118,33 @@ def format_chats(turns: DataFrame, vocabulary_path: str = VOCABULARY, max_chars:
 
         os.environ["TOKENIZERS_PARALLELISM"] = "false"
         t = tokenizer(shared.value)
-        key, segment, held, chars = None, 0, [], 0
+        key, held, done, chars = None, [], [], 0
 
-        def flush() -> pa.RecordBatch:
+        def finish() -> int:
             formatted, spans = render(held)
-            coded = t.encode(formatted, add_special_tokens=False)
-            starts, ends = np.array(coded.offsets, np.int32).reshape(-1, 2).T
-            row = {"conv_id": key[0], "segment": segment, "n_turns": len(held), "formatted": formatted, "token_ids": coded.ids, "token_starts": starts, "token_ends": ends, "loss_mask": mask(starts, ends, spans)}
-            return pa.RecordBatch.from_pylist([row], schema=_ARROW)
+            ids, starts, ends = encode(t, formatted)
+            done.append((key[0], len(held), formatted, ids, starts, ends, mask(starts, ends, spans)))
+            held.clear()
+            return len(formatted)
+
+        def flush() -> pa.RecordBatch:
+            conv, n, formatted, *tokens = zip(*done, strict=True)
+            lists = [_lists(x, pa.bool_() if i == 3 else pa.int32()) for i, x in enumerate(tokens)]
+            done.clear()
+            return pa.RecordBatch.from_arrays([pa.array(conv, pa.int64()), pa.array(n, pa.int32()), pa.array(formatted, pa.string()), *lists], names=[x.split()[0] for x in SCHEMA.split(", ")])
 
         for b in batches:
             for conv, role, text in zip(*(c.to_pylist() for c in b.columns), strict=True):
-                if held and (key != (conv,) or chars >= max_chars):
-                    yield flush()
-                    segment, held, chars = segment + 1 if key == (conv,) else 0, [], 0
+                if held and key != (conv,):
+                    chars += finish()
+                    if chars >= BATCH:
+                        yield flush()
+                        chars = 0
                 key = (conv,)
                 held.append((role, text))
-                chars += len(role) + len(text)
         if held:
+            finish()
+        if done:
             yield flush()
 
     rows = turns.select(F.col("conv_id").cast("long").alias("conv_id"), "turn", *(F.coalesce(F.col(c).cast("string"), F.lit("")).alias(c) for c in ("role", "text")))
@@ -122,27 +152,14 @@ def format_chats(turns: DataFrame, vocabulary_path: str = VOCABULARY, max_chars:
     return ordered.select("conv_id", "role", "text").mapInArrow(run, SCHEMA)
 
 
-@dataclass
-class _Digest:
-    turns: int = 0
-    chars: int = 0
-    loss_chars: int = 0
-    said: object = field(default_factory=hashlib.sha256)
-    loss: object = field(default_factory=hashlib.sha256)
-
-
-def masked_text(formatted: str, starts: list[int], ends: list[int], loss: list[bool]) -> Iterator[str]:
+def masked_text(formatted: str, starts: np.ndarray, ends: np.ndarray, loss: np.ndarray) -> Iterator[str]:
     """The unescaped text under the mask, one piece for each run of masked tokens that touch."""
-    begin = end = None
-    for s, e, kept in zip(starts, ends, loss, strict=True):
-        if kept and end is not None and s <= end:
-            end = max(end, e)
-        elif kept:
-            if end is not None:
-                yield unescape(formatted[begin:end])
-            begin, end = s, e
-    if end is not None:
-        yield unescape(formatted[begin:end])
+    begin, end = np.asarray(starts)[np.asarray(loss, bool)], np.asarray(ends)[np.asarray(loss, bool)]
+    if len(begin):
+        first = np.concatenate([[True], begin[1:] > np.maximum.accumulate(end)[:-1]])
+        at = np.flatnonzero(first)
+        for s, e in zip(begin[at].tolist(), np.maximum.reduceat(end, at).tolist(), strict=True):
+            yield unescape(formatted[s:e])
 
 
 DIGEST = "conv_id long, n_turns long, turns_sha256 string, loss_chars long, loss_sha256 string, formatted_chars long"
@@ -151,29 +168,23 @@ DIGEST = "conv_id long, n_turns long, turns_sha256 string, loss_chars long, loss
 def digests(formatted: DataFrame) -> DataFrame:
     """DIGEST of each conversation, read back from what `format_chats` returns, in one pass without a shuffle."""
 
+    def one(formatted: str, starts: np.ndarray, ends: np.ndarray, loss: np.ndarray) -> tuple:
+        said, under, n, chars = hashlib.sha256(), hashlib.sha256(), 0, 0
+        for role, text in parse(formatted):
+            n += 1
+            said.update(f"{role}\n{text}\n".encode("utf-8", "replace"))
+        for piece in masked_text(formatted, starts, ends, loss):
+            chars += len(piece)
+            under.update(piece.encode("utf-8", "replace"))
+        return n, said.hexdigest(), chars, under.hexdigest(), len(formatted)
+
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        key, d = None, _Digest()
         names = [x.split()[0] for x in DIGEST.split(", ")]
-
-        def row() -> pa.RecordBatch:
-            values = [key[0], d.turns, d.said.hexdigest(), d.loss_chars, d.loss.hexdigest(), d.chars]
-            types = [pa.int64(), pa.int64(), pa.string(), pa.int64(), pa.string(), pa.int64()]
-            return pa.RecordBatch.from_arrays([pa.array([v], k) for v, k in zip(values, types, strict=True)], names=names)
-
+        kinds = [pa.int64(), pa.string(), pa.int64(), pa.string(), pa.int64()]
         for b in batches:
-            for x in b.to_pylist():
-                if key != (x["conv_id"],):
-                    if key:
-                        yield row()
-                    key, d = (x["conv_id"],), _Digest()
-                for role, text in parse(x["formatted"]):
-                    d.turns += 1
-                    d.said.update(f"{role}\n{text}\n".encode("utf-8", "replace"))
-                for piece in masked_text(x["formatted"], x["token_starts"], x["token_ends"], x["loss_mask"]):
-                    d.loss_chars += len(piece)
-                    d.loss.update(piece.encode("utf-8", "replace"))
-                d.chars += len(x["formatted"])
-        if key:
-            yield row()
+            if b.num_rows:
+                cells = zip(*(b.column(c) for c in ("formatted", "token_starts", "token_ends", "loss_mask")), strict=True)
+                rows = [one(text.as_py(), *(x.values.to_numpy(zero_copy_only=False) for x in spans)) for text, *spans in cells]
+                yield pa.RecordBatch.from_arrays([b.column("conv_id"), *(pa.array(c, k) for c, k in zip(zip(*rows, strict=True), kinds, strict=True))], names=names)
 
     return formatted.mapInArrow(run, DIGEST)

@@ -43,8 +43,24 @@ def expected(rows):
 def test_table(spark):
     rows = [(1, 0, "user", "hi </s>"), (1, 1, "assistant", None), (1, 2, "assistant", "a\\b"), (1, 2, "assistant", "a\\b"), (2, None, None, None), (2, 1, "assistant", "Ünï 😀" * 300), (None, 0, "assistant", "x"), (3, 0, "assistant", "")]
     df = spark.createDataFrame([(*r, "z") for r in rows], "conv_id long, turn long, role string, text string, formatted string")
-    for most in (chat.MAX_CHARS, 5):
-        got = {r.conv_id: tuple(r)[1:5] for r in chat.digests(chat.format_chats(df, max_chars=most)).collect()}
-        assert got == expected(rows)
-    assert chat.format_chats(df, max_chars=5).where("segment > 0").count() > 0
+    got = chat.digests(chat.format_chats(df)).collect()
+    assert {r.conv_id: tuple(r)[1:5] for r in got} == expected(rows) and len(got) == 4
     assert chat.digests(chat.format_chats(df.limit(0))).count() == 0
+
+
+@settings(deadline=None)
+@given(st.lists(st.tuples(st.sampled_from(["user", "assistant", ""]), TEXT), min_size=1, max_size=8))
+def test_pieces_encode_as_the_whole(turns):
+    formatted, _ = chat.render(turns)
+    whole = TOKENIZER.encode(formatted, add_special_tokens=False)
+    for piece in (1, 30, 1 << 20):
+        ids, starts, ends = chat.encode(TOKENIZER, formatted, piece)
+        assert ids.tolist() == whole.ids and list(zip(starts.tolist(), ends.tolist())) == whole.offsets
+
+
+def test_long_conversation_is_one_row(spark):
+    rows = [(1, i, ["user", "assistant"][i % 2], "wörd <s> " * 20_000) for i in range(40)]
+    df = spark.createDataFrame(rows, "conv_id long, turn long, role string, text string")
+    found = chat.format_chats(df).persist()
+    assert found.count() == 1 and found.first().n_turns == 40
+    assert {r.conv_id: tuple(r)[1:5] for r in chat.digests(found).collect()} == expected(rows)
