@@ -20,9 +20,9 @@ _STRENGTH = lambda units: f"(SELECT round(1 / {_RHO} - 1, 6) FROM ({_FIT.format(
 URLS = rf"""WITH r AS (SELECT page_id, translate(coalesce(regexp_extract(url, '(?s)^.*?://([^/?#]*)', 1), ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz') AS host, coalesce(regexp_extract(url, '(?s)^.*?://[^/?#]*([^?#]*)', 1), '') AS path FROM pages),
 seen AS (SELECT doc_id AS page_id, sum(quality) AS good, count(*) AS n FROM labels WHERE quality IS NOT NULL GROUP BY doc_id),
 h AS (SELECT host, coalesce(sum(good), 0) AS good, coalesce(sum(n), 0) AS n, CASE WHEN {_LAST(2)} IN ({_SUFFIXES}) THEN {_LAST(3)} ELSE {_LAST(2)} END AS domain, CASE WHEN {_LAST(2)} IN ({_SUFFIXES}) THEN {_LAST(2)} ELSE {_LAST(1)} END AS suffix FROM r LEFT JOIN seen USING (page_id) GROUP BY host),
-d AS (SELECT domain, suffix, sum(good) AS good, sum(n) AS n FROM h GROUP BY 1, 2), s AS (SELECT suffix, sum(good) AS good, sum(n) AS n FROM d GROUP BY 1), whole AS (SELECT sum(good)::DOUBLE / sum(n) AS rate FROM s),
-sp AS (SELECT suffix, (good + {_STRENGTH('s')} * rate) / (n + {_STRENGTH('s')}) AS above FROM s, whole), dp AS (SELECT domain, (good + {_STRENGTH('d')} * above) / (n + {_STRENGTH('d')}) AS above FROM d JOIN sp USING (suffix)),
-ab AS (SELECT host, good + {_STRENGTH('h')} * above AS a, n - good + {_STRENGTH('h')} * (1 - above) AS b FROM h JOIN dp USING (domain)),
+d AS (SELECT domain, suffix, sum(good) AS good, sum(n) AS n FROM h GROUP BY 1, 2), s AS (SELECT suffix, sum(good) AS good, sum(n) AS n FROM d GROUP BY 1), whole AS (SELECT sum(good)::DOUBLE / sum(n) AS rate, sum(good) AS gw, sum(n) AS nw FROM s),
+sp AS (SELECT suffix, good AS gs, n AS ns, CASE WHEN nw > n THEN (gw - good) / (nw - n)::DOUBLE ELSE rate END AS above FROM s, whole), dp AS (SELECT domain, good AS gd, n AS nd, (gs - good + {_STRENGTH('s')} * above) / (ns - n + {_STRENGTH('s')}) AS above FROM d JOIN sp USING (suffix)),
+mh AS (SELECT host, good, n, (gd - good + {_STRENGTH('d')} * above) / (nd - n + {_STRENGTH('d')}) AS mean FROM h JOIN dp USING (domain)), ab AS (SELECT host, good + {_STRENGTH('h')} * mean AS a, n - good + {_STRENGTH('h')} * (1 - mean) AS b FROM mh),
 ub AS (SELECT host, round(a / (a + b) + {urlrep.Z} * sqrt(a * b / ((a + b) * (a + b) * (a + b + 1))), 9) AS bound FROM ab),
 rules AS (SELECT * FROM (VALUES {_RULES}) AS v(verdict, at_host, start)),
 f AS (SELECT page_id, r.host, r.path, max((length(at_host || start), at_host || start, verdict)) AS fit FROM r JOIN rules ON (r.host = at_host OR ends_with(r.host, '.' || at_host)) AND starts_with(r.path, start) GROUP BY ALL)

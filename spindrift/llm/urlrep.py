@@ -1,11 +1,13 @@
 """URL filters from rules and empirical-Bayes host reputation, with DataFrame functions only.
 
-Labelled page outcomes are counted by host, registered domain and suffix. Each level's rate shrinks towards the
-one above through a beta-binomial prior whose strength is fitted by moments over all units of the level. A host
-is blocked if the upper bound of its posterior good rate lies under `floor` times the overall rate; rules come first.
+Labelled page outcomes are counted by host, registered domain and suffix. Each unit's rate shrinks towards the
+one above through a beta-binomial prior whose strength is fitted by moments over all units of the level. A prior's mean is of the outcomes
+outside the unit (a host's of the rest of its domain, a domain's of the rest of its suffix, a suffix's of all others), so none counts twice. A host
+is blocked if the upper bound of its posterior good rate lies under `floor` times the overall rate: by default, if it is credibly worse than the whole; rules come first.
 
 A null url or one without :// has host and path empty. Pages without outcome count for nothing but get verdicts; a repeated page counts as often
-as it occurs. With no outcomes at all, only rules block. An empty table gives an empty result; other columns are ignored.
+as it occurs. Of rules that fit, the longest wins, and of equally long ones the last by text. Urls of any length are read once. With no outcomes at all, only rules block. An empty table gives
+an empty result; other columns are ignored.
 """
 
 from __future__ import annotations
@@ -21,7 +23,7 @@ from spindrift.llm.scratch import Scratch
 RULES = (("block", "com", "/en/"), ("allow", "example.com", "/en/7"), ("allow", "net", "/de/"), ("block", "example.net", "/de/8"), ("block", "org", "/es/"))
 #: Suffixes of two labels under which domains are registered; all others have one label.
 SUFFIXES = ("co.uk", "org.uk", "ac.uk", "com.au", "co.jp", "com.br", "co.nz", "co.za")
-FLOOR, Z = 0.5, 1.645
+FLOOR, Z = 1.0, 1.645
 
 
 def host_of(url: Column) -> Column:
@@ -65,10 +67,15 @@ def reputation(outcomes: DataFrame, scratch: Scratch) -> tuple[DataFrame, float]
     suffixes = scratch.save(domains.groupBy("suffix").agg(F.sum("good").alias("good"), F.sum("n").alias("n")))
     rate, s1 = strength(suffixes)
     (_, s2), (_, s3) = strength(domains), strength(hosts)
-    mean = lambda s, above: (F.col("good") + s * above) / (F.col("n") + s)
-    suffixes = suffixes.select("suffix", mean(s1, F.lit(rate)).alias("above"))
-    domains = domains.join(suffixes, "suffix").select("domain", mean(s2, F.col("above")).alias("above"))
-    return hosts.join(domains, "domain").select("host", (F.col("good") + s3 * F.col("above")).alias("alpha"), (F.col("n") - F.col("good") + s3 * (1 - F.col("above"))).alias("beta")), rate
+    whole = suffixes.agg(F.sum("good").alias("good"), F.sum("n").alias("n")).first()
+    rest = lambda good, n, own, own_n, s, mean: (good - own + s * mean) / (n - own_n + s)
+    others = F.lit(whole.n or 0) - F.col("n")
+    suffixes = suffixes.select("suffix", F.col("good").alias("gs"), F.col("n").alias("ns"), F.when(others > 0, (F.lit(whole.good or 0) - F.col("good")) / others).otherwise(rate).alias("above"))
+    above = rest(F.col("gs"), F.col("ns"), F.col("good"), F.col("n"), s1, F.col("above"))
+    domains = domains.join(suffixes, "suffix").select("domain", F.col("good").alias("gd"), F.col("n").alias("nd"), above.alias("above"))
+    mean = rest(F.col("gd"), F.col("nd"), F.col("good"), F.col("n"), s2, F.col("above"))
+    found = hosts.join(domains, "domain").withColumn("mean", mean)
+    return found.select("host", (F.col("good") + s3 * F.col("mean")).alias("alpha"), (F.col("n") - F.col("good") + s3 * (1 - F.col("mean"))).alias("beta")), rate
 
 
 def upper(alpha: Column, beta: Column, z: float = Z) -> Column:

@@ -39,6 +39,13 @@ def test_reputation(spark):
     assert got["h4.site1.xy"].verdict == "allow"  # one bad page of a good domain is shrunk
 
 
+def test_repeated_pages_and_long_urls(spark):
+    long = "http://h.com/en/" + "a" * 1_000_000
+    rows = [(1, long), (1, long), (2, "http://" + "b." * 100_000 + "org/es/x"), (3, "http://h.com/")]
+    got = urlrep.verdicts(spark.createDataFrame(rows, "page_id long, url string"), spark.createDataFrame([(1, 1), (1, 0)], "page_id long, good int")).collect()
+    assert sorted((r.page_id, len(r.host), len(r.path), r.rule) for r in got) == [(1, 5, 1_000_004, "com/en/"), (1, 5, 1_000_004, "com/en/"), (2, 200_003, 5, "org/es/"), (3, 5, 1, None)]
+
+
 def test_domains(spark):
     from pyspark.sql import functions as F
 
