@@ -1,8 +1,12 @@
 """Telephony audio: mu-law, A-law and IMA ADPCM to PCM, resampling, and WAV containers.
 
 The companded codes are expanded by lookup tables made from the law's rule; ADPCM is decoded with numpy across
-blocks, one step for the i-th sample of all blocks; PCM is resampled by a windowed-sinc filter, piece by piece.
-All arithmetic on samples is per piece of bounded length, so a long recording needs little more memory than its bytes.
+blocks, one step for the i-th sample of all blocks of many recordings; PCM is resampled by a windowed-sinc filter, piece by piece.
+All arithmetic on samples is per piece of bounded length, so a long recording needs little more memory than its bytes and its PCM.
+
+`store` keeps a text's bytes as recordings: a null text as an empty one, repeated rows as rows of their own, equal texts as equal recordings. The law (mu-law, A-law or ADPCM
+in blocks of 64 bytes) follows from the payload's checksum. `decode_column` gives null for null and for what is no mono WAV file of a known
+form. An empty table gives an empty result; other columns are ignored by `store`, carried by `decode_column`, whose `pcm` replaces a column of that name.
 """
 
 from __future__ import annotations
@@ -21,6 +25,8 @@ from pyspark.sql import functions as F
 
 PCM, ALAW, MULAW, IMA = 1, 6, 7, 0x11
 UNIT, PIECE = 64, 1 << 20
+#: ADPCM blocks that are decoded at once.
+IMA_BLOCKS = 1 << 12
 
 
 @cache
@@ -49,30 +55,29 @@ def ima_steps() -> np.ndarray:
         130, 143, 157, 173, 190, 209, 230, 253, 279, 307, 337, 371, 408, 449, 494, 544, 598, 658, 724, 796, 876, 963, 1060,
         1166, 1282, 1411, 1552, 1707, 1878, 2066, 2272, 2499, 2749, 3024, 3327, 3660, 4026, 4428, 4871, 5358, 5894, 6484, 7132,
         7845, 8630, 9493, 10442, 11487, 12635, 13899, 15289, 16818, 18500, 20350, 22385, 24623, 27086, 29794, 32767,
-    ])
+    ], np.int32)
 
 
 #: Change of the step index by the low three bits of a code. Fixed values.
-IMA_INDEX = np.array([-1, -1, -1, -1, 2, 4, 6, 8])
+IMA_INDEX = np.array([-1, -1, -1, -1, 2, 4, 6, 8], np.int32)
 
 
 def decode_ima(data: bytes, block_bytes: int) -> np.ndarray:
     """Mono IMA ADPCM blocks to PCM, all blocks at once. A last block that is cut short is padded with zeros."""
-    if not data:
-        return np.zeros(0, np.int16)
-    raw = np.frombuffer(data + bytes(-len(data) % block_bytes), np.uint8).reshape(-1, block_bytes)
-    value = raw[:, :2].copy().view("<i2")[:, 0].astype(np.int64)
-    index = np.minimum(raw[:, 2].astype(np.int64), 88)
-    codes = np.stack([raw[:, 4:] & 15, raw[:, 4:] >> 4], axis=2).reshape(len(raw), -1).astype(np.int64)
-    out = np.empty((len(raw), codes.shape[1] + 1), np.int16)
-    out[:, 0] = value
+    whole = np.frombuffer(data + bytes(-len(data) % block_bytes), np.uint8).reshape(-1, block_bytes)
+    out = np.empty((len(whole), 2 * (block_bytes - 4) + 1), np.int16)
     steps = ima_steps()
-    for i in range(codes.shape[1]):
-        c, step = codes[:, i], steps[index]
-        d = (step >> 3) + np.where(c & 1, step >> 2, 0) + np.where(c & 2, step >> 1, 0) + np.where(c & 4, step, 0)
-        value = np.clip(value + np.where(c & 8, -d, d), -32768, 32767)
-        index = np.clip(index + IMA_INDEX[c & 7], 0, 88)
-        out[:, i + 1] = value
+    for k in range(0, len(whole), IMA_BLOCKS):
+        raw, to = whole[k : k + IMA_BLOCKS], out[k : k + IMA_BLOCKS]
+        value = raw[:, :2].copy().view("<i2")[:, 0].astype(np.int32)
+        index = np.minimum(raw[:, 2], 88).astype(np.int32)
+        to[:, 0] = value
+        for i in range(to.shape[1] - 1):
+            c, step = raw[:, 4 + i // 2] >> 4 * (i % 2) & 15, steps[index]
+            d = (step >> 3) + (step >> 2) * (c & 1) + (step >> 1) * (c >> 1 & 1) + step * (c >> 2 & 1)
+            value = np.clip(np.where(c & 8, value - d, value + d), -32768, 32767)
+            index = np.clip(index + IMA_INDEX[c & 7], 0, 88)
+            to[:, i + 1] = value
     return out.ravel()
 
 
@@ -147,45 +152,77 @@ def expand(form: int, block: int, data: bytes | memoryview) -> np.ndarray:
     raise ValueError(f"format {form}")
 
 
-def to_pcm(blob: bytes | None, rate: int = 16000) -> bytes | None:
-    """A WAV file of resampled 16-bit PCM; null for what is no mono WAV file of a known format."""
-    try:
-        form, own, block, data = read_wav(blob or b"")
-        pcm = expand(form, block, data)
-    except ValueError:
-        return None
-    return wav(b"".join(x.astype("<i2").tobytes() for x in resample(pcm, own, rate)), PCM, rate, 2, 16)
+def expand_all(coded: list[tuple[int, int, memoryview] | None]) -> list[np.ndarray | None]:
+    """PCM of many recordings (form, block, samples). ADPCM blocks of equal size are decoded together; null for null and for unknown forms."""
+    out: list[np.ndarray | None] = [None] * len(coded)
+    together: dict[int, list[int]] = {}
+    for i, x in enumerate(coded):
+        if x and x[0] == IMA:
+            if x[1] >= 4:  # a block has its head at least
+                together.setdefault(x[1], []).append(i)
+        elif x:
+            try:
+                out[i] = expand(*x)
+            except ValueError:
+                pass
+    for block, rows in together.items():
+        counts = [-(-len(coded[i][2]) // block) for i in rows]
+        pcm = decode_ima(b"".join(bytes(coded[i][2]).ljust(n * block, b"\0") for i, n in zip(rows, counts, strict=True)), block)
+        at = 0
+        for i, n in zip(rows, counts, strict=True):
+            out[i] = pcm[at : at + n * (2 * (block - 4) + 1)]
+            at += len(out[i])
+    return out
+
+
+def to_pcm(blobs: list[bytes | None], rate: int = 16000) -> list[bytes | None]:
+    """WAV files of resampled 16-bit PCM; null for what is no mono WAV file of a known form."""
+    read: list[tuple | None] = []
+    for blob in blobs:
+        try:
+            read.append(read_wav(blob or b""))
+        except ValueError:
+            read.append(None)
+    pcm = expand_all([x and (x[0], x[2], x[3]) for x in read])
+    return [None if p is None else wav(b"".join(y.astype("<i2").tobytes() for y in resample(p, x[1], rate)), PCM, rate, 2, 16) for x, p in zip(read, pcm, strict=True)]
 
 
 def decode_column(media: DataFrame, column: str, rate: int = 16000) -> DataFrame:
     """`media` with pcm: the binary column's recordings as resampled PCM WAV. Null and broken recordings: null."""
-    decode = F.pandas_udf(lambda s: s.map(to_pcm), "binary")
-    return media.withColumn("pcm", decode(F.col(column)))
+
+    def decode(blobs: pa.Array) -> pa.Array:
+        return pa.array([x for k in range(0, len(blobs), UNIT) for x in to_pcm(blobs[k : k + UNIT].to_pylist(), rate)], pa.binary())
+
+    return media.withColumn("pcm", F.arrow_udf(decode, "binary")(F.col(column)))
+
+
+def features(blob: bytes) -> str:
+    """Length, peak, rounded RMS, sign changes and checksum of a recording of 16-bit PCM."""
+    samples = np.frombuffer(read_wav(blob)[3], "<i2")
+    peak = energy = changes = 0
+    for k in range(0, len(samples), PIECE):
+        wide = samples[k : k + PIECE].astype(np.int64)
+        peak, energy = max(peak, int(np.abs(wide).max())), energy + int(wide @ wide)
+        sign = samples[max(k - 1, 0) : k + PIECE] < 0
+        changes += int((sign[1:] != sign[:-1]).sum())
+    return f"n={len(samples)};peak={peak};rms={math.isqrt(energy // max(len(samples), 1))};cross={changes};crc={zlib.crc32(samples):08x}"
 
 
-def features(blob: bytes, rate: int = 16000) -> str:
-    """Length, peak, rounded RMS, sign changes and checksum of a recording's resampled PCM."""
-    form, own, block, data = read_wav(blob)
-    n = peak = energy = changes = crc = 0
-    last = None
-    for x in resample(expand(form, block, data), own, rate):
-        wide = x.astype(np.int64)
-        n, peak, energy, crc = n + len(x), max(peak, int(np.abs(wide).max(initial=0))), energy + int(wide @ wide), zlib.crc32(x.tobytes(), crc)
-        sign = x < 0
-        changes += int((sign[1:] != sign[:-1]).sum()) + int(last is not None and bool(sign[0]) != last)
-        last = bool(sign[-1])
-    return f"n={n};peak={peak};rms={math.isqrt(energy // max(n, 1))};cross={changes};crc={crc:08x}"
+def recording(payload: bytes, forms: tuple = (MULAW, ALAW, IMA)) -> bytes:
+    """A WAV file of 8000 samples a second whose coded samples are the payload, of a multiple of 64 bytes. The form follows from the payload's checksum."""
+    form = forms[zlib.crc32(payload) % len(forms)]
+    return wav(payload, form, 8000, *((UNIT, 4) if form == IMA else (1, 8)))
 
 
-def store(texts: DataFrame) -> DataFrame:
-    """doc_id, n_bytes and media: each text's UTF-8 bytes, zero-padded to a positive multiple of 64, as mu-law samples of a WAV file. Null: empty."""
+def store(texts: DataFrame, forms: tuple = (MULAW, ALAW, IMA)) -> DataFrame:
+    """doc_id, n_bytes and media: each text's UTF-8 bytes, zero-padded to a positive multiple of 64, as coded samples of a WAV file. Null: empty."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
-            for k in range(0, b.num_rows, 64):
-                part = b.slice(k, 64)
+            for k in range(0, b.num_rows, UNIT):
+                part = b.slice(k, UNIT)
                 raw = [(t or "").encode("utf-8", "replace") for t in part.column(1).to_pylist()]
-                media = [wav(x + bytes(max(UNIT, -(-len(x) // UNIT) * UNIT) - len(x)), MULAW) for x in raw]
+                media = [recording(x + bytes(max(UNIT, -(-len(x) // UNIT) * UNIT) - len(x)), forms) for x in raw]
                 yield pa.RecordBatch.from_arrays([part.column(0), pa.array([len(x) for x in raw], pa.int64()), pa.array(media, pa.binary())], names=["doc_id", "n_bytes", "media"])
 
     rows = texts.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text"))
@@ -193,18 +230,19 @@ def store(texts: DataFrame) -> DataFrame:
 
 
 def digests(stored: DataFrame) -> DataFrame:
-    """Digests and features of recordings (doc_id, n_bytes, media), from the stored bytes."""
+    """Digests of recordings (doc_id, n_bytes, media) from the stored bytes, and features read back from the PCM files that they are resampled to."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         names = ["doc_id", "n_bytes", "payload_bytes", "payload_sha256", "tail_crc32", "media_bytes", "media_sha256", "feature"]
+        kinds = [pa.int64(), pa.string(), pa.int64(), pa.int64(), pa.string(), pa.string()]
         for b in batches:
-            rows = []
-            for cell in b.column(2):
-                blob = cell.as_py()
-                data = read_wav(blob)[3]
-                rows.append((len(data), hashlib.sha256(data).hexdigest(), zlib.crc32(data[-UNIT:]), len(blob), hashlib.sha256(blob).hexdigest(), features(blob)))
-            columns = list(zip(*rows, strict=True)) or [()] * 6
-            kinds = [pa.int64(), pa.string(), pa.int64(), pa.int64(), pa.string(), pa.string()]
-            yield pa.RecordBatch.from_arrays([b.column(0), b.column(1), *(pa.array(c, t) for c, t in zip(columns, kinds, strict=True))], names=names)
+            for k in range(0, b.num_rows, UNIT):
+                part = b.slice(k, UNIT)
+                blobs = part.column(2).to_pylist()
+                rows = []
+                for blob, pcm in zip(blobs, to_pcm(blobs), strict=True):
+                    data = read_wav(blob)[3]
+                    rows.append((len(data), hashlib.sha256(data).hexdigest(), zlib.crc32(data[-UNIT:]), len(blob), hashlib.sha256(blob).hexdigest(), features(pcm)))
+                yield pa.RecordBatch.from_arrays([part.column(0), part.column(1), *(pa.array(c, t) for c, t in zip(zip(*rows, strict=True), kinds, strict=True))], names=names)
 
     return stored.mapInArrow(run, "doc_id long, n_bytes long, payload_bytes long, payload_sha256 string, tail_crc32 long, media_bytes long, media_sha256 string, feature string")

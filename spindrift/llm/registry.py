@@ -6,6 +6,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from spindrift.llm import audio, chat, decontam, htmltext, kdshard, langid, mixing, oracles, secrets, simhash, urlrep
+from spindrift.llm.scratch import Scratch
 from spindrift.session import table
 
 QUERIES: dict = {}
@@ -62,8 +63,8 @@ def op4_decontam(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 @query
 def op6_audio(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """All texts as mu-law recordings, read back, expanded and resampled."""
-    return audio.digests(audio.store(table(spark, sf_dir, "documents")))
+    """All texts as mu-law, A-law and ADPCM recordings in a table, read back, expanded and resampled."""
+    return audio.digests(Scratch(spark, "audio").save(audio.store(table(spark, sf_dir, "documents"))))
 
 
 @query

@@ -56,22 +56,59 @@ def test_resampling_keeps_a_tone(rate, to, monkeypatch):
 
 def test_containers():
     for form, block, bits in ((audio.PCM, 2, 16), (audio.ALAW, 1, 8), (audio.MULAW, 1, 8), (audio.IMA, 36, 4)):
-        blob = audio.wav(b"abcde" * 9, form, 8000, block, bits)
-        assert audio.read_wav(blob)[0::3] == (form, b"abcde" * 9) and audio.to_pcm(blob[: len(blob) if form != audio.PCM else -1]) is not None or form == audio.PCM
-    assert audio.to_pcm(None) is None and audio.to_pcm(b"RIFFxxxxWAVE") is None and audio.to_pcm(audio.wav(b"x", 99)) is None
+        blob = audio.wav(b"abcde" * 10, form, 8000, block, bits)
+        assert audio.read_wav(blob)[0::3] == (form, b"abcde" * 10) and audio.to_pcm([blob])[0] is not None
+    assert audio.to_pcm([None, b"", b"RIFFxxxxWAVE", audio.wav(b"x", 99), audio.wav(b"x", audio.IMA, 8000, 8, 4).replace(b"\x08\x00\x04\x00", b"\x03\x00\x04\x00")]) == [None] * 5
+
+
+def brute_feature(form, payload):
+    """Sample by sample: the laws by their formulas, ADPCM by its steps, twice the rate by the filter's taps."""
+    if form == audio.IMA:
+        pcm = scalar_ima(payload, 64)
+    elif form == audio.MULAW:
+        pcm = [(-1 if c < 128 else 1) * ((((~c & 15) << 3) + 132 << (~c >> 4 & 7)) - 132) for c in payload]
+    else:
+        pcm = []
+        for c in payload:
+            x = c ^ 0x55
+            size = ((x & 15) << 4) + 8 + (256 if x >> 4 & 7 else 0)
+            pcm.append((1 if x & 128 else -1) * (size << max((x >> 4 & 7) - 1, 0)))
+    taps, out = audio._taps(2, 1, 8), []
+    for j in range(2 * len(pcm)):
+        total = np.float32(0)
+        for k in range(16):
+            at = j // 2 - 7 + k
+            total += np.float32(pcm[at] if 0 <= at < len(pcm) else 0) * taps[j % 2, k]
+        out.append(max(-32768, min(32767, int(np.rint(total)))))
+    changes = sum((a < 0) != (b < 0) for a, b in zip(out, out[1:]))
+    crc = zlib.crc32(np.array(out, "<i2").tobytes())
+    return f"n={len(out)};peak={max(map(abs, out))};rms={int((sum(x * x for x in out) // len(out)) ** 0.5)};cross={changes};crc={crc:08x}"
 
 
 def test_query_columns(spark):
-    texts = [None, "", "é😀", "a" * 64, "b" * 65, "long " * 50000, "b" * 65]
+    texts = [None, "", "é😀", "a" * 64, "b" * 65, "long " * 50000, "b" * 65, *(f"some text number {i} of it, " * 9 for i in range(20))]
     df = spark.createDataFrame([(i, t, b"m") for i, t in enumerate(texts)], "doc_id long, text string, media binary")
     rows = {r.doc_id: r for r in audio.digests(audio.store(df)).collect()}
+    forms = set()
     for i, t in enumerate(texts):
         raw = (t or "").encode()
         payload = raw + bytes(max(64, -(-len(raw) // 64) * 64) - len(raw))
         r = rows[i]
         assert (r.n_bytes, r.payload_bytes, r.payload_sha256, r.tail_crc32) == (len(raw), len(payload), hashlib.sha256(payload).hexdigest(), zlib.crc32(payload[-64:]))
-        blob = audio.wav(payload, audio.MULAW)
-        assert (r.media_bytes, r.media_sha256, r.feature) == (len(blob), hashlib.sha256(blob).hexdigest(), audio.features(blob))
-    assert rows[4][1:] == rows[6][1:] and rows[0][1:] == rows[1][1:]
+        form = (audio.MULAW, audio.ALAW, audio.IMA)[zlib.crc32(payload) % 3]
+        blob = audio.wav(payload, form, 8000, *((64, 4) if form == audio.IMA else (1, 8)))
+        assert (r.media_bytes, r.media_sha256) == (len(blob), hashlib.sha256(blob).hexdigest())
+        forms.add(form)
+        if len(payload) < 1000:
+            assert r.feature == brute_feature(form, payload)
+    assert len(forms) == 3 and rows[4][1:] == rows[6][1:] and rows[0][1:] == rows[1][1:]
     assert audio.digests(audio.store(df.limit(0))).count() == 0
-    assert audio.decode_column(spark.createDataFrame([(None,), (b"",), (audio.wav(b"zz", audio.ALAW),)], "m binary"), "m").where("pcm is not null").count() == 1
+
+
+def test_decode_column(spark):
+    good = audio.wav(b"zz" * 40, audio.IMA, 8000, 64, 4)
+    df = spark.createDataFrame([(1, None, "p"), (2, b"", "p"), (3, audio.wav(b"zz", audio.ALAW), "p"), (4, good, "p"), (4, good, "p")], "id int, m binary, pcm string")
+    got = sorted((r.id, r.pcm and bytes(r.pcm)) for r in audio.decode_column(df, "m").collect() if r.pcm)
+    assert [g[0] for g in got] == [3, 4, 4] and got[1] == got[2]
+    form, rate, _, data = audio.read_wav(got[2][1])
+    assert (form, rate) == (audio.PCM, 16000) and len(data) == 2 * 2 * len(scalar_ima(b"zz" * 40, 64))
