@@ -6,7 +6,7 @@ its 3-grams; a language's prototype bundles those of its training texts. A text
 language whose prototype has the largest cosine with it.
 
 A text that is null or has no letter gets `und` with score 0, as does every text if nothing was learned. Equal cosines
-go to the first language by name. Long texts are read in blocks and bundled block by block, so that
+go to the first language by name. Repeated rows are learned from as often as they occur and get equal results. Long texts are read in blocks and bundled block by block, so that
 memory is bounded; sums are of integers, so reruns agree. An empty table gives an empty result; other columns are ignored.
 """
 
@@ -24,16 +24,17 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 #: Dimension of all vectors; symbols that letters map to (0: what is no letter); characters read at a time; texts bundled at a time.
-DIM, SYMBOLS, BLOCK, TEXTS = 1024, 1024, 1 << 20, 64
+DIM, SYMBOLS, BLOCK, TEXTS = 1024, 4096, 1 << 20, 64
+_SHIFT = SYMBOLS.bit_length() - 1
 UND = "und"
 
 
 @cache
 def _symbols() -> np.ndarray:
-    """Symbol of each code point: 0 for non-letters, else 1 + code point modulo 1021."""
+    """Symbol of each code point: 0 for non-letters, else 1 + code point modulo 4093, so that no two letters of the alphabets below U+0FFD share one."""
     points = np.arange(0x110000)
     letter = np.fromiter((chr(c).isalpha() for c in range(0x110000)), bool, 0x110000)
-    return np.where(letter, 1 + points % 1021, 0).astype(np.int64)
+    return np.where(letter, 1 + points % 4093, 0).astype(np.int64)
 
 
 @cache
@@ -47,7 +48,7 @@ def _vectors(seed: int = 11) -> tuple[np.ndarray, ...]:
 def bind(codes: np.ndarray) -> np.ndarray:
     """The 3-grams' vectors, a row each."""
     v0, v1, v2 = _vectors()
-    return v2[codes >> 20] * v1[codes >> 10 & 1023] * v0[codes & 1023]
+    return v2[codes >> 2 * _SHIFT] * v1[codes >> _SHIFT & SYMBOLS - 1] * v0[codes & SYMBOLS - 1]
 
 
 def grams(text: str | None, block: int = BLOCK) -> Iterator[np.ndarray]:
@@ -61,7 +62,7 @@ def grams(text: str | None, block: int = BLOCK) -> Iterator[np.ndarray]:
         some = some or bool(s.any())
         s = s[np.concatenate([[True], (s[1:] != 0) | (s[:-1] != 0)])]
         if some and len(s) > 2:
-            yield (s[:-2] << 20) | (s[1:-1] << 10) | s[2:]
+            yield (s[:-2] << 2 * _SHIFT) | (s[1:-1] << _SHIFT) | s[2:]
         kept = s[-2:]
 
 

@@ -49,3 +49,31 @@ def test_held_out_accuracy(spark):
     known = langid.train(docs.where("not held_out"))
     got = langid.predict(docs.where("held_out"), known, ["lang"]).toPandas()
     assert (got.lang == got.lang_pred).mean() > 0.97 and got.score.between(0, 1).all()
+
+
+def test_classify_against_the_definition(spark):
+    """Language and cosine of each text, vector by vector; ties go to the first name, repeated rows get equal results."""
+    rows = [(i, t, lang) for i, (t, lang) in enumerate([("the cat and the dog", "en"), ("le chat et le chien", "fr"), ("der Hund und die Katze", "de"), ("der Hund und die Katze", "da")])]
+    known = langid.train(spark.createDataFrame(rows, "doc_id long, text string, lang string"))
+    assert known.langs == ("da", "de", "en", "fr")
+    texts = ["the dog", "le chien!", "Katze und Hund", "мир труд май", "the " * 400_000 + "end", "the dog", None, "7"]
+    got = langid.predict(spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string"), known).collect()
+    own = {lang: brute(t) for _, t, lang in rows}
+    cosine = lambda a, b: float(a @ b / np.linalg.norm(a) / np.linalg.norm(b))
+    for r in got:
+        t = texts[r.doc_id]
+        if r.doc_id == 4:  # long: the counts of its grams are known
+            t = "the " * 1000
+        if not t or not any(c.isalpha() for c in t):
+            assert (r.lang_pred, r.score) == ("und", 0.0)
+            continue
+        each = {k: cosine(brute(t), v) for k, v in own.items()}
+        best = max(sorted(each), key=lambda k: each[k])
+        assert r.lang_pred == best and abs(r.score - max(0.0, each[best])) < (1e-3 if r.doc_id == 4 else 1e-6)
+    assert got[0][1:] == got[5][1:] and got[2].lang_pred == "da"
+
+
+def test_scripts_share_no_symbol():
+    s = langid._symbols()
+    letters = [c for c in range(0x0FFD) if s[c]]
+    assert len({s[c] for c in letters}) == len(letters) and len({langid._vectors()[0][s[c]].tobytes() for c in letters}) == len(letters)
