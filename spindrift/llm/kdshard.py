@@ -8,21 +8,24 @@ that holds it, over hash buckets of the groups, for several hashes of which the
 Only aggregates of at most (leaves x bins) rows are windowed, and split points (one for each inner node) joined back.
 
 A null text has size 1, as an empty one, and its text_crc32 is 0. Null metadata has coordinate 0. Rows with equal text
-share a shard, so repeated rows do; each has a slot of its own. An empty table gives an empty result. Columns that
-are not named are ignored.
+share a shard, so repeated rows do; each has a slot of its own. Of equally wide dimensions the first is split, of equally near cuts
+the first hash's. A text larger than a shard's share fills its shard alone. An empty table gives an empty result. Columns that
+are not named are ignored by `shard`; `place` keeps them.
 """
 
 from __future__ import annotations
 
+from functools import reduce
+
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
-from spindrift.llm.scratch import Scratch
+from spindrift.llm.scratch import Scratch, listed
 
 BINS, BUCKETS, HASHES = 1024, 4096, 8
-#: A shard's rows are numbered in so many parts at once.
-SLOT_PARTS = 256
+#: A shard's rows are numbered in so many parts at once, or more where parts would hold more rows than these.
+SLOT_PARTS, PART_ROWS = 256, 1 << 20
 
 
 def _hashed(c: Column) -> Column:
@@ -30,13 +33,14 @@ def _hashed(c: Column) -> Column:
     return F.when(c.isNull(), 0.0).otherwise(F.pmod(F.xxhash64(c.cast("string")), F.lit(1 << 20)) / float(1 << 20))
 
 
-def items(docs: DataFrame) -> DataFrame:
-    """doc_id, size, text_crc32, group hash and coordinates of each row; texts go no further."""
+def items(docs: DataFrame, *carry: str) -> DataFrame:
+    """Carried columns, doc_id, size, text_crc32, group hash and coordinates of each row; texts go no further."""
     text = F.coalesce(F.col("text").cast("string"), F.lit(""))
     size = F.octet_length(text).cast("long") + 1
     columns = {c.lower() for c in docs.columns}
     meta = [_hashed(F.col(c)) if c in columns else F.lit(0.0) for c in ("source", "lang")]
     return docs.select(
+        *carry,
         F.col("doc_id").cast("long").alias("doc_id"),
         size.alias("size"),
         F.crc32(text.cast("binary")).alias("text_crc32"),
@@ -58,10 +62,10 @@ def _crossing(sums: DataFrame, by: list[str], at: str, goal: Column) -> DataFram
 
 
 def leaves(points: DataFrame, shards: int, scratch: Scratch, dims: int = 3) -> DataFrame:
-    """(g, shard) of each point (g, w, c0..). Takes log2(shards) rounds, each over the points only."""
+    """(g, shard) of each point (g, w, c0..). Takes log2(shards) rounds, each over the points of nodes that are still to be split."""
     spread = points.agg(*(F.greatest(F.max(f"c{i}") - F.min(f"c{i}"), F.lit(1e-12)).alias(f"s{i}") for i in range(dims))).first()
     state = points.withColumn("lo", F.lit(0)).withColumn("k", F.lit(shards))
-    level, most = 0, shards
+    level, most, done = 0, shards, [state.where("k = 1")]
     while most > 1:
         open_ = state.where("k > 1")
         nodes = open_.groupBy("lo", "k").agg(F.sum("w").alias("total"), *(f(f"c{i}").alias(f"{n}{i}") for i in range(dims) for n, f in (("min", F.min), ("max", F.max))))
@@ -87,9 +91,10 @@ def leaves(points: DataFrame, shards: int, scratch: Scratch, dims: int = 3) -> D
         goes_left = (F.col("bin") < F.col("cut")) | ((F.col("bin") == F.col("cut")) & (bucket(F.col("salt")) <= F.coalesce("last", F.lit(BUCKETS))))
         moved = open_.join(splits, ["lo", "k"]).withColumn("bin", bin_).withColumn("is_left", goes_left)
         moved = moved.select("g", "w", *(f"c{i}" for i in range(dims)), F.when(F.col("is_left"), F.col("lo")).otherwise(F.col("lo") + left).alias("lo"), F.when(F.col("is_left"), left).otherwise(F.col("k") - left).alias("k"))
-        state = scratch.save(moved.unionByName(state.where("k = 1")))
+        state = scratch.save(moved)
+        done.append(state.where("k = 1"))
         level, most = level + 1, -(-most // 2)
-    return state.select("g", F.col("lo").alias("shard"))
+    return reduce(DataFrame.unionByName, done).select("g", F.col("lo").alias("shard"))
 
 
 def slots(rows: DataFrame, parts: int = SLOT_PARTS) -> DataFrame:
@@ -101,12 +106,24 @@ def slots(rows: DataFrame, parts: int = SLOT_PARTS) -> DataFrame:
     return parted.withColumn("rank", rank).join(before, ["shard", "part"]).withColumn("slot", F.col("before") + F.col("rank") - 1).drop("part", "rank", "before")
 
 
-def shard(docs: DataFrame, shards: int = 8, target_bytes: int | None = None) -> DataFrame:
-    """doc_id, size, text_crc32, shard and slot of every row; equal texts share a shard and shards hold near equal bytes."""
+def shard(docs: DataFrame, shards: int = 8, target_bytes: int | None = None, carry: tuple = ()) -> DataFrame:
+    """doc_id, size, text_crc32, shard, slot and carried columns of every row; equal texts share a shard and shards hold near equal bytes."""
     scratch = Scratch(docs.sparkSession, "kdshard")
-    rows = scratch.save(items(docs))
+    rows = scratch.save(items(docs, *carry))
     if target_bytes:
         shards = shards_for(rows, target_bytes)
     points = scratch.save(rows.groupBy("g").agg(F.sum("size").alias("w"), *(F.min(f"c{i}").alias(f"c{i}") for i in range(3))))
-    placed = rows.join(leaves(points, shards, scratch), "g").select("doc_id", "size", "text_crc32", "shard")
-    return slots(placed)
+    placed = rows.join(leaves(points, shards, scratch), "g").select("doc_id", "size", "text_crc32", "shard", *carry)
+    return slots(placed, max(SLOT_PARTS, -(-rows.count() // PART_ROWS)))
+
+
+def place(docs: DataFrame, shards: int = 8, target_bytes: int | None = None) -> DataFrame:
+    """All columns of every row, with its size, text_crc32, shard and slot; those replace columns of the same names.
+
+    Rows are told apart by numbers that are written with them once, so that reading them again gives the same; texts move only where the rows are too many to be listed.
+    """
+    added = ("size", "text_crc32", "shard", "slot")
+    scratch = Scratch(docs.sparkSession, "kdshard")
+    kept = scratch.save(docs.withColumn("__row", F.monotonically_increasing_id()))
+    found = scratch.save(shard(kept, shards, target_bytes, ("__row",)).select("__row", *added))
+    return kept.drop(*added).join(listed(found), "__row").drop("__row")
