@@ -150,18 +150,14 @@ def near_duplicates(docs: DataFrame, width: int = 3, radius: int = 2) -> DataFra
 
 
 #: Near-duplicate groups by similarity: words of a shingle, lanes of 64 bits, subsets of a document's shingles that give join keys, least mean size of a subset.
-SIMILAR_WIDTH, LANES, SUBSETS, MEMBERS = 5, 4, 16, 3
-#: Sets under this size have fewer bits in common, as their votes tie: they may differ in this share of the bits.
-FEW, FEW_APART = 64, 0.29
-
-
-def bits_apart(similarity: float, bits: int, deviations: float = 2.5) -> int:
-    """Bits in which fingerprints of two sets of that Jaccard similarity and equal size differ at most, but for chance: mean and deviations.
-
-    A bit differs with the probability of their angle over pi.
-    """
-    p = math.acos(2 * similarity / (1 + similarity)) / math.pi
-    return round(bits * p + deviations * math.sqrt(bits * p * (1 - p)))
+SIMILAR_WIDTH, LANES, SUBSETS, MEMBERS = 5, 4, 24, 2.5
+#: The level below which no text goes, 2^4 subsets in all.
+LEAST_LEVEL = 4
+#: Bits of all lanes in which fingerprints of candidates differ at most. At similarity 0.8 a bit differs with probability 0.15 (the angle over pi), at worst 0.19 (five
+#: shingles and four, whose votes tie): 39 or 48 of 256 bits, with deviations of 6, so the bound is 5 deviations or more away at any size. Unrelated texts differ in 128.
+APART = 80
+#: Salts over which the pairs of one class are dealt when its shingle set meets them.
+SALTS = 64
 
 
 def _mixed(h: np.ndarray) -> np.ndarray:
@@ -176,7 +172,12 @@ def sketch(text: str | None, width: int = SIMILAR_WIDTH, similarity: float = 0.8
     least size that is still similar has the level below, that one is given too.
     """
     parts = [np.fromiter((xxhash.xxh64_intdigest(x, 42) for x in part), np.uint64) for part in shingles(text, width)]
-    h = np.unique(np.concatenate(parts)) if parts else np.zeros(0, np.uint64)
+    return sketch_of(np.concatenate(parts) if parts else np.zeros(0, np.uint64), similarity)
+
+
+def sketch_of(hashes: np.ndarray, similarity: float = 0.8) -> tuple[list[int], int, int, list[tuple[int, list[int]]]]:
+    """The sketch of a text with these shingle hashes, repeats included."""
+    h = np.unique(hashes)
     n = len(h)
     votes = np.zeros(BITS * LANES, np.int64)
     for at in range(0, n, 1 << 14):
@@ -186,7 +187,7 @@ def sketch(text: str | None, width: int = SIMILAR_WIDTH, similarity: float = 0.8
     with np.errstate(over="ignore"):
         whole = int(mixed.sum(dtype=np.uint64).view(np.int64))
         levels = []
-        level = lambda size: max(int(math.log2(SUBSETS)), int(math.log2(max(1, size) / MEMBERS)))
+        level = lambda size: max(LEAST_LEVEL, int(math.log2(max(1, size) / MEMBERS)))
         for k in sorted({level(n), level(n * similarity)}) if n else []:
             subset = h & np.uint64((1 << k) - 1)
             sums = np.zeros(SUBSETS, np.uint64)
@@ -232,8 +233,7 @@ def _near(similarity: float) -> Column:
     for i in range(1, LANES):
         apart = apart + F.bit_count(F.col(f"a.f{i}").bitwiseXOR(F.col(f"b.f{i}")))
     sizes = (F.col("a.n") >= F.col("b.n") * similarity) & (F.col("b.n") >= F.col("a.n") * similarity)
-    most = F.when(F.least("a.n", "b.n") < FEW, round(BITS * LANES * FEW_APART)).otherwise(bits_apart(similarity, BITS * LANES))
-    return sizes & (apart <= most)
+    return sizes & (apart <= APART)
 
 
 def star_pairs(classes: DataFrame, similarity: float) -> DataFrame:
@@ -294,10 +294,14 @@ def sets_of(ids: DataFrame, classes: DataFrame, docs: DataFrame, width: int, scr
 
 def verified(pairs: DataFrame, classes: DataFrame, docs: DataFrame, similarity: float, width: int, scratch: Scratch) -> DataFrame:
     """The pairs whose shingle sets have that Jaccard similarity."""
-    ids = pairs.select(F.col("a").alias("id")).unionByName(pairs.select(F.col("b").alias("id"))).distinct()
+    salt = lambda c: F.pmod(F.xxhash64(c), F.lit(SALTS)).cast("int")
+    salted = scratch.save(pairs.select("a", "b", salt("b").alias("salt_a"), salt("a").alias("salt_b")))
+    ids = salted.select(F.col("a").alias("id")).unionByName(salted.select(F.col("b").alias("id"))).distinct()
     sets = sets_of(ids, classes, docs, width, scratch)
-    a, b = sets.select(F.col("id").alias("a"), F.col("members").alias("ma")), sets.select(F.col("id").alias("b"), F.col("members").alias("mb"))
-    return scratch.save(pairs.join(a, "a").join(b, "b").where(alike(F.col("ma"), F.col("mb"), similarity)).select("a", "b"))
+    # a class of very many pairs brings its set once for each salt in use, so no task has all of its pairs
+    side = lambda c: salted.select(c, f"salt_{c}").distinct().join(sets.select(F.col("id").alias(c), F.col("members").alias(f"set_{c}")), c)
+    met = salted.join(side("b"), ["b", "salt_b"]).join(side("a"), ["a", "salt_a"])
+    return scratch.save(met.where(alike(F.col("set_a"), F.col("set_b"), similarity)).select("a", "b"))
 
 
 def superseded(docs: DataFrame, width: int = SIMILAR_WIDTH, similarity: float = 0.8) -> tuple[DataFrame, bool]:

@@ -3,6 +3,9 @@ import re
 import zlib
 from collections import Counter
 
+import numpy as np
+import xxhash
+
 import corpus_pipeline as cp
 from spindrift.llm import langid, mixing, simhash
 from spindrift.llm.scratch import Scratch
@@ -147,6 +150,21 @@ def test_empty_table(spark):
         assert docs.count() == 0
 
 
-def test_expected_bits():
-    assert simhash.bits_apart(0.8, 256, 0) == 39 and simhash.bits_apart(1.0, 256) == 0
+def test_candidates_lose_no_pair_over_the_threshold():
+    """Sets of similarity 0.80 to 0.82, of many sizes: how many share a key, and how many fingerprints are near enough."""
+    rng = random.Random(8)
+    pairs = missed = far = 0
+    for n in (5, 6, 9, 14, 30, 60, 79, 95, 130, 300, 760, 1500):
+        for _ in range(60 if n < 500 else 20):
+            gone = int(n * (1 - 0.8) / (1 + 0.8) + 1e-9) if n > 6 else 1 if rng.random() < 0.5 else 0
+            words = [f"w{rng.getrandbits(40)}" for _ in range(n + gone + 4)]
+            a = {" ".join(words[i : i + 5]) for i in range(n)}
+            b = {" ".join(words[i : i + 5]) for i in range(gone, n)} if n <= 6 else set(list(a)[: n - gone]) | {f"x{rng.getrandbits(40)} {i}" for i in range(gone)}
+            if len(a & b) < 0.8 * len(a | b) - 1e-9:
+                continue
+            found = [simhash.sketch_of(np.array([xxhash.xxh64_intdigest(x, 42) for x in s], np.uint64)) for s in (a, b)]
+            keys = [{(k, i, v) for k, level in f[3] for i, v in enumerate(level) if v} for f in found]
+            apart = sum(((x ^ y) & (1 << 64) - 1).bit_count() for x, y in zip(found[0][0], found[1][0], strict=True))
+            pairs, missed, far = pairs + 1, missed + (not keys[0] & keys[1]), far + (apart > simhash.APART)
+    assert pairs > 400 and far == 0 and missed <= 0.01 * pairs
     assert langid.UND == "und"
