@@ -23,10 +23,14 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from spindrift.llm.arrow import lean, sliced
+
 PCM, ALAW, MULAW, IMA = 1, 6, 7, 0x11
 UNIT, PIECE = 64, 1 << 20
 #: ADPCM blocks that are decoded at once.
 IMA_BLOCKS = 1 << 12
+#: Recordings that are decoded at once.
+TOGETHER = 64
 
 
 @cache
@@ -191,7 +195,7 @@ def decode_column(media: DataFrame, column: str, rate: int = 16000) -> DataFrame
     """`media` with pcm: the binary column's recordings as resampled PCM WAV. Null and broken recordings: null."""
 
     def decode(blobs: pa.Array) -> pa.Array:
-        return pa.array([x for k in range(0, len(blobs), UNIT) for x in to_pcm(blobs[k : k + UNIT].to_pylist(), rate)], pa.binary())
+        return pa.array([x for k in range(0, len(blobs), TOGETHER) for x in to_pcm(blobs[k : k + TOGETHER].to_pylist(), rate)], pa.binary())
 
     return media.withColumn("pcm", F.arrow_udf(decode, "binary")(F.col(column)))
 
@@ -219,14 +223,12 @@ def store(texts: DataFrame, forms: tuple = (MULAW, ALAW, IMA)) -> DataFrame:
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
-            for k in range(0, b.num_rows, UNIT):
-                part = b.slice(k, UNIT)
-                raw = [(t or "").encode("utf-8", "replace") for t in part.column(1).to_pylist()]
-                media = [recording(x + bytes(max(UNIT, -(-len(x) // UNIT) * UNIT) - len(x)), forms) for x in raw]
-                yield pa.RecordBatch.from_arrays([part.column(0), pa.array([len(x) for x in raw], pa.int64()), pa.array(media, pa.binary())], names=["doc_id", "n_bytes", "media"])
+            raw = [(t or "").encode("utf-8", "replace") for t in b.column(1).to_pylist()]
+            media = [recording(x + bytes(max(UNIT, -(-len(x) // UNIT) * UNIT) - len(x)), forms) for x in raw]
+            yield pa.RecordBatch.from_arrays([b.column(0), pa.array([len(x) for x in raw], pa.int64()), pa.array(media, pa.binary())], names=["doc_id", "n_bytes", "media"])
 
     rows = texts.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text"))
-    return rows.mapInArrow(run, "doc_id long, n_bytes long, media binary")
+    return rows.mapInArrow(lean(run), "doc_id long, n_bytes long, media binary")
 
 
 def digests(stored: DataFrame) -> DataFrame:
@@ -236,8 +238,7 @@ def digests(stored: DataFrame) -> DataFrame:
         names = ["doc_id", "n_bytes", "payload_bytes", "payload_sha256", "tail_crc32", "media_bytes", "media_sha256", "feature"]
         kinds = [pa.int64(), pa.string(), pa.int64(), pa.int64(), pa.string(), pa.string()]
         for b in batches:
-            for k in range(0, b.num_rows, UNIT):
-                part = b.slice(k, UNIT)
+            for part in sliced([b], TOGETHER):
                 blobs = part.column(2).to_pylist()
                 rows = []
                 for blob, pcm in zip(blobs, to_pcm(blobs), strict=True):
@@ -245,4 +246,4 @@ def digests(stored: DataFrame) -> DataFrame:
                     rows.append((len(data), hashlib.sha256(data).hexdigest(), zlib.crc32(data[-UNIT:]), len(blob), hashlib.sha256(blob).hexdigest(), features(pcm)))
                 yield pa.RecordBatch.from_arrays([part.column(0), part.column(1), *(pa.array(c, t) for c, t in zip(zip(*rows, strict=True), kinds, strict=True))], names=names)
 
-    return stored.mapInArrow(run, "doc_id long, n_bytes long, payload_bytes long, payload_sha256 string, tail_crc32 long, media_bytes long, media_sha256 string, feature string")
+    return stored.mapInArrow(lean(run), "doc_id long, n_bytes long, payload_bytes long, payload_sha256 string, tail_crc32 long, media_bytes long, media_sha256 string, feature string")

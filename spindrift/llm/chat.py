@@ -25,6 +25,8 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from spindrift.llm.arrow import lean
+
 TURN, SAYS, END = "<|turn|>", "<|says|>", "<|end|>"
 #: Control strings of this template and of common others; texts may hold any of them.
 CONTROL = (TURN, SAYS, END, "<|endoftext|>", "<s>", "</s>", "[INST]", "[/INST]")
@@ -149,7 +151,7 @@ def format_chats(turns: DataFrame, vocabulary_path: str = VOCABULARY) -> DataFra
 
     rows = turns.select(F.col("conv_id").cast("long").alias("conv_id"), "turn", *(F.coalesce(F.col(c).cast("string"), F.lit("")).alias(c) for c in ("role", "text")))
     ordered = rows.repartition("conv_id").sortWithinPartitions("conv_id", "turn", "role", "text")
-    return ordered.select("conv_id", "role", "text").mapInArrow(run, SCHEMA)
+    return ordered.select("conv_id", "role", "text").mapInArrow(lean(run), SCHEMA)
 
 
 def masked_text(formatted: str, starts: np.ndarray, ends: np.ndarray, loss: np.ndarray) -> Iterator[str]:
@@ -187,4 +189,4 @@ def digests(formatted: DataFrame) -> DataFrame:
                 rows = [one(text.as_py(), *(x.values.to_numpy(zero_copy_only=False) for x in spans)) for text, *spans in cells]
                 yield pa.RecordBatch.from_arrays([b.column("conv_id"), *(pa.array(c, k) for c, k in zip(zip(*rows, strict=True), kinds, strict=True))], names=names)
 
-    return formatted.mapInArrow(run, DIGEST)
+    return formatted.mapInArrow(lean(run), DIGEST)

@@ -32,6 +32,7 @@ import xxhash
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from spindrift.llm.arrow import lean
 from spindrift.llm.scratch import Scratch
 from spindrift.llm.urlrep import host_of
 
@@ -272,7 +273,7 @@ def tokens(pages: DataFrame) -> DataFrame:
             yield flush()
 
     schema = "host string, token long, kind int, parent long, " + ", ".join(f"{x} long" for x in (*_SUMS, "bits"))
-    return _added(pages.mapInArrow(run, schema), "host")
+    return _added(pages.mapInArrow(lean(run), schema), "host")
 
 
 def _added(found: DataFrame, *by: str) -> DataFrame:
@@ -368,9 +369,7 @@ def extract(pages: DataFrame, broadcast_hosts: int = 20_000, names: bool = True)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
-            for k in range(0, b.num_rows, 256):
-                part = b.slice(k, 256)
-                texts = [main_text(parse(s), tuple(m or ()), frozenset(r or ()), names) for s, m, r in zip(*(c.to_pylist() for c in part.columns[2:]), strict=True)]
-                yield pa.RecordBatch.from_arrays([*part.columns[:2], pa.array(texts, pa.string())], names=["page_id", "url", "text"])
+            texts = [main_text(parse(s), tuple(m or ()), frozenset(r or ()), names) for s, m, r in zip(*(c.to_pylist() for c in b.columns[2:]), strict=True)]
+            yield pa.RecordBatch.from_arrays([*b.columns[:2], pa.array(texts, pa.string())], names=["page_id", "url", "text"])
 
-    return joined.select("page_id", "url", "html", "mains", "repeated").mapInArrow(run, "page_id long, url string, text string")
+    return joined.select("page_id", "url", "html", "mains", "repeated").mapInArrow(lean(run), "page_id long, url string, text string")

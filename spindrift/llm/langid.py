@@ -18,11 +18,12 @@ from dataclasses import dataclass
 from functools import cache
 
 import numpy as np
-import pandas as pd
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from spindrift.llm.arrow import ROWS, lean, release
+
 #: Dimension of all vectors; symbols that letters map to (0: what is no letter); characters read at a time; texts bundled at a time.
 DIM, SYMBOLS, BLOCK, TEXTS = 1024, 4096, 1 << 20, 64
 _SHIFT = SYMBOLS.bit_length() - 1
@@ -34,7 +35,7 @@ def _symbols() -> np.ndarray:
     """Symbol of each code point: 0 for non-letters, else 1 + code point modulo 4093, so that no two letters of the alphabets below U+0FFD share one."""
     points = np.arange(0x110000)
     letter = np.fromiter((chr(c).isalpha() for c in range(0x110000)), bool, 0x110000)
-    return np.where(letter, 1 + points % 4093, 0).astype(np.int64)
+    return np.where(letter, 1 + points % 4093, 0).astype(np.int16)
 
 
 @cache
@@ -53,15 +54,16 @@ def bind(codes: np.ndarray) -> np.ndarray:
 
 def grams(text: str | None, block: int = BLOCK) -> Iterator[np.ndarray]:
     """Codes of the 3-grams of the lower-cased letters, other runs as one space, block by block."""
-    kept = np.zeros(1, np.int64)
+    kept = np.zeros(1, np.int16)
     some = False
     size = len(text or "")
     for at in range(0, size, block):
         raw = text[at : at + block].lower().encode("utf-32-le", "surrogatepass")
-        s = np.concatenate([kept, _symbols()[np.frombuffer(raw, np.uint32)], np.zeros(int(at + block >= size), np.int64)])
+        s = np.concatenate([kept, _symbols()[np.frombuffer(raw, np.uint32)], np.zeros(int(at + block >= size), np.int16)])
         some = some or bool(s.any())
         s = s[np.concatenate([[True], (s[1:] != 0) | (s[:-1] != 0)])]
         if some and len(s) > 2:
+            s = s.astype(np.int64)
             yield (s[:-2] << 2 * _SHIFT) | (s[1:-1] << _SHIFT) | s[2:]
         kept = s[-2:]
 
@@ -77,8 +79,8 @@ def bundles(texts: list[str | None]) -> tuple[np.ndarray, np.ndarray]:
             rows, of = np.unique([i for i, _, _ in held], return_inverse=True)
             counts = np.zeros((len(rows), len(codes)), np.float32)
             np.add.at(counts, (np.repeat(of, [len(c) for _, c, _ in held]), place), np.concatenate([n for _, _, n in held]))
-            for k in range(0, len(codes), 1 << 14):
-                out[rows] += counts[:, k : k + (1 << 14)] @ bind(codes[k : k + (1 << 14)]).astype(np.float32)
+            for k in range(0, len(codes), 4096):
+                out[rows] += counts[:, k : k + 4096] @ bind(codes[k : k + 4096]).astype(np.float32)
             held.clear()
 
     for i, text in enumerate(texts):
@@ -124,13 +126,13 @@ def train(docs: DataFrame) -> Prototypes:
         for lang in sorted(seen):
             merge(lang)
             codes, n = seen[lang][0]
-            total = sum(n[k : k + 4096] @ bind(codes[k : k + 4096]).astype(np.int64) for k in range(0, len(codes), 4096))
+            total = sum(n[k : k + 1024] @ bind(codes[k : k + 1024]).astype(np.int64) for k in range(0, len(codes), 1024))
             yield pa.RecordBatch.from_arrays(
                 [pa.array([lang] * DIM), pa.array(np.arange(DIM, dtype=np.int32)), pa.array(total)], names=["lang", "at", "v"]
             )
 
     rows = docs.where("text is not null and lang is not null").select(F.col("lang").cast("string").alias("lang"), F.col("text").cast("string").alias("text"))
-    sums = rows.mapInArrow(run, "lang string, at int, v long").groupBy("lang", "at").agg(F.sum("v").alias("v")).toPandas()
+    sums = rows.mapInArrow(lean(run), "lang string, at int, v long").groupBy("lang", "at").agg(F.sum("v").alias("v")).toPandas()
     wide = sums.pivot(index="lang", columns="at", values="v").sort_index()
     return Prototypes(tuple(wide.index), wide.to_numpy(np.float64) if len(wide) else np.zeros((0, DIM)))
 
@@ -152,24 +154,24 @@ def predict(docs: DataFrame, known: Prototypes, carry: list[str] = ["doc_id"]) -
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
-            for k in range(0, b.num_rows, 256):
-                part = b.slice(k, 256)
-                langs, score = classify(part.column(0).to_pylist(), known)
-                yield pa.RecordBatch.from_arrays([*part.columns[1:], pa.array(langs), pa.array(score)], names=[*carry, "lang_pred", "score"])
+            langs, score = classify(b.column(0).to_pylist(), known)
+            yield pa.RecordBatch.from_arrays([*b.columns[1:], pa.array(langs), pa.array(score)], names=[*carry, "lang_pred", "score"])
 
     rows = docs.select(F.col("text").cast("string").alias("__text"), *carry)
     schema = ", ".join([*(f"`{f.name}` {f.dataType.simpleString()}" for f in rows.schema.fields[1:]), "lang_pred string", "score double"])
-    return rows.mapInArrow(run, schema)
+    return rows.mapInArrow(lean(run), schema)
 
 
 def column(text: Column, known: Prototypes) -> Column:
     """struct<lang_pred, score> of a text column; only the texts go to Python."""
-    def run(texts: pd.Series) -> pd.DataFrame:
-        cells = [t if isinstance(t, str) else None for t in texts]
-        parts = [classify(cells[k : k + 256], known) for k in range(0, len(cells), 256)]
-        return pd.DataFrame({"lang_pred": [x for p in parts for x in p[0]], "score": [float(x) for p in parts for x in p[1]]})
 
-    return F.pandas_udf(run, "lang_pred string, score double")(text)
+    def run(texts: pa.Array) -> pa.Array:
+        parts = [classify(texts[k : k + ROWS].to_pylist(), known) for k in range(0, len(texts), ROWS)]
+        langs, scores = pa.array([x for p in parts for x in p[0]], pa.string()), pa.array([float(x) for p in parts for x in p[1]], pa.float64())
+        release()
+        return pa.StructArray.from_arrays([langs, scores], names=["lang_pred", "score"])
+
+    return F.arrow_udf(run, "lang_pred string, score double")(text)
 
 
 def held_out(doc_id: Column) -> Column:

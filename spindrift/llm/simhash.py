@@ -25,6 +25,7 @@ import xxhash
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from spindrift.llm.arrow import lean
 from spindrift.llm.components import components
 from spindrift.llm.scratch import Scratch, listed
 from spindrift.llm.words import shingles
@@ -79,7 +80,7 @@ def fingerprints(docs: DataFrame, width: int = 3, lanes: int = 1, as_set: bool =
             )
 
     ids = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text"))
-    return ids.mapInArrow(run, "doc_id long, " + ", ".join(f"f{i} long" for i in range(lanes)))
+    return ids.mapInArrow(lean(run), "doc_id long, " + ", ".join(f"f{i} long" for i in range(lanes)))
 
 
 def pivots(blocks: int = BLOCKS, per_block: int = PER_BLOCK, seed: int = 7) -> list[list[int]]:
@@ -217,7 +218,7 @@ def sketches(docs: DataFrame, width: int = SIMILAR_WIDTH, similarity: float = 0.
 
     rows = docs.select(F.col("doc_id").cast("long").alias("doc_id"), text_key(F.col("text").cast("string")).alias("text_key"), F.col("text").cast("string").alias("text"))
     schema = f"doc_id long, text_key long, {', '.join(f'{f} long' for f in lanes)}, n long, whole long, levels array<struct<level:int,subsets:array<bigint>>>"
-    return rows.mapInArrow(run, schema)
+    return rows.mapInArrow(lean(run), schema)
 
 
 def _keyed(classes: DataFrame, *more: str) -> DataFrame:
@@ -273,7 +274,7 @@ def shingle_sets(docs: DataFrame, width: int) -> DataFrame:
                 found.append(np.unique(np.concatenate(parts)).view(np.int32) if parts else np.zeros(0, np.int32))
             yield pa.RecordBatch.from_arrays([*b.columns[:2], pa.array(found, pa.list_(pa.int32()))], names=["doc_id", "text_key", "members"])
 
-    return docs.mapInArrow(run, "doc_id long, text_key long, members array<int>")
+    return docs.mapInArrow(lean(run), "doc_id long, text_key long, members array<int>")
 
 
 def alike(a: Column, b: Column, similarity: float) -> Column:
