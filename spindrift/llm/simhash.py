@@ -151,7 +151,7 @@ def near_duplicates(docs: DataFrame, width: int = 3, radius: int = 2) -> DataFra
 
 
 #: Near-duplicate groups by similarity: words of a shingle, lanes of 64 bits, subsets of a document's shingles that give join keys, least mean size of a subset.
-SIMILAR_WIDTH, LANES, SUBSETS, MEMBERS = 5, 4, 24, 2.5
+SIMILAR_WIDTH, LANES, SUBSETS, MEMBERS = 5, 4, 16, 2
 #: The level below which no text goes, 2^4 subsets in all.
 LEAST_LEVEL = 4
 #: Bits of all lanes in which fingerprints of candidates differ at most. At similarity 0.8 a bit differs with probability 0.15 (the angle over pi), at worst 0.19 (five
