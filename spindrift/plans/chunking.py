@@ -23,7 +23,7 @@ def chunks_tokens(spark, sf_dir):
     return c.select("doc_id", F.col("n").cast("bigint").alias("n"), (F.col("b") - F.col("a")).cast("bigint").alias("n_sentences"), "tokens")
 
 
-@query("chunks_chars", r"""WITH RECURSIVE s AS (SELECT doc_id, i, ss[i] AS s, length(ss[i]) AS len FROM (SELECT doc_id, string_split(regexp_replace(text, '([.!?])\s+', '\1' || chr(31), 'g'), chr(31)) AS ss FROM documents WHERE doc_id < 300), unnest(range(1, len(ss) + 1)) AS u(i)),
+@query("chunks_chars", r"""WITH RECURSIVE s AS (SELECT doc_id, i, ss[i] AS s, length(ss[i]) AS len FROM (SELECT doc_id, string_split(regexp_replace(text, '([.!?])\s+', '\1' || chr(31), 'g'), chr(31)) AS ss FROM documents), unnest(range(1, len(ss) + 1)) AS u(i)),
 f AS (SELECT doc_id, 1::BIGINT AS i, len + 1 AS used, 0::BIGINT AS n, [len] AS cur FROM s WHERE i = 1
 UNION ALL SELECT doc_id, i, CASE WHEN cut THEN coalesce(list_sum(kept), 0) ELSE used END + len + 1, CASE WHEN cut THEN n + 1 ELSE n END, list_append(CASE WHEN cut THEN kept ELSE cur END, len) FROM (
 SELECT f.doc_id, s.i, used, n, cur, s.len, used + s.len + 1 > 400 AS cut, list_filter(cur, lambda x, k: list_sum(cur[k:]) < 60) AS kept FROM f JOIN s ON s.doc_id = f.doc_id AND s.i = f.i + 1))

@@ -42,7 +42,7 @@ def semantic_features(spark, sf_dir):
     return documents(spark, sf_dir).select("doc_id", f["word_count"].cast("bigint").alias("word_count"), F.round(f["lexical_diversity"], 6).alias("diversity"), f["sentence_count"].cast("bigint").alias("sentence_count"), F.round(f["numbers_density"], 6).alias("numbers_density"), F.round(f["semantic_complexity"], 6).alias("complexity"))
 
 
-@query("ngram_terms", r"""WITH t AS (SELECT doc_id, regexp_replace(regexp_replace(lower(regexp_replace(text, '^\s+|\s+$', '', 'g')), '[^\p{L}\p{N}_\s.,!?%-]', ' ', 'g'), '\s+', ' ', 'g') AS bare FROM documents WHERE doc_id < 200),
+@query("ngram_terms", r"""WITH t AS (SELECT doc_id, regexp_replace(regexp_replace(lower(regexp_replace(text, '^\s+|\s+$', '', 'g')), '[^\p{L}\p{N}_\s.,!?%-]', ' ', 'g'), '\s+', ' ', 'g') AS bare FROM documents),
 w AS (SELECT doc_id, bare, list_filter(regexp_split_to_array(bare, '\s+'), lambda x: length(x) >= 3 AND x NOT IN ('the','a','an','and','or','but','in','on','at','to','for','of','with','by','is','are','was','were','be','been','have','has','had','do','does','did','will','would','could','should')) AS w FROM t),
 g AS (SELECT doc_id, CASE WHEN len(w) = 0 THEN [left(bare, 20)] WHEN len(w) < 3 THEN w ELSE list_concat(list_transform(range(1, len(w) - 1), lambda i: array_to_string(w[i:i+2], ' ')), list_filter(w, lambda x: length(x) >= 6 OR regexp_matches(x, '(?i)\b(rechtsschutz|versicherung|klausel|bedingung|haftung|leistung|erstattung|zahlung|deckung|schutz|arzt|behandlung|krankenhaus|medizin|therapie|ausschluss|nicht|kein|ohne|ausgenommen)\b|\d+'))) END AS g FROM w)
 SELECT doc_id, len(list_distinct(g))::BIGINT AS terms, md5(array_to_string(list_sort(list_transform(list_distinct(g), lambda x: md5(x))), ',')) AS digest FROM g""")

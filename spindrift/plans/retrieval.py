@@ -20,8 +20,9 @@ tf AS (SELECT id, len(toks) AS dl, term, count(*) AS tf FROM (SELECT id, toks, u
 sc AS (SELECT qid, id, sum(CASE WHEN idf < 0 THEN f ELSE idf END * times * tf * 2.5 / (tf + 1.5 * (0.25 + 0.75 * dl / avgdl))) AS score FROM tf JOIN idf USING (term) JOIN qt USING (term), size, fl GROUP BY qid, id),
 bm AS (SELECT q.qid, t.id, coalesce(score, 0.0) AS score FROM q CROSS JOIN t LEFT JOIN sc ON sc.qid = q.qid AND sc.id = t.id)"""
 RANKED = "row_number() OVER (PARTITION BY qid ORDER BY round(score, 9) DESC, id)"
-Q3 = "q AS (SELECT item_id AS qid, text FROM benchmark WHERE item_id < 3)"
-DENSE = "dn AS (SELECT a.vec_id AS qid, b.vec_id AS id, list_inner_product(a.embedding::DOUBLE[], b.embedding::DOUBLE[]) / (sqrt(list_inner_product(a.embedding::DOUBLE[], a.embedding::DOUBLE[])) * sqrt(list_inner_product(b.embedding::DOUBLE[], b.embedding::DOUBLE[]))) AS score FROM embeddings a, embeddings b WHERE a.vec_id < 3)"
+#: Queries are every item, or vector, whose id is divisible by 20, against all documents or vectors.
+ASKED = "q AS (SELECT item_id AS qid, text FROM benchmark WHERE item_id % 20 = 0)"
+DENSE = "dn AS (SELECT a.vec_id AS qid, b.vec_id AS id, list_inner_product(a.embedding::DOUBLE[], b.embedding::DOUBLE[]) / (sqrt(list_inner_product(a.embedding::DOUBLE[], a.embedding::DOUBLE[])) * sqrt(list_inner_product(b.embedding::DOUBLE[], b.embedding::DOUBLE[]))) AS score FROM embeddings a, embeddings b WHERE a.vec_id % 20 = 0)"
 TOPS = f"b12 AS (SELECT qid, id, score, {RANKED} AS rank FROM bm QUALIFY rank <= 12), d8 AS (SELECT qid, id, score, {RANKED} AS rank FROM dn QUALIFY rank <= 8)"
 
 
@@ -29,7 +30,7 @@ def chunks(spark, sf_dir):
     return documents(spark, sf_dir).select(F.col("doc_id").alias("id"), "text")
 
 
-def asked(spark, sf_dir, which="item_id < 3"):
+def asked(spark, sf_dir, which="item_id % 20 = 0"):
     return table(spark, sf_dir, "benchmark").where(which).select(F.col("item_id").alias("qid"), "text")
 
 
@@ -37,7 +38,7 @@ def vectors(spark, sf_dir):
     return table(spark, sf_dir, "embeddings").select(F.col("vec_id").alias("id"), F.col("embedding").alias("vec"), "label")
 
 
-def asked_vectors(spark, sf_dir, which="id < 3"):
+def asked_vectors(spark, sf_dir, which="id % 20 = 0"):
     return vectors(spark, sf_dir).where(which).select(F.col("id").alias("qid"), "vec")
 
 
@@ -69,14 +70,14 @@ def dense_retrieve(spark, sf_dir):
     return hits.join(table(spark, sf_dir, "documents").where("lang = 'en'").select(F.col("doc_id").alias("id"), "source"), "id").select("qid", "id", F.round("score", 6).alias("score"), "source")
 
 
-def lists(spark, sf_dir, vecs="id < 3", items="item_id < 3"):
-    return R.dense(vectors(spark, sf_dir), asked_vectors(spark, sf_dir, vecs), 8), R.bm25(chunks(spark, sf_dir), asked(spark, sf_dir, items), 12)
+def lists(spark, sf_dir):
+    return R.dense(vectors(spark, sf_dir), asked_vectors(spark, sf_dir), 8), R.bm25(chunks(spark, sf_dir), asked(spark, sf_dir), 12)
 
 
 RRF = "rf AS (SELECT qid, id, sum(1.0 / (60 + rank)) AS score, min((list, rank)) AS first FROM (SELECT qid, id, rank, 0 AS list FROM d8 UNION ALL SELECT qid, id, rank, 1 FROM b12) GROUP BY qid, id)"
 
 
-@query("rrf_hybrid", f"WITH {Q3}, {BM25}, {DENSE}, {TOPS}, {RRF} SELECT qid, id, round(score, 6) AS score, row_number() OVER (PARTITION BY qid ORDER BY round(score, 12) DESC, first) AS rank FROM rf QUALIFY rank <= 5")
+@query("rrf_hybrid", f"WITH {ASKED}, {BM25}, {DENSE}, {TOPS}, {RRF} SELECT qid, id, round(score, 6) AS score, row_number() OVER (PARTITION BY qid ORDER BY round(score, 12) DESC, first) AS rank FROM rf QUALIFY rank <= 5")
 def rrf_hybrid(spark, sf_dir):
     """Five best of dense and lexical hits by reciprocal ranks."""
     return R.rrf(list(lists(spark, sf_dir))).where("rank <= 5").select("qid", "id", F.round("score", 6).alias("score"), "rank")
@@ -85,7 +86,7 @@ def rrf_hybrid(spark, sf_dir):
 _MM = "SELECT qid, id, (score - min(score) OVER (PARTITION BY qid)) / CASE WHEN max(score) OVER (PARTITION BY qid) = min(score) OVER (PARTITION BY qid) THEN 1e-8 ELSE max(score) OVER (PARTITION BY qid) - min(score) OVER (PARTITION BY qid) END AS s FROM"
 
 
-@query("weighted_hybrid", f"WITH {Q3}, {BM25}, {DENSE}, {TOPS}, a AS ({_MM} d8), b AS ({_MM} b12), f AS (SELECT coalesce(a.qid, b.qid) AS qid, coalesce(a.id, b.id) AS id, 0.5 * coalesce(a.s, 0) + 0.5 * coalesce(b.s, 0) AS score FROM a FULL JOIN b ON a.qid = b.qid AND a.id = b.id) SELECT qid, id, round(score, 6) AS score, {RANKED} AS rank FROM f QUALIFY rank <= 5")
+@query("weighted_hybrid", f"WITH {ASKED}, {BM25}, {DENSE}, {TOPS}, a AS ({_MM} d8), b AS ({_MM} b12), f AS (SELECT coalesce(a.qid, b.qid) AS qid, coalesce(a.id, b.id) AS id, 0.5 * coalesce(a.s, 0) + 0.5 * coalesce(b.s, 0) AS score FROM a FULL JOIN b ON a.qid = b.qid AND a.id = b.id) SELECT qid, id, round(score, 6) AS score, {RANKED} AS rank FROM f QUALIFY rank <= 5")
 def weighted_hybrid(spark, sf_dir):
     """Five best of dense and lexical hits by weighted scores."""
     d, b = lists(spark, sf_dir)
@@ -97,8 +98,8 @@ def mmr(spark, sf_dir):
     """Hybrid hits of every 20th vector and item, diversified: first max(4k, k + 5) by reciprocal ranks, then a greedy choice of k."""
     k = 5
     v = vectors(spark, sf_dir)
-    hits = R.rrf(list(lists(spark, sf_dir, "id % 20 = 0", "item_id % 20 = 0"))).where(F.col("rank") <= max(4 * k, k + 5))
-    found = hits.join(v.select("id", "vec"), "id").join(asked_vectors(spark, sf_dir, "id % 20 = 0").withColumnRenamed("vec", "qvec"), "qid")
+    hits = R.rrf(list(lists(spark, sf_dir))).where(F.col("rank") <= max(4 * k, k + 5))
+    found = hits.join(v.select("id", "vec"), "id").join(asked_vectors(spark, sf_dir).withColumnRenamed("vec", "qvec"), "qid")
     return R.mmr(found, k)
 
 
@@ -140,11 +141,11 @@ def keyword_overlap(spark, sf_dir):
     return d.where("score > 0.1").orderBy(F.col("score").desc(), "doc_id").limit(4).select("doc_id", F.round("score", 6).alias("score"))
 
 
-@query("retrieve_union", f"WITH q AS (SELECT item_id * 2 + x AS qid, item_id, CASE x WHEN 0 THEN text ELSE 'overview of ' || left(text, 60) END AS text FROM benchmark, (VALUES (0), (1)) AS v(x) WHERE item_id < 2), {BM25}, b AS (SELECT qid, id, {RANKED} AS rank FROM bm QUALIFY rank <= 8), f AS (SELECT q.item_id, id, sum(1.0 / (60 + rank)) AS score, min((b.qid, rank)) AS first FROM b JOIN q ON q.qid = b.qid GROUP BY 1, 2) SELECT item_id, id, round(score, 6) AS score, row_number() OVER (PARTITION BY item_id ORDER BY round(score, 12) DESC, first) AS rank FROM f QUALIFY rank <= 6")
+@query("retrieve_union", f"WITH q AS (SELECT item_id * 2 + x AS qid, item_id, CASE x WHEN 0 THEN text ELSE 'overview of ' || text END AS text FROM benchmark, (VALUES (0), (1)) AS v(x) WHERE item_id % 20 = 0), {BM25}, b AS (SELECT qid, id, {RANKED} AS rank FROM bm QUALIFY rank <= 8), f AS (SELECT q.item_id, id, sum(1.0 / (60 + rank)) AS score, min((b.qid, rank)) AS first FROM b JOIN q ON q.qid = b.qid GROUP BY 1, 2) SELECT item_id, id, round(score, 6) AS score, row_number() OVER (PARTITION BY item_id ORDER BY round(score, 12) DESC, first) AS rank FROM f QUALIFY rank <= 6")
 def retrieve_union(spark, sf_dir):
     """Hits of a focused query and its expansion, fused by reciprocal ranks: one job over all queries."""
-    b = table(spark, sf_dir, "benchmark").where("item_id < 2")
-    q = b.select((F.col("item_id") * 2).alias("qid"), "text").unionByName(b.select((F.col("item_id") * 2 + 1).alias("qid"), F.concat(F.lit("overview of "), F.left("text", F.lit(60))).alias("text")))
+    b = table(spark, sf_dir, "benchmark").where("item_id % 20 = 0")
+    q = b.select((F.col("item_id") * 2).alias("qid"), "text").unionByName(b.select((F.col("item_id") * 2 + 1).alias("qid"), F.concat(F.lit("overview of "), F.col("text")).alias("text")))
     found = R.bm25(chunks(spark, sf_dir), q, 8).withColumn("plan", F.floor(F.col("qid") / 2))
     each = [found.where(F.col("qid") % 2 == i).select(F.col("plan").alias("qid"), "id", "rank") for i in (0, 1)]
     return R.rrf(each).where("rank <= 6").select(F.col("qid").alias("item_id"), "id", F.round("score", 6).alias("score"), "rank")
