@@ -2,13 +2,18 @@
 
 from __future__ import annotations
 
+import itertools
+import math
+
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from spindrift.functions import text as T
-from spindrift.operators.graph import components
+from spindrift.operators import graph
 
 BITS = 64
+#: Blocks of a join key of near hashes at most: 495 keys of 21 bits for a radius of 8.
+MOST_BLOCKS = 4
 #: Words without weight.
 STOP = tuple("the a an and or but in on at to for of with by is are was were be been have has had do does did will would could should".split())
 #: Patterns that make a term important, and their factor.
@@ -94,24 +99,63 @@ def simhash(terms: DataFrame, key: str, weight: Column | None = None, strict: bo
     return counts.select(key, F.shiftleft(half(32), 32).bitwiseOR(half(0)).alias("simhash"))
 
 
-def near_pairs(hashes: DataFrame, key: str, radius: int = 8) -> DataFrame:
-    """(a, b, distance), a < b, of hashes (key, simhash) at most `radius` bits apart.
+def copies(hashes: DataFrame, key: str, *also: str) -> DataFrame:
+    """(id, simhash, also.., n): one row for each different hash (and value of `also`) with the smallest id that has it and how many do."""
+    return hashes.groupBy("simhash", *also).agg(F.min(key).alias("id"), F.count(F.lit(1)).alias("n"))
+
+
+def kept_blocks(rows: int, radius: int) -> int:
+    """How many blocks a join key holds so that keys and the candidate pairs of evenly spread hashes are fewest in all."""
+    cost = lambda m: math.comb(radius + m, m) * rows * (1 + rows / 2 ** (BITS * m / (radius + m) + 1))
+    return min(range(1, MOST_BLOCKS + 1), key=cost)
+
 
-    Hashes are cut into radius + 1 bands of which two near ones share one; each band is an equi-join key, and a pair is put out for its first common band only.
+def near_pairs(hashes: DataFrame, key: str, radius: int = 8, blocks: int = 2) -> DataFrame:
+    """(a, b, distance), a < b, of hashes (key, simhash) at most `radius` bits apart. Equal hashes are a pair like any other, so give different ones (`copies`).
+
+    Hashes are cut into radius + blocks blocks, of which two near ones share `blocks` or more: each choice of so many is an equi-join key of about
+    64 * blocks / (radius + blocks) bits. A pair is put out for the first choice that it shares: blocks before its last one differ, but for the chosen.
     """
-    bands = radius + 1
-    edges = [BITS * i // bands for i in range(bands + 1)]
-    masks = [((1 << edges[i + 1]) - (1 << edges[i])) for i in range(bands)]
-    signed = [m - (1 << 64) if m >> 63 else m for m in masks]
-    band = F.explode(F.array(*(F.struct(F.lit(i).alias("band"), F.col("simhash").bitwiseAND(F.lit(m)).alias("part")) for i, m in enumerate(signed)))).alias("x")
-    keyed = hashes.select(F.col(key).alias("id"), "simhash", band).select("id", "simhash", "x.*")
-    a, b = keyed.alias("a"), keyed.alias("b")
+    count = radius + blocks
+    edges = [BITS * i // count for i in range(count + 1)]
+    signed = lambda m: m - (1 << 64) if m >> 63 else m
+    masks = [(1 << edges[i + 1]) - (1 << edges[i]) for i in range(count)]
+    choices = []
+    for chosen in itertools.combinations(range(count), blocks):
+        skipped = sum(1 << i for i in range(chosen[-1]) if i not in chosen)
+        part = F.col("simhash").bitwiseAND(F.lit(signed(sum(masks[i] for i in chosen))))
+        choices.append(F.struct(F.lit(sum(1 << i for i in chosen)).alias("choice"), F.lit(skipped).alias("skipped"), part.alias("part")))
+    keyed = hashes.select(F.col(key).alias("id"), "simhash", F.explode(F.array(*choices)).alias("x")).select("id", "simhash", "x.*")
+    a, b = keyed.alias("a"), keyed.drop("skipped").alias("b")
     different = F.col("a.simhash").bitwiseXOR(F.col("b.simhash"))
-    first = F.coalesce(*(F.when(different.bitwiseAND(F.lit(m)) == 0, i) for i, m in enumerate(signed)))
-    on = (F.col("a.band") == F.col("b.band")) & (F.col("a.part") == F.col("b.part")) & (F.col("a.id") < F.col("b.id")) & (F.bit_count(different) <= radius) & (first == F.col("a.band"))
+    on = (F.col("a.choice") == F.col("b.choice")) & (F.col("a.part") == F.col("b.part")) & (F.col("a.id") < F.col("b.id")) & (F.bit_count(different) <= radius)
+    for i, m in enumerate(masks):
+        on = on & ((F.col("a.skipped").bitwiseAND(F.lit(1 << i)) == 0) | (different.bitwiseAND(F.lit(signed(m))) != 0))
     return a.join(b, on).select(F.col("a.id").alias("a"), F.col("b.id").alias("b"), F.bit_count(different).cast("bigint").alias("distance"))
 
 
+def near_classes(hashes: DataFrame, key: str, radius: int = 8) -> tuple[DataFrame, DataFrame, DataFrame]:
+    """(members, classes, pairs): hashes read back, their different values by `copies`, and the near pairs (a, b, distance) of classes by their smallest ids."""
+    graph.checkpoint_folder(hashes.sparkSession)
+    members = hashes.select(F.col(key).alias("id"), "simhash").checkpoint()
+    classes = copies(members, "id").checkpoint()
+    return members, classes, near_pairs(classes, "id", radius, kept_blocks(classes.count(), radius))
+
+
+def near_links(hashes: DataFrame, key: str, radius: int = 8) -> DataFrame:
+    """(a, b, distance), a < b: near pairs of classes of equal hashes, each by its smallest id, and each further member b of a class a at distance 0."""
+    members, classes, pairs = near_classes(hashes, key, radius)
+    more = members.join(classes.where("n > 1").select("simhash", F.col("id").alias("a")), "simhash").where("a <> id")
+    return pairs.unionByName(more.select("a", F.col("id").alias("b"), F.lit(0).cast("bigint").alias("distance")))
+
+
+def leader_of(hashes: DataFrame, key: str, radius: int = 8) -> DataFrame:
+    """(id, leader) of rows with a near one: greedy leaders in the order of ids. Copies follow their class, as what is near one is near all."""
+    members, classes, pairs = near_classes(hashes, key, radius)
+    led = classes.join(graph.leaders(pairs), "id", "left").where("n > 1 or leader is not null")
+    return members.join(led.select("simhash", F.coalesce("leader", "id").alias("leader")), "simhash").select("id", "leader")
+
+
 def features(text: Column) -> dict[str, Column]:
     """Semantic features of a text: counts and densities of patterns, diversity, sentences, complexity."""
     w = T.words(F.lower(text))
@@ -137,15 +181,25 @@ def feature_similarity(a: list[Column], b: list[Column], telling: list[int]) ->
     return F.greatest(F.lit(0.0), cosine * 0.6 + near * 0.4)
 
 
-def clusters(pairs: DataFrame, hashes: DataFrame, docs: DataFrame, key: str, least: float = 0.85) -> DataFrame:
-    """(id, root): components of the pairs whose 0.7 * (1 - distance / 64) + 0.3 * feature similarity reaches `least`."""
+def clusters(hashes: DataFrame, docs: DataFrame, key: str, least: float = 0.85, radius: int = 8) -> DataFrame:
+    """(id, root): components of the near pairs whose 0.7 * (1 - distance / 64) + 0.3 * feature similarity reaches `least`.
+
+    Rows of equal hash and features are one class, linked in itself; pairs and components are those of classes.
+    """
+    graph.checkpoint_folder(docs.sparkSession)
     names = list(features(F.col("text")))
     f = docs.select(F.col(key).alias("id"), F.array(*(v for v in features(F.col("text")).values())).alias("f"))
-    joined = pairs.join(f.select(F.col("id").alias("a"), F.col("f").alias("fa")), "a").join(f.select(F.col("id").alias("b"), F.col("f").alias("fb")), "b")
+    members = hashes.select(F.col(key).alias("id"), "simhash").join(f, "id").checkpoint()
+    classes = copies(members, "id", "f").checkpoint()
+    pairs = near_pairs(classes, "id", radius, kept_blocks(classes.count(), radius))
+    side = lambda c: classes.select(F.col("id").alias(c), F.col("f").alias(f"f{c}"))
+    joined = pairs.join(side("a"), "a").join(side("b"), "b")
     telling = [names.index(x) for x in ("legal_terms_density", "insurance_benefits_density", "semantic_complexity")]
     own = lambda c: [F.coalesce(F.get(c, F.lit(i)), F.lit(0.0)) for i in range(len(names))]
     score = 0.7 * (1 - F.col("distance") / BITS) + 0.3 * feature_similarity(own("fa"), own("fb"), telling)
-    return components(joined.where(F.round(score, 9) >= least).select("a", "b"))
+    roots = graph.components(joined.where(F.round(score, 9) >= least).select("a", "b"))
+    rooted = classes.join(roots, "id", "left").where("n > 1 or root is not null").select("simhash", "f", F.coalesce("root", "id").alias("root"))
+    return members.join(rooted, ["simhash", "f"]).select("id", "root")
 
 
 def representative_score(text: Column, level: Column, kind: Column) -> Column:

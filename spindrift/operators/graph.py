@@ -8,15 +8,18 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 
-def _folder(spark) -> None:
-    """The cluster names the checkpoint folder; a local one is set only where it is unset."""
+def checkpoint_folder(spark) -> None:
+    """The cluster names the checkpoint folder; a session on one machine that names none, as in tests, gets a local one."""
     if not spark.sparkContext.getCheckpointDir():
-        spark.sparkContext.setCheckpointDir(spark.conf.get("spark.checkpoint.dir", None) or "file://" + tempfile.mkdtemp(prefix="spindrift-"))
+        named = spark.conf.get("spark.checkpoint.dir", None)
+        if not named and not spark.sparkContext.master.startswith("local"):
+            raise ValueError("spark.checkpoint.dir names no shared folder")
+        spark.sparkContext.setCheckpointDir(named or "file://" + tempfile.mkdtemp(prefix="spindrift-"))
 
 
 def components(edges: DataFrame) -> DataFrame:
     """(id, root) of every node in edges (a, b): root is the smallest id reachable. Lineage is cut by checkpoint() each round."""
-    _folder(edges.sparkSession)
+    checkpoint_folder(edges.sparkSession)
     both = edges.select("a", "b").unionByName(edges.select(F.col("b").alias("a"), F.col("a").alias("b"))).distinct().checkpoint()
     labels = both.groupBy(F.col("a").alias("id")).agg(F.least(F.min("b"), F.first("a")).alias("root")).checkpoint()
     while True:
@@ -35,7 +38,7 @@ def leaders(edges: DataFrame) -> DataFrame:
 
     That order is the definition, but a node is decided as soon as all its smaller neighbours are, so rounds go over all nodes at once.
     """
-    _folder(edges.sparkSession)
+    checkpoint_folder(edges.sparkSession)
     down = edges.select(F.greatest("a", "b").alias("id"), F.least("a", "b").alias("near")).where("id <> near").distinct().checkpoint()
     nodes = down.select("id").unionByName(down.select(F.col("near").alias("id"))).distinct()
     known = nodes.withColumn("leader", F.lit(None).cast(down.schema["id"].dataType)).checkpoint()

@@ -26,10 +26,13 @@ def simhash(spark, sf_dir):
     return hashes(spark, sf_dir).select("doc_id", F.lpad(F.lower(F.hex("simhash")), 16, "0").alias("simhash"))
 
 
-@query("near_dups", f"WITH {SIM} SELECT a.doc_id AS a, b.doc_id AS b, (bit_count(xor(a.hi, b.hi)) + bit_count(xor(a.lo, b.lo)))::BIGINT AS distance FROM sim a JOIN sim b ON a.doc_id < b.doc_id AND bit_count(xor(a.hi, b.hi)) + bit_count(xor(a.lo, b.lo)) <= 8")
+_NEAR = "bit_count(xor(a.hi, b.hi)) + bit_count(xor(a.lo, b.lo))"
+
+
+@query("near_dups", f"WITH {SIM}, c AS (SELECT min(doc_id) AS id, hi, lo FROM sim GROUP BY hi, lo) SELECT a.id AS a, b.id AS b, ({_NEAR})::BIGINT AS distance FROM c a JOIN c b ON a.id < b.id AND {_NEAR} <= 8 UNION ALL SELECT c.id, s.doc_id, 0 FROM c JOIN sim s ON s.hi = c.hi AND s.lo = c.lo AND s.doc_id > c.id")
 def near_dups(spark, sf_dir):
-    """Pairs at most eight bits apart."""
-    return D.near_pairs(hashes(spark, sf_dir), "doc_id", 8)
+    """Pairs of different hashes at most eight bits apart, each hash by its smallest document, and each further document of a hash at distance 0."""
+    return D.near_links(hashes(spark, sf_dir), "doc_id", 8)
 
 
 _D = lambda p: f"len(regexp_extract_all(text, '{p}')) / n"
@@ -67,8 +70,7 @@ def weighted_simhash(spark, sf_dir):
 def dedup_clusters(spark, sf_dir):
     """Clusters of near-duplicates by combined similarity, each with its representative."""
     d = documents(spark, sf_dir)
-    h = hashes(spark, sf_dir)
-    roots = D.clusters(D.near_pairs(h, "doc_id", 8), h, d, "doc_id")
+    roots = D.clusters(hashes(spark, sf_dir), d, "doc_id")
     kinds = F.get(F.array(*map(F.lit, ["legal_text", "table", "narrative"])), (F.col("doc_id") % 3).cast("int"))
     scored = d.select(F.col("doc_id").alias("id"), F.round(D.representative_score(F.col("text"), F.col("doc_id") % 7, kinds), 6).alias("score"))
     best = roots.join(scored, "id").groupBy("root").agg(F.count(F.lit(1)).alias("members"), F.max_by("id", F.struct("score", -F.col("id"))).alias("representative"))
@@ -79,5 +81,5 @@ def dedup_clusters(spark, sf_dir):
 def dedup_rate(spark, sf_dir):
     """How many documents have an earlier near-duplicate."""
     d = documents(spark, sf_dir).select("doc_id")
-    gone = D.near_pairs(hashes(spark, sf_dir), "doc_id", 8).select(F.col("b").alias("doc_id"), F.lit(1).alias("gone")).distinct()
+    gone = D.near_links(hashes(spark, sf_dir), "doc_id", 8).select(F.col("b").alias("doc_id"), F.lit(1).alias("gone")).distinct()
     return d.join(gone, "doc_id", "left").agg(F.count(F.lit(1)).alias("original"), F.count("gone").alias("removed"), F.round(F.count("gone") / F.count(F.lit(1)), 6).alias("rate"))

@@ -6,7 +6,6 @@ from pyspark.sql import functions as F
 
 from spindrift.functions import text as T
 from spindrift.operators import dedup as D
-from spindrift.operators import graph
 from spindrift.plans.dedup import hashes
 from spindrift.plans.registry import query
 from spindrift.plans.retrieval import HITS, hits
@@ -16,7 +15,7 @@ from spindrift.session import table
 @query("leader_clusters")
 def leader_clusters(spark, sf_dir):
     """Greedy leader clusters of near-duplicates, in the order of ids."""
-    found = graph.leaders(D.near_pairs(hashes(spark, sf_dir), "doc_id", 8))
+    found = D.leader_of(hashes(spark, sf_dir), "doc_id", 8)
     return found.groupBy("leader").agg(F.count(F.lit(1)).alias("members"))
 
 

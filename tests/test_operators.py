@@ -97,7 +97,8 @@ def test_retrieval(spark):
     assert retrieval.dense(v.limit(0), qv, 3).count() == 0 and retrieval.dense(v, qv.limit(0), 3).count() == 0
 
 
-def test_near_pairs_against_all(spark):
+@pytest.mark.parametrize("blocks", [1, 2, 3, 4])
+def test_near_pairs_against_all(spark, blocks):
     rng = np.random.default_rng(1)
     base = [int(x) for x in rng.integers(-(2**63), 2**63 - 1, 12)]
     rows = []
@@ -107,11 +108,22 @@ def test_near_pairs_against_all(spark):
             for k in rng.choice(64, rng.integers(0, 11), replace=False):
                 x ^= 1 << int(k)
             rows.append((len(rows), x - 2**64 if x >= 2**63 else x if x >= -(2**63) else x + 2**64))
-    got = {tuple(r) for r in dedup.near_pairs(spark.createDataFrame(rows, "id long, simhash long"), "id", 8).collect()}
+    got = {tuple(r) for r in dedup.near_pairs(spark.createDataFrame(rows, "id long, simhash long"), "id", 8, blocks).collect()}
     ham = lambda x, y: ((x ^ y) % 2**64).bit_count()
     assert got == {(a, b, ham(x, y)) for a, x in rows for b, y in rows if a < b and ham(x, y) <= 8}
 
 
+def test_near_links_of_copies(spark):
+    far = 0x5555555555555555
+    rows = [(1, 0), (2, 0), (3, 0), (4, 7), (5, 7), (6, far), (7, -1), (8, -1), (9, (1 << 12) - 1)]
+    hashes = spark.createDataFrame(rows, "id long, simhash long")
+    got = sorted(tuple(r) for r in dedup.near_links(hashes, "id").collect())
+    assert got == [(1, 2, 0), (1, 3, 0), (1, 4, 3), (4, 5, 0), (7, 8, 0)]
+    assert {r.id: r.leader for r in dedup.leader_of(hashes, "id").collect()} == {1: 1, 2: 1, 3: 1, 4: 1, 5: 1, 7: 7, 8: 7}
+    assert dedup.near_links(hashes.limit(0), "id").count() == 0 and dedup.leader_of(hashes.limit(0), "id").count() == 0
+    assert [dedup.kept_blocks(n, 8) for n in (0, 10, 10**4, 10**5, 10**9)] == [1, 1, 2, 3, 4]
+
+
 def test_components(spark):
     edges = spark.createDataFrame([(i, i + 1) for i in range(20)] + [(50, 40), (40, 41)], "a long, b long")
     got = {r.id: r.root for r in graph.components(edges).collect()}
