@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from collections.abc import Iterator
+from collections.abc import Callable, Iterator
 
 import numpy as np
 import pandas as pd
@@ -135,6 +135,28 @@ def term_score(query: Column, text: Column) -> Column:
     return F.when((F.size(words) == 0) | (low == ""), 0.0).otherwise(total / F.log(F.greatest(F.lit(20), F.length(text))))
 
 
+def scored_by(scorer: Callable[[list[tuple[str, str]]], list[float]]) -> Callable[[Column, Column], Column]:
+    """Reranking score of a plug-in, such as a cross-encoder: a function of a batch of (query, text) pairs that gives their scores."""
+
+    @F.pandas_udf("double")
+    def score(query: pd.Series, text: pd.Series) -> pd.Series:
+        return pd.Series(scorer(list(zip(query, text, strict=True))), dtype="float64")
+
+    return score
+
+
+def retrieve(vectors: DataFrame, chunks: DataFrame, queries: DataFrame, k: int = 5, dense_k: int = 8, lexical_k: int = 12, scorer: Callable | None = None, budget: int = 160) -> DataFrame:
+    """(qid, id, rank, place, score, summary): dense and lexical hits of queries (qid, text, vec), fused by reciprocal ranks, diversified to k, reranked and summarised.
+
+    `place` is the one before reranking. Vectors (id, vec) and chunks (id, text) have the same ids; a hit that lacks either is left out. `scorer` replaces the term score.
+    """
+    fused = rrf([dense(vectors, queries.select("qid", "vec"), dense_k), bm25(chunks, queries.select("qid", "text"), lexical_k)]).where(F.col("rank") <= max(4 * k, k + 5))
+    found = fused.join(vectors.select("id", "vec"), "id").join(queries.select("qid", F.col("vec").alias("qvec")), "qid")
+    picked = mmr(found, k).join(chunks.select("id", "text"), "id").join(queries.select("qid", F.col("text").alias("query")), "qid")
+    score = (scored_by(scorer) if scorer else term_score)(F.col("query"), F.col("text"))
+    return top(picked.withColumn("score", score), k).select("qid", "id", "rank", "place", "score", summary(F.col("query"), F.col("text"), budget).alias("summary"))
+
+
 def summary(query: Column, text: Column, budget: int = 160, most: int = 3) -> Column:
     """Best sentences by matched words over the root of their length, in that order, as they fit the budget; else the first sentence."""
     asked = F.array_distinct(T.tokens(query))

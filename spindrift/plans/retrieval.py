@@ -103,6 +103,13 @@ def mmr(spark, sf_dir):
     return R.mmr(found, k)
 
 
+@query("hybrid_retrieve")
+def hybrid_retrieve(spark, sf_dir):
+    """The whole chain in one call for queries that have a text and a vector: fused, diversified, reranked and summarised hits."""
+    queries = asked(spark, sf_dir).join(asked_vectors(spark, sf_dir), "qid")
+    return R.retrieve(vectors(spark, sf_dir), chunks(spark, sf_dir), queries).withColumn("score", F.round("score", 6))
+
+
 #: Hits that stand for retrieval results: items as chunks of four queries.
 HITS = "hits AS (SELECT item_id % 4 AS qid, item_id AS id, item_id % 7 AS doc_id, (item_id * 37 % 100) / 100.0::DOUBLE AS score, text, 'explain ' || left(text, 40) AS query FROM benchmark)"
 

@@ -1,5 +1,7 @@
 """Small golden cases of the operators, with empty, null and tied rows."""
 
+import math
+
 import numpy as np
 import pytest
 from pyspark.sql import functions as F
@@ -97,6 +99,24 @@ def test_retrieval(spark):
     assert retrieval.dense(v.limit(0), qv, 3).count() == 0 and retrieval.dense(v, qv.limit(0), 3).count() == 0
 
 
+def test_retrieve(spark):
+    texts = ["cat dog. fish swim", "cat cat bird. Old bird sings", "fish", "bird of the sea. A cat", "cat"]
+    chunks = spark.createDataFrame(list(enumerate(texts)), "id long, text string")
+    vectors = spark.createDataFrame([(i, [1.0, i / 10]) for i in range(5)], "id long, vec array<double>")
+    queries = spark.createDataFrame([(1, "bird", [1.0, 0.0]), (2, "cat", [1.0, 0.4])], "qid long, text string, vec array<double>")
+    plain = retrieval.retrieve(vectors, chunks, queries, 3).collect()
+    assert sorted((r.qid, r["rank"]) for r in plain) == [(q, n) for q in (1, 2) for n in (1, 2, 3)] and sorted((r.qid, r.place) for r in plain) == [(q, n) for q in (1, 2) for n in (1, 2, 3)]
+    for q, word in ((1, "bird"), (2, "cat")):
+        own = sorted((r for r in plain if r.qid == q), key=lambda r: r["rank"])
+        want = [2.0 * math.log1p(texts[r.id].count(word)) / math.log(max(20, len(texts[r.id]))) for r in own]
+        assert [r.score for r in own] == pytest.approx(want) and want == sorted(want, reverse=True)
+        assert all(word in r.summary.lower() for r in own if word in texts[r.id])
+    long = retrieval.retrieve(vectors, chunks, queries, 3, scorer=lambda pairs: [float(len(t)) for _, t in pairs]).collect()
+    assert {(r.qid, r.id) for r in long} == {(r.qid, r.id) for r in plain} and all(r.score == len(texts[r.id]) for r in long)
+    assert [r.score for r in sorted(long, key=lambda r: (r.qid, r["rank"]))] == [x for q in (1, 2) for x in sorted((r.score for r in long if r.qid == q), reverse=True)]
+    assert retrieval.retrieve(vectors, chunks, queries.limit(0), 3).count() == 0
+
+
 @pytest.mark.parametrize("blocks", [1, 2, 3, 4])
 def test_near_pairs_against_all(spark, blocks):
     rng = np.random.default_rng(1)
