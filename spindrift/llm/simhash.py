@@ -157,6 +157,8 @@ LEAST_LEVEL = 4
 #: Bits of all lanes in which fingerprints of candidates differ at most. At similarity 0.8 a bit differs with probability 0.15 (the angle over pi), at worst 0.19 (five
 #: shingles and four, whose votes tie): 39 or 48 of 256 bits, with deviations of 6, so the bound is 5 deviations or more away at any size. Unrelated texts differ in 128.
 APART = 80
+#: Longs of a set's parity: of each bit, whether an odd number of members fall on it. Above some 2,000 members it tells similar and other sets apart no more.
+PARITY = 16
 #: Salts over which the pairs of one class are dealt when its shingle set meets them.
 SALTS = 64
 
@@ -250,7 +252,7 @@ def rest_links(classes: DataFrame, docs: DataFrame, similarity: float, width: in
     """All further links (a, b) between different components: of classes that share a key, members of its largest component need no test with each other.
 
     Only keys whose classes are in several components count, and the similarity is part of the join's condition. So a key that thousands of
-    linked texts share costs a row for each link of those that aren't linked yet, not for each pair.
+    linked texts share costs a row for each link of those that aren't linked yet, not for each pair. Parities spare most of the comparisons of whole sets.
     """
     keyed = _keyed(classes, "size")
     large = keyed.groupBy("key").agg(F.max(F.struct("size", "comp"))["comp"].alias("large"), F.min("comp").alias("low"), F.max("comp").alias("high")).where("low <> high")
@@ -259,22 +261,32 @@ def rest_links(classes: DataFrame, docs: DataFrame, similarity: float, width: in
     full = marked.join(sets, "id")
     a, b = full.where("comp <> large").alias("a"), full.alias("b")
     once = (F.col("b.comp") == F.col("b.large")) | (F.col("a.id") < F.col("b.id"))
-    on = (F.col("a.key") == F.col("b.key")) & (F.col("a.comp") != F.col("b.comp")) & once & _near(similarity) & alike(F.col("a.members"), F.col("b.members"), similarity)
+    on = (F.col("a.key") == F.col("b.key")) & (F.col("a.comp") != F.col("b.comp")) & once & _near(similarity) & may_be_alike("a", "b", similarity) & alike(F.col("a.members"), F.col("b.members"), similarity)
     return scratch.save(a.join(b, on).select(F.col("a.id").alias("a"), F.col("b.id").alias("b")).distinct())
 
 
 def shingle_sets(docs: DataFrame, width: int) -> DataFrame:
-    """(doc_id, text_key, members) of rows: the sorted shingle hashes, 32 bits of each."""
+    """(doc_id, text_key, members, p0..) of rows: the sorted shingle hashes, 32 bits of each, and their parity."""
+    parity = [f"p{i}" for i in range(PARITY)]
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
-            found = []
-            for t in b.column(2):
+            found, odd = [], np.zeros((b.num_rows, PARITY), np.int64)
+            for row, t in enumerate(b.column(2)):
                 parts = [np.fromiter((xxhash.xxh64_intdigest(x, 42) & 0xFFFFFFFF for x in part), np.uint32) for part in shingles(t.as_py(), width)]
-                found.append(np.unique(np.concatenate(parts)).view(np.int32) if parts else np.zeros(0, np.int32))
-            yield pa.RecordBatch.from_arrays([*b.columns[:2], pa.array(found, pa.list_(pa.int32()))], names=["doc_id", "text_key", "members"])
+                members = np.unique(np.concatenate(parts)) if parts else np.zeros(0, np.uint32)
+                found.append(members.view(np.int32))
+                odd[row] = np.packbits((np.bincount(members % (64 * PARITY), minlength=64 * PARITY) & 1).astype(np.uint8)).view(np.int64)
+            columns = [*b.columns[:2], pa.array(found, pa.list_(pa.int32())), *(pa.array(odd[:, i]) for i in range(PARITY))]
+            yield pa.RecordBatch.from_arrays(columns, names=["doc_id", "text_key", "members", *parity])
 
-    return docs.mapInArrow(lean(run), "doc_id long, text_key long, members array<int>")
+    return docs.mapInArrow(lean(run), f"doc_id long, text_key long, members array<int>, {', '.join(f'{p} long' for p in parity)}")
+
+
+def may_be_alike(a: str, b: str, similarity: float) -> Column:
+    """False only for sets below that Jaccard similarity: each bit in which their parities differ takes a member that only one of them has."""
+    differ = sum((F.bit_count(F.col(f"{a}.p{i}").bitwiseXOR(F.col(f"{b}.p{i}"))) for i in range(1, PARITY)), F.bit_count(F.col(f"{a}.p0").bitwiseXOR(F.col(f"{b}.p0"))))
+    return differ <= (F.size(F.col(f"{a}.members")) + F.size(F.col(f"{b}.members"))) * ((1 - similarity) / (1 + similarity)) + 1e-6
 
 
 def alike(a: Column, b: Column, similarity: float) -> Column:
@@ -284,13 +296,13 @@ def alike(a: Column, b: Column, similarity: float) -> Column:
 
 
 def sets_of(ids: DataFrame, classes: DataFrame, docs: DataFrame, width: int, scratch: Scratch) -> DataFrame:
-    """(id, members) of the classes in `ids`. Texts of these only are read again."""
+    """(id, members, p0..) of the classes in `ids`. Texts of these only are read again."""
     wanted = scratch.save(ids.join(classes, "id").select("id", F.col("least.doc_id").alias("want_id"), F.col("least.text_key").alias("want_key")))
     rows = docs.select(F.col("doc_id").cast("long").alias("doc_id"), text_key(F.col("text").cast("string")).alias("text_key"), F.col("text").cast("string").alias("text"))
     named = listed(wanted)
     same = F.col("doc_id").eqNullSafe(F.col("want_id")) & (F.col("text_key") == F.col("want_key"))
     sets = shingle_sets(rows.join(named, same, "left_semi"), width)
-    return scratch.save(sets.join(named, same).select("id", "members").dropDuplicates(["id"]))
+    return scratch.save(sets.join(named, same).select("id", "members", *(f"p{i}" for i in range(PARITY))).dropDuplicates(["id"]))
 
 
 def verified(pairs: DataFrame, classes: DataFrame, docs: DataFrame, similarity: float, width: int, scratch: Scratch) -> DataFrame:

@@ -1,6 +1,7 @@
 import re
 
 import xxhash
+from pyspark.sql import functions as F
 
 from spindrift.llm import simhash, words
 
@@ -79,3 +80,21 @@ def test_blocks_of_words():
         assert [bytes(x) for part in words.shingles(text, 3, block) for x in part] == whole
     assert [bytes(x) for part in words.shingles("a b", 3) for x in part] == [b"a b"]
     assert list(words.shingles("  ", 3)) == []
+
+
+def test_parity_spares_only_pairs_under_the_similarity(spark):
+    import random
+
+    rng = random.Random(4)
+    rows = []
+    for n in (1, 2, 5, 9, 60, 200, 900, 5000):
+        base = [f"w{rng.randrange(10**6)}" for _ in range(n)]
+        for _ in range(12):
+            share = rng.random() * 0.12
+            rows.append((len(rows), 0, " ".join(w if rng.random() > share else f"v{rng.randrange(10**6)}" for w in base)))
+    sets = simhash.shingle_sets(spark.createDataFrame(rows, "doc_id long, text_key long, text string"), 5).cache()
+    a, b = sets.alias("a"), sets.alias("b")
+    found = a.join(b, (F.col("a.doc_id") < F.col("b.doc_id")) & (F.floor(F.col("a.doc_id") / 12) == F.floor(F.col("b.doc_id") / 12)))
+    flags = found.select(simhash.may_be_alike("a", "b", 0.8).alias("may"), simhash.alike(F.col("a.members"), F.col("b.members"), 0.8).alias("is")).collect()
+    assert all(f["may"] for f in flags if f["is"])
+    assert sum(f["is"] for f in flags) > 40 and sum(not f["may"] for f in flags) > 200
