@@ -1,4 +1,5 @@
 import re
+import time
 
 from pyspark.sql import functions as F
 
@@ -44,3 +45,14 @@ def test_ownership(spark):
     assert all(not live for d, live, _ in got if d < 20)
     assert sorted(g for g in got if g[0] >= 50) == [(50, [(5, 25)], 0), (51, [(6, 26)], 0), (52, [(6, 46)], 2), (52, [(6, 46)], 2), (53, [], 1)]
     assert secrets.secrets(spark.createDataFrame([], "doc_id long, text string, source string")).count() == 0
+
+
+def test_long_runs_without_a_break(spark):
+    """One and ten million letters, without and with a digit at the end, and as many digits: linear time, whole spans."""
+    texts = [c * n + tail for n in (10**6, 10**7) for c, tail in (("x", ""), ("x", "9token=abcdefgh"), ("7", ""))] + ["ab" * 500_000 + " " + HEX]
+    began = time.time()
+    got = {r.doc_id: ([tuple(s) for s in r.base], [(s.start, s.end) for s in r.live]) for r in secrets.secrets(spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string")).collect()}
+    assert time.time() - began < 120
+    for i, t in enumerate(texts):
+        assert got[i][0] == brute(t)
+    assert got[6][1] == [(1_000_001, 1_000_041)]
