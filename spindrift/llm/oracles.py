@@ -4,7 +4,7 @@ from __future__ import annotations
 
 import re
 
-from spindrift.llm import chat, secrets, urlrep
+from spindrift.llm import chat, filteraudit, secrets, urlrep
 
 _ESCAPED = "|".join([r"\\", *map(re.escape, chat.CONTROL)])
 _COST = lambda c: f"(length({c}) + len(regexp_extract_all({c}, '{_ESCAPED}')))"
@@ -41,4 +41,18 @@ few AS (SELECT v FROM look GROUP BY v HAVING count(DISTINCT coalesce('=' || sour
 al AS (SELECT doc_id, kind, k, st, en FROM base UNION ALL SELECT DISTINCT doc_id, 'live', 3, st, en FROM look WHERE v IN (SELECT v FROM few))
 SELECT d.doc_id, count(*) FILTER (WHERE kind = 'assign') AS n_assign, count(*) FILTER (WHERE kind = 'access') AS n_access, count(*) FILTER (WHERE kind = 'hex') AS n_hex, sha256({_JOIN("k < 3")}) AS base_sha256, {_JOIN('k IS NOT NULL')} AS spans FROM d LEFT JOIN al ON al.doc_id = d.doc_id GROUP BY d.doc_id"""
 
-ORACLES = {"op3_chat": CHAT, "op8_urlrep": URLS, "op10_secrets": SECRETS}
+_BITS = "(CASE {0} WHEN 'A' THEN 1 WHEN 'B' THEN 2 WHEN 'C' THEN 4 WHEN 'D' THEN 8 ELSE 16 END)"
+_SUM = lambda column, rows: f"coalesce(sum({column}) FILTER (WHERE {rows}), 0)::BIGINT"
+AUDIT = rf"""WITH t AS (SELECT doc_id, coalesce(lang, '') AS part, coalesce(text, '') AS t, regexp_extract_all(coalesce(text, ''), '[^\x20\x09-\x0D]+') AS w FROM documents),
+l AS (SELECT doc_id, max((quality = 1)::INT) AS good, max((toxic = 1)::INT) AS toxic FROM labels GROUP BY doc_id),
+m AS (SELECT part, doc_id, (len(w) < {filteraudit.WORDS})::INT + 2 * (100 * len(list_distinct(w)) < {filteraudit.DIFFERENT} * len(w))::INT + 4 * (100 * length(regexp_replace(t, '[^A-Z]', '', 'g')) > {filteraudit.CAPITALS} * length(t))::INT + 8 * regexp_matches(t, '{filteraudit.MARKS}')::INT + 16 * coalesce(doc_id > min(doc_id) OVER (PARTITION BY t), false)::INT AS mask FROM t),
+c AS (SELECT part, mask, count(*) AS n, coalesce(sum(good), 0) AS good, coalesce(sum(toxic), 0) AS toxic FROM m LEFT JOIN l USING (doc_id) GROUP BY part, mask),
+f AS (SELECT unnest(['A', 'B', 'C', 'D', 'E']) AS f),
+o AS (SELECT a.f || b.f || c.f || d.f || e.f AS filter_order FROM f a, f b, f c, f d, f e WHERE len(list_distinct([a.f, b.f, c.f, d.f, e.f])) = 5),
+s AS (SELECT filter_order, step, filter_order[step] AS f, coalesce(list_sum(list_transform(string_split(filter_order[:step - 1], ''), lambda x: CASE WHEN x = '' THEN 0 ELSE {_BITS.format('x')} END)), 0)::INT AS earlier FROM o, (SELECT unnest(range(1, 6))::INT AS step)),
+x AS (SELECT *, {_BITS.format('f')} AS own FROM s),
+r AS (SELECT part, filter_order, step, f, {_SUM('n', '(mask & (earlier | own)) = 0')} AS kept, {_SUM('n', '(mask & own) > 0 AND (mask & earlier) = 0')} AS removed, {_SUM('n', '(mask & own) > 0 AND (mask & earlier) > 0')} AS redundant, {_SUM('n', 'mask = own')} AS unique_fails,
+{_SUM('good', '(mask & own) > 0 AND (mask & earlier) = 0')} AS good_lost, {_SUM('toxic', '(mask & own) > 0 AND (mask & earlier) = 0')} AS toxic_lost FROM c, x GROUP BY part, filter_order, step, f)
+SELECT part, filter_order, step, kept, removed, redundant, unique_fails, good_lost, toxic_lost, (sum(removed) OVER (PARTITION BY part, f))::BIGINT AS shapley FROM r"""
+
+ORACLES = {"op12_filteraudit": AUDIT, "op3_chat": CHAT, "op8_urlrep": URLS, "op10_secrets": SECRETS}

@@ -5,9 +5,9 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from spindrift.llm import audio, chat, decontam, htmltext, kdshard, langid, mixing, oracles, secrets, simhash, urlrep
+from spindrift.llm import audio, chat, decontam, filteraudit, htmltext, kdshard, langid, mixing, oracles, secrets, simhash, urlrep, whitening
 from spindrift.llm.scratch import Scratch
-from spindrift.session import table
+from spindrift.session import spread, table
 
 QUERIES: dict = {}
 ORACLES: dict = dict(oracles.ORACLES)
@@ -87,3 +87,15 @@ def op9_htmltext(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Main text of all pages."""
     found = htmltext.extract(table(spark, sf_dir, "pages"))
     return found.select("page_id", "url", "text", F.length("text").cast("long").alias("n_chars"))
+
+
+@query
+def op11_whitening(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """All embeddings on up to eight whitened components."""
+    return whitening.by_component(table(spark, sf_dir, "embeddings"), components=8)
+
+
+@query
+def op12_filteraudit(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Five filters over all documents, in all orders, by language."""
+    return filteraudit.documents(spread(table(spark, sf_dir, "documents")), table(spark, sf_dir, "labels"))
