@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from spindrift.llm import audio, chat, decontam, filteraudit, htmltext, kdshard, langid, mixing, oracles, secrets, simhash, urlrep, whitening
+from spindrift.llm import audio, chat, decontam, filteraudit, htmltext, kdshard, langid, lattice, mixing, oracles, secrets, simhash, urlrep, whitening
 from spindrift.llm.scratch import Scratch
 from spindrift.session import spread, table
 
@@ -99,3 +99,9 @@ def op11_whitening(spark: SparkSession, sf_dir: str) -> DataFrame:
 def op12_filteraudit(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Five filters over all documents, in all orders, by language."""
     return filteraudit.documents(spread(table(spark, sf_dir, "documents")), table(spark, sf_dir, "labels"))
+
+
+@query
+def op13_lattice(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Log10 probabilities of all documents by words and by all segmentations into subwords."""
+    return lattice.score(spread(table(spark, sf_dir, "documents")))
