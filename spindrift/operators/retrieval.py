@@ -11,71 +11,23 @@ from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
 from spindrift.functions import text as T
+from spindrift.operators import blocks, lexical
+from spindrift.operators.blocks import top
 
-K1, B, FLOOR = 1.5, 0.75, 0.25
-#: Query vectors that a task multiplies with at once; more are taken in turns.
-QUERY_BLOCK = 1024
-
-
-def top(scored: DataFrame, k: int, by: str = "qid", score: str = "score", tie: str = "id") -> DataFrame:
-    """The k best of each query with their rank from 1; scores equal to nine places go by id. Spark cuts to k before the shuffle."""
-    rank = F.row_number().over(W.partitionBy(by).orderBy(F.round(score, 9).desc(), tie))
-    return scored.withColumn("rank", rank).where(F.col("rank") <= k).withColumn("rank", F.col("rank").cast("bigint"))
-
-
-def bm25_index(chunks: DataFrame) -> tuple[DataFrame, DataFrame, DataFrame]:
-    """(lengths, idf, whole) of chunks (id, text): dl of each chunk; idf of each term; n, avgdl and the floor of negative idfs in one row."""
-    toks = chunks.select("id", T.tokens(F.col("text")).alias("toks"))
-    lengths = toks.select("id", F.size("toks").alias("dl"))
-    size = lengths.agg(F.count(F.lit(1)).alias("n"), F.avg("dl").alias("avgdl"))  # one row
-    df = toks.select(F.explode(F.array_distinct("toks")).alias("term")).groupBy("term").agg(F.count(F.lit(1)).alias("df"))
-    idf = df.join(F.broadcast(size), F.lit(True)).select("term", "df", (F.log(F.col("n") - F.col("df") + 0.5) - F.log(F.col("df") + 0.5)).alias("idf"))
-    whole = size.join(F.broadcast(idf.agg((F.avg("idf") * FLOOR).alias("floor"))), F.lit(True))  # one row
-    return lengths, idf, whole
+#: Vectors in a block of rows and in one of queries.
+ROWS, QUERIES = 4096, 512
 
 
 def bm25(chunks: DataFrame, queries: DataFrame, k: int) -> DataFrame:
-    """(qid, id, score, rank): the k best chunks (id, text) for each of the queries (qid, text), chunks of score 0 last.
-
-    The queries' terms are a side of bounded size: only their postings leave the scan. Negative idfs become a quarter of the mean idf; a term that a
-    query repeats counts as often.
-    """
-    lengths, idf, whole = bm25_index(chunks)
-    asked = queries.select("qid", F.explode(T.tokens(F.col("text"))).alias("term")).groupBy("qid", "term").agg(F.count(F.lit(1)).alias("times"))
-    terms = asked.select("term").distinct()
-    postings = chunks.select("id", T.tokens(F.col("text")).alias("toks")).select("id", F.size("toks").alias("dl"), F.explode("toks").alias("term")).join(F.broadcast(terms), "term").groupBy("id", "dl", "term").agg(F.count(F.lit(1)).alias("tf"))
-    weight = idf.join(F.broadcast(terms), "term").join(F.broadcast(whole), F.lit(True)).select("term", F.when(F.col("idf") < 0, F.col("floor")).otherwise(F.col("idf")).alias("w"), "avgdl")
-    part = F.col("w") * F.col("times") * F.col("tf") * (K1 + 1) / (F.col("tf") + K1 * (1 - B + B * F.col("dl") / F.col("avgdl")))
-    scored = postings.join(F.broadcast(weight), "term").join(F.broadcast(asked), "term").groupBy("qid", "id").agg(F.sum(part).alias("score"))
-    best = top(scored, k)
-    # chunks without any term score 0: where a query has fewer hits than k, the first ids fill up; negative scores come after them.
-    # the scores are named there, too, so that both uses share one exchange
-    first = lengths.select("id").orderBy("id").limit(k)
-    filled = queries.select("qid").join(F.broadcast(first), F.lit(True)).join(scored.select("qid", "id", F.col("score").isNotNull().alias("hit")), ["qid", "id"], "left").where("hit is null").select("qid", "id", F.lit(0.0).alias("score"))
-    return top(best.drop("rank").unionByName(filled), k)
+    """(qid, id, score, rank): the k best chunks (id, text) for each of the queries (qid, text), chunks of score 0 last."""
+    return lexical.search(lexical.over(chunks), queries, k)
 
 
 def dense(vectors: DataFrame, queries: DataFrame, k: int) -> DataFrame:
-    """(qid, id, score, rank): the k nearest vectors (id, vec) by cosine for each of the queries (qid, vec).
-
-    The queries, a stated set, go to every task in blocks; a task multiplies its rows with them as matrices and keeps its own k best, so at most k rows for each query and batch are shuffled.
-    """
-    asked = queries.orderBy("qid").toPandas()
-    ids = asked["qid"].to_numpy(np.int64)
-    unit = lambda m: m / np.maximum(np.linalg.norm(m, axis=1, keepdims=True), 1e-8)
-    q = unit(np.array(asked["vec"].tolist(), np.float64).reshape(len(asked), -1)) if len(asked) else None
-
-    def run(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        for f in frames:
-            if q is None or not len(f):
-                continue
-            own, m = f["id"].to_numpy(), unit(np.array(f["vec"].tolist(), np.float64))
-            for at in range(0, len(ids), QUERY_BLOCK):
-                s = np.round(q[at : at + QUERY_BLOCK] @ m.T, 12)
-                order = np.lexsort((np.broadcast_to(own, s.shape), -np.round(s, 9)), axis=1)[:, :k]
-                yield pd.DataFrame({"qid": np.repeat(ids[at : at + QUERY_BLOCK], order.shape[1]), "id": own[order].ravel(), "score": np.take_along_axis(s, order, 1).ravel()})
-
-    return top(vectors.select(F.col("id").cast("long").alias("id"), "vec").mapInPandas(run, "qid long, id long, score double"), k)
+    """(qid, id, score, rank): the k nearest vectors (id, vec) by cosine for each of the queries (qid, vec), block by block. Rows without a vector are left out."""
+    rows = blocks.packed(vectors.select(F.col("id").cast("long").alias("id"), "vec").where("vec is not null"), ROWS)
+    asked = queries.select(F.col("qid").cast("long").alias("qid"), "vec").where("vec is not null")
+    return blocks.best(rows, blocks.packed(asked.repartition(max(1, -(-asked.count() // QUERIES))), QUERIES), blocks.cosine(k), k)
 
 
 def rrf(lists: list[DataFrame], k: int = 60) -> DataFrame:

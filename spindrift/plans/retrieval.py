@@ -5,9 +5,11 @@ from __future__ import annotations
 from pyspark.sql import functions as F
 
 from spindrift.functions import text as T
+from spindrift.operators import lexical
 from spindrift.operators import retrieval as R
 from spindrift.plans.registry import query
 from spindrift.session import documents, table
+from spindrift.sources.versions import shared_folder
 
 FIXED = "The thanea of eriner and tionth the anly"
 _TOK = r"regexp_extract_all(lower({0}), '[\p{{L}}\p{{N}}_]+')"
@@ -49,6 +51,16 @@ def bm25_topk(spark, sf_dir):
     return R.bm25(chunks(spark, sf_dir), q, 10).select(F.col("id").alias("doc_id"), F.round("score", 6).alias("score"), "rank")
 
 
+@query("bm25_stored", f"WITH {ASKED}, {BM25} SELECT qid, id, round(score, 6) AS score, {RANKED} AS rank FROM bm QUALIFY rank <= 10")
+def bm25_stored(spark, sf_dir):
+    """Ten best documents of each query from an index in a folder, to which the second half of the documents came as a segment of its own."""
+    stored = lexical.Stored(spark, shared_folder(spark, "bm25"))
+    c = chunks(spark, sf_dir)
+    for half in (0, 1):
+        stored.add(c.where(F.col("id") % 2 == half), f"half {half}")
+    return stored.search(asked(spark, sf_dir), 10).select("qid", "id", F.round("score", 6).alias("score"), "rank")
+
+
 @query("knn_topk", f"WITH {DENSE} SELECT qid, id, round(score, 6) AS score, {RANKED} AS rank FROM dn QUALIFY rank <= 10")
 def knn_topk(spark, sf_dir):
     """Ten nearest vectors of each query."""
