@@ -104,8 +104,10 @@ def search(index: Index, queries: DataFrame, k: int) -> DataFrame:
 
 def _few(index: Index, queries: list, terms: list[str], k: int) -> DataFrame:
     """Weights of the terms come first, as they are few; then one scan of their postings is added up by query and chunk, together with zeros for the first chunks."""
-    found = _of(index, index.terms, terms).groupBy("term").agg(F.sum("df").alias("df")).collect()
-    raw = {r.term: math.log(index.n - r.df + 0.5) - math.log(r.df + 0.5) for r in found}
+    df: Counter = Counter()
+    for r in _of(index, index.terms, terms).select("term", "df").collect() if terms else ():  # a row for each term and segment
+        df[r.term] += r.df
+    raw = {t: math.log(index.n - n + 0.5) - math.log(n + 0.5) for t, n in sorted(df.items())}
     weights = {t: index.floor if w < 0 else w for t, w in raw.items()}
     asked = {t: [] for t in weights}
     for r in queries:
@@ -117,7 +119,8 @@ def _few(index: Index, queries: list, terms: list[str], k: int) -> DataFrame:
     of_term = F.create_map(*(x for t, v in asked.items() for x in (F.lit(t), F.array(*(F.struct(F.lit(q).cast("long").alias("qid"), F.lit(float(w)).alias("w")) for q, w in v))))) if asked else F.create_map().cast("map<string,array<struct<qid:bigint,w:double>>>")
     each = scored.select("id", "value", F.explode(F.element_at(of_term, F.col("term"))).alias("q")).select(F.col("q.qid").alias("qid"), "id", (F.col("q.w") * F.col("value")).alias("score"))
     first = list(index.first[:k]) if len(index.first) >= min(k, index.n) else [r.id for r in index.lengths.select("id").orderBy("id").limit(k).collect()]
-    zeros = spark.createDataFrame([(r.qid, i, 0.0) for r in queries for i in first], "qid long, id long, score double")
+    pairs = F.arrays_zip(F.lit([r.qid for r in queries for _ in first]).cast("array<bigint>").alias("qid"), F.lit([i for _ in queries for i in first]).cast("array<bigint>").alias("id"))
+    zeros = spark.range(1, numPartitions=1).select(F.explode(pairs).alias("p")).select("p.qid", "p.id", F.lit(0.0).alias("score"))
     return blocks.top(each.unionByName(zeros).groupBy("qid", "id").agg(F.sum("score").alias("score")), k)
 
 
