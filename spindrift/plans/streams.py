@@ -8,8 +8,8 @@ from pyspark.sql import Window as W
 from spindrift.functions import rules
 from spindrift.plans.registry import query
 from spindrift.session import table
+from spindrift.streaming import expiry, windows
 from spindrift.streaming import state as S
-from spindrift.streaming import windows
 
 
 def events(spark, sf_dir):
@@ -98,3 +98,12 @@ def retry_backoff(spark, sf_dir):
     """Delay before each retry, and its least by jitter."""
     d = rules.retry_delay(F.col("event_id") % 8)
     return events(spark, sf_dir).select("event_id", d.alias("delay_s"), (d * 0.5).alias("least_s"))
+
+
+@query("recent_events", """WITH g AS (SELECT *, coalesce((epoch_us(ts) >= lag(epoch_us(ts)) OVER w + 172800000000)::INT, 0) AS fresh FROM events WINDOW w AS (PARTITION BY user_id ORDER BY ts, event_id)),
+s AS (SELECT *, sum(fresh) OVER (PARTITION BY user_id ORDER BY ts, event_id ROWS UNBOUNDED PRECEDING) AS span FROM g), l AS (SELECT *, max(span) OVER (PARTITION BY user_id) AS last FROM s)
+SELECT user_id, string_agg(event_id::VARCHAR, ',' ORDER BY ts, event_id) AS events FROM (SELECT * FROM l WHERE span = last QUALIFY row_number() OVER (PARTITION BY user_id ORDER BY ts DESC, event_id DESC) <= 5) GROUP BY user_id""")
+def recent_events(spark, sf_dir):
+    """Last five events of each user since it was quiet for two days: the batch form of state that expires."""
+    found = expiry.last_entries_of(events(spark, sf_dir), "user_id", "ts", ["event_id"], ["event_id"], 5, 2 * 86_400)
+    return found.select("user_id", F.array_join("entries.event_id", ",").alias("events"))
