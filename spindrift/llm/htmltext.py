@@ -7,10 +7,11 @@ aggregation adds up. Classes of two tokens or more that hold once in nearly ever
 into the template. What stands directly in a container is its slot. A slot is content if its text is mostly outside links, varies
 over the pages that have it, and is prose or not small. The main container is the deepest one of the template that holds all content slots, or the
 article or main element around it; with its siblings in page order, what it holds in a page is that page's text. A page without its host's main container takes the
-one deduced over all hosts. A block that nearly all pages of a host repeat, by the lower bound of that share, is template too, if the pages differ.
+one deduced over all hosts. A block that nearly all pages of a host repeat, by the lower bound of that share, is template too, if the pages differ; inside a main
+container that holds for short lines only, as a sentence that every article holds is still the article's.
 
 The lists of telling names (APART, ROLES, NAMES) are a last resort beside the template: they drop what no count tells from an article, as reader comments, and what
-surrounds the text where a host has one page only. They have no part in finding the template.
+surrounds the text where a host has one page only. They have no part in finding the template, and inside a main container a name alone drops nothing that the template calls content.
 
 A null or empty html has an empty text, as a page without main text has. A null url has host ''. Repeated rows keep their rows and count as pages. An
 unclosed comment or script hides what follows it, as in a browser. Containers that tie go by weight, then depth, then hash. Very long, deep or broken pages take time and
@@ -52,6 +53,8 @@ NAMES = frozenset(
     "sidebar menu menus nav navbar navigation breadcrumb breadcrumbs cookie cookies consent gdpr notice notices popup modal overlay newsletter subscribe "
     "signup share sharing social related recommended footer masthead widget widgets toolbar skip pagination pager login".split()
 )
+#: Those of them that name what readers write; no count tells that from an article.
+READERS = frozenset("comment comments disqus replies respond".split())
 #: An end tag that these start tags imply, and the elements that it doesn't reach beyond.
 CLOSES = {"li": ("li",), "dt": ("dt", "dd"), "dd": ("dt", "dd"), "tr": ("tr", "td", "th"), "td": ("td", "th"), "th": ("td", "th"), "option": ("option",)}
 LIMITS = {"li": ("ul", "ol", "menu"), "dt": ("dl",), "dd": ("dl",), "tr": ("table",), "td": ("table",), "th": ("table",), "option": ("select",)}
@@ -62,6 +65,8 @@ _ATTR = re.compile(r"""(?<![\w-])(class|id|role)\s*+=\s*+("[^"]*"|'[^']*'|[^\s"'
 SUPPORT, VARIES, SMALL = 0.6, 0.5, 0.2
 #: A block is template if the lower bound (one-sided, 95 %) of its share of the pages reaches this.
 REPEATED, Z = 0.85, 1.645
+#: Inside a main container only a line of so few words that ends no sentence can be template by repetition: a sentence that every article holds is still the article's.
+LINE = re.compile(r"(?:\S+ ){0,3}\S*[^\s.!?:;,…。！？\"'»”)\]]")
 ANY = "*"
 #: What a row of `tokens` counts: the page, a text block, an element, and containers: any, article or main, html or body.
 PAGE, BLOCK, ELEMENT, CONTAINER, ARTICLE, TOP = -2, -1, 0, 1, 2, 3
@@ -77,7 +82,7 @@ class Page:
 
     def __init__(self) -> None:
         self.parent, self.token, self.kind = array("q", [0]), array("q", [0]), array("b", [TOP])
-        self.blocks: list[tuple[int, str, bool, bool, bool]] = []  # node, text, linked, prose, apart by its names
+        self.blocks: list[tuple[int, str, bool, bool, int]] = []  # node, text, linked, prose, apart: 1 by a name alone, 2 by its element, role or readers' names
         self.counts: dict[int, int] = defaultdict(int)
 
     def add(self, parent: int, token: int, kind: int) -> int:
@@ -87,13 +92,14 @@ class Page:
         return len(self.parent) - 1
 
 
-def _apart(name: str, attributes: dict[str, str], inside_article: bool) -> bool:
-    """Whether an element is boilerplate by its name, role, class or id."""
-    if name in APART or (name == "header" and not inside_article):
-        return True
-    if attributes.get("role") in ROLES:
-        return True
-    return name not in TOPS and name not in ARTICLES and any(not NAMES.isdisjoint(re.split(r"[\s_-]+", attributes[k])) for k in ("class", "id") if k in attributes)
+def _apart(name: str, attributes: dict[str, str], inside_article: bool) -> int:
+    """Whether an element is boilerplate by its kind, role or readers' names (2), or by another name in its class or id only (1)."""
+    if name in APART or (name == "header" and not inside_article) or attributes.get("role") in ROLES:
+        return 2
+    if name in TOPS or name in ARTICLES:
+        return 0
+    told = {w for k in ("class", "id") if k in attributes for w in re.split(r"[\s_-]+", attributes[k])} & NAMES
+    return 2 if told & READERS else int(bool(told))
 
 
 def parse(source: str | None) -> Page:
@@ -101,10 +107,10 @@ def parse(source: str | None) -> Page:
     page = Page()
     if not source:
         return page
-    stack: list[tuple[str, bool, int]] = []  # name, apart, node before
+    stack: list[tuple[str, int, int]] = []  # name, apart, node before
     places: dict[str, list[int]] = defaultdict(list)  # of open elements by name
     block_at: list[int] = []  # places of open block elements
-    node, apart, muted, buffer = 0, 0, 0, []  # muted: inside an inline element that is apart
+    node, apart, muted, buffer = 0, [0, 0, 0], 0, []  # apart: open elements by level; muted: inside an inline element that is apart
 
     def flush() -> None:
         if buffer:
@@ -112,18 +118,18 @@ def parse(source: str | None) -> Page:
             buffer.clear()
             if text:
                 prose = bool(block_at) and stack[block_at[-1]][0] in PROSE
-                page.blocks.append((node, text, bool(places["a"]), prose, apart > 0))
+                page.blocks.append((node, text, bool(places["a"]), prose, 2 if apart[2] else int(apart[1] > 0)))
 
     def close(to: int) -> None:
-        nonlocal node, apart, muted
+        nonlocal node, muted
         while len(stack) > to:
             name, named, before = stack[-1]
             if name in BLOCKS:
                 flush()
                 block_at.pop()
-                apart -= named
+                apart[named] -= 1
             else:
-                muted -= named
+                muted -= named > 0
             stack.pop()
             places[name].pop()
             node = before
@@ -192,9 +198,9 @@ def parse(source: str | None) -> Page:
             node = page.add(node, token, ARTICLE if name in ARTICLES else TOP if name in TOPS else CONTAINER)
         if name in BLOCKS:
             block_at.append(len(stack))
-            apart += named
+            apart[named] += 1
         else:
-            muted += named
+            muted += named > 0
         places[name].append(len(stack))
         stack.append((name, named, before))
     close(0)
@@ -202,14 +208,23 @@ def parse(source: str | None) -> Page:
     return page
 
 
-def main_text(page: Page, mains: tuple[int, ...] = (), repeated: frozenset[int] = frozenset(), names: bool = True) -> str:
-    """Blocks inside the first of the main containers that the page has, or all blocks, without repeated ones and, with `names`, those apart by their names."""
+def main_text(page: Page, mains: tuple[int, ...] = (), repeated: frozenset[int] = frozenset(), names: bool = True, content: frozenset[int] = frozenset()) -> str:
+    """Blocks inside the first of the main containers that the page has, or all blocks; with `names` without those apart by their names.
+
+    Where the page has a main container, the template comes before the lists: a name alone does not drop a slot that the template calls content, and of repeated blocks only short lines go.
+    """
     have = set(page.token)
     main = next((m for m in mains if m in have), None)
     inside = bytearray(len(page.parent))
     for i, (up, token) in enumerate(zip(page.parent, page.token, strict=True)):
         inside[i] = main is None or token == main or (i > 0 and inside[up])
-    return "\n\n".join(text for node, text, _, _, apart in page.blocks if inside[node] and not (names and apart) and not (repeated and block_token(text) in repeated))
+
+    def stays(node: int, text: str, apart: int) -> bool:
+        if names and (apart == 2 or (apart == 1 and (main is None or page.token[node] not in content))):
+            return False
+        return not repeated or (main is not None and not LINE.fullmatch(text)) or block_token(text) not in repeated
+
+    return "\n\n".join(text for node, text, _, _, apart in page.blocks if inside[node] and stays(node, text, apart))
 
 
 def block_token(text: str) -> int:
@@ -280,6 +295,15 @@ def _added(found: DataFrame, *by: str) -> DataFrame:
     return found.groupBy(*by, *_KEY).agg(*(F.sum(x).alias(x) for x in _SUMS), F.bit_or("bits").alias("bits"))
 
 
+def content_of(rows: list[dict]) -> set[int]:
+    """Slots of a host that are content, from its frequent containers: mostly outside links, varying, and prose or not small."""
+    by = {r["token"]: r for r in rows}
+    alike = lambda n: _BITS * -math.expm1(n * math.log1p(-1 / _BITS))  # noqa: E731  bits that n different texts set
+    varied = [t for t in by if by[t]["own"] > 0 and by[t]["own"] >= by[t]["linked"] and (by[t]["bits"] & (1 << _BITS) - 1).bit_count() >= VARIES * alike(by[t]["pages"])]
+    largest = max((by[t]["own"] for t in varied), default=0)
+    return {t for t in varied if 2 * by[t]["prose"] >= by[t]["own"] or by[t]["own"] >= SMALL * largest}
+
+
 def main_of(rows: list[dict]) -> int | None:
     """The main container of a host, from its frequent containers: token, parent, kind, valid, pages, own, linked, prose, bits; None if that is the whole page."""
     by = {r["token"]: r for r in rows}
@@ -292,10 +316,7 @@ def main_of(rows: list[dict]) -> int | None:
         for k, x in enumerate(reversed(way), depth.get(t, 0) + 1):
             depth[x] = k
     order = sorted(by, key=lambda t: (depth[t], t))
-    alike = lambda n: _BITS * -math.expm1(n * math.log1p(-1 / _BITS))  # noqa: E731  bits that n different texts set
-    varied = [t for t in order if by[t]["own"] > 0 and by[t]["own"] >= by[t]["linked"] and (by[t]["bits"] & (1 << _BITS) - 1).bit_count() >= VARIES * alike(by[t]["pages"])]
-    largest = max((by[t]["own"] for t in varied), default=0)
-    content = {t for t in varied if 2 * by[t]["prose"] >= by[t]["own"] or by[t]["own"] >= SMALL * largest}
+    content = content_of(rows)
 
     def sums(of: set[int]) -> tuple[dict[int, int], dict[int, int]]:
         count, weight = {t: int(t in of) for t in order}, {t: by[t]["own"] * (t in of) for t in order}
@@ -333,7 +354,7 @@ def lower_bound(k: Column, n: Column, z: float = Z) -> Column:
 
 
 def templates(found: DataFrame) -> DataFrame:
-    """(host, main, repeated) of each host: its main container and its repeated blocks.
+    """(host, main, repeated, content) of each host: its main container, its repeated blocks and its content slots.
 
     A host's tokens are aggregated and joined; gathered are its frequent containers only, at most 1 / SUPPORT times as many as a page has, and
     its repeated blocks, 1 / REPEATED times.
@@ -347,14 +368,16 @@ def templates(found: DataFrame) -> DataFrame:
     nested = frequent.where(F.col("kind") >= CONTAINER).join(classes, ["host", "pages", "s1", "s2"], "left").withColumn("valid", once & F.col("members").isNotNull())
 
     def choose(f: pd.DataFrame) -> pd.DataFrame:
-        main = main_of(f.to_dict("records"))
-        return pd.DataFrame({"host": f["host"].iloc[:1], "main": pd.array([main], "Int64")})
+        rows = f.to_dict("records")
+        # one page tells nothing about what varies
+        content = sorted(content_of(rows)) if f["pages"].max() > 1 else []
+        return pd.DataFrame({"host": f["host"].iloc[:1].to_list(), "main": pd.array([main_of(rows)], "Int64"), "content": [content]})
 
-    mains = nested.select("host", *_KEY, "pages", "own", "linked", "prose", "bits", "valid").groupBy("host").applyInPandas(choose, "host string, main long")
+    mains = nested.select("host", *_KEY, "pages", "own", "linked", "prose", "bits", "valid").groupBy("host").applyInPandas(choose, "host string, main long, content array<bigint>")
     differing = found.where(F.col("kind") == BLOCK).groupBy("host").agg(F.count(F.lit(1)).alias("different"))
     repeated = known.where((F.col("kind") == BLOCK) & (lower_bound(F.col("pages"), F.col("n")) >= REPEATED)).join(differing, "host").where("different >= n")
     repeated = repeated.groupBy("host").agg(F.collect_set("token").alias("repeated"))
-    return per.join(mains, "host", "left").join(repeated, "host", "left").select("host", "main", "repeated")
+    return per.join(mains, "host", "left").join(repeated, "host", "left").select("host", "main", "repeated", "content")
 
 
 def extract(pages: DataFrame, broadcast_hosts: int = 20_000, names: bool = True) -> DataFrame:
@@ -364,12 +387,12 @@ def extract(pages: DataFrame, broadcast_hosts: int = 20_000, names: bool = True)
     found = scratch.save(tokens(rows.select("host", "html")))
     common = templates(_added(found).withColumn("host", F.lit(ANY))).first()
     shared = F.lit(common.main if common else None).cast("long")
-    known = scratch.save(templates(found)).select("host", F.array_compact(F.array("main", shared)).alias("mains"), "repeated")
+    known = scratch.save(templates(found)).select("host", F.array_compact(F.array("main", shared)).alias("mains"), "repeated", "content")
     joined = rows.join(F.broadcast(known) if known.count() <= broadcast_hosts else known, "host", "left")
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
-            texts = [main_text(parse(s), tuple(m or ()), frozenset(r or ()), names) for s, m, r in zip(*(c.to_pylist() for c in b.columns[2:]), strict=True)]
+            texts = [main_text(parse(s), tuple(m or ()), frozenset(r or ()), names, frozenset(c or ())) for s, m, r, c in zip(*(c.to_pylist() for c in b.columns[2:]), strict=True)]
             yield pa.RecordBatch.from_arrays([*b.columns[:2], pa.array(texts, pa.string())], names=["page_id", "url", "text"])
 
-    return joined.select("page_id", "url", "html", "mains", "repeated").mapInArrow(lean(run), "page_id long, url string, text string")
+    return joined.select("page_id", "url", "html", "mains", "repeated", "content").mapInArrow(lean(run), "page_id long, url string, text string")

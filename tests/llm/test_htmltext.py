@@ -95,3 +95,19 @@ def test_driver_pages(spark, names):
         article = re.search(r"<article>(.*?)</article>", source[r.page_id], re.DOTALL)[1]
         parts = [" ".join(h.unescape(re.sub("</?b>", "", x.replace("<br>", " "))).split()) for x in re.split("</?(?:p|h1)>", article)]
         assert r.text == "\n\n".join(x for x in parts if x)
+
+
+def test_the_template_comes_before_names_inside_an_article(spark):
+    """A sentence that every article repeats stays; named sections stay if their text varies and go if it does not; readers' comments go in any case."""
+    def make(i):
+        words = " ".join(f"w{i}x{k}" for k in range(40))
+        return (
+            f"<body><div class=menu>Home</div><article><h1>Head {i}</h1><p>This paper appears daily, in print and here.</p><p>{words}</p><section id=social><p>Society {words}</p></section>"
+            f"<div class=notice>All rights reserved by the paper.</div><div class=comments><p>reader {i} says {words}</p></div></article><div class=low>Imprint</div></body>"
+        )
+
+    for n in (8, 40):
+        df = spark.createDataFrame([(i, f"http://a.b/{i}", make(i)) for i in range(n)], "page_id long, url string, html string")
+        for r in htmltext.extract(df).collect():
+            words = " ".join(f"w{r.page_id}x{k}" for k in range(40))
+            assert r.text == f"Head {r.page_id}\n\nThis paper appears daily, in print and here.\n\n{words}\n\nSociety {words}"
