@@ -38,7 +38,7 @@ def _buckets(terms: list[str]) -> list[int]:
 
 @dataclass(frozen=True)
 class Index:
-    """Postings (term, id, tf, dl) and (term, df) with at most one row for each term and segment, lengths (id, dl), and the whole in numbers."""
+    """Postings (term, id, tf, dl) and (term, df) with at most one row for each term and segment, ids of all chunks, and the whole in numbers."""
 
     postings: DataFrame
     terms: DataFrame
@@ -67,10 +67,10 @@ def tokenised(chunks: DataFrame) -> DataFrame:
 
 def over(chunks: DataFrame) -> Index:
     """The index of chunks (id, text) for one call: nothing is written; terms and lengths are counted, postings made when they are asked for."""
-    toks = tokenised(chunks)
-    size = toks.agg(F.count(F.lit(1)), F.avg("dl")).first()
-    terms = toks.select(F.explode(F.array_distinct("toks")).alias("term")).groupBy("term").agg(F.count(F.lit(1)).alias("df"))
-    return Index(toks.select("id", "dl", F.explode("toks").alias("term")), terms, toks.select("id", "dl"), size[0], size[1] or 0.0, _floor(terms, size[0]))
+    toks, n = tokenised(chunks), chunks.count()
+    terms = toks.select("dl", F.posexplode(F.array_distinct("toks")).alias("at", "term")).groupBy("term").agg(F.count(F.lit(1)).alias("df"), F.sum(F.when(F.col("at") == 0, F.col("dl").cast("long"))).alias("tokens"))
+    whole = terms.agg(F.avg(_raw_idf(n)), F.sum("tokens")).first()  # one pass over the texts for the floor and the mean length
+    return Index(toks.select("id", "dl", F.explode("toks").alias("term")), terms.select("term", "df"), chunks.select(F.col("id").cast("long").alias("id")), n, (whole[1] or 0) / max(n, 1), FLOOR * (whole[0] or 0.0))
 
 
 def asked_terms(queries: DataFrame) -> DataFrame:
@@ -141,13 +141,13 @@ def _many(index: Index, queries: DataFrame, k: int) -> DataFrame:
     postings = _valued(index, of_terms(index.postings))
     weighted = asked.join(side(weights), "term").select("qid", "term", (F.col("w") * F.col("times")).alias("value"))
     hashed = F.xxhash64("term").alias("term")
-    rows = blocks.packed(postings.select("id", hashed, "value").repartition("id").sortWithinPartitions("id"), POSTINGS, whole="id", groups=DOCUMENTS)
-    sets = blocks.packed(weighted.select("qid", hashed, "value").repartition("qid").sortWithinPartitions("qid"), TERMS, whole="qid", groups=QUERIES)
-    best = blocks.best(rows, sets, blocks.sparse, k).drop("rank")
-    first = F.broadcast(index.lengths.select("id").orderBy("id").limit(k))  # k rows
-    hits = postings.join(first, "id").join(weighted.select("qid", "term"), "term").select("qid", "id")
-    zero = queries.select(F.col("qid").cast("long").alias("qid")).join(first, F.lit(True)).join(hits.distinct(), ["qid", "id"], "left_anti").select("qid", "id", F.lit(0.0).alias("score"))
-    return blocks.top(best.unionByName(zero), k)
+    # a term that no text has gives the first k chunks 0 for every query, so those without a hit are there to fill up
+    none = F.xxhash64(F.lit("")).alias("term")
+    first = index.lengths.select("id").orderBy("id").limit(k).select("id", none, F.lit(0.0).alias("value"))
+    every = queries.select(F.col("qid").cast("long").alias("qid"), none, F.lit(1.0).alias("value")).distinct()
+    rows = postings.select("id", hashed, "value").unionByName(first).repartition("id").sortWithinPartitions("id")
+    sets = weighted.select("qid", hashed, "value").unionByName(every).repartition("qid").sortWithinPartitions("qid")
+    return blocks.best(blocks.packed(rows, POSTINGS, whole="id", groups=DOCUMENTS), blocks.packed(sets, TERMS, whole="qid", groups=QUERIES), blocks.sparse, k)
 
 
 class Stored:
