@@ -5,6 +5,7 @@ import numpy as np
 import pytest
 
 from spindrift.llm import audio
+from spindrift.llm.scratch import Scratch
 
 
 def test_tables():
@@ -112,3 +113,11 @@ def test_decode_column(spark):
     assert [g[0] for g in got] == [3, 4, 4] and got[1] == got[2]
     form, rate, _, data = audio.read_wav(got[2][1])
     assert (form, rate) == (audio.PCM, 16000) and len(data) == 2 * 2 * len(scalar_ima(b"zz" * 40, 64))
+
+
+def test_stored_pcm_is_what_the_features_are_of(spark):
+    texts = [None, "", "a" * 64, *(f"text {i} " * (i + 3) for i in range(12))]
+    stored = audio.store(spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string"))
+    pcm = audio.stored_pcm(stored, "media", Scratch(spark, "pcm"))
+    assert pcm.columns == ["doc_id", "n_bytes", "pcm"] and pcm.inputFiles()
+    assert {r.doc_id: audio.features(bytes(r.pcm)) for r in pcm.collect()} == {r.doc_id: r.feature for r in audio.digests(stored).collect()}

@@ -51,3 +51,15 @@ def test_domains(spark):
 
     rows = spark.createDataFrame([("a.b.co.uk",), ("x.y.com",), ("com",), ("",), ("co.uk",)], "h string").select(urlrep.domain_of(F.col("h")), urlrep.suffix_of(F.col("h"))).collect()
     assert [tuple(r) for r in rows] == [("b.co.uk", "co.uk"), ("y.com", "com"), ("com", "com"), ("", ""), ("co.uk", "co.uk")]
+
+
+def test_hosts_of_different_rates_separate(spark):
+    """Forty hosts with a good rate of 0.9 and ten with 0.5, each with 60 outcomes: every one of the ten is blocked, none of the forty. With rates that differ by chance only, none is."""
+    def judged(rate):
+        pages = [(h * 1000 + k, f"https://h{h}.site{h}.com/p{k}") for h in range(50) for k in range(60)]
+        outcomes = [(h * 1000 + k, int((k * 37 + h * 11) % 60 < rate(h) * 60)) for h in range(50) for k in range(60)]
+        got = urlrep.verdicts(spark.createDataFrame(pages, "page_id long, url string"), spark.createDataFrame(outcomes, "page_id long, good int"))
+        return {r.host for r in got.collect() if r.verdict == "block" and r.rule is None}
+
+    assert judged(lambda h: 0.5 if h % 5 == 0 else 0.9) == {f"h{h}.site{h}.com" for h in range(0, 50, 5)}
+    assert judged(lambda h: 0.85) == set()
