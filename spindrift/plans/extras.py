@@ -5,6 +5,7 @@ from __future__ import annotations
 from pyspark.sql import functions as F
 
 from spindrift.functions import text as T
+from spindrift.operators import classify
 from spindrift.operators import dedup as D
 from spindrift.plans.dedup import hashes
 from spindrift.plans.registry import query
@@ -99,3 +100,23 @@ def chunk_entry(spark, sf_dir):
     cohesive = C.semantic_chunks(docs.where(~short), "conv_id", C.hashing_embedder(), 480, 0.2).select("conv_id", "n", "text", F.lit("semantic").alias("method"))
     simple = C.token_chunks(docs.where(short).select("conv_id", "text"), "conv_id").select("conv_id", F.col("n").cast("long").alias("n"), "text", F.lit("simple").alias("method"))
     return cohesive.unionByName(simple)
+
+
+def _by_article(texts: list[str]) -> list[tuple[str, float]]:
+    """A stand-in for a model: the more often a text says `the`, the surer it is English. It fails on texts that hold an address."""
+    if any("@" in t for t in texts):
+        raise ValueError("address")
+    return [("en" if (n := t.count(" the ")) else "other", min(1.0, n / 10) if n else 0.5) for t in texts]
+
+
+_THE = "((length(text) - length(replace(text, ' the ', ''))) // 5)"
+
+
+@query("classified_batches", f"""WITH c AS (SELECT lang, CASE WHEN trim(coalesce(text, '')) = '' THEN 'ValueError: empty text' WHEN contains(text, '@') THEN 'ValueError: address' END AS error, {_THE} AS n FROM documents),
+l AS (SELECT lang, error, CASE WHEN error IS NULL THEN CASE WHEN n > 0 THEN 'en' ELSE 'other' END END AS label, CASE WHEN n > 0 THEN least(1.0, n / 10.0) ELSE 0.5 END AS confidence FROM c)
+SELECT lang, coalesce(label, '') AS label, coalesce(error, '') AS error, count(*) AS n, round(coalesce(sum(confidence) FILTER (WHERE error IS NULL), 0), 4)::DOUBLE AS confidence FROM l GROUP BY ALL""")
+def classified_batches(spark, sf_dir):
+    """Texts by what a classifier says of them, the ones that it fails on by their error; a failing text does not take its batch along."""
+    found = classify.classify(table(spark, sf_dir, "documents").select("lang", "text"), _by_article)
+    named = found.groupBy("lang", F.coalesce("result.label", F.lit("")).alias("label"), F.coalesce("error", F.lit("")).alias("error"))
+    return named.agg(F.count(F.lit(1)).alias("n"), F.round(F.coalesce(F.sum("result.confidence"), F.lit(0.0)), 4).alias("confidence"))
