@@ -4,7 +4,10 @@ from __future__ import annotations
 
 import itertools
 import math
+from collections.abc import Callable
 
+import numpy as np
+import pandas as pd
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
@@ -110,28 +113,76 @@ def kept_blocks(rows: int, radius: int) -> int:
     return min(range(1, MOST_BLOCKS + 1), key=cost)
 
 
-def near_pairs(hashes: DataFrame, key: str, radius: int = 8, blocks: int = 2) -> DataFrame:
-    """(a, b, distance), a < b, of hashes (key, simhash) at most `radius` bits apart. Equal hashes are a pair like any other, so give different ones (`copies`).
+def _masks(radius: int, blocks: int) -> list[int]:
+    edges = [BITS * i // (radius + blocks) for i in range(radius + blocks + 1)]
+    return [(1 << edges[i + 1]) - (1 << edges[i]) for i in range(radius + blocks)]
+
+
+def _signed(m: int) -> int:
+    return m - (1 << 64) if m >> 63 else m
+
+
+def keyed(rows: DataFrame, radius: int, blocks: int, *also: str) -> DataFrame:
+    """(id, simhash, also.., choice, skipped, part): a row for each join key of rows (id, simhash, also..).
 
     Hashes are cut into radius + blocks blocks, of which two near ones share `blocks` or more: each choice of so many is an equi-join key of about
-    64 * blocks / (radius + blocks) bits. A pair is put out for the first choice that it shares: blocks before its last one differ, but for the chosen.
+    64 * blocks / (radius + blocks) bits. `skipped` are the blocks before the last chosen one that are not chosen.
     """
-    count = radius + blocks
-    edges = [BITS * i // count for i in range(count + 1)]
-    signed = lambda m: m - (1 << 64) if m >> 63 else m
-    masks = [(1 << edges[i + 1]) - (1 << edges[i]) for i in range(count)]
+    masks = _masks(radius, blocks)
     choices = []
-    for chosen in itertools.combinations(range(count), blocks):
+    for chosen in itertools.combinations(range(radius + blocks), blocks):
         skipped = sum(1 << i for i in range(chosen[-1]) if i not in chosen)
-        part = F.col("simhash").bitwiseAND(F.lit(signed(sum(masks[i] for i in chosen))))
+        part = F.col("simhash").bitwiseAND(F.lit(_signed(sum(masks[i] for i in chosen))))
         choices.append(F.struct(F.lit(sum(1 << i for i in chosen)).alias("choice"), F.lit(skipped).alias("skipped"), part.alias("part")))
-    keyed = hashes.select(F.col(key).alias("id"), "simhash", F.explode(F.array(*choices)).alias("x")).select("id", "simhash", "x.*")
-    a, b = keyed.alias("a"), keyed.drop("skipped").alias("b")
+    return rows.select("id", "simhash", *also, F.explode(F.array(*choices)).alias("x")).select("id", "simhash", *also, "x.*")
+
+
+def _near(radius: int, blocks: int, once: bool = True) -> Column:
+    """Rows a and b of `keyed` have one key and near hashes; `once`: and this key is the first that they share, as blocks before its last one differ, but for the chosen."""
     different = F.col("a.simhash").bitwiseXOR(F.col("b.simhash"))
-    on = (F.col("a.choice") == F.col("b.choice")) & (F.col("a.part") == F.col("b.part")) & (F.col("a.id") < F.col("b.id")) & (F.bit_count(different) <= radius)
-    for i, m in enumerate(masks):
-        on = on & ((F.col("a.skipped").bitwiseAND(F.lit(1 << i)) == 0) | (different.bitwiseAND(F.lit(signed(m))) != 0))
-    return a.join(b, on).select(F.col("a.id").alias("a"), F.col("b.id").alias("b"), F.bit_count(different).cast("bigint").alias("distance"))
+    on = (F.col("a.choice") == F.col("b.choice")) & (F.col("a.part") == F.col("b.part")) & (F.bit_count(different) <= radius)
+    for i, m in enumerate(_masks(radius, blocks) if once else ()):
+        on = on & ((F.col("a.skipped").bitwiseAND(F.lit(1 << i)) == 0) | (different.bitwiseAND(F.lit(_signed(m))) != 0))
+    return on
+
+
+def _distance() -> Column:
+    return F.bit_count(F.col("a.simhash").bitwiseXOR(F.col("b.simhash"))).cast("bigint").alias("distance")
+
+
+def near_pairs(hashes: DataFrame, key: str, radius: int = 8, blocks: int = 2) -> DataFrame:
+    """(a, b, distance), a < b, of hashes (key, simhash) at most `radius` bits apart. Equal hashes are a pair like any other, so give different ones (`copies`).
+
+    These are all pairs, which a dense group has in the square of its size: components, leaders and followers below do without them.
+    """
+    k = keyed(hashes.select(F.col(key).alias("id"), "simhash"), radius, blocks)
+    on = _near(radius, blocks) & (F.col("a.id") < F.col("b.id"))
+    return k.alias("a").join(k.alias("b"), on).select(F.col("a.id").alias("a"), F.col("b.id").alias("b"), _distance())
+
+
+def near_components(rows: DataFrame, radius: int = 8, linked: Callable[[DataFrame], DataFrame] = lambda pairs: pairs) -> DataFrame:
+    """(id, root) of the rows (id, simhash; ids differ) that have a link, root being the smallest id reachable. Links are those near pairs (a, b, distance) that `linked` keeps.
+
+    Rows are compared with the first and the last row of each of their keys, which joins most of a dense group by links as many as its rows. What is then still
+    apart is compared in full, but only where a key holds rows of several components, and there not within the largest one: a group of m near rows of which r are
+    not linked to the rest by then costs r * m comparisons, not m * m.
+    """
+    graph.checkpoint_folder(rows.sparkSession)
+    rows = rows.select("id", "simhash").checkpoint()
+    blocks = kept_blocks(rows.count(), radius)
+    k, key = keyed(rows, radius, blocks), ["choice", "part"]
+    ends = k.groupBy(*key).agg(F.min(F.struct("id", "simhash")).alias("first"), F.max(F.struct("id", "simhash")).alias("last")).where("first.id <> last.id")
+    met = k.join(ends, key).select("id", "simhash", F.explode(F.array("first", "last")).alias("e")).where("id <> e.id")
+    distance = F.bit_count(F.col("simhash").bitwiseXOR(F.col("e.simhash"))).cast("bigint")
+    pairs = met.where(distance <= radius).select(F.least("id", "e.id").alias("a"), F.greatest("id", "e.id").alias("b"), distance.alias("distance")).distinct()
+    roots = graph.components(linked(pairs).select("a", "b"))
+    labelled = rows.join(roots, "id", "left").select("id", "simhash", F.coalesce("root", "id").alias("root")).checkpoint()
+    k = keyed(labelled, radius, blocks, "root")
+    several = k.groupBy(*key, "root").agg(F.count(F.lit(1)).alias("n")).groupBy(*key).agg(F.max_by("root", F.struct("n", "root")).alias("main"), F.count(F.lit(1)).alias("roots")).where("roots > 1").drop("roots")
+    mixed = k.join(several, key)
+    on = _near(radius, blocks) & (F.col("a.root") != F.col("b.root")) & ((F.col("b.root") == F.col("b.main")) | (F.col("a.id") < F.col("b.id")))
+    rest = mixed.where("root <> main").alias("a").join(mixed.alias("b"), on).select(F.least("a.id", "b.id").alias("a"), F.greatest("a.id", "b.id").alias("b"), _distance())
+    return graph.components(roots.select(F.col("id").alias("a"), F.col("root").alias("b")).unionByName(linked(rest).select("a", "b")))
 
 
 def near_classes(hashes: DataFrame, key: str, radius: int = 8) -> tuple[DataFrame, DataFrame, DataFrame]:
@@ -149,13 +200,75 @@ def near_links(hashes: DataFrame, key: str, radius: int = 8) -> DataFrame:
     return pairs.unionByName(more.select("a", F.col("id").alias("b"), F.lit(0).cast("bigint").alias("distance")))
 
 
+#: Rows of one component that one task leads at once.
+TOGETHER = 50_000
+
+
+def _lead(radius: int) -> Callable[[pd.DataFrame], pd.DataFrame]:
+    """Greedy leaders of a few rows in the order of ids: the first row left leads and takes all near it."""
+
+    def run(rows: pd.DataFrame) -> pd.DataFrame:
+        rows = rows.sort_values("id")
+        ids, hashes = rows["id"].to_numpy(), rows["simhash"].to_numpy().view(np.uint64)
+        leader, left = ids.copy(), np.arange(len(ids))
+        while len(left):
+            near = np.bitwise_count(hashes[left] ^ hashes[left[0]]) <= radius
+            leader[left[near]] = ids[left[0]]
+            left = left[~near]
+        return pd.DataFrame({"id": ids, "led": leader})
+
+    return run
+
+
+def leaders(rows: DataFrame, radius: int = 8, together: int = TOGETHER) -> DataFrame:
+    """(id, leader) of rows (id, simhash; ids differ and are integers) with a near one: in the order of ids, a row that no earlier leader is near leads, others join the first leader near them.
+
+    A decision depends on smaller ids of the same component only. So each component is led by ranges of ids of at most about `together` rows, one task a range; the leaders that a range
+    gives are joined with the component's later rows, and what they take is out. Most components have one range. A chain of near rows costs no round for each of its links.
+    """
+    known = rows.join(near_components(rows, radius), "id").select("id", "simhash", "root", F.lit(None).cast(rows.schema["id"].dataType).alias("leader")).checkpoint()
+    kind = "id {0}, {1} {0}".format(rows.schema["id"].dataType.simpleString(), "{}")
+    shares = [2.0**-i for i in range(30)]
+    while left := known.where("leader is null").count():
+        blocks = kept_blocks(left, radius)
+        rest = known.where("leader is null").select("id", "simhash", "root")
+        halvings = F.greatest(F.lit(0), F.ceil(F.log2(F.col("n") / together)).cast("int"))
+        cuts = rest.groupBy("root").agg(F.count(F.lit(1)).alias("n"), F.percentile_approx("id", shares, 100_000).alias("at")).select("root", F.get("at", F.least(halvings, F.lit(len(shares) - 1))).alias("cut"))
+        ranged = rest.join(cuts, "root").checkpoint()
+        led = ranged.where("id <= cut").select("root", "id", "simhash").groupBy("root").applyInPandas(_lead(radius), kind.format("led")).checkpoint()
+        first = keyed(ranged.join(led.where("id = led").select("id"), "id", "left_semi"), radius, blocks, "root")
+        later = keyed(ranged.where("id > cut"), radius, blocks, "root")
+        met = first.alias("a").join(later.alias("b"), _near(radius, blocks, once=False) & (F.col("a.root") == F.col("b.root"))).select(F.col("b.id").alias("id"), F.col("a.id").alias("taker"))
+        taken = met.groupBy("id").agg(F.min("taker").alias("taker"))
+        known = known.join(led, "id", "left").join(taken, "id", "left").select("id", "simhash", "root", F.coalesce("leader", "led", "taker").alias("leader")).checkpoint()
+    return known.select("id", "leader")
+
+
 def leader_of(hashes: DataFrame, key: str, radius: int = 8) -> DataFrame:
     """(id, leader) of rows with a near one: greedy leaders in the order of ids. Copies follow their class, as what is near one is near all."""
-    members, classes, pairs = near_classes(hashes, key, radius)
-    led = classes.join(graph.leaders(pairs), "id", "left").where("n > 1 or leader is not null")
+    graph.checkpoint_folder(hashes.sparkSession)
+    members = hashes.select(F.col(key).alias("id"), "simhash").checkpoint()
+    classes = copies(members, "id").checkpoint()
+    led = classes.join(leaders(classes, radius), "id", "left").where("n > 1 or leader is not null")
     return members.join(led.select("simhash", F.coalesce("leader", "id").alias("leader")), "simhash").select("id", "leader")
 
 
+def followers(hashes: DataFrame, key: str, radius: int = 8) -> DataFrame:
+    """(id) of rows that have a near one of smaller id: further members of a class of equal hashes, and classes near an earlier one. A class near the first of one of its keys
+    is known by that; others look for any earlier near one and stop at the first. Null hashes have none."""
+    graph.checkpoint_folder(hashes.sparkSession)
+    members = hashes.where("simhash is not null").select(F.col(key).alias("id"), "simhash").checkpoint()
+    classes = copies(members, "id").checkpoint()
+    blocks, on = kept_blocks(classes.count(), radius), ["choice", "part"]
+    k = keyed(classes, radius, blocks)
+    first = k.groupBy(*on).agg(F.min(F.struct("id", "simhash")).alias("e"), F.count(F.lit(1)).alias("n")).where("n > 1").drop("n")
+    known = k.join(first, on).where((F.col("e.id") < F.col("id")) & (F.bit_count(F.col("simhash").bitwiseXOR(F.col("e.simhash"))) <= radius)).select("id").distinct().checkpoint()
+    open_ = keyed(classes.join(known, "id", "left_anti"), radius, blocks)
+    late = open_.alias("a").join(k.alias("b"), _near(radius, blocks, once=False) & (F.col("b.id") < F.col("a.id")), "left_semi").select("id")
+    more = members.join(classes.select("id"), "id", "left_anti")
+    return more.select("id").unionByName(known).unionByName(late.distinct())
+
+
 def features(text: Column) -> dict[str, Column]:
     """Semantic features of a text: counts and densities of patterns, diversity, sentences, complexity."""
     w = T.words(F.lower(text))
@@ -184,20 +297,18 @@ def feature_similarity(a: list[Column], b: list[Column], telling: list[int]) ->
 def clusters(hashes: DataFrame, docs: DataFrame, key: str, least: float = 0.85, radius: int = 8) -> DataFrame:
     """(id, root): components of the near pairs whose 0.7 * (1 - distance / 64) + 0.3 * feature similarity reaches `least`.
 
-    Rows of equal hash and features are one class, linked in itself; pairs and components are those of classes.
+    Rows of equal hash and features are one class, linked in itself; components are those of classes (`near_components`).
     """
     graph.checkpoint_folder(docs.sparkSession)
     names = list(features(F.col("text")))
     f = docs.select(F.col(key).alias("id"), F.array(*(v for v in features(F.col("text")).values())).alias("f"))
     members = hashes.select(F.col(key).alias("id"), "simhash").join(f, "id").checkpoint()
     classes = copies(members, "id", "f").checkpoint()
-    pairs = near_pairs(classes, "id", radius, kept_blocks(classes.count(), radius))
-    side = lambda c: classes.select(F.col("id").alias(c), F.col("f").alias(f"f{c}"))
-    joined = pairs.join(side("a"), "a").join(side("b"), "b")
     telling = [names.index(x) for x in ("legal_terms_density", "insurance_benefits_density", "semantic_complexity")]
     own = lambda c: [F.coalesce(F.get(c, F.lit(i)), F.lit(0.0)) for i in range(len(names))]
     score = 0.7 * (1 - F.col("distance") / BITS) + 0.3 * feature_similarity(own("fa"), own("fb"), telling)
-    roots = graph.components(joined.where(F.round(score, 9) >= least).select("a", "b"))
+    side = lambda c: classes.select(F.col("id").alias(c), F.col("f").alias(f"f{c}"))
+    roots = near_components(classes, radius, lambda pairs: pairs.join(side("a"), "a").join(side("b"), "b").where(F.round(score, 9) >= least))
     rooted = classes.join(roots, "id", "left").where("n > 1 or root is not null").select("simhash", "f", F.coalesce("root", "id").alias("root"))
     return members.join(rooted, ["simhash", "f"]).select("id", "root")
 

@@ -36,7 +36,7 @@ def components(edges: DataFrame) -> DataFrame:
 def leaders(edges: DataFrame) -> DataFrame:
     """(id, leader) of nodes in edges (a, b): in the order of ids, a node that no earlier leader is near leads, and others join the first leader near them.
 
-    That order is the definition, but a node is decided as soon as all its smaller neighbours are, so rounds go over all nodes at once.
+    A node is decided as soon as all its smaller neighbours are, so rounds are as many as the longest chain of ids; near hashes have `dedup.leaders`, which needs neither edges nor such rounds.
     """
     checkpoint_folder(edges.sparkSession)
     down = edges.select(F.greatest("a", "b").alias("id"), F.least("a", "b").alias("near")).where("id <> near").distinct().checkpoint()

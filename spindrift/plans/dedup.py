@@ -81,5 +81,5 @@ def dedup_clusters(spark, sf_dir):
 def dedup_rate(spark, sf_dir):
     """How many documents have an earlier near-duplicate."""
     d = documents(spark, sf_dir).select("doc_id")
-    gone = D.near_links(hashes(spark, sf_dir), "doc_id", 8).select(F.col("b").alias("doc_id"), F.lit(1).alias("gone")).distinct()
+    gone = D.followers(hashes(spark, sf_dir), "doc_id", 8).select(F.col("id").alias("doc_id"), F.lit(1).alias("gone"))
     return d.join(gone, "doc_id", "left").agg(F.count(F.lit(1)).alias("original"), F.count("gone").alias("removed"), F.round(F.count("gone") / F.count(F.lit(1)), 6).alias("rate"))

@@ -7,13 +7,17 @@ from pyspark.sql import functions as F
 from spindrift.functions import text as T
 from spindrift.operators import classify
 from spindrift.operators import dedup as D
-from spindrift.plans.dedup import hashes
+from spindrift.plans.dedup import _NEAR, SIM, hashes
 from spindrift.plans.registry import query
 from spindrift.plans.retrieval import HITS, hits
 from spindrift.session import table
 
 
-@query("leader_clusters")
+#: Nodes in the order of ids; the leaders so far grow by each node that has none of them among its earlier near ones.
+@query("leader_clusters", f"""WITH RECURSIVE {SIM}, p AS (SELECT a.doc_id AS a, b.doc_id AS b FROM sim a JOIN sim b ON a.doc_id < b.doc_id AND {_NEAR} <= 8),
+v AS (SELECT a AS id FROM p UNION SELECT b FROM p), k AS (SELECT v.id, row_number() OVER (ORDER BY v.id) AS k, coalesce(x.near, []) AS near FROM v LEFT JOIN (SELECT b AS id, list(a) AS near FROM p GROUP BY b) x USING (id)),
+r AS (SELECT 0::BIGINT AS k, []::BIGINT[] AS led UNION ALL SELECT k.k, CASE WHEN len(list_intersect(k.near, r.led)) = 0 THEN list_append(r.led, k.id::BIGINT) ELSE r.led END FROM r JOIN k ON k.k = r.k + 1),
+l AS (SELECT led FROM r ORDER BY k DESC LIMIT 1) SELECT coalesce(list_min(list_intersect(near, led)), id)::BIGINT AS leader, count(*) AS members FROM k, l GROUP BY 1""")
 def leader_clusters(spark, sf_dir):
     """Greedy leader clusters of near-duplicates, in the order of ids."""
     found = D.leader_of(hashes(spark, sf_dir), "doc_id", 8)
