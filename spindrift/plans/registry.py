@@ -23,4 +23,4 @@ def flagship(spark, sf_dir):
     return QUERIES["bm25_topk"](spark, sf_dir)
 
 
-from spindrift.plans import answers, chunking, dedup, extras, retrieval, store, stores, streams, text  # noqa: E402, F401  they register their queries
+from spindrift.plans import answers, chains, chunking, dedup, extras, retrieval, store, stores, streams, text  # noqa: E402, F401  they register their queries
