@@ -4,9 +4,11 @@ from __future__ import annotations
 
 from pyspark.sql import functions as F
 
+from spindrift import plugins
 from spindrift.functions import text as T
 from spindrift.operators.observed import Trace
-from spindrift.plans.registry import query
+from spindrift.plans import chunking as _known  # noqa: F401  its SQL is used again
+from spindrift.plans.registry import ORACLES, query
 from spindrift.session import documents
 from spindrift.sources import chain
 
@@ -50,3 +52,10 @@ def observed_stages(spark, sf_dir):
     with trace.run():
         first.write.format("noop").mode("overwrite").save()
     return trace.rows().select("place", "stage", "rows", F.coalesce(F.col("nulls")["lang"], F.lit(0).cast("long")).alias("nulls"), "measure")
+
+
+@query("chunks_lateral", ORACLES["chunks_tokens"])
+def chunks_lateral(spark, sf_dir):
+    """Token-budget chunks by a lateral join with the table function."""
+    plugins.register(spark)
+    return spark.sql("SELECT doc_id, c.n, c.sentences AS n_sentences, c.tokens FROM {d} AS d, LATERAL chunk_text(d.text, 120, 1) AS c", d=documents(spark, sf_dir))
