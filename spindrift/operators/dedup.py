@@ -113,6 +113,21 @@ def kept_blocks(rows: int, radius: int) -> int:
     return min(range(1, MOST_BLOCKS + 1), key=cost)
 
 
+#: Comparisons of two hashes that take as long as writing, sorting and reading one row of a join key.
+ROW_COST = 20
+
+
+def linking_blocks(rows: int, radius: int) -> int:
+    """As `kept_blocks`, for a join whose rows are shuffled several times and so cost more than comparisons."""
+    cost = lambda m: math.comb(radius + m, m) * (ROW_COST + rows / 2 ** (BITS * m / (radius + m) + 1))
+    return min(range(1, MOST_BLOCKS + 1), key=cost)
+
+
+def dealt(rows: DataFrame, count: int) -> DataFrame:
+    """Small rows over all cores before they are multiplied by their keys, a million in a partition at most."""
+    return rows.repartition(max(rows.sparkSession.sparkContext.defaultParallelism, count // 1_000_000), "id")
+
+
 def _masks(radius: int, blocks: int) -> list[int]:
     edges = [BITS * i // (radius + blocks) for i in range(radius + blocks + 1)]
     return [(1 << edges[i + 1]) - (1 << edges[i]) for i in range(radius + blocks)]
@@ -169,15 +184,17 @@ def near_components(rows: DataFrame, radius: int = 8, linked: Callable[[DataFram
     """
     graph.checkpoint_folder(rows.sparkSession)
     rows = rows.select("id", "simhash").checkpoint()
-    blocks = kept_blocks(rows.count(), radius)
-    k, key = keyed(rows, radius, blocks), ["choice", "part"]
-    ends = k.groupBy(*key).agg(F.min(F.struct("id", "simhash")).alias("first"), F.max(F.struct("id", "simhash")).alias("last")).where("first.id <> last.id")
-    met = k.join(ends, key).select("id", "simhash", F.explode(F.array("first", "last")).alias("e")).where("id <> e.id")
+    count = rows.count()
+    blocks = linking_blocks(count, radius)
+    k, key = keyed(dealt(rows, count), radius, blocks), ["choice", "part"]
+    ends = k.groupBy(*key).agg(F.min("id").alias("low"), F.min_by("simhash", "id").alias("first"), F.max("id").alias("high"), F.max_by("simhash", "id").alias("last")).where("low <> high")
+    both = F.array(F.struct(F.col("low").alias("id"), F.col("first").alias("simhash")), F.struct(F.col("high").alias("id"), F.col("last").alias("simhash")))
+    met = k.join(ends, key).select("id", "simhash", F.explode(both).alias("e")).where("id <> e.id")
     distance = F.bit_count(F.col("simhash").bitwiseXOR(F.col("e.simhash"))).cast("bigint")
     pairs = met.where(distance <= radius).select(F.least("id", "e.id").alias("a"), F.greatest("id", "e.id").alias("b"), distance.alias("distance")).distinct()
     roots = graph.components(linked(pairs).select("a", "b"))
     labelled = rows.join(roots, "id", "left").select("id", "simhash", F.coalesce("root", "id").alias("root")).checkpoint()
-    k = keyed(labelled, radius, blocks, "root")
+    k = keyed(dealt(labelled, count), radius, blocks, "root")
     several = k.groupBy(*key, "root").agg(F.count(F.lit(1)).alias("n")).groupBy(*key).agg(F.max_by("root", F.struct("n", "root")).alias("main"), F.count(F.lit(1)).alias("roots")).where("roots > 1").drop("roots")
     mixed = k.join(several, key)
     on = _near(radius, blocks) & (F.col("a.root") != F.col("b.root")) & ((F.col("b.root") == F.col("b.main")) | (F.col("a.id") < F.col("b.id")))
@@ -230,12 +247,15 @@ def leaders(rows: DataFrame, radius: int = 8, together: int = TOGETHER) -> DataF
     kind = "id {0}, {1} {0}".format(rows.schema["id"].dataType.simpleString(), "{}")
     shares = [2.0**-i for i in range(30)]
     while left := known.where("leader is null").count():
-        blocks = kept_blocks(left, radius)
+        blocks = linking_blocks(left, radius)
         rest = known.where("leader is null").select("id", "simhash", "root")
         halvings = F.greatest(F.lit(0), F.ceil(F.log2(F.col("n") / together)).cast("int"))
         cuts = rest.groupBy("root").agg(F.count(F.lit(1)).alias("n"), F.percentile_approx("id", shares, 100_000).alias("at")).select("root", F.get("at", F.least(halvings, F.lit(len(shares) - 1))).alias("cut"))
         ranged = rest.join(cuts, "root").checkpoint()
         led = ranged.where("id <= cut").select("root", "id", "simhash").groupBy("root").applyInPandas(_lead(radius), kind.format("led")).checkpoint()
+        if not ranged.where("id > cut").limit(1).count():  # every component is in one range, as most are
+            known = known.join(led, "id", "left").select("id", "simhash", "root", F.coalesce("leader", "led").alias("leader")).checkpoint()
+            continue
         first = keyed(ranged.join(led.where("id = led").select("id"), "id", "left_semi"), radius, blocks, "root")
         later = keyed(ranged.where("id > cut"), radius, blocks, "root")
         met = first.alias("a").join(later.alias("b"), _near(radius, blocks, once=False) & (F.col("a.root") == F.col("b.root"))).select(F.col("b.id").alias("id"), F.col("a.id").alias("taker"))
@@ -259,11 +279,12 @@ def followers(hashes: DataFrame, key: str, radius: int = 8) -> DataFrame:
     graph.checkpoint_folder(hashes.sparkSession)
     members = hashes.where("simhash is not null").select(F.col(key).alias("id"), "simhash").checkpoint()
     classes = copies(members, "id").checkpoint()
-    blocks, on = kept_blocks(classes.count(), radius), ["choice", "part"]
-    k = keyed(classes, radius, blocks)
-    first = k.groupBy(*on).agg(F.min(F.struct("id", "simhash")).alias("e"), F.count(F.lit(1)).alias("n")).where("n > 1").drop("n")
-    known = k.join(first, on).where((F.col("e.id") < F.col("id")) & (F.bit_count(F.col("simhash").bitwiseXOR(F.col("e.simhash"))) <= radius)).select("id").distinct().checkpoint()
-    open_ = keyed(classes.join(known, "id", "left_anti"), radius, blocks)
+    count = classes.count()
+    blocks, on = linking_blocks(count, radius), ["choice", "part"]
+    k = keyed(dealt(classes, count), radius, blocks)
+    first = k.groupBy(*on).agg(F.min("id").alias("low"), F.min_by("simhash", "id").alias("first"), F.count(F.lit(1)).alias("n")).where("n > 1").drop("n")
+    known = k.join(first, on).where((F.col("low") < F.col("id")) & (F.bit_count(F.col("simhash").bitwiseXOR(F.col("first"))) <= radius)).select("id").distinct().checkpoint()
+    open_ = keyed(dealt(classes.join(known, "id", "left_anti"), count), radius, blocks)
     late = open_.alias("a").join(k.alias("b"), _near(radius, blocks, once=False) & (F.col("b.id") < F.col("a.id")), "left_semi").select("id")
     more = members.join(classes.select("id"), "id", "left_anti")
     return more.select("id").unionByName(known).unionByName(late.distinct())
