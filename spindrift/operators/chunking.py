@@ -12,6 +12,8 @@ from functools import lru_cache
 
 import numpy as np
 import pandas as pd
+import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
@@ -141,6 +143,21 @@ def seeded_embedder(dim: int = 64, boosts: tuple = ("insurance", "finance", "hea
     return encode
 
 
+#: Rows and bytes of text that are embedded at once; one longer text is a slice of its own.
+TEXTS, TEXT_BYTES = 1024, 1 << 20
+
+
+def slices(b: pa.RecordBatch, key: str, rows: int = TEXTS, size: int = TEXT_BYTES) -> Iterator[pa.RecordBatch]:
+    """A batch in parts of at most `rows` rows and `size` bytes of text in `key`, or of one row."""
+    ends = np.cumsum(pc.fill_null(pc.binary_length(b.column(key)), 0).to_numpy(zero_copy_only=False).astype(np.int64))
+    at = 0
+    while at < b.num_rows:
+        before = ends[at - 1] if at else 0
+        to = min(at + rows, max(at + 1, int(np.searchsorted(ends, before + size, side="right"))))
+        yield b.slice(at, min(to, b.num_rows) - at)
+        at = to
+
+
 def embed(texts: DataFrame, key: str, encode: Callable[[list[str]], np.ndarray]) -> DataFrame:
     """(text, vec): each distinct text embedded once, in batches.
 
@@ -157,17 +174,20 @@ def embed(texts: DataFrame, key: str, encode: Callable[[list[str]], np.ndarray])
 
 
 def with_vectors(rows: DataFrame, key: str, encode: Callable[[list[str]], np.ndarray]) -> DataFrame:
-    """`rows` with vec, of the text in `key`: in place, without a join; a text that a batch repeats is embedded once there."""
-    names = rows.columns
+    """`rows` with vec, of the text in `key`: in place, without a join; a text that a slice of a batch repeats is embedded once there.
 
-    def run(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        for f in frames:
-            distinct, at = np.unique(f[key].fillna("").to_numpy(str), return_inverse=True) if len(f) else ([], [])
-            vectors = encode(list(distinct)).astype(float) if len(f) else np.zeros((0, 0))
-            yield f.assign(vec=[vectors[i] for i in at])[[*names, "vec"]]
+    Slices end at `TEXTS` rows or `TEXT_BYTES` of text, so what a task holds depends neither on the length of the longest text nor on the table.
+    """
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for b in batches:
+            for part in slices(b, key):
+                coded = pc.dictionary_encode(pc.fill_null(part.column(key), ""))
+                vectors = pa.array(list(np.asarray(encode(coded.dictionary.to_pylist()), np.float64)), pa.list_(pa.float64()))
+                yield pa.RecordBatch.from_arrays([*part.columns, vectors.take(coded.indices)], names=[*part.schema.names, "vec"])
 
     schema = ", ".join([*(f"`{x.name}` {x.dataType.simpleString()}" for x in rows.schema.fields), "vec array<double>"])
-    return rows.mapInPandas(run, schema)
+    return rows.mapInArrow(run, schema)
 
 
 def cohesive(sentences: list[str], breaks: list, encode, most: int, threshold: float, overlap: int) -> list[tuple[int, int, float]]:

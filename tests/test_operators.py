@@ -173,3 +173,19 @@ def test_rules(spark):
     assert one(spark, rules.risk(F.col("a"), F.col("b"), F.col("c")), a="Pilot", b="", c="Ski") == 5
     p = one(spark, rules.softmax(F.col("x")), x=[1000.0, 1000.0, 0.0])
     assert p[0] == pytest.approx(0.5) and sum(p) == pytest.approx(1)
+
+
+def test_vectors_in_slices_of_bounded_bytes(spark):
+    """A long text among many short ones neither widens the others nor makes a slice with them."""
+    import pyarrow as pa
+
+    texts = ["a b", None, "a b", "x " * 200_000, "", "c"] * 3
+    batch = pa.RecordBatch.from_pydict({"text": texts})
+    parts = list(chunking.slices(batch, "text", rows=4, size=100))
+    assert pa.Table.from_batches(parts).column("text").to_pylist() == texts
+    assert all(p.num_rows <= 4 and (p.num_rows == 1 or sum(len(t or "") for t in p.column("text").to_pylist()) <= 100) for p in parts)
+    frame = spark.createDataFrame(list(enumerate(texts)), "id long, text string").coalesce(1)
+    got = {r.id: r.vec for r in chunking.with_vectors(frame, "text", chunking.hashing_embedder(8)).collect()}
+    want = chunking.hashing_embedder(8)([t or "" for t in texts])
+    assert [got[i] for i in range(len(texts))] == want.tolist()
+    assert chunking.with_vectors(frame.where("id < 0"), "text", chunking.hashing_embedder(8)).count() == 0
