@@ -223,26 +223,48 @@ def sketches(docs: DataFrame, width: int = SIMILAR_WIDTH, similarity: float = 0.
     return rows.mapInArrow(lean(run), schema)
 
 
+def _bits_apart(a: list[Column], b: list[Column]) -> Column:
+    apart = [F.bit_count(x.bitwiseXOR(y)) for x, y in zip(a, b, strict=True)]
+    return sum(apart[1:], apart[0])
+
+
+#: Bits of a fingerprint's distance to a pivot that make one step of its coordinate, so that 0 to 256 bits are 0 to 64 steps, as `within` takes them.
+STEP = BITS * LANES // 64
+
+
+def with_pivots(classes: DataFrame) -> DataFrame:
+    """Adds `pivot`: the distances of f0.. to seven reference fingerprints, packed, in steps of `STEP` bits.
+
+    At this radius references that are near nothing discard nothing: distances to one differ by some 11 bits. So they are the fingerprints of the classes of most rows
+    (the smallest ids of equal ones): around those lie the large groups of near copies, whose members are told at once from all texts outside that share a key with them.
+    """
+    lanes = [f"f{i}" for i in range(LANES)]
+    drawn = [list(r) for r in classes.orderBy(F.col("rows").desc(), "id").limit(PER_BLOCK).select(*lanes).collect()]
+    packed = F.lit(0).cast("long")
+    for words in drawn:
+        packed = packed * 256 + F.floor(_bits_apart([F.col(x) for x in lanes], [F.lit(w) for w in words]) / STEP)
+    return classes.withColumn("pivot", packed)
+
+
 def _keyed(classes: DataFrame, *more: str) -> DataFrame:
-    """A row for each join key of a class: key, id, comp, f0.., n and more columns."""
-    lanes = [*(f"f{i}" for i in range(LANES)), *more]
+    """A row for each join key of a class: key, id, comp, f0.., pivot, n and more columns."""
+    lanes = [*(f"f{i}" for i in range(LANES)), "pivot", *more]
     each = classes.select("id", "comp", *lanes, "n", F.explode("levels").alias("l")).select("id", "comp", *lanes, "n", "l.level", F.posexplode("l.subsets").alias("subset", "hash"))
     return each.where("hash <> 0").select(F.xxhash64("level", "subset", "hash").alias("key"), "id", "comp", *lanes, "n")
 
 
 def _near(similarity: float) -> Column:
-    """Whether a and b have sizes and fingerprints that such a similarity allows."""
-    apart = F.bit_count(F.col("a.f0").bitwiseXOR(F.col("b.f0")))
-    for i in range(1, LANES):
-        apart = apart + F.bit_count(F.col(f"a.f{i}").bitwiseXOR(F.col(f"b.f{i}")))
+    """Whether a and b have sizes and fingerprints that such a similarity allows. Pairs whose largest difference of pivot distances exceeds the radius go first; survivors are verified by their true distance."""
+    lanes = [f"f{i}" for i in range(LANES)]
+    apart = _bits_apart([F.col(f"a.{x}") for x in lanes], [F.col(f"b.{x}") for x in lanes])
     sizes = (F.col("a.n") >= F.col("b.n") * similarity) & (F.col("b.n") >= F.col("a.n") * similarity)
-    return sizes & (apart <= APART)
+    return sizes & within(F.col("a.pivot"), F.col("b.pivot"), APART // STEP) & (apart <= APART)
 
 
 def star_pairs(classes: DataFrame, similarity: float) -> DataFrame:
     """Candidate pairs (a, b) of each class and the first and last one that share a key with it: two rows for each key at most."""
     keyed = _keyed(classes)
-    me = F.struct("id", "n", *(f"f{i}" for i in range(LANES)))
+    me = F.struct("id", "n", "pivot", *(f"f{i}" for i in range(LANES)))
     ends = keyed.groupBy("key").agg(F.min(me).alias("m"), F.max(me).alias("x"), F.count(F.lit(1)).alias("members")).where("members > 1").select("key", F.explode(F.array("m", "x")).alias("m")).select("key", "m.*")
     a, b = ends.alias("a"), keyed.alias("b")
     return a.join(b, (F.col("a.key") == F.col("b.key")) & (F.col("a.id") != F.col("b.id")) & _near(similarity)).select(F.least("a.id", "b.id").alias("a"), F.greatest("a.id", "b.id").alias("b")).distinct()
@@ -321,7 +343,7 @@ def superseded(docs: DataFrame, width: int = SIMILAR_WIDTH, similarity: float =
     """(doc_id, text_key) of the rows that a near-duplicate with a smaller (doc_id, text_key) replaces, and whether rows repeat entirely.
 
     Texts of equal shingle sets are one class. Candidate classes share a subset's hash and have near fingerprints; a link is a candidate
-    pair of at least that Jaccard similarity, and groups are the components of links. 64 bits at radius 2 would
+    pair of at least that Jaccard similarity, and groups are the components of links. Near is decided by pivot distances, then by all bits. 64 bits at radius 2 would
     miss most pairs of similarity 0.8, which differ in about ten of 64 bits; hence the wider fingerprint.
     Null doc_ids come last.
     """
@@ -329,7 +351,8 @@ def superseded(docs: DataFrame, width: int = SIMILAR_WIDTH, similarity: float =
     rows = scratch.save(sketches(docs, width, similarity))
     who = F.struct(F.col("doc_id").isNull().alias("unnamed"), "doc_id", "text_key")
     id_ = F.xxhash64("n", "whole")
-    classes = scratch.save(rows.groupBy("n", "whole").agg(F.min(who).alias("least"), *(F.min(f"f{i}").alias(f"f{i}") for i in range(LANES)), F.first("levels").alias("levels")).withColumn("id", id_).drop("whole"))
+    classes = scratch.save(rows.groupBy("n", "whole").agg(F.min(who).alias("least"), *(F.min(f"f{i}").alias(f"f{i}") for i in range(LANES)), F.first("levels").alias("levels"), F.count(F.lit(1)).alias("rows")).withColumn("id", id_).drop("whole"))
+    classes = with_pivots(classes)
     star = scratch.save(star_pairs(classes.withColumn("comp", F.col("id")), similarity))
     links_ = verified(star, classes, docs, similarity, width, scratch)
 

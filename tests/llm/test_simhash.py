@@ -98,3 +98,25 @@ def test_parity_spares_only_pairs_under_the_similarity(spark):
     flags = found.select(simhash.may_be_alike("a", "b", 0.8).alias("may"), simhash.alike(F.col("a.members"), F.col("b.members"), 0.8).alias("is")).collect()
     assert all(f["may"] for f in flags if f["is"])
     assert sum(f["is"] for f in flags) > 40 and sum(not f["may"] for f in flags) > 200
+
+
+def test_pivots_of_the_stage_discard_only_what_is_far(spark):
+    """Members of a large group are told from other texts by pivot distances alone; no pair within the radius goes."""
+    import random
+
+    rng = random.Random(9)
+    rows, group = [], [rng.getrandbits(64) for _ in range(4)]
+    for i in range(160):
+        x = list(group) if i < 80 else [rng.getrandbits(64) for _ in range(4)]
+        for _ in range(rng.randrange(60) if i % 80 else 0):
+            x[rng.randrange(4)] ^= 1 << rng.randrange(64)
+        rows.append((i, 1000 if i == 0 else 1, 10, *map(simhash._signed, x)))
+    classes = simhash.with_pivots(spark.createDataFrame(rows, "id long, rows long, n long, f0 long, f1 long, f2 long, f3 long"))
+    a, b = classes.alias("a"), classes.alias("b")
+    apart = simhash._bits_apart([F.col(f"a.f{i}") for i in range(4)], [F.col(f"b.f{i}") for i in range(4)])
+    kept = simhash.within(F.col("a.pivot"), F.col("b.pivot"), simhash.APART // simhash.STEP)
+    found = a.join(b, F.col("a.id") < F.col("b.id")).select(F.col("a.id"), F.col("b.id"), kept, apart, simhash._near(0.8)).collect()
+    assert all(k for _, _, k, d, _ in found if d <= simhash.APART) and all(near == (d <= simhash.APART) for *_, d, near in found)
+    across = [k for x, y, k, _, _ in found if x < 80 <= y]
+    assert sum(not k for k in across) > len(across) // 4
+    assert sum(d <= simhash.APART for *_, d, _ in found) > 1000
