@@ -59,10 +59,13 @@ def in_cells(rows: DataFrame, centres: list[list[float]], probes: int = 1) -> Da
             lengths = set(pa.compute.list_value_length(b.column("vec")).to_pylist())
             if lengths != {c.shape[1]}:
                 raise ValueError(f"vectors of {sorted(lengths)} entries where {c.shape[1]} are stored")
-            near = np.round(blocks.vectors_of(t) @ c.T, 9)
-            order = np.argsort(-near, axis=1, kind="stable")[:, :probes]
-            again = np.repeat(np.arange(b.num_rows), order.shape[1])
-            yield from t.take(pa.array(again)).append_column("cell", pa.array(order.ravel(), pa.int32())).combine_chunks().to_batches()
+            step = max(1, ROWS // probes)  # so that a batch that goes out has no more rows than a block, whatever the number of probes
+            for at in range(0, b.num_rows, step):
+                part = t.slice(at, step).combine_chunks()
+                near = np.round(blocks.vectors_of(part) @ c.T, 9)
+                order = np.argsort(-near, axis=1, kind="stable")[:, :probes]
+                again = np.repeat(np.arange(part.num_rows), order.shape[1])
+                yield from part.take(pa.array(again)).append_column("cell", pa.array(order.ravel(), pa.int32())).combine_chunks().to_batches()
 
     kinds = ", ".join(f"`{f.name}` {f.dataType.simpleString()}" for f in rows.schema.fields)
     return rows.mapInArrow(run, f"{kinds}, cell int")
