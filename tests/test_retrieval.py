@@ -140,3 +140,31 @@ def test_versions(spark, tmp_path):
     v.clean()
     assert v.numbers() == [2]
     assert shared_folder(spark, "t") != shared_folder(spark, "t")
+
+
+def test_kernels_give_k_rows_a_query_and_batches_stay_small():
+    """Equal rows by the thousand, as copies give them: what a kernel returns is k rows a query, by id among equals, and a query that goes to many cells goes in small batches."""
+    rows = pa.table({"id": list(range(3000, 0, -1)), "vec": [[1.0, 0.0] if i % 3 else [0.6, 0.8] for i in range(3000)]})
+    asked = pa.table({"qid": list(range(700)), "vec": [[1.0, 0.0]] * 700})
+    q, i, s = blocks.cosine(4)(rows, asked)
+    want = sorted(3000 - j for j in range(3000) if j % 3)[:4]
+    assert len(q) == 2800 and np.array_equal(i.reshape(700, 4), np.tile(want, (700, 1))) and np.allclose(s, 1)
+    terms = pa.table({"id": np.repeat(np.arange(5000), 2), "term": np.tile([7, 8], 5000), "value": np.tile([1.0, -2.0], 5000)})
+    asks = pa.table({"qid": np.repeat(np.arange(400), 2), "term": np.tile([7, 9], 400), "value": np.ones(800)})
+    q, i, s = blocks.sparse(3)(terms, asks)
+    assert np.array_equal(q, np.repeat(np.arange(400), 3)) and np.array_equal(i, np.tile([0, 1, 2], 400)) and (s == 1).all()
+    assert [len(x) for x in blocks.sparse(3)(terms, asks.slice(1, 1))] == [0, 0, 0]
+
+
+def test_cells_of_many_queries_go_out_in_small_batches(spark):
+    from types import SimpleNamespace
+
+    from spindrift.operators import vector_store
+
+    angle = np.arange(3000.0)
+    batch = pa.RecordBatch.from_pydict({"id": np.arange(3000), "vec": np.stack([np.sin(angle), np.cos(angle)], 1).astype(np.float32).tolist()})
+    held = SimpleNamespace(schema=spark.range(1).select("id", F.array(F.lit(1.0).cast("float")).alias("vec")).schema, mapInArrow=lambda run, kind: list(run(iter([batch]))))
+    out = vector_store.in_cells(held, batch.column("vec").to_pylist()[:200], 150)
+    assert max(b.num_rows for b in out) <= vector_store.ROWS and sum(b.num_rows for b in out) == 450_000
+    t = pa.Table.from_batches(out)
+    assert len(set(zip(t["id"].to_pylist(), t["cell"].to_pylist(), strict=True))) == 450_000
