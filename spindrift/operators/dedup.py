@@ -4,10 +4,12 @@ from __future__ import annotations
 
 import itertools
 import math
-from collections.abc import Callable
+from collections.abc import Callable, Iterator
 
 import numpy as np
 import pandas as pd
+import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
@@ -65,9 +67,11 @@ def term_weight(term: Column) -> Column:
     weight = F.lit(1.0)
     for pattern, factor in PATTERNS.values():
         weight = weight * F.when(F.rlike(term, F.lit(pattern)), factor).otherwise(1.0)
-    w = T.words(term)
-    mean = F.aggregate(w, F.lit(0.0), lambda s, x: s + F.length(x)) / F.size(w)
-    return weight * F.when((F.size(w) > 0) & (mean > 6), 1.0 + mean * 0.05).otherwise(1.0)
+    # most terms have none of the patterns, which one look tells; lengths and number of words come without splitting the term
+    weight = F.when(F.rlike(term, F.lit("|".join(f"(?:{p})" for p, _ in PATTERNS.values()))), weight).otherwise(1.0)
+    n = F.regexp_count(term, F.lit(r"\S+"))
+    mean = F.length(F.translate(term, " \t\n\x0b\f\r", "")) / n
+    return weight * F.when((n > 0) & (mean > 6), 1.0 + mean * 0.05).otherwise(1.0)
 
 
 def hash64(term: Column) -> tuple[Column, Column]:
@@ -80,24 +84,55 @@ def hash64(term: Column) -> tuple[Column, Column]:
 PACKED, PACK_BITS = 3, 21
 
 
+def _voted(strict: bool) -> Callable[[Iterator[pa.RecordBatch]], Iterator[pa.RecordBatch]]:
+    """(key, simhash) of rows (key, hash, w) sorted by key, null being a key: weights of each bit are added up in batches, and the last key's votes wait for the next one."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        kind = last = votes = names = None
+
+        def out(keys: pa.Array, sums: np.ndarray) -> pa.RecordBatch:
+            v = np.round(sums, 9)
+            bits = np.packbits(v > 0 if strict else v >= 0, axis=1, bitorder="little")
+            return pa.RecordBatch.from_arrays([keys, pa.array(bits.view(np.int64).ravel())], names=names)
+
+        for b in batches:
+            if not b.num_rows:
+                continue
+            ids, kind, names = b.column(0), b.column(0).type, [b.schema.names[0], "simhash"]
+            coded = pc.dictionary_encode(ids, null_encoding="encode").indices.to_numpy()
+            starts = np.concatenate([[0], np.flatnonzero(coded[1:] != coded[:-1]) + 1])
+            bits = np.unpackbits(np.ascontiguousarray(b.column(1).to_numpy()).view(np.uint8).reshape(-1, 8), axis=1, bitorder="little")
+            w = b.column(2).to_numpy()[:, None]
+            sums, keys = np.add.reduceat(np.where(bits == 1, w, -w), starts, axis=0), ids.take(pa.array(starts))
+            if votes is not None and keys[0].as_py() == last:
+                sums[0] += votes
+            elif votes is not None:
+                yield out(pa.array([last], kind), votes[None, :])
+            yield out(keys.slice(0, len(keys) - 1), sums[:-1])
+            last, votes = keys[-1].as_py(), sums[-1]
+        if votes is not None:
+            yield out(pa.array([last], kind), votes[None, :])
+
+    return run
+
+
 def simhash(terms: DataFrame, key: str, weight: Column | None = None, strict: bool = False) -> DataFrame:
     """(key, simhash) of terms (key, term): each bit by the sign of its votes, 0 counting as set unless strict. Votes are summed map-side.
 
-    Without weights the set bits are counted, three counts to a long; 64 separate sums would outgrow one compiled method.
+    Without weights the set bits are counted, three counts to a long; 64 separate sums would outgrow one compiled method. With weights a row of a term goes to its document once,
+    as hash and weight: sums of parts of a document would be 64 numbers for each part, and terms that were joined come from all parts.
     """
     high, low = hash64(F.col("term"))
     once = F.array(F.struct(high.alias("high"), low.alias("low"), (weight if weight is not None else F.lit(1)).alias("w")))
     rows = terms.select(key, F.explode(once).alias("x")).select(key, "x.*")  # exploded, so that the hash is made once and not for each vote
     bit_of = lambda i: F.shiftright("low" if i < 32 else "high", i % 32).bitwiseAND(F.lit(1))
-    if weight is None:
-        pack = lambda g: sum((F.shiftleft(bit_of(i), PACK_BITS * k) for k, i in enumerate(range(g, min(g + PACKED, BITS))) if k), bit_of(g))
-        counts = rows.groupBy(key).agg(F.count(F.lit(1)).alias("n"), *(F.sum(pack(g)).alias(f"s{g}") for g in range(0, BITS, PACKED)))
-        ones = lambda i: F.shiftright(f"s{i - i % PACKED}", PACK_BITS * (i % PACKED)).bitwiseAND(F.lit((1 << PACK_BITS) - 1))
-        set_ = lambda i: (2 * ones(i) > F.col("n")) if strict else (2 * ones(i) >= F.col("n"))
-    else:
-        vote = lambda i: F.sum(F.when(bit_of(i) == 1, F.col("w")).otherwise(-F.col("w")))
-        counts = rows.groupBy(key).agg(*(F.round(vote(i), 9).alias(f"v{i}") for i in range(BITS)))
-        set_ = lambda i: (F.col(f"v{i}") > 0) if strict else (F.col(f"v{i}") >= 0)
+    if weight is not None:
+        hashed = rows.select(key, F.shiftleft("high", 32).bitwiseOR(F.col("low")).alias("hash"), F.col("w").cast("double").alias("w"))
+        return hashed.repartition(key).sortWithinPartitions(key).mapInArrow(_voted(strict), f"`{key}` {terms.schema[key].dataType.simpleString()}, simhash long")
+    pack = lambda g: sum((F.shiftleft(bit_of(i), PACK_BITS * k) for k, i in enumerate(range(g, min(g + PACKED, BITS))) if k), bit_of(g))
+    counts = rows.groupBy(key).agg(F.count(F.lit(1)).alias("n"), *(F.sum(pack(g)).alias(f"s{g}") for g in range(0, BITS, PACKED)))
+    ones = lambda i: F.shiftright(f"s{i - i % PACKED}", PACK_BITS * (i % PACKED)).bitwiseAND(F.lit((1 << PACK_BITS) - 1))
+    set_ = lambda i: (2 * ones(i) > F.col("n")) if strict else (2 * ones(i) >= F.col("n"))
     half = lambda at: sum((F.shiftleft(F.when(set_(at + i), 1).otherwise(0).cast("bigint"), i) for i in range(1, 32)), F.when(set_(at), 1).otherwise(0).cast("bigint"))
     return counts.select(key, F.shiftleft(half(32), 32).bitwiseOR(half(0)).alias("simhash"))
 

@@ -189,3 +189,31 @@ def test_vectors_in_slices_of_bounded_bytes(spark):
     want = chunking.hashing_embedder(8)([t or "" for t in texts])
     assert [got[i] for i in range(len(texts))] == want.tolist()
     assert chunking.with_vectors(frame.where("id < 0"), "text", chunking.hashing_embedder(8)).count() == 0
+
+
+def test_weighted_votes_go_by_document_once(spark):
+    """Votes of weighted terms against plain sums, with a null key, keys over several batches and ties; no row of 64 sums is shuffled."""
+    import hashlib
+    import random
+
+    rng = random.Random(3)
+    rows = [(i if i < 5 else None, f"t{rng.randrange(400)}", rng.choice([0.5, 1.25, 2.0])) for i in range(6) for _ in range(2500 * (i % 3) + 2)]
+    rows += [(9, "x", 1.0), (9, "x", -1.0)]
+    for strict in (True, False):
+        want = {}
+        for key, term, w in rows:
+            h = int(hashlib.md5(term.encode()).hexdigest()[:16], 16)
+            v = want.setdefault(key, [0.0] * 64)
+            for b in range(64):
+                v[b] += w if h >> b & 1 else -w
+        frame = dedup.simhash(spark.createDataFrame(rows, "id long, term string, w double"), "id", F.col("w"), strict)
+        got = {r.id: r.simhash % 2**64 for r in frame.collect()}
+        assert got == {k: sum(1 << b for b, x in enumerate(v) if (x > 0 if strict else x >= 0)) for k, v in want.items()}
+    assert "HashAggregate" not in frame._jdf.queryExecution().executedPlan().toString()
+
+
+def test_term_weight_of_odd_spaces(spark):
+    terms = [("lange wörter\there", 1.0), ("versicherungen  12 %", 1.3 * 1.3), ("", 1.0), ("  \n ", 1.0), ("Haftung haftung", 2.0 * 1.35), ("abcdefgh", 1.4)]
+    got = [r[0] for r in spark.createDataFrame([(t,) for t, _ in terms], "t string").select(dedup.term_weight(F.col("t"))).collect()]
+    old = lambda t, base: base * (1 + m * 0.05 if (w := t.split()) and (m := sum(map(len, w)) / len(w)) > 6 else 1)
+    assert got == pytest.approx([old(t, b) for t, b in zip([t for t, _ in terms], [1, 1.3 * 1.3, 1, 1, 2.0, 1], strict=True)])
