@@ -168,3 +168,18 @@ def test_cells_of_many_queries_go_out_in_small_batches(spark):
     assert max(b.num_rows for b in out) <= vector_store.ROWS and sum(b.num_rows for b in out) == 450_000
     t = pa.Table.from_batches(out)
     assert len(set(zip(t["id"].to_pylist(), t["cell"].to_pylist(), strict=True))) == 450_000
+
+
+def test_tasks_of_a_segment_grow_with_its_tokens(spark, tmp_path, monkeypatch):
+    """A segment of many tokens is counted and written by more tasks than the session's partitions, and gives the same hits."""
+    rows = [(i, " ".join(f"w{(i * 7 + j) % 40}" for j in range(30))) for i in range(120)]
+    frame, asked = spark.createDataFrame(rows, "id long, text string"), spark.createDataFrame([(1, "w3 w5 w39")], "qid long, text string")
+    found = []
+    for together in (100, 10**9):
+        monkeypatch.setattr(lexical, "TOGETHER", together)
+        stored = lexical.Stored(spark, f"file://{tmp_path}/{together}")
+        stored.add(frame)
+        found.append([tuple(r) for r in stored.search(asked, 10).orderBy("rank").collect()])
+    files = lambda name: {f.name.split("-")[1] for f in (tmp_path / name).rglob("part-*.parquet") if "/postings/" in str(f)}
+    assert len(files("100")) > 4 >= len(files(str(10**9)))
+    assert found[0] == found[1] and len(found[0]) == 10
