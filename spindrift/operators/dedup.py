@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import hashlib
 import itertools
 import math
 from collections.abc import Callable, Iterator
@@ -130,13 +131,60 @@ def simhash(terms: DataFrame, key: str, weight: Column | None = None, strict: bo
         hashed = rows.select(key, F.shiftleft("high", 32).bitwiseOR(F.col("low")).alias("hash"), F.col("w").cast("double").alias("w"))
         return hashed.repartition(key).sortWithinPartitions(key).mapInArrow(_voted(strict), f"`{key}` {terms.schema[key].dataType.simpleString()}, simhash long")
     pack = lambda g: sum((F.shiftleft(bit_of(i), PACK_BITS * k) for k, i in enumerate(range(g, min(g + PACKED, BITS))) if k), bit_of(g))
-    counts = rows.groupBy(key).agg(F.count(F.lit(1)).alias("n"), *(F.sum(pack(g)).alias(f"s{g}") for g in range(0, BITS, PACKED)))
+    return _decided(rows.groupBy(key).agg(F.count(F.lit(1)).alias("n"), *(F.sum(pack(g)).alias(f"s{g}") for g in range(0, BITS, PACKED))), key, strict)
+
+
+def _decided(counts: DataFrame, key: str, strict: bool = False) -> DataFrame:
+    """(key, simhash) of (key, n, s0, s3, ..): n terms, and how many of them have each bit, `PACKED` counts to a long."""
     ones = lambda i: F.shiftright(f"s{i - i % PACKED}", PACK_BITS * (i % PACKED)).bitwiseAND(F.lit((1 << PACK_BITS) - 1))
     set_ = lambda i: (2 * ones(i) > F.col("n")) if strict else (2 * ones(i) >= F.col("n"))
     half = lambda at: sum((F.shiftleft(F.when(set_(at + i), 1).otherwise(0).cast("bigint"), i) for i in range(1, 32)), F.when(set_(at), 1).otherwise(0).cast("bigint"))
     return counts.select(key, F.shiftleft(half(32), 32).bitwiseOR(half(0)).alias("simhash"))
 
 
+#: Bytes of a text whose words are cut at once.
+PIECE = 1 << 20
+
+
+def _runs(text: bytes, n: int) -> Iterator[list[bytes]]:
+    """The space-joined runs of n words of a text, a list for each piece of it. `bytes.split` parts at the same white space as the pattern \\s."""
+    held: list[bytes] = []
+    cut = b""
+    for at in range(0, len(text), PIECE):
+        piece = cut + text[at : at + PIECE]
+        words, cut = piece.split(), b""
+        if at + PIECE < len(text) and not piece[-1:].isspace():
+            cut = words.pop()
+        words = held + words
+        yield list(map(b" ".join, zip(*(words[i:] for i in range(n)), strict=False)))
+        held = words[max(0, len(words) - n + 1) :]
+
+
+def ngram_simhash(docs: DataFrame, key: str, text: Column, n: int = 3) -> DataFrame:
+    """As `simhash` of `ngrams`: (key, simhash) of the rows' runs of n lower-cased words; keys without one are left out, and rows of one key vote together.
+
+    A row's runs are hashed and their bits counted where the row is, and only 23 numbers a row are added up: rows of single runs would cost a hundred times a run's hash.
+    """
+    names = ["n", *(f"s{g}" for g in range(0, BITS, PACKED))]
+    kind = docs.schema[key].dataType.simpleString()
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for b in batches:
+            at, found = [], []
+            for row, t in enumerate(b.column(1).cast(pa.binary())):
+                for grams in _runs(t.as_py() or b"", n):
+                    if grams:
+                        md5 = np.frombuffer(b"".join([hashlib.md5(g, usedforsecurity=False).digest() for g in grams]), np.uint8).reshape(-1, 16)
+                        bits = np.unpackbits(md5[:, 7::-1], axis=1, bitorder="little").sum(0, dtype=np.int64)
+                        at.append(row)
+                        found.append([len(grams), *(np.pad(bits, (0, -BITS % PACKED)).reshape(-1, PACKED) << (PACK_BITS * np.arange(PACKED))).sum(1)])
+            sums = np.array(found, np.int64).reshape(len(at), len(names))
+            yield pa.RecordBatch.from_arrays([b.column(0).take(pa.array(at, pa.int64())), *(pa.array(sums[:, i]) for i in range(len(names)))], names=[b.schema.names[0], *names])
+
+    counts = docs.select(key, F.lower(text).alias("text")).where("text is not null").mapInArrow(run, f"`{key}` {kind}, {', '.join(f'{x} long' for x in names)}")
+    return _decided(counts.groupBy(key).agg(*(F.sum(x).alias(x) for x in names)), key)
+
+
 def copies(hashes: DataFrame, key: str, *also: str) -> DataFrame:
     """(id, simhash, also.., n): one row for each different hash (and value of `also`) with the smallest id that has it and how many do."""
     return hashes.groupBy("simhash", *also).agg(F.min(key).alias("id"), F.count(F.lit(1)).alias("n"))

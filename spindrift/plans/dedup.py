@@ -16,8 +16,7 @@ b AS (SELECT doc_id, ('0x' || left(h, 8))::BIGINT AS hi, ('0x' || substr(h, 9, 8
 
 
 def hashes(spark, sf_dir):
-    d = documents(spark, sf_dir).select("doc_id", F.explode(D.ngrams(F.col("text"))).alias("term"))
-    return D.simhash(d, "doc_id")
+    return D.ngram_simhash(documents(spark, sf_dir), "doc_id", F.col("text"))
 
 
 @query("simhash", f"WITH {SIM} SELECT doc_id, printf('%08x%08x', hi, lo) AS simhash FROM sim")
