@@ -196,12 +196,12 @@ def kept_blocks(rows: int, radius: int) -> int:
     return min(range(1, MOST_BLOCKS + 1), key=cost)
 
 
-#: Comparisons of two hashes that take as long as writing, sorting and reading one row of a join key.
-ROW_COST = 20
+#: Comparisons of two hashes (`_matches`) that take as long as writing, sorting and reading one row of a join key.
+ROW_COST = 200
 
 
 def linking_blocks(rows: int, radius: int) -> int:
-    """As `kept_blocks`, for a join whose rows are shuffled several times and so cost more than comparisons."""
+    """As `kept_blocks`, where a row that is shuffled costs as much as many comparisons."""
     cost = lambda m: math.comb(radius + m, m) * (ROW_COST + rows / 2 ** (BITS * m / (radius + m) + 1))
     return min(range(1, MOST_BLOCKS + 1), key=cost)
 
@@ -248,14 +248,119 @@ def _distance() -> Column:
     return F.bit_count(F.col("a.simhash").bitwiseXOR(F.col("b.simhash"))).cast("bigint").alias("distance")
 
 
-def near_pairs(hashes: DataFrame, key: str, radius: int = 8, blocks: int = 2) -> DataFrame:
-    """(a, b, distance), a < b, of hashes (key, simhash) at most `radius` bits apart. Equal hashes are a pair like any other, so give different ones (`copies`).
+#: Rows whose keys are compared at once, and pairs that are given on at once.
+AT_ONCE, PAIRS = 200_000, 100_000
+
+
+def _together(h: np.ndarray, start: np.ndarray, end: np.ndarray, root: np.ndarray | None) -> Iterator[tuple[np.ndarray, np.ndarray]]:
+    """Positions to compare, each with later ones of its key. With roots: of different roots only, and none within the root that most rows of a key have."""
+    if root is None:
+        order, active = None, np.arange(len(h))
+    else:
+        by = np.lexsort((root, start))
+        first = np.flatnonzero(np.r_[True, (start[by][1:] != start[by][:-1]) | (root[by][1:] != root[by][:-1])])
+        key, kind, count = start[by][first], root[by][first], np.diff(np.r_[first, len(h)])
+        most = np.lexsort((kind, count, key))
+        main = np.zeros(len(h), root.dtype)
+        main[key[most]] = kind[most]  # the last one of a key stays, which has most rows
+        own = root == main[start]
+        order = np.lexsort((own, start))  # rows of other roots come first in a key
+        active = np.flatnonzero(~own[order])
+    for d in range(1, len(h)):
+        active = active[active + d < end[active]]
+        if not len(active):
+            return
+        yield (active, active + d) if order is None else (order[active], order[active + d])
+
+
+def _ends(start: np.ndarray, end: np.ndarray) -> Iterator[tuple[np.ndarray, np.ndarray]]:
+    """Positions of each row and the first and the last one of its key."""
+    at = np.arange(len(start))
+    yield start[at != start], at[at != start]
+    at = at[at != end - 1]
+    yield at, end[at] - 1
+
+
+def _matches(radius: int, blocks: int, kind: str) -> Callable[[Iterator[pa.RecordBatch]], Iterator[pa.RecordBatch]]:
+    """(x, y, distance) of near rows of one key, of rows (choice, skipped, id, simhash[, root]) sorted by key and id; a key's rows wait until its last one is there.
+
+    `ends`: of each row and its key's first and last one. Else of all pairs (`rooted`: as `_together` does), at the first key that they share, as blocks before its last one differ, but for the chosen.
+    """
+    masks = np.array(_masks(radius, blocks), np.uint64)
+    of_choice = np.array([sum(int(m) for i, m in enumerate(masks) if c >> i & 1) for c in range(1 << len(masks))], np.uint64)
+
+    def compared(rows: pa.Table) -> Iterator[pa.RecordBatch]:
+        ids = rows.column("id").combine_chunks()
+        h, choice, skipped = (rows.column(c).to_numpy() for c in ("simhash", "choice", "skipped"))
+        h = h.view(np.uint64)
+        part = h & of_choice[choice]
+        starts = np.flatnonzero(np.r_[True, (part[1:] != part[:-1]) | (choice[1:] != choice[:-1])])
+        sizes = np.diff(np.r_[starts, len(h)])
+        start, end = np.repeat(starts, sizes), np.repeat(starts + sizes, sizes)
+        root = pc.dictionary_encode(rows.column("root").combine_chunks()).indices.to_numpy() if kind == "rooted" else None
+        found, held = [], 0
+        for x, y in _ends(start, end) if kind == "ends" else _together(h, start, end, root):
+            apart = h[x] ^ h[y]
+            near = np.bitwise_count(apart) <= radius
+            if root is not None:
+                near &= root[x] != root[y]
+            x, y, apart = x[near], y[near], apart[near]
+            if kind != "ends" and len(x):
+                alike = sum(((apart & m) == 0).astype(np.int64) << i for i, m in enumerate(masks))
+                first = (skipped[x] & alike) == 0
+                x, y, apart = x[first], y[first], apart[first]
+            for at in range(0, len(x), PAIRS):
+                found.append((x[at : at + PAIRS], y[at : at + PAIRS], np.bitwise_count(apart[at : at + PAIRS]).astype(np.int64)))
+                held += len(found[-1][0])
+                if held >= PAIRS:
+                    yield given(ids, found)
+                    found, held = [], 0
+        if held:
+            yield given(ids, found)
+
+    def given(ids: pa.Array, found: list) -> pa.RecordBatch:
+        x, y, apart = (np.concatenate(c) for c in zip(*found, strict=True))
+        return pa.RecordBatch.from_arrays([ids.take(pa.array(x)), ids.take(pa.array(y)), pa.array(apart)], names=["x", "y", "distance"])
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        held: list[pa.RecordBatch] = []
+        rows = 0
+        for b in batches:
+            if not b.num_rows:
+                continue
+            held.append(b)
+            rows += b.num_rows
+            if rows < AT_ONCE:
+                continue
+            choice, h = b.column(b.schema.get_field_index("choice")).to_numpy(), b.column(b.schema.get_field_index("simhash")).to_numpy().view(np.uint64)
+            mine = of_choice[choice[-1]]
+            other = np.flatnonzero((choice != choice[-1]) | ((h & mine) != (h[-1] & mine)))
+            if len(other):  # else the key began in an earlier batch: looked for again at the next one
+                cut = int(other[-1]) + 1
+                yield from compared(pa.Table.from_batches([*held[:-1], b.slice(0, cut)]))
+                held, rows = [b.slice(cut)], b.num_rows - cut
+        if held:
+            yield from compared(pa.Table.from_batches(held))
+
+    return run
+
+
+def _compared(rows: DataFrame, count: int, radius: int, blocks: int, kind: str) -> DataFrame:
+    """(x, y, distance) by `_matches` of rows (id, simhash[, root]), `count` of them: keys are dealt over tasks of about a million rows, shuffled once, and compared in batches of numbers."""
+    spark, also = rows.sparkSession, ("root",) if kind == "rooted" else ()
+    parts = max(spark.sparkContext.defaultParallelism, count * math.comb(radius + blocks, blocks) // 1_000_000)
+    k = keyed(dealt(rows.where("simhash is not null"), count), radius, blocks, *also).repartition(parts, "choice", "part")
+    ordered = k.sortWithinPartitions("choice", "part", "id").select("choice", "skipped", "id", "simhash", *also)
+    return ordered.mapInArrow(_matches(radius, blocks, kind), "x {0}, y {0}, distance long".format(rows.schema["id"].dataType.simpleString()))
+
+
+def near_pairs(hashes: DataFrame, key: str, radius: int = 8, blocks: int = 2, count: int | None = None) -> DataFrame:
+    """(a, b, distance), a < b, of hashes (key, simhash), of which there are `count`, at most `radius` bits apart. Equal hashes are a pair like any other, so give different ones (`copies`).
 
     These are all pairs, which a dense group has in the square of its size: components, leaders and followers below do without them.
     """
-    k = keyed(hashes.select(F.col(key).alias("id"), "simhash"), radius, blocks)
-    on = _near(radius, blocks) & (F.col("a.id") < F.col("b.id"))
-    return k.alias("a").join(k.alias("b"), on).select(F.col("a.id").alias("a"), F.col("b.id").alias("b"), _distance())
+    found = _compared(hashes.select(F.col(key).alias("id"), "simhash"), hashes.count() if count is None else count, radius, blocks, "all")
+    return found.where("x < y").select(F.col("x").alias("a"), F.col("y").alias("b"), "distance")
 
 
 def near_components(rows: DataFrame, radius: int = 8, linked: Callable[[DataFrame], DataFrame] = lambda pairs: pairs) -> DataFrame:
@@ -269,19 +374,11 @@ def near_components(rows: DataFrame, radius: int = 8, linked: Callable[[DataFram
     rows = rows.select("id", "simhash").checkpoint()
     count = rows.count()
     blocks = linking_blocks(count, radius)
-    k, key = keyed(dealt(rows, count), radius, blocks), ["choice", "part"]
-    ends = k.groupBy(*key).agg(F.min("id").alias("low"), F.min_by("simhash", "id").alias("first"), F.max("id").alias("high"), F.max_by("simhash", "id").alias("last")).where("low <> high")
-    both = F.array(F.struct(F.col("low").alias("id"), F.col("first").alias("simhash")), F.struct(F.col("high").alias("id"), F.col("last").alias("simhash")))
-    met = k.join(ends, key).select("id", "simhash", F.explode(both).alias("e")).where("id <> e.id")
-    distance = F.bit_count(F.col("simhash").bitwiseXOR(F.col("e.simhash"))).cast("bigint")
-    pairs = met.where(distance <= radius).select(F.least("id", "e.id").alias("a"), F.greatest("id", "e.id").alias("b"), distance.alias("distance")).distinct()
+    pair = lambda found: found.select(F.least("x", "y").alias("a"), F.greatest("x", "y").alias("b"), "distance")
+    pairs = pair(_compared(rows, count, radius, blocks, "ends")).distinct()
     roots = graph.components(linked(pairs).select("a", "b"))
     labelled = rows.join(roots, "id", "left").select("id", "simhash", F.coalesce("root", "id").alias("root")).checkpoint()
-    k = keyed(dealt(labelled, count), radius, blocks, "root")
-    several = k.groupBy(*key, "root").agg(F.count(F.lit(1)).alias("n")).groupBy(*key).agg(F.max_by("root", F.struct("n", "root")).alias("main"), F.count(F.lit(1)).alias("roots")).where("roots > 1").drop("roots")
-    mixed = k.join(several, key)
-    on = _near(radius, blocks) & (F.col("a.root") != F.col("b.root")) & ((F.col("b.root") == F.col("b.main")) | (F.col("a.id") < F.col("b.id")))
-    rest = mixed.where("root <> main").alias("a").join(mixed.alias("b"), on).select(F.least("a.id", "b.id").alias("a"), F.greatest("a.id", "b.id").alias("b"), _distance())
+    rest = pair(_compared(labelled, count, radius, blocks, "rooted"))
     return graph.components(roots.select(F.col("id").alias("a"), F.col("root").alias("b")).unionByName(linked(rest).select("a", "b")))
 
 
@@ -290,7 +387,8 @@ def near_classes(hashes: DataFrame, key: str, radius: int = 8) -> tuple[DataFram
     graph.checkpoint_folder(hashes.sparkSession)
     members = hashes.select(F.col(key).alias("id"), "simhash").checkpoint()
     classes = copies(members, "id").checkpoint()
-    return members, classes, near_pairs(classes, "id", radius, kept_blocks(classes.count(), radius))
+    count = classes.count()
+    return members, classes, near_pairs(classes, "id", radius, linking_blocks(count, radius), count)
 
 
 def near_links(hashes: DataFrame, key: str, radius: int = 8) -> DataFrame:
