@@ -22,7 +22,7 @@ from collections.abc import Iterator
 import numpy as np
 import pyarrow as pa
 import xxhash
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from spindrift.llm.arrow import lean
@@ -246,11 +246,17 @@ def with_pivots(classes: DataFrame) -> DataFrame:
     return classes.withColumn("pivot", packed)
 
 
-def _keyed(classes: DataFrame, *more: str) -> DataFrame:
-    """A row for each join key of a class: key, id, comp, f0.., pivot, n and more columns."""
-    lanes = [*(f"f{i}" for i in range(LANES)), "pivot", *more]
-    each = classes.select("id", "comp", *lanes, "n", F.explode("levels").alias("l")).select("id", "comp", *lanes, "n", "l.level", F.posexplode("l.subsets").alias("subset", "hash"))
-    return each.where("hash <> 0").select(F.xxhash64("level", "subset", "hash").alias("key"), "id", "comp", *lanes, "n")
+def shared_keys(classes: DataFrame, scratch: Scratch) -> DataFrame:
+    """A row for each join key of a class that another class has too: key, id, f0.., n, pivot.
+
+    Most keys are one class's alone, so all keys are dealt once and as numbers alone; only classes that share one bring their fingerprints, of which the pivot distances are worked out here, once.
+    """
+    each = classes.select("id", F.explode("levels").alias("l")).select("id", "l.level", F.posexplode("l.subsets").alias("subset", "hash"))
+    key = Window.partitionBy("key")
+    keyed = each.where("hash <> 0").select(F.xxhash64("level", "subset", "hash").alias("key"), "id")
+    several = scratch.save(keyed.select("key", "id", (F.min("id").over(key) < F.max("id").over(key)).alias("several")).where("several").select("key", "id"))
+    lanes = [f"f{i}" for i in range(LANES)]
+    return scratch.save(several.join(with_pivots(classes).select("id", *lanes, "n", "pivot"), "id"))
 
 
 def _near(similarity: float) -> Column:
@@ -261,22 +267,21 @@ def _near(similarity: float) -> Column:
     return sizes & within(F.col("a.pivot"), F.col("b.pivot"), APART // STEP) & (apart <= APART)
 
 
-def star_pairs(classes: DataFrame, similarity: float) -> DataFrame:
+def star_pairs(keyed: DataFrame, similarity: float) -> DataFrame:
     """Candidate pairs (a, b) of each class and the first and last one that share a key with it: two rows for each key at most."""
-    keyed = _keyed(classes)
     me = F.struct("id", "n", "pivot", *(f"f{i}" for i in range(LANES)))
-    ends = keyed.groupBy("key").agg(F.min(me).alias("m"), F.max(me).alias("x"), F.count(F.lit(1)).alias("members")).where("members > 1").select("key", F.explode(F.array("m", "x")).alias("m")).select("key", "m.*")
+    ends = keyed.groupBy("key").agg(F.min(me).alias("m"), F.max(me).alias("x")).select("key", F.explode(F.array("m", "x")).alias("m")).select("key", "m.*")
     a, b = ends.alias("a"), keyed.alias("b")
     return a.join(b, (F.col("a.key") == F.col("b.key")) & (F.col("a.id") != F.col("b.id")) & _near(similarity)).select(F.least("a.id", "b.id").alias("a"), F.greatest("a.id", "b.id").alias("b")).distinct()
 
 
-def rest_links(classes: DataFrame, docs: DataFrame, similarity: float, width: int, scratch: Scratch) -> DataFrame:
+def rest_links(shared: DataFrame, classes: DataFrame, docs: DataFrame, similarity: float, width: int, scratch: Scratch) -> DataFrame:
     """All further links (a, b) between different components: of classes that share a key, members of its largest component need no test with each other.
 
     Only keys whose classes are in several components count, and the similarity is part of the join's condition. So a key that thousands of
     linked texts share costs a row for each link of those that aren't linked yet, not for each pair. Parities spare most of the comparisons of whole sets.
     """
-    keyed = _keyed(classes, "size")
+    keyed = shared.join(classes.select("id", "comp", "size"), "id")
     large = keyed.groupBy("key").agg(F.max(F.struct("size", "comp"))["comp"].alias("large"), F.min("comp").alias("low"), F.max("comp").alias("high")).where("low <> high")
     marked = scratch.save(keyed.join(large.select("key", "large"), "key"))
     sets = sets_of(marked.select("id").distinct(), classes, docs, width, scratch)
@@ -352,19 +357,21 @@ def superseded(docs: DataFrame, width: int = SIMILAR_WIDTH, similarity: float =
     who = F.struct(F.col("doc_id").isNull().alias("unnamed"), "doc_id", "text_key")
     id_ = F.xxhash64("n", "whole")
     classes = scratch.save(rows.groupBy("n", "whole").agg(F.min(who).alias("least"), *(F.min(f"f{i}").alias(f"f{i}") for i in range(LANES)), F.first("levels").alias("levels"), F.count(F.lit(1)).alias("rows")).withColumn("id", id_).drop("whole"))
-    classes = with_pivots(classes)
-    star = scratch.save(star_pairs(classes.withColumn("comp", F.col("id")), similarity))
+    shared = shared_keys(classes, scratch)
+    star = scratch.save(star_pairs(shared, similarity))
     links_ = verified(star, classes, docs, similarity, width, scratch)
 
-    def grouped(found: DataFrame) -> DataFrame:
-        """Classes with component and its size; a class without a link is its own."""
-        nodes = components(found)
+    def grouped(nodes: DataFrame) -> DataFrame:
+        """(id, least, comp, size): classes with component and its size; a class without a link is its own."""
         sizes = nodes.groupBy("root").agg(F.count(F.lit(1)).alias("size"))
         known = nodes.join(sizes, "root").select(F.col("node").alias("id"), F.col("root").alias("comp"), "size")
-        return classes.join(known, "id", "left").withColumn("comp", F.coalesce("comp", "id")).withColumn("size", F.coalesce("size", F.lit(1)))
+        return classes.select("id", "least").join(known, "id", "left").withColumn("comp", F.coalesce("comp", "id")).withColumn("size", F.coalesce("size", F.lit(1)))
 
-    more = rest_links(scratch.save(grouped(links_)), docs, similarity, width, scratch)
-    final = scratch.save(grouped(links_.unionByName(more)).select("id", "comp", "least"))
+    linked = components(links_)
+    more = rest_links(shared, scratch.save(grouped(linked)), docs, similarity, width, scratch)
+    # components of components: a node's edge to its root stands for its links, so few rounds are left
+    joined = components(linked.select(F.col("node").alias("a"), F.col("root").alias("b")).unionByName(more))
+    final = scratch.save(grouped(joined).select("id", "comp", "least"))
     first = final.groupBy("comp").agg(F.min("least").alias("kept"))
     kept = final.join(first, "comp").select("id", "kept")
     gone = rows.withColumn("id", id_).join(kept, "id").where(~who.eqNullSafe(F.col("kept"))).select("doc_id", "text_key").distinct()

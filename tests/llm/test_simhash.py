@@ -120,3 +120,20 @@ def test_pivots_of_the_stage_discard_only_what_is_far(spark):
     across = [k for x, y, k, _, _ in found if x < 80 <= y]
     assert sum(not k for k in across) > len(across) // 4
     assert sum(d <= simhash.APART for *_, d, _ in found) > 1000
+
+
+def test_only_shared_keys_bring_their_fingerprints(spark):
+    """Pipeline: keys of one class alone go no further than one shuffle of numbers."""
+    from spindrift.llm.scratch import Scratch
+
+    words = [f"w{i}" for i in range(400)]
+    texts = [" ".join(words[:200]), " ".join(words[:195]), " ".join(words[200:])]
+    docs = spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string")
+    scratch = Scratch(spark, "keys")
+    classes = simhash.sketches(docs).select(F.col("doc_id").alias("id"), "n", "levels", F.lit(1).alias("rows"), *(f"f{i}" for i in range(4)))
+    found = simhash.shared_keys(classes, scratch)
+    held = {}
+    for r in found.collect():
+        held.setdefault(r.key, set()).add(r.id)
+    assert held and all(ids == {0, 1} for ids in held.values())
+    assert [tuple(r) for r in simhash.star_pairs(found, 0.8).collect()] == [(0, 1)]
