@@ -14,10 +14,12 @@ import numpy as np
 import pandas as pd
 import pyarrow as pa
 import pyarrow.compute as pc
+from pyspark.ml.feature import CountVectorizerModel
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from spindrift.functions import text as T
+from spindrift.operators import graph
 
 _SPAN = "array<struct<a:int,b:int>>"
 #: Titles that make a chunk more important.
@@ -190,6 +192,21 @@ def with_vectors(rows: DataFrame, key: str, encode: Callable[[list[str]], np.nda
     return rows.mapInArrow(run, schema)
 
 
+def frequent(rows: DataFrame, words: str, most: int, without: list[str]) -> list[str]:
+    """The `most` most frequent words of the array column `words` that are not in `without`, equally frequent ones in order."""
+    each = rows.select(F.explode_outer(words).alias("word")).where("word is not null")  # explode() would make the words twice, first for a filter on their number
+    n = each.groupBy("word").agg(F.count(F.lit(1)).alias("n"))
+    first = n.orderBy(F.desc("n"), "word").limit(most + len(without)).collect()  # a filter would be asked of each word of each text
+    return [r.word for r in first if r.word not in set(without)][:most]
+
+
+def term_counts(rows: DataFrame, key: str, words: str, vocabulary: list[str]) -> DataFrame:
+    """(key, tf): sparse counts of the vocabulary's words. They are checkpointed, so that what is fitted on them in many passes does not cut the texts again."""
+    graph.checkpoint_folder(rows.sparkSession)
+    model = CountVectorizerModel.from_vocabulary(vocabulary, inputCol=words, outputCol="tf")
+    return model.transform(rows).select(key, "tf").checkpoint()
+
+
 def cohesive(sentences: list[str], breaks: list, encode, most: int, threshold: float, overlap: int) -> list[tuple[int, int, float]]:
     """Spans and mean similarities: a sentence joins while it is near the chunk's mean direction, fits the budget, and no break value (page, section) changes."""
     if not sentences:

@@ -140,14 +140,14 @@ def kmeans(spark, sf_dir):
 
 @query("kmeans_tfidf")
 def kmeans_tfidf(spark, sf_dir):
-    """K-means over TF-IDF of the thousand most frequent words."""
-    from pyspark.ml import Pipeline
+    """K-means over TF-IDF of the thousand most frequent words. Texts are cut into words twice, for the vocabulary and for the counts, and all passes of the fits read the counts."""
     from pyspark.ml.clustering import KMeans
-    from pyspark.ml.feature import IDF, CountVectorizer, StopWordsRemover
+    from pyspark.ml.feature import IDF, StopWordsRemover
 
-    d = documents(spark, sf_dir).select("doc_id", T.tokens(F.col("text")).alias("words"))
-    steps = [StopWordsRemover(inputCol="words", outputCol="kept"), CountVectorizer(inputCol="kept", outputCol="tf", vocabSize=1000), IDF(inputCol="tf", outputCol="features"), KMeans(k=10, seed=42, maxIter=10)]
-    found = Pipeline(stages=steps).fit(d).transform(d)
+    d = documents(spark, sf_dir).select("doc_id", F.coalesce(T.tokens(F.col("text")), F.array().cast("array<string>")).alias("words"))
+    tf = C.term_counts(d, "doc_id", "words", C.frequent(d, "words", 1000, StopWordsRemover().getStopWords()))
+    weighted = IDF(inputCol="tf", outputCol="features").fit(tf).transform(tf)
+    found = KMeans(k=10, seed=42, maxIter=10).fit(weighted).transform(weighted)
     return found.select("doc_id", F.col("prediction").cast("bigint").alias("cluster"))
 
 

@@ -1,12 +1,19 @@
 """Registered queries over tables larger than those of test_queries.py: every row counts."""
 
 import re
+from collections import Counter
 
 import duckdb
 import pytest
+from pyspark.ml import Pipeline
+from pyspark.ml.clustering import KMeans
+from pyspark.ml.feature import IDF, CountVectorizerModel, StopWordsRemover
+from pyspark.sql import functions as F
 
-
+from spindrift.functions import text as T
+from spindrift.operators import graph
 from spindrift.plans import answers, registry, retrieval
+from spindrift.session import spread, table
 
 SF = "/root/testdata/sf0.01"
 
@@ -62,6 +69,34 @@ def test_eval_retrieval_of_all_items(spark, tmp_path, monkeypatch, most):
     assert want[0] > 10 and tuple(got) == want
 
 
+def test_kmeans_tfidf_is_the_plain_pipeline_and_cuts_texts_twice(spark, monkeypatch):
+    sf = "/root/testdata/sf0.001"
+    graph.checkpoint_folder(spark)
+    d = spread(table(spark, sf, "documents").select("doc_id", "text")).checkpoint().select("doc_id", T.tokens(F.col("text")).alias("words"))
+    remover = StopWordsRemover(inputCol="words", outputCol="kept")
+    n = Counter(w for r in remover.transform(d).select("kept").collect() for w in r.kept)
+    counts = CountVectorizerModel.from_vocabulary(sorted(n, key=lambda w: (-n[w], w))[:1000], inputCol="kept", outputCol="tf")
+    steps = [remover, counts, IDF(inputCol="tf", outputCol="features"), KMeans(k=10, seed=42, maxIter=10)]
+    want = Pipeline(stages=steps).fit(d).transform(d).select("doc_id", "prediction").collect()
+    cut = spark.sparkContext.accumulator(0)
+
+    @F.udf("array<string>")
+    def counted(text):
+        cut.add(1)
+        return re.findall(r"\w+", text.lower())
+
+    monkeypatch.setattr(T, "tokens", counted)
+    got = registry.QUERIES["kmeans_tfidf"](spark, sf).collect()
+    assert len(got) == 200 and cut.value == 400
+    assert sorted(map(tuple, got)) == sorted(map(tuple, want))
+
+
+def test_kmeans_tfidf_of_a_null_text(spark, tmp_path):
+    sf, _ = some_documents(spark, tmp_path, "doc_id < 60")
+    spark.createDataFrame([(1000, None)], "doc_id long, text string").write.mode("append").parquet(f"{sf}/documents.parquet")
+    assert registry.QUERIES["kmeans_tfidf"](spark, sf).where("cluster between 0 and 9").count() == 61
+
+
 def test_mmr_answers_every_20th_vector(spark):
     sf = "/root/testdata/sf0.001"
     got = registry.QUERIES["mmr"](spark, sf).groupBy("qid").count().collect()
