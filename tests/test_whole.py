@@ -11,7 +11,7 @@ from pyspark.ml.feature import IDF, CountVectorizerModel, StopWordsRemover
 from pyspark.sql import functions as F
 
 from spindrift.functions import text as T
-from spindrift.operators import graph
+from spindrift.operators import graph, lexical
 from spindrift.plans import answers, registry, retrieval
 from spindrift.session import spread, table
 
@@ -69,6 +69,28 @@ def test_eval_retrieval_of_all_items(spark, tmp_path, monkeypatch, most):
     assert want[0] > 10 and tuple(got) == want
 
 
+def test_bm25_cuts_texts_twice(spark, monkeypatch):
+    """Once for the counts of terms and once for the postings, whatever reads the counts."""
+    rows = [(i, f"a{i % 7} b{i % 3} " * (i % 4)) for i in range(50)]
+    chunks = spark.createDataFrame([*rows, (50, None)], "id long, text string").repartition(4)
+    cut = spark.sparkContext.accumulator(0)
+    plain = T.tokens
+
+    @F.udf("array<string>")
+    def counted(text):
+        cut.add(1)
+        return None if text is None else re.findall(r"\w+", text.lower())
+
+    found = []
+    queries = spark.createDataFrame([(q, f"a{q % 7} b{q % 3}") for q in range(40)], "qid long, text string").localCheckpoint()
+    for tokens in (plain, counted):
+        monkeypatch.setattr(T, "tokens", tokens)
+        index = lexical.over(chunks)
+        monkeypatch.setattr(T, "tokens", plain)
+        found.append(sorted((r.qid, r.id, r.rank) for r in lexical.search(index, queries, 5).collect()))
+    assert found[0] == found[1] and len(found[0]) == 200 and cut.value == 2 * 51
+
+
 def test_kmeans_tfidf_is_the_plain_pipeline_and_cuts_texts_twice(spark, monkeypatch):
     sf = "/root/testdata/sf0.001"
     graph.checkpoint_folder(spark)
