@@ -244,10 +244,6 @@ def _near(radius: int, blocks: int, once: bool = True) -> Column:
     return on
 
 
-def _distance() -> Column:
-    return F.bit_count(F.col("a.simhash").bitwiseXOR(F.col("b.simhash"))).cast("bigint").alias("distance")
-
-
 #: Rows whose keys are compared at once, and pairs that are given on at once.
 AT_ONCE, PAIRS = 200_000, 100_000
 
@@ -281,10 +277,57 @@ def _ends(start: np.ndarray, end: np.ndarray) -> Iterator[tuple[np.ndarray, np.n
     yield at, end[at] - 1
 
 
-def _matches(radius: int, blocks: int, kind: str) -> Callable[[Iterator[pa.RecordBatch]], Iterator[pa.RecordBatch]]:
+#: Rows of a key that all others of it are compared with first.
+PIVOTS = 8
+
+
+def _pivots(start: np.ndarray, end: np.ndarray) -> Iterator[tuple[np.ndarray, np.ndarray]]:
+    """Positions of each row and of some rows of its key."""
+    at = np.arange(len(start))
+    for i in range(PIVOTS):
+        pivot = start + (end - start) * i // PIVOTS
+        other = pivot != at
+        yield pivot[other], at[other]
+
+
+def _top(parent: np.ndarray, x: np.ndarray) -> np.ndarray:
+    """The root of each position in a forest, which is made flatter."""
+    top = parent[x]
+    while (parent[top] != top).any():
+        top = parent[top]
+    parent[x] = top
+    return top
+
+
+def _joined(start: np.ndarray, end: np.ndarray, h: np.ndarray, near: Callable[[np.ndarray, np.ndarray], np.ndarray], held: Callable[[np.ndarray, np.ndarray], np.ndarray] | None) -> Iterator[tuple[np.ndarray, np.ndarray]]:
+    """Links enough to connect what links connect, fewer than there are rows: pairs inside a component are not looked at again, and only rows outside a key's largest component are compared with all others."""
+    parent = np.arange(len(h))
+
+    def link(x: np.ndarray, y: np.ndarray) -> Iterator[tuple[np.ndarray, np.ndarray]]:
+        for chosen in (near, lambda x, y: _top(parent, x) != _top(parent, y), held):
+            if chosen and len(x):
+                some = chosen(x, y)
+                x, y = x[some], y[some]
+        while len(x):
+            a, b = _top(parent, x), _top(parent, y)
+            apart = a != b
+            x, y, a, b = x[apart], y[apart], a[apart], b[apart]
+            high, low = np.maximum(a, b), np.minimum(a, b)
+            order = np.lexsort((low, high))
+            once = order[np.r_[True, high[order][1:] != high[order][:-1]]] if len(order) else order
+            parent[high[once]] = low[once]  # each root goes under a smaller one, so no circle comes about
+            yield x[once], y[once]
+
+    for x, y in _pivots(start, end):
+        yield from link(x, y)
+    for x, y in _together(h, start, end, _top(parent, np.arange(len(h)))):
+        yield from link(x, y)
+
+
+def _matches(radius: int, blocks: int, kind: str, alike: Callable[[np.ndarray, np.ndarray, np.ndarray], np.ndarray] | None = None) -> Callable[[Iterator[pa.RecordBatch]], Iterator[pa.RecordBatch]]:
     """(x, y, distance) of near rows of one key, of rows (choice, skipped, id, simhash[, root]) sorted by key and id; a key's rows wait until its last one is there.
 
-    `ends`: of each row and its key's first and last one. Else of all pairs (`rooted`: as `_together` does), at the first key that they share, as blocks before its last one differ, but for the chosen.
+    `ends`: of each row and its key's first and last one. `joined`: enough to connect them, if `alike` is given of pairs whose features `f` it holds for. Else of all pairs (`rooted`: as `_together` does), at the first key that they share, as blocks before its last one differ, but for the chosen.
     """
     masks = np.array(_masks(radius, blocks), np.uint64)
     of_choice = np.array([sum(int(m) for i, m in enumerate(masks) if c >> i & 1) for c in range(1 << len(masks))], np.uint64)
@@ -298,16 +341,24 @@ def _matches(radius: int, blocks: int, kind: str) -> Callable[[Iterator[pa.Recor
         sizes = np.diff(np.r_[starts, len(h)])
         start, end = np.repeat(starts, sizes), np.repeat(starts + sizes, sizes)
         root = pc.dictionary_encode(rows.column("root").combine_chunks()).indices.to_numpy() if kind == "rooted" else None
+        f = np.asarray(rows.column("f").combine_chunks().flatten()).reshape(len(h), -1) if alike else None
+
+        near_ = lambda x, y: np.bitwise_count(h[x] ^ h[y]) <= radius
+        held_ = (lambda x, y: alike(f[x], f[y], np.bitwise_count(h[x] ^ h[y]))) if alike else None
+        if kind == "joined":
+            met = _joined(start, end, h, near_, held_)
+        else:
+            met = _ends(start, end) if kind == "ends" else _together(h, start, end, root)
         found, held = [], 0
-        for x, y in _ends(start, end) if kind == "ends" else _together(h, start, end, root):
+        for x, y in met:
             apart = h[x] ^ h[y]
             near = np.bitwise_count(apart) <= radius
             if root is not None:
                 near &= root[x] != root[y]
             x, y, apart = x[near], y[near], apart[near]
-            if kind != "ends" and len(x):
-                alike = sum(((apart & m) == 0).astype(np.int64) << i for i, m in enumerate(masks))
-                first = (skipped[x] & alike) == 0
+            if kind in ("all", "rooted") and len(x):
+                same = sum(((apart & m) == 0).astype(np.int64) << i for i, m in enumerate(masks))
+                first = (skipped[x] & same) == 0
                 x, y, apart = x[first], y[first], apart[first]
             for at in range(0, len(x), PAIRS):
                 found.append((x[at : at + PAIRS], y[at : at + PAIRS], np.bitwise_count(apart[at : at + PAIRS]).astype(np.int64)))
@@ -345,13 +396,13 @@ def _matches(radius: int, blocks: int, kind: str) -> Callable[[Iterator[pa.Recor
     return run
 
 
-def _compared(rows: DataFrame, count: int, radius: int, blocks: int, kind: str) -> DataFrame:
-    """(x, y, distance) by `_matches` of rows (id, simhash[, root]), `count` of them: keys are dealt over tasks of about a million rows, shuffled once, and compared in batches of numbers."""
-    spark, also = rows.sparkSession, ("root",) if kind == "rooted" else ()
+def _compared(rows: DataFrame, count: int, radius: int, blocks: int, kind: str, alike: Callable[[np.ndarray, np.ndarray, np.ndarray], np.ndarray] | None = None) -> DataFrame:
+    """(x, y, distance) by `_matches` of rows (id, simhash[, root][, f][, leads]), `count` of them: keys are dealt over tasks of about a million rows, shuffled once, and compared in batches of numbers."""
+    spark, also = rows.sparkSession, ("f",) if alike else ("root",) if kind == "rooted" else ()
     parts = max(spark.sparkContext.defaultParallelism, count * math.comb(radius + blocks, blocks) // 1_000_000)
     k = keyed(dealt(rows.where("simhash is not null"), count), radius, blocks, *also).repartition(parts, "choice", "part")
     ordered = k.sortWithinPartitions("choice", "part", "id").select("choice", "skipped", "id", "simhash", *also)
-    return ordered.mapInArrow(_matches(radius, blocks, kind), "x {0}, y {0}, distance long".format(rows.schema["id"].dataType.simpleString()))
+    return ordered.mapInArrow(_matches(radius, blocks, kind, alike), "x {0}, y {0}, distance long".format(rows.schema["id"].dataType.simpleString()))
 
 
 def near_pairs(hashes: DataFrame, key: str, radius: int = 8, blocks: int = 2, count: int | None = None) -> DataFrame:
@@ -363,22 +414,26 @@ def near_pairs(hashes: DataFrame, key: str, radius: int = 8, blocks: int = 2, co
     return found.where("x < y").select(F.col("x").alias("a"), F.col("y").alias("b"), "distance")
 
 
-def near_components(rows: DataFrame, radius: int = 8, linked: Callable[[DataFrame], DataFrame] = lambda pairs: pairs) -> DataFrame:
-    """(id, root) of the rows (id, simhash; ids differ) that have a link, root being the smallest id reachable. Links are those near pairs (a, b, distance) that `linked` keeps.
+def near_components(rows: DataFrame, radius: int = 8, linked: Callable[[DataFrame], DataFrame] | None = None, alike: Callable[[np.ndarray, np.ndarray, np.ndarray], np.ndarray] | None = None) -> DataFrame:
+    """(id, root) of the rows (id, simhash[, f]; ids differ) that have a link, root being the smallest id reachable. Links are near pairs.
+
+    With `alike` they are those near pairs for whose features `f` (arrays of doubles without nulls) and distance it holds; it is asked in the tasks. A task gives no more links of a key than the key has
+    rows, so a dense group gives links as many as its rows and keys, not as their square, and links are kept before they are joined, so that no plan takes them for a small table.
 
-    Rows are compared with the first and the last row of each of their keys, which joins most of a dense group by links as many as its rows. What is then still
-    apart is compared in full, but only where a key holds rows of several components, and there not within the largest one: a group of m near rows of which r are
-    not linked to the rest by then costs r * m comparisons, not m * m.
+    With `linked` they are those near pairs (a, b, distance) that it keeps, which have to be given out for that: rows are compared with the first and the last row of each of their keys, and what is then
+    still apart in full, but only where a key holds rows of several components, and there not within the largest one. Pairs that `linked` discards are as many as there are.
     """
     graph.checkpoint_folder(rows.sparkSession)
-    rows = rows.select("id", "simhash").checkpoint()
+    rows = rows.select("id", "simhash", *(["f"] if alike else [])).checkpoint()
     count = rows.count()
     blocks = linking_blocks(count, radius)
     pair = lambda found: found.select(F.least("x", "y").alias("a"), F.greatest("x", "y").alias("b"), "distance")
-    pairs = pair(_compared(rows, count, radius, blocks, "ends")).distinct()
+    if linked is None:
+        return graph.components(pair(_compared(rows, count, radius, blocks, "joined", alike)).select("a", "b").distinct().checkpoint())
+    pairs = pair(_compared(rows, count, radius, blocks, "ends")).distinct().checkpoint()
     roots = graph.components(linked(pairs).select("a", "b"))
     labelled = rows.join(roots, "id", "left").select("id", "simhash", F.coalesce("root", "id").alias("root")).checkpoint()
-    rest = pair(_compared(labelled, count, radius, blocks, "rooted"))
+    rest = pair(_compared(labelled, count, radius, blocks, "rooted")).checkpoint()
     return graph.components(roots.select(F.col("id").alias("a"), F.col("root").alias("b")).unionByName(linked(rest).select("a", "b")))
 
 
@@ -476,41 +531,59 @@ def features(text: Column) -> dict[str, Column]:
     w = T.words(F.lower(text))
     n = F.size(w)
     count = lambda p: F.regexp_count(text, F.lit(p))
+    words, n = n, F.when(n == 0, float("nan")).otherwise(n)  # a text without words has no densities, and is no error either
     diversity = F.size(F.array_distinct(w)) / n
     sentences = F.greatest(F.lit(1), F.regexp_count(text, F.lit("[.!?]")))
     legal, benefit = count(PATTERNS["legal_terms"][0]) / n, count(PATTERNS["insurance_benefits"][0]) / n
     return {
-        "word_count": n.cast("double"), "char_count": F.length(text).cast("double"), "avg_word_length": F.aggregate(w, F.lit(0.0), lambda s, x: s + F.length(x)) / n,
+        "word_count": words.cast("double"), "char_count": F.length(text).cast("double"), "avg_word_length": F.aggregate(w, F.lit(0.0), lambda s, x: s + F.length(x)) / n,
         **{f"{k}_density": count(p) / n for k, (p, _) in PATTERNS.items()},
         "lexical_diversity": diversity, "sentence_count": sentences.cast("double"), "words_per_sentence": n / sentences,
         "semantic_complexity": diversity * 0.3 + legal * 0.4 + benefit * 0.3,
     }
 
 
-def feature_similarity(a: list[Column], b: list[Column], telling: list[int]) -> Column:
-    """0.6 of the cosine of two feature lists and 0.4 of the nearness of the telling ones."""
-    dot = sum((x * y for x, y in zip(a, b, strict=True)), F.lit(0.0))
-    norm = lambda v: F.sqrt(sum((x * x for x in v), F.lit(0.0)))
-    cosine = F.when((norm(a) == 0) | (norm(b) == 0), 0.0).otherwise(dot / (norm(a) * norm(b)))
-    near = sum((1.0 - F.abs(a[i] - b[i]) for i in telling), F.lit(0.0)) / len(telling)
-    return F.greatest(F.lit(0.0), cosine * 0.6 + near * 0.4)
+def feature_similarity(a: np.ndarray, b: np.ndarray, telling: list[int]) -> np.ndarray:
+    """0.6 of the cosine of rows of features and 0.4 of the nearness of the telling ones."""
+    dot = lambda x, y: sum(x[:, i] * y[:, i] for i in range(x.shape[1]))
+    size = np.sqrt(dot(a, a)) * np.sqrt(dot(b, b))
+    cosine = np.where(size == 0, 0.0, dot(a, b) / np.where(size == 0, 1.0, size))
+    near = sum(1.0 - np.abs(a[:, i] - b[:, i]) for i in telling) / len(telling)
+    return np.maximum(0.0, cosine * 0.6 + near * 0.4)
+
+
+#: Ids that are broadcast to pick rows by; more are joined by a shuffle.
+BROADCAST_IDS = 500_000
+
+
+def picked(rows: DataFrame, ids: DataFrame) -> DataFrame:
+    """The rows (id, ..) whose id is among the ids, of which there may be many."""
+    ids = ids.select("id").distinct().checkpoint()
+    return rows.join(F.broadcast(ids) if ids.count() <= BROADCAST_IDS else ids, "id", "left_semi")
 
 
 def clusters(hashes: DataFrame, docs: DataFrame, key: str, least: float = 0.85, radius: int = 8) -> DataFrame:
     """(id, root): components of the near pairs whose 0.7 * (1 - distance / 64) + 0.3 * feature similarity reaches `least`.
 
-    Rows of equal hash and features are one class, linked in itself; components are those of classes (`near_components`).
+    Rows of equal hash and features are one class, linked in itself; components are those of classes (`near_components`). Features are made of the rows alone that have a copy of their hash or a near one.
     """
     graph.checkpoint_folder(docs.sparkSession)
-    names = list(features(F.col("text")))
-    f = docs.select(F.col(key).alias("id"), F.array(*(v for v in features(F.col("text")).values())).alias("f"))
-    members = hashes.select(F.col(key).alias("id"), "simhash").join(f, "id").checkpoint()
+    made = features(F.col("text"))
+    names = list(made)
+    hashed = hashes.select(F.col(key).alias("id"), "simhash").checkpoint()
+    same = copies(hashed, "id").checkpoint()
+    near = same.join(near_components(same, radius), "id", "left").where("n > 1 or root is not null").select("simhash")
+    members = hashed.join(near, "simhash", "left_semi").checkpoint()
+    texts = picked(docs.select(F.col(key).alias("id"), "text"), members)
+    f = texts.select("id", F.array(*(F.coalesce(v, F.lit(0.0)) for v in made.values())).alias("f"))
+    members = members.join(f, "id").checkpoint()
     classes = copies(members, "id", "f").checkpoint()
     telling = [names.index(x) for x in ("legal_terms_density", "insurance_benefits_density", "semantic_complexity")]
-    own = lambda c: [F.coalesce(F.get(c, F.lit(i)), F.lit(0.0)) for i in range(len(names))]
-    score = 0.7 * (1 - F.col("distance") / BITS) + 0.3 * feature_similarity(own("fa"), own("fb"), telling)
-    side = lambda c: classes.select(F.col("id").alias(c), F.col("f").alias(f"f{c}"))
-    roots = near_components(classes, radius, lambda pairs: pairs.join(side("a"), "a").join(side("b"), "b").where(F.round(score, 9) >= least))
+
+    def alike(a: np.ndarray, b: np.ndarray, distance: np.ndarray) -> np.ndarray:
+        return np.round(0.7 * (1 - distance / BITS) + 0.3 * feature_similarity(a, b, telling), 9) >= least
+
+    roots = near_components(classes, radius, alike=alike)
     rooted = classes.join(roots, "id", "left").where("n > 1 or root is not null").select("simhash", "f", F.coalesce("root", "id").alias("root"))
     return members.join(rooted, ["simhash", "f"]).select("id", "root")
 

@@ -72,7 +72,8 @@ def dedup_clusters(spark, sf_dir):
     d = documents(spark, sf_dir)
     roots = D.clusters(hashes(spark, sf_dir), d, "doc_id")
     kinds = F.get(F.array(*map(F.lit, ["legal_text", "table", "narrative"])), (F.col("doc_id") % 3).cast("int"))
-    scored = d.select(F.col("doc_id").alias("id"), F.round(D.representative_score(F.col("text"), F.col("doc_id") % 7, kinds), 6).alias("score"))
+    roots = roots.checkpoint()
+    scored = D.picked(d.withColumn("id", F.col("doc_id")), roots).select("id", F.round(D.representative_score(F.col("text"), F.col("doc_id") % 7, kinds), 6).alias("score"))
     best = roots.join(scored, "id").groupBy("root").agg(F.count(F.lit(1)).alias("members"), F.max_by("id", F.struct("score", -F.col("id"))).alias("representative"))
     return best.select("root", "members", "representative")
 
