@@ -235,15 +235,6 @@ def keyed(rows: DataFrame, radius: int, blocks: int, *also: str) -> DataFrame:
     return rows.select("id", "simhash", *also, F.explode(F.array(*choices)).alias("x")).select("id", "simhash", *also, "x.*")
 
 
-def _near(radius: int, blocks: int, once: bool = True) -> Column:
-    """Rows a and b of `keyed` have one key and near hashes; `once`: and this key is the first that they share, as blocks before its last one differ, but for the chosen."""
-    different = F.col("a.simhash").bitwiseXOR(F.col("b.simhash"))
-    on = (F.col("a.choice") == F.col("b.choice")) & (F.col("a.part") == F.col("b.part")) & (F.bit_count(different) <= radius)
-    for i, m in enumerate(_masks(radius, blocks) if once else ()):
-        on = on & ((F.col("a.skipped").bitwiseAND(F.lit(1 << i)) == 0) | (different.bitwiseAND(F.lit(_signed(m))) != 0))
-    return on
-
-
 #: Rows whose keys are compared at once, and pairs that are given on at once.
 AT_ONCE, PAIRS = 200_000, 100_000
 
@@ -324,10 +315,36 @@ def _joined(start: np.ndarray, end: np.ndarray, h: np.ndarray, near: Callable[[n
         yield from link(x, y)
 
 
+def _late(start: np.ndarray, near: Callable[[np.ndarray, np.ndarray], np.ndarray]) -> Iterator[tuple[np.ndarray, np.ndarray]]:
+    """Positions of rows and of an earlier near row of their key; a row that has one is not looked at again."""
+    active = np.arange(len(start))
+    d = 0
+    while len(active):
+        d += 1
+        active = active[active - d >= start[active]]
+        found = near(active, active - d)
+        yield active[found], active[found] - d
+        active = active[~found]
+
+
+def _taken(start: np.ndarray, leads: np.ndarray, near: Callable[[np.ndarray, np.ndarray], np.ndarray]) -> Iterator[tuple[np.ndarray, np.ndarray]]:
+    """Positions of rows that do not lead and of the first leader of their key that is near."""
+    order = np.lexsort((~leads, start))  # a key's leaders come first, in the order of ids
+    many = np.add.reduceat(leads, np.unique(start), dtype=np.int64)[np.unique(start, return_inverse=True)[1]]
+    active = np.flatnonzero(~leads[order])
+    for i in range(int(many.max(initial=0))):
+        active = active[many[active] > i]
+        leader = order[start[active] + i]
+        found = near(order[active], leader)
+        yield order[active[found]], leader[found]
+        active = active[~found]
+
+
 def _matches(radius: int, blocks: int, kind: str, alike: Callable[[np.ndarray, np.ndarray, np.ndarray], np.ndarray] | None = None) -> Callable[[Iterator[pa.RecordBatch]], Iterator[pa.RecordBatch]]:
     """(x, y, distance) of near rows of one key, of rows (choice, skipped, id, simhash[, root]) sorted by key and id; a key's rows wait until its last one is there.
 
-    `ends`: of each row and its key's first and last one. `joined`: enough to connect them, if `alike` is given of pairs whose features `f` it holds for. Else of all pairs (`rooted`: as `_together` does), at the first key that they share, as blocks before its last one differ, but for the chosen.
+    `ends`: of each row and its key's first and last one. `joined`: enough to connect them, if `alike` is given of pairs whose features `f` it holds for. `late`: of a row and one earlier near row.
+    `taken`: of a row and the first near one that has `leads`. Else of all pairs (`rooted`: as `_together` does), at the first key that they share, as blocks before its last one differ, but for the chosen.
     """
     masks = np.array(_masks(radius, blocks), np.uint64)
     of_choice = np.array([sum(int(m) for i, m in enumerate(masks) if c >> i & 1) for c in range(1 << len(masks))], np.uint64)
@@ -347,6 +364,10 @@ def _matches(radius: int, blocks: int, kind: str, alike: Callable[[np.ndarray, n
         held_ = (lambda x, y: alike(f[x], f[y], np.bitwise_count(h[x] ^ h[y]))) if alike else None
         if kind == "joined":
             met = _joined(start, end, h, near_, held_)
+        elif kind == "late":
+            met = _late(start, near_)
+        elif kind == "taken":
+            met = _taken(start, rows.column("leads").to_numpy(), near_)
         else:
             met = _ends(start, end) if kind == "ends" else _together(h, start, end, root)
         found, held = [], 0
@@ -398,7 +419,7 @@ def _matches(radius: int, blocks: int, kind: str, alike: Callable[[np.ndarray, n
 
 def _compared(rows: DataFrame, count: int, radius: int, blocks: int, kind: str, alike: Callable[[np.ndarray, np.ndarray, np.ndarray], np.ndarray] | None = None) -> DataFrame:
     """(x, y, distance) by `_matches` of rows (id, simhash[, root][, f][, leads]), `count` of them: keys are dealt over tasks of about a million rows, shuffled once, and compared in batches of numbers."""
-    spark, also = rows.sparkSession, ("f",) if alike else ("root",) if kind == "rooted" else ()
+    spark, also = rows.sparkSession, ("f",) if alike else {"rooted": ("root",), "taken": ("leads",)}.get(kind, ())
     parts = max(spark.sparkContext.defaultParallelism, count * math.comb(radius + blocks, blocks) // 1_000_000)
     k = keyed(dealt(rows.where("simhash is not null"), count), radius, blocks, *also).repartition(parts, "choice", "part")
     ordered = k.sortWithinPartitions("choice", "part", "id").select("choice", "skipped", "id", "simhash", *also)
@@ -477,9 +498,9 @@ def leaders(rows: DataFrame, radius: int = 8, together: int = TOGETHER) -> DataF
     """(id, leader) of rows (id, simhash; ids differ and are integers) with a near one: in the order of ids, a row that no earlier leader is near leads, others join the first leader near them.
 
     A decision depends on smaller ids of the same component only. So each component is led by ranges of ids of at most about `together` rows, one task a range; the leaders that a range
-    gives are joined with the component's later rows, and what they take is out. Most components have one range. A chain of near rows costs no round for each of its links.
+    gives are compared, key by key, with the component's later rows, and what they take is out. Most components have one range. A chain of near rows costs no round for each of its links. No join broadcasts, as in `graph.components`.
     """
-    known = rows.join(near_components(rows, radius), "id").select("id", "simhash", "root", F.lit(None).cast(rows.schema["id"].dataType).alias("leader")).checkpoint()
+    known = rows.join(near_components(rows, radius).hint("merge"), "id").select("id", "simhash", "root", F.lit(None).cast(rows.schema["id"].dataType).alias("leader")).checkpoint()
     kind = "id {0}, {1} {0}".format(rows.schema["id"].dataType.simpleString(), "{}")
     shares = [2.0**-i for i in range(30)]
     while left := known.where("leader is null").count():
@@ -487,16 +508,15 @@ def leaders(rows: DataFrame, radius: int = 8, together: int = TOGETHER) -> DataF
         rest = known.where("leader is null").select("id", "simhash", "root")
         halvings = F.greatest(F.lit(0), F.ceil(F.log2(F.col("n") / together)).cast("int"))
         cuts = rest.groupBy("root").agg(F.count(F.lit(1)).alias("n"), F.percentile_approx("id", shares, 100_000).alias("at")).select("root", F.get("at", F.least(halvings, F.lit(len(shares) - 1))).alias("cut"))
-        ranged = rest.join(cuts, "root").checkpoint()
+        ranged = rest.join(cuts.hint("merge"), "root").checkpoint()
         led = ranged.where("id <= cut").select("root", "id", "simhash").groupBy("root").applyInPandas(_lead(radius), kind.format("led")).checkpoint()
         if not ranged.where("id > cut").limit(1).count():  # every component is in one range, as most are
-            known = known.join(led, "id", "left").select("id", "simhash", "root", F.coalesce("leader", "led").alias("leader")).checkpoint()
+            known = known.join(led.hint("merge"), "id", "left").select("id", "simhash", "root", F.coalesce("leader", "led").alias("leader")).checkpoint()
             continue
-        first = keyed(ranged.join(led.where("id = led").select("id"), "id", "left_semi"), radius, blocks, "root")
-        later = keyed(ranged.where("id > cut"), radius, blocks, "root")
-        met = first.alias("a").join(later.alias("b"), _near(radius, blocks, once=False) & (F.col("a.root") == F.col("b.root"))).select(F.col("b.id").alias("id"), F.col("a.id").alias("taker"))
-        taken = met.groupBy("id").agg(F.min("taker").alias("taker"))
-        known = known.join(led, "id", "left").join(taken, "id", "left").select("id", "simhash", "root", F.coalesce("leader", "led", "taker").alias("leader")).checkpoint()
+        lead = F.lit(True).alias("leads")
+        met = led.where("id = led").select("id", lead).join(ranged.select("id", "simhash").hint("merge"), "id").unionByName(ranged.where("id > cut").select("id", F.lit(False).alias("leads"), "simhash"))
+        taken = _compared(met, left, radius, blocks, "taken").groupBy(F.col("x").alias("id")).agg(F.min("y").alias("taker"))
+        known = known.join(led.hint("merge"), "id", "left").join(taken.hint("merge"), "id", "left").select("id", "simhash", "root", F.coalesce("leader", "led", "taker").alias("leader")).checkpoint()
     return known.select("id", "leader")
 
 
@@ -505,25 +525,18 @@ def leader_of(hashes: DataFrame, key: str, radius: int = 8) -> DataFrame:
     graph.checkpoint_folder(hashes.sparkSession)
     members = hashes.select(F.col(key).alias("id"), "simhash").checkpoint()
     classes = copies(members, "id").checkpoint()
-    led = classes.join(leaders(classes, radius), "id", "left").where("n > 1 or leader is not null")
-    return members.join(led.select("simhash", F.coalesce("leader", "id").alias("leader")), "simhash").select("id", "leader")
+    led = classes.join(leaders(classes, radius).hint("merge"), "id", "left").where("n > 1 or leader is not null")
+    return members.join(led.select("simhash", F.coalesce("leader", "id").alias("leader")).hint("merge"), "simhash").select("id", "leader")
 
 
 def followers(hashes: DataFrame, key: str, radius: int = 8) -> DataFrame:
-    """(id) of rows that have a near one of smaller id: further members of a class of equal hashes, and classes near an earlier one. A class near the first of one of its keys
-    is known by that; others look for any earlier near one and stop at the first. Null hashes have none."""
+    """(id) of rows that have a near one of smaller id: further members of a class of equal hashes, and classes near an earlier one. Null hashes have none."""
     graph.checkpoint_folder(hashes.sparkSession)
     members = hashes.where("simhash is not null").select(F.col(key).alias("id"), "simhash").checkpoint()
     classes = copies(members, "id").checkpoint()
     count = classes.count()
-    blocks, on = linking_blocks(count, radius), ["choice", "part"]
-    k = keyed(dealt(classes, count), radius, blocks)
-    first = k.groupBy(*on).agg(F.min("id").alias("low"), F.min_by("simhash", "id").alias("first"), F.count(F.lit(1)).alias("n")).where("n > 1").drop("n")
-    known = k.join(first, on).where((F.col("low") < F.col("id")) & (F.bit_count(F.col("simhash").bitwiseXOR(F.col("first"))) <= radius)).select("id").distinct().checkpoint()
-    open_ = keyed(dealt(classes.join(known, "id", "left_anti"), count), radius, blocks)
-    late = open_.alias("a").join(k.alias("b"), _near(radius, blocks, once=False) & (F.col("b.id") < F.col("a.id")), "left_semi").select("id")
-    more = members.join(classes.select("id"), "id", "left_anti")
-    return more.select("id").unionByName(known).unionByName(late.distinct())
+    late = _compared(classes, count, radius, linking_blocks(count, radius), "late").select(F.col("x").alias("id")).distinct()
+    return members.join(classes.select("id").hint("merge"), "id", "left_anti").select("id").unionByName(late)
 
 
 def features(text: Column) -> dict[str, Column]:
@@ -572,11 +585,11 @@ def clusters(hashes: DataFrame, docs: DataFrame, key: str, least: float = 0.85,
     names = list(made)
     hashed = hashes.select(F.col(key).alias("id"), "simhash").checkpoint()
     same = copies(hashed, "id").checkpoint()
-    near = same.join(near_components(same, radius), "id", "left").where("n > 1 or root is not null").select("simhash")
-    members = hashed.join(near, "simhash", "left_semi").checkpoint()
+    near = same.join(near_components(same, radius).hint("merge"), "id", "left").where("n > 1 or root is not null").select("simhash")
+    members = hashed.join(near.hint("merge"), "simhash", "left_semi").checkpoint()
     texts = picked(docs.select(F.col(key).alias("id"), "text"), members)
     f = texts.select("id", F.array(*(F.coalesce(v, F.lit(0.0)) for v in made.values())).alias("f"))
-    members = members.join(f, "id").checkpoint()
+    members = members.join(f.hint("merge"), "id").checkpoint()
     classes = copies(members, "id", "f").checkpoint()
     telling = [names.index(x) for x in ("legal_terms_density", "insurance_benefits_density", "semantic_complexity")]
 
@@ -584,8 +597,8 @@ def clusters(hashes: DataFrame, docs: DataFrame, key: str, least: float = 0.85,
         return np.round(0.7 * (1 - distance / BITS) + 0.3 * feature_similarity(a, b, telling), 9) >= least
 
     roots = near_components(classes, radius, alike=alike)
-    rooted = classes.join(roots, "id", "left").where("n > 1 or root is not null").select("simhash", "f", F.coalesce("root", "id").alias("root"))
-    return members.join(rooted, ["simhash", "f"]).select("id", "root")
+    rooted = classes.join(roots.hint("merge"), "id", "left").where("n > 1 or root is not null").select("simhash", "f", F.coalesce("root", "id").alias("root"))
+    return members.join(rooted.hint("merge"), ["simhash", "f"]).select("id", "root")
 
 
 def representative_score(text: Column, level: Column, kind: Column) -> Column:
