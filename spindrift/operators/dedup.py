@@ -5,6 +5,7 @@ from __future__ import annotations
 import hashlib
 import itertools
 import math
+import re
 from collections.abc import Callable, Iterator
 
 import numpy as np
@@ -142,6 +143,133 @@ def _decided(counts: DataFrame, key: str, strict: bool = False) -> DataFrame:
     return counts.select(key, F.shiftleft(half(32), 32).bitwiseOR(half(0)).alias("simhash"))
 
 
+def terms_of(bare: str, n: int = 3) -> list[str]:
+    """As `weighted_terms`, of a text that is normalised."""
+    w = [x for x in bare.split(" ") if len(x) >= 3 and x not in STOP]
+    if len(w) < n:
+        return list(dict.fromkeys(w or [bare[:20]]))
+    grams = map(" ".join, zip(*(w[i:] for i in range(n)), strict=False))
+    return list(dict.fromkeys(itertools.chain(grams, (x for x in w if len(x) >= 6 or weight_of(x)[0]))))
+
+
+#: The patterns for Python: normalised texts are in lower case, digits are those of ASCII. `_MAYBE` finds all that a pattern can find, and more.
+_RULES = tuple((re.compile(p.removeprefix("(?i)").replace(r"\d", "[0-9]")), factor) for p, factor in PATTERNS.values())
+_MAYBE = re.compile("[0-9]|" + "|".join(x for p, _ in PATTERNS.values() if (m := re.search(r"\(([a-z|]+)\)", p)) for x in m[1].split("|")))
+
+
+def weight_of(term: str) -> tuple[bool, float]:
+    """Whether one of the patterns is in a normalised term, and its weight as `term_weight`. For Java, numerals that are no decimal digits end a word, as other signs do."""
+    found, weight = False, 1.0
+    if _MAYBE.search(term):
+        if not term.isascii():
+            term = "".join("-" if x.isnumeric() and not (x.isalpha() or x.isdecimal()) else x for x in term)
+        for pattern, factor in _RULES:
+            if pattern.search(term):
+                found, weight = True, weight * factor
+    n = len(term.split(" ")) - term.count("  ") if term.strip(" ") == term else len(term.split())
+    mean = (len(term) - term.count(" ")) / n if term and n else 0
+    return found, weight * (1.0 + mean * 0.05) if mean > 6 else weight
+
+
+#: Bytes of text whose terms a task holds at once, terms whose counts are added up at once, and terms whose votes are.
+PART_BYTES, RANGE_TERMS, VOTES = 8 << 20, 1_000_000, 50_000
+_DIGEST = np.dtype([("h", ">u8"), ("e", ">u2"), ("rest", "V6")])
+
+
+def _planes(x: np.ndarray) -> bytes:
+    """Numbers by their bytes' places, so that equal leading bytes stand together and a shuffle's compression takes them."""
+    return np.ascontiguousarray(x.view(np.uint8).reshape(len(x), -1).T).tobytes()
+
+
+def _from_planes(data: bytes, kind: type, n: int) -> np.ndarray:
+    return np.ascontiguousarray(np.frombuffer(data, np.uint8).reshape(-1, n).T).reshape(-1).view(kind)
+
+
+def _digests(terms: list[str]) -> tuple[np.ndarray, np.ndarray]:
+    d = np.frombuffer(b"".join([hashlib.md5(t.encode(), usedforsecurity=False).digest() for t in terms]), _DIGEST)
+    return d["h"].astype(np.uint64), d["e"].astype(np.uint16)
+
+
+def _sorted(h: np.ndarray, e: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """The order of terms, where a new one begins in it, and each position's number among the different ones."""
+    order = np.lexsort((e, h))
+    new = np.r_[True, (h[order][1:] != h[order][:-1]) | (e[order][1:] != e[order][:-1])][: len(h)]
+    number = np.empty(len(h), np.int64)
+    number[order] = np.cumsum(new) - 1
+    return order, new, number
+
+
+def idf_simhash(docs: DataFrame, key: str, text: Column, n: int = 3) -> DataFrame:
+    """(key, simhash): `simhash` of `weighted_terms` of the rows, a term weighing log(rows / (rows that have it + 1)) * `term_weight`; a bit needs more votes for than against.
+
+    Texts are shuffled once, into parts of some 8 MB. A part asks for the counts of its terms, each once: it sends sorted hashes by ranges, and a range's task answers with counts in the same order, so
+    neither terms nor votes are shuffled. A term is known by 80 bits of its MD5, of which the first 64 vote: among two billion terms, two have the same ones with a chance of one in 600,000.
+    """
+    spark, kind = docs.sparkSession, docs.schema[key].dataType.simpleString()
+    size = docs.select(F.octet_length(text).alias("b")).agg(F.count(F.lit(1)).alias("n"), F.sum("b").alias("b")).first()
+    rows, held = size["n"], size["b"] or 0
+    cores = spark.sparkContext.defaultParallelism
+    parts, deep = max(cores, held // PART_BYTES), max(cores, held // 6 // RANGE_TERMS).bit_length()
+    bare = docs.select(F.col(key).alias("key"), T.normalise(text).alias("bare")).where("bare is not null")
+    dealt_ = bare.withColumn("part", F.pmod(F.xxhash64("key"), F.lit(parts)).cast("int")).repartition(parts, "part")
+
+    def known(texts: pa.ChunkedArray, weigh: bool) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
+        h, e, w, many = [], [], [], []
+        for t in texts:
+            terms = terms_of(t.as_py(), n)
+            x, y = _digests(terms)
+            h.append(x)
+            e.append(y)
+            many.append(len(terms))
+            if weigh:
+                w.append(np.array([weight_of(t)[1] for t in terms]))
+        return np.concatenate(h), np.concatenate(e), np.concatenate(w) if weigh else np.zeros(0), np.array(many)
+
+    def asked(t: pa.Table) -> pa.Table:
+        h, e, _, _ = known(t.column("bare"), False)
+        order, new, number = _sorted(h, e)
+        h, e, count = h[order][new], e[order][new], np.bincount(number).astype(np.uint32)
+        at = h >> np.uint64(64 - deep)
+        starts = np.flatnonzero(np.r_[True, at[1:] != at[:-1]])
+        ends = np.r_[starts[1:], len(h)]
+        data = [_planes(np.diff(h[i:j], prepend=np.uint64(0))) + _planes(e[i:j]) + _planes(count[i:j]) for i, j in zip(starts, ends, strict=True)]
+        part = t.column("part")[0].as_py()
+        return pa.table({"range": pa.array(at[starts].astype(np.int32)), "part": pa.array([part] * len(data), pa.int32()), "n": pa.array((ends - starts).astype(np.int32)), "data": pa.array(data, pa.binary())})
+
+    def counted(t: pa.Table) -> pa.Table:
+        h, e, c = [], [], []
+        for data, m in zip(t.column("data"), t.column("n").to_pylist(), strict=True):
+            raw = data.as_py()
+            h.append(np.cumsum(_from_planes(raw[: 8 * m], np.uint64, m), dtype=np.uint64))
+            e.append(_from_planes(raw[8 * m : 10 * m], np.uint16, m))
+            c.append(_from_planes(raw[10 * m :], np.uint32, m))
+        number = _sorted(np.concatenate(h), np.concatenate(e))[2]
+        df = np.bincount(number, np.concatenate(c)).astype(np.uint32)[number]
+        cuts = np.cumsum([0, *map(len, h)])
+        return pa.table({"range": t.column("range"), "part": t.column("part"), "n": t.column("n"), "df": pa.array([_planes(df[i:j]) for i, j in itertools.pairwise(cuts)], pa.binary())})
+
+    def voted(t: pa.Table, answers: pa.Table) -> pa.Table:
+        t, answers = t.sort_by("key"), answers.sort_by("range")
+        df = np.concatenate([_from_planes(d.as_py(), np.uint32, m) for d, m in zip(answers.column("df"), answers.column("n").to_pylist(), strict=True)])
+        h, e, w, many = known(t.column("bare"), True)
+        w = np.log(rows / (df[_sorted(h, e)[2]] + 1.0)) * w
+        coded = pc.dictionary_encode(t.column("key").combine_chunks(), null_encoding="encode").indices.to_numpy()
+        new = np.flatnonzero(np.r_[True, coded[1:] != coded[:-1]])
+        owner = np.repeat(np.repeat(np.arange(len(new)), np.diff(np.r_[new, len(coded)])), many)
+        votes = np.zeros((len(new), BITS))
+        for at in range(0, len(h), VOTES):
+            bits = np.unpackbits(h[at : at + VOTES].view(np.uint8).reshape(-1, 8), axis=1, bitorder="little")
+            part, own = w[at : at + VOTES, None], owner[at : at + VOTES]
+            starts = np.flatnonzero(np.r_[True, own[1:] != own[:-1]])
+            votes[own[starts]] += np.add.reduceat(np.where(bits == 1, part, -part), starts, axis=0)
+        bits = np.packbits(np.round(votes, 9) > 0, axis=1, bitorder="little")
+        return pa.table({key: t.column("key").take(pa.array(new)), "simhash": pa.array(bits.view(np.int64).ravel())})
+
+    requests = dealt_.groupBy("part").applyInArrow(asked, "range int, part int, n int, data binary")
+    counts = requests.repartition(1 << deep, "range").groupBy("range").applyInArrow(counted, "range int, part int, n int, df binary")
+    return dealt_.groupBy("part").cogroup(counts.groupBy("part")).applyInArrow(voted, f"`{key}` {kind}, simhash long")
+
+
 #: Bytes of a text whose words are cut at once.
 PIECE = 1 << 20
 

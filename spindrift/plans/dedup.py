@@ -57,12 +57,7 @@ def ngram_terms(spark, sf_dir):
 @query("weighted_simhash")
 def weighted_simhash(spark, sf_dir):
     """SimHash with idf and pattern weights; a bit needs more votes for than against."""
-    d = documents(spark, sf_dir)
-    terms = d.select("doc_id", F.explode(D.weighted_terms(F.col("text"))).alias("term"))
-    df = terms.groupBy("term").agg(F.count(F.lit(1)).alias("df")).join(F.broadcast(d.agg(F.count(F.lit(1)).alias("n"))), F.lit(True))  # one row
-    # what depends on the term alone is worked out once for each term, before the join
-    known = df.select("term", (F.log(F.col("n") / (F.col("df") + 1.0)) * D.term_weight(F.col("term"))).alias("w"))
-    found = D.simhash(terms.join(known, "term"), "doc_id", F.col("w"), strict=True)
+    found = D.idf_simhash(documents(spark, sf_dir), "doc_id", F.col("text"))
     return found.select("doc_id", F.lpad(F.lower(F.hex("simhash")), 16, "0").alias("simhash"))
 
 
