@@ -6,7 +6,7 @@ import hashlib
 import itertools
 import math
 import re
-from collections.abc import Callable, Iterator
+from collections.abc import Callable, Iterable, Iterator
 
 import numpy as np
 import pandas as pd
@@ -143,15 +143,7 @@ def _decided(counts: DataFrame, key: str, strict: bool = False) -> DataFrame:
     return counts.select(key, F.shiftleft(half(32), 32).bitwiseOR(half(0)).alias("simhash"))
 
 
-def terms_of(bare: str, n: int = 3) -> list[str]:
-    """As `weighted_terms`, of a text that is normalised."""
-    w = [x for x in bare.split(" ") if len(x) >= 3 and x not in STOP]
-    if len(w) < n:
-        return list(dict.fromkeys(w or [bare[:20]]))
-    grams = map(" ".join, zip(*(w[i:] for i in range(n)), strict=False))
-    return list(dict.fromkeys(itertools.chain(grams, (x for x in w if len(x) >= 6 or weight_of(x)[0]))))
-
-
+_STOP = frozenset(STOP)
 #: The patterns for Python: normalised texts are in lower case, digits are those of ASCII. `_MAYBE` finds all that a pattern can find, and more.
 _RULES = tuple((re.compile(p.removeprefix("(?i)").replace(r"\d", "[0-9]")), factor) for p, factor in PATTERNS.values())
 _MAYBE = re.compile("[0-9]|" + "|".join(x for p, _ in PATTERNS.values() if (m := re.search(r"\(([a-z|]+)\)", p)) for x in m[1].split("|")))
@@ -171,6 +163,26 @@ def weight_of(term: str) -> tuple[bool, float]:
     return found, weight * (1.0 + mean * 0.05) if mean > 6 else weight
 
 
+def weighed(bare: str, seen: dict[str, tuple[int, bool, bool, float]], n: int = 3) -> dict[str, float]:
+    """As `weighted_terms`, of a text that is normalised, with the terms' weights. `seen` keeps words: a pattern that a run of words holds has a digit or a keyword in one of them, so most runs need no look."""
+    w = [x for x in bare.split(" ") if len(x) >= 3 and x not in _STOP]
+    if len(w) < n:
+        return {t: weight_of(t)[1] for t in w or [bare[:20]]}
+    known = []
+    for x in w:
+        if (k := seen.get(x)) is None:
+            found, weight = weight_of(x)
+            k = seen[x] = (len(x), bool(_MAYBE.search(x)), len(x) >= 6 or found, weight)
+        known.append(k)
+    grams = list(map(" ".join, zip(*(w[i:] for i in range(n)), strict=False)))
+    sizes, maybe = np.array([k[0] for k in known]), np.array([k[1] for k in known])
+    mean = sum(sizes[i : len(w) - n + 1 + i] for i in range(n)) / n
+    weights = np.where(mean > 6, 1.0 + mean * 0.05, 1.0)
+    for i in np.flatnonzero(np.logical_or.reduce([maybe[i : len(w) - n + 1 + i] for i in range(n)])):
+        weights[i] = weight_of(grams[i])[1]
+    return dict(zip(grams, weights.tolist(), strict=True)) | {x: k[3] for x, k in zip(w, known, strict=True) if k[2]}
+
+
 #: Bytes of text whose terms a task holds at once, terms whose counts are added up at once, and terms whose votes are.
 PART_BYTES, RANGE_TERMS, VOTES = 8 << 20, 1_000_000, 50_000
 _DIGEST = np.dtype([("h", ">u8"), ("e", ">u2"), ("rest", "V6")])
@@ -185,7 +197,7 @@ def _from_planes(data: bytes, kind: type, n: int) -> np.ndarray:
     return np.ascontiguousarray(np.frombuffer(data, np.uint8).reshape(-1, n).T).reshape(-1).view(kind)
 
 
-def _digests(terms: list[str]) -> tuple[np.ndarray, np.ndarray]:
+def _digests(terms: Iterable[str]) -> tuple[np.ndarray, np.ndarray]:
     d = np.frombuffer(b"".join([hashlib.md5(t.encode(), usedforsecurity=False).digest() for t in terms]), _DIGEST)
     return d["h"].astype(np.uint64), d["e"].astype(np.uint16)
 
@@ -213,20 +225,19 @@ def idf_simhash(docs: DataFrame, key: str, text: Column, n: int = 3) -> DataFram
     bare = docs.select(F.col(key).alias("key"), T.normalise(text).alias("bare")).where("bare is not null")
     dealt_ = bare.withColumn("part", F.pmod(F.xxhash64("key"), F.lit(parts)).cast("int")).repartition(parts, "part")
 
-    def known(texts: pa.ChunkedArray, weigh: bool) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
-        h, e, w, many = [], [], [], []
+    def known(texts: pa.ChunkedArray) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
+        seen, h, e, w, many = {}, [], [], [], []
         for t in texts:
-            terms = terms_of(t.as_py(), n)
+            terms = weighed(t.as_py(), seen, n)
             x, y = _digests(terms)
             h.append(x)
             e.append(y)
+            w.append(np.fromiter(terms.values(), float, len(terms)))
             many.append(len(terms))
-            if weigh:
-                w.append(np.array([weight_of(t)[1] for t in terms]))
-        return np.concatenate(h), np.concatenate(e), np.concatenate(w) if weigh else np.zeros(0), np.array(many)
+        return np.concatenate(h), np.concatenate(e), np.concatenate(w), np.array(many)
 
     def asked(t: pa.Table) -> pa.Table:
-        h, e, _, _ = known(t.column("bare"), False)
+        h, e, _, _ = known(t.column("bare"))
         order, new, number = _sorted(h, e)
         h, e, count = h[order][new], e[order][new], np.bincount(number).astype(np.uint32)
         at = h >> np.uint64(64 - deep)
@@ -251,7 +262,7 @@ def idf_simhash(docs: DataFrame, key: str, text: Column, n: int = 3) -> DataFram
     def voted(t: pa.Table, answers: pa.Table) -> pa.Table:
         t, answers = t.sort_by("key"), answers.sort_by("range")
         df = np.concatenate([_from_planes(d.as_py(), np.uint32, m) for d, m in zip(answers.column("df"), answers.column("n").to_pylist(), strict=True)])
-        h, e, w, many = known(t.column("bare"), True)
+        h, e, w, many = known(t.column("bare"))
         w = np.log(rows / (df[_sorted(h, e)[2]] + 1.0)) * w
         coded = pc.dictionary_encode(t.column("key").combine_chunks(), null_encoding="encode").indices.to_numpy()
         new = np.flatnonzero(np.r_[True, coded[1:] != coded[:-1]])
